@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import quality
+from answerloom.llm import compression, langid, quality, tokens
 from answerloom.llm.common import held_out, table
 
 
@@ -17,5 +17,22 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier,)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and compression bands over every document; see ``compression``."""
+    return compression.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by rank-order profiles; see ``langid``."""
+    documents = table(spark, sf_dir, "documents")
+    judged = langid.identify(spark, documents.select("doc_id", "text"), langid.fit(documents))
+    return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count; see ``tokens``."""
+    return tokens.count(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_quality_rules, op7_language_id, op9_token_counts)}
 ORACLES: dict[str, str] = {}
