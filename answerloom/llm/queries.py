@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import compression, langid, quality, tokens
+from answerloom.llm import compression, jaccard, langid, packing, quality, tokens, urlfilter
 from answerloom.llm.common import held_out, table
 
 
@@ -17,6 +17,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the rules; see ``urlfilter``."""
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rules_table(spark)).drop("url")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and compression bands over every document; see ``compression``."""
     return compression.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -29,10 +34,26 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that share 90 % of their three-word shingles; see ``jaccard``."""
+    return jaccard.similarity_groups(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, num=9, den=10)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token count; see ``tokens``."""
     return tokens.count(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_quality_rules, op7_language_id, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, by its words, in bins of 512 to 4096; see ``packing``."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing.n_words(F.col("text")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_url_filters, op6_quality_rules, op7_language_id, op8_ngram_jaccard_join,
+        op9_token_counts, op10_best_fit_packing,
+    )
+}
+ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.ORACLE}
