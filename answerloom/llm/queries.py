@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import compression, jaccard, langid, packing, quality, tokens, urlfilter
+from answerloom.llm import compression, decontaminate, jaccard, langid, packing, quality, tokens, urlfilter
 from answerloom.llm.common import held_out, table
 
 
@@ -22,6 +22,11 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rules_table(spark)).drop("url")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item; see ``decontaminate``."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and compression bands over every document; see ``compression``."""
     return compression.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -52,8 +57,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_url_filters, op6_quality_rules, op7_language_id, op8_ngram_jaccard_join,
+        op1_quality_classifier, op2_url_filters, op3_benchmark_decontamination, op6_quality_rules, op7_language_id, op8_ngram_jaccard_join,
         op9_token_counts, op10_best_fit_packing,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE}
