@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import compression, decontaminate, jaccard, langid, packing, quality, tokens, urlfilter
+from answerloom.llm import chat, compression, decontaminate, jaccard, langid, packing, quality, tokens, urlfilter, warc
 from answerloom.llm.common import held_out, table
 
 
@@ -27,6 +27,21 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, its exchanges read as calls of a tool and their results; see ``chat``."""
+    return chat.format_chat(chat.as_tool_use(table(spark, sf_dir, "conversations")), chat.TOOLS)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and assembled from them again; see ``warc``."""
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(
+        F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
+        F.col("refers_to.page_id").alias("refers_to"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and compression bands over every document; see ``compression``."""
     return compression.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -57,8 +72,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_classifier, op2_url_filters, op3_benchmark_decontamination, op6_quality_rules, op7_language_id, op8_ngram_jaccard_join,
-        op9_token_counts, op10_best_fit_packing,
+        op1_quality_classifier, op2_url_filters, op3_benchmark_decontamination, op4_chat_formatting, op5_warc,
+        op6_quality_rules, op7_language_id, op8_ngram_jaccard_join, op9_token_counts, op10_best_fit_packing,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op5_warc": warc.ORACLE}
