@@ -6,8 +6,8 @@ points. The distance of a document to a language adds up, over the document's pr
 its place in the language's profile; an n-gram missing there counts ``size``. The least distance wins, ties go to the
 language that sorts first. ``score`` is one minus that distance over the largest possible one.
 
-Language profiles are counted in Spark over at most ``per_language`` labelled documents of each language (those of the
-smallest id hashes); prediction is one pass over whole texts without a shuffle.
+Language profiles are counted in Spark over about ``per_language`` labelled documents of each language, chosen by a hash
+of their ids (all of a language that has fewer); prediction is one pass over whole texts without a shuffle.
 
 Edge cases: a null text, an empty one, and one without any letter get ``und`` and score 0; so does every text when
 nothing was learnt. Rows are judged independently, so ties and repeats get equal results. Rows without a language
@@ -103,14 +103,10 @@ def fit(documents: DataFrame, per_language: int = 500, size: int = SIZE) -> Prof
 
     The driver receives ``size`` n-grams for each language.
     """
-    of = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("lang", "doc_id").withColumn("k", F.row_number().over(of)).where(F.col("k") <= per_language)
-        .select("lang", "doc_id").distinct()
-    )
-    chosen = materialize(chosen)  # per_language ids for each language: Spark broadcasts them by their true size
-    texts = documents.select("lang", "doc_id", "text").join(chosen, ["lang", "doc_id"]).select("lang", "text")
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    # one number for each language: its share of rows to take, so that about `per_language` of each are chosen by hash
+    shares = materialize(usable.groupBy("lang").agg((F.lit(per_language * 1e6) / F.count("*")).alias("_share")))
+    texts = usable.select("lang", "doc_id", "text").join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share")).select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
