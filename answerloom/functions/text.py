@@ -91,7 +91,7 @@ def remove_suffix(x: Column, suffix: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """A number with so many decimals, its exact value rounded half-even, without thousands separators."""
-    return F.format_number(x, "0" + ("." + "0" * digits if digits else ""))
+    return F.call_function("format_number", x, F.lit("0" + ("." + "0" * digits if digits else "")))
 
 
 def signed(x: Column, digits: int) -> Column:
