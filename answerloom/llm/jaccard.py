@@ -13,8 +13,8 @@ hash collisions; no partner, candidate or group is capped.
    Prefix shingles are grouped; those of one class only, and classes with less than LEVEL of the rest, go.
 4. *First links.* Every class is compared to one other: that which leads (has the least number in) most of its
    shingles' groups. In a family of near copies this links nearly all of them, without forming its pairs.
-5. *The rest.* Only pairs of classes that share LEVEL prefix shingles, whose sizes and positions permit a link, and
-   that step 4 has not connected already, are compared as well.
+5. *The rest.* Only pairs of classes that share LEVEL prefix shingles, whose sizes permit a link, and that step 4 has
+   not connected already, are compared as well.
 6. *Components* of all links.
 
 Comparing (4, 5) is the tree join. The sets to compare with one set are laid out as a trie: as sequences in global
@@ -32,6 +32,7 @@ component; a class without any id links with nothing, and its ``component_id`` i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -65,6 +66,11 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(h)
 
 
+def node_of(own: np.ndarray) -> int | None:
+    """A set's number, as a signed 64-bit integer; none for the empty set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if len(own) else None
+
+
 class Order:
     """The global order: shingles with their sampled frequencies, all others zero."""
 
@@ -102,23 +108,20 @@ def can_link(n: Column, m: Column, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n, m) > 0)
 
 
-def compared(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the ``pairs`` (a, b) that link, by walking b's tree with a's set; ``sets``: (node, n, set)."""
-    of_b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set"))
-    sizes = pairs.join(of_b.select("b", "n_b"), "b").groupBy("a").agg(F.sum("n_b").alias("total"))
-    parts = materialize(sizes.select("a", F.ceil(F.col("total") / PART).cast("int").alias("parts")))
-    members = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")).join(of_b, "b")
-    probes = (
-        parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .join(sets.select(F.col("node").alias("a"), "n", "set"), "a").select("a", "part", F.col("a").alias("b"), F.col("n").alias("n_b"), "set")
-    )
-    rows = members.select("a", "part", "b", "n_b", "set").unionByName(probes)
-    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part")
+def in_parts(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, n_b) with ``part``: so many for each a that one part's sets have about PART shingles."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / PART).cast("int").alias("parts"))
+    return pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+
+
+def compared(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of those sets that link to their part's probe; ``rows``: (a, part, b, set), the probe as its own b."""
+    dealt = rows.select("a", "part", "b", "set").repartition("a", "part").sortWithinPartitions("a", "part")
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((a, part, b, s) for batch in batches for a, part, b, s in zip(batch["a"], batch["part"], batch["b"], batch["set"], strict=True))
+        each = (r for batch in batches for r in zip(batch["a"], batch["part"], batch["b"], batch["set"], strict=True))
         found: list[tuple[int, int]] = []
-        for (a, _), group in groupby(rows, key=lambda r: r[:2]):
+        for (a, _), group in groupby(each, key=lambda r: r[:2]):
             own = {b: np.asarray(s, np.int64) for _, _, b, s in group}
             probe = own.pop(a)
             found += [(a, b) for b in linked(probe, own, num, den)]
@@ -127,7 +130,7 @@ def compared(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, d
                 found = []
         yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return dealt.select("a", "part", "b", "set").mapInPandas(walked, "a long, b long")
+    return dealt.mapInPandas(walked, "a long, b long")
 
 
 def linked(probe: np.ndarray, sets: dict[int, np.ndarray], num: int, den: int, step: int = 256) -> list[int]:
@@ -169,7 +172,7 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
             for text in batch["text"]:
                 own = shingles(text, k)
                 n = len(own)
-                node = int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if n else None
+                node = node_of(own)
                 head = None
                 # a set so small that nothing but an equal one can link needs no prefix; a class needs one in each task
                 if n and (num * n <= den * (n - 1) or num * (n + 1) <= den * n) and node not in seen:
@@ -182,62 +185,78 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
 
     rows = materialize(documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(prefixes, "doc_id long, n int, node long, head array<long>"))
     classes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n")))
+    sizes = classes.select("node", "n")
 
-    # prefix shingles that several classes have
-    posted = rows.where("head is not null").select("node", "n", F.posexplode("head").alias("pos", "token"))
+    # prefix shingles that several classes have, and classes with enough of them
+    posted = rows.where("head is not null").select("node", "head").dropDuplicates(["node"]).select("node", F.explode("head").alias("token"))
     of_token = Window.partitionBy("token")
-    led = posted.withColumn("lead", F.min(F.struct("node", "n")).over(of_token)).withColumn("last", F.max("node").over(of_token))
-    common = led.where("lead.node != last").select("token", "node", "n", "pos", F.col("lead.node").alias("lead"), F.col("lead.n").alias("n_lead"))
-    common = materialize(common)
-    enough = common.groupBy("node").agg(F.countDistinct("token").alias("c")).where(F.col("c") >= level).select("node")
-    enough = materialize(enough)
-    sets = sets_of(documents, order, enough, classes, rows, k)
-
-    # a class and the leader of most of its shingles
-    stars = (
-        common.where((F.col("node") != F.col("lead")) & can_link(F.col("n"), F.col("n_lead"), num, den))
-        .groupBy("node", "lead").agg(F.count("*").alias("c"))
-        .groupBy("node").agg(F.max_by("lead", F.struct("c", "lead")).alias("lead"))
-        .join(enough, "node", "left_semi").join(enough.withColumnRenamed("node", "lead"), "lead", "left_semi")
-    )
-    first = materialize(compared(spark, materialize(stars.select(F.col("lead").alias("a"), F.col("node").alias("b"))), sets, num, den))
+    led = posted.withColumn("lead", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token))
+    common = materialize(led.where("lead != last").drop("last"))
+    enough = materialize(common.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= level).select("node"))
+
+    # each class with the one that leads most of its shingles' groups, if their sizes permit a link
+    led_by = common.where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c")).join(enough, "node", "left_semi")
+    sized = led_by.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("n_lead")), "lead")
+    stars = sized.where(can_link(F.col("n"), F.col("n_lead"), num, den)).groupBy("node").agg(F.max_by(F.struct("lead", "n"), F.struct("c", "lead")).alias("s"))
+    stars = materialize(in_parts(stars.select(F.col("s.lead").alias("a"), F.col("node").alias("b"), F.col("s.n").alias("n_b"))))
+    probes = stars.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")
+    tasks = stars.unionByName(probes).groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", "part")).alias("tasks"))
+    wanted = enough.join(tasks, "node", "full").join(classes, "node").select(F.col("least_id").alias("doc_id"), F.col("node").alias("want"), "tasks")
+    sets = sets_of(documents, order, materialize(wanted), k)
+    first_rows = sets.select(F.col("node").alias("b"), "set", F.explode("tasks").alias("t")).select("t.a", "t.part", "b", "set")
+    first = materialize(compared(first_rows, num, den))
     roots = connected_components(first)
 
     # pairs that share enough and are not connected yet
-    rooted = (
-        common.join(enough, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .select("token", "node", "n", "pos", "root").distinct()
-    )
-    mixed = materialize(rooted)
+    mixed = common.select("token", "node").join(enough, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = materialize(mixed)
     several = mixed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    mixed = materialize(mixed.join(several, "token", "left_semi"))
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root")]) for s in "xy")
-    need = F.ceil(num * (F.col("n_x") + F.col("n_y")) / (num + den))
-    # of LEVEL shared shingles this may be the last: so many come before it, and the rest after it, at most
-    reach = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    rest = (
-        x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & can_link(F.col("n_x"), F.col("n_y"), num, den) & (reach >= need))
-        .groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("c")).where(F.col("c") >= level).select("a", "b")
-    )
-    rest = materialize(rest)
-    second = materialize(compared(spark, rest, sets, num, den))
-    groups = connected_components(first.unionByName(second))
+    mixed = materialize(mixed.join(several, "token", "left_semi").join(sizes, "node"))
+    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "xy")
+    met = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & can_link(F.col("n_x"), F.col("n_y"), num, den))
+    rest = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_y").alias("n_b")).agg(F.count("*").alias("c")).where(F.col("c") >= level)
+    rest = materialize(in_parts(rest.select("a", "b", "n_b")))
+    by_b = sets.select(F.col("node").alias("b"), "set")
+    second_rows = rest.unionByName(rest.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")).join(by_b, "b")
+    second = materialize(compared(second_rows, num, den))
+    groups = connected_components(first.unionByName(second)) if not second.isEmpty() else roots
     named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = materialize(named.select("node", "root").join(least, "root").select("node", "component_id"))
-    return rows.select("doc_id", "n", "node").join(component, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    whole = rows.select("doc_id", "n", "node").join(component, "node", "left")
+    return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def sets_of(documents: DataFrame, order, wanted: DataFrame, classes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(node, n, set) of the wanted classes, the set most frequent shingle first; one document of each is read again."""
-    ids = classes.join(wanted, "node", "left_semi").select(F.col("least_id").alias("doc_id"), F.col("node").alias("want"))
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(materialize(ids).hint("shuffle_hash"), "doc_id")
+@contextmanager
+def bloom_filters(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark filter the large side of a join by a Bloom filter of the small one, however small the large one is."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sets_of(documents: DataFrame, order, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, set, tasks) of the wanted (doc_id, want, tasks), the set most frequent shingle first; one document of
+    each is read again."""
+    # the comparison is always true; it marks this side as one worth a filter
+    ids = wanted.where(F.col("doc_id") > F.lit(-(2**63)))
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(ids.hint("shuffle_hash"), "doc_id")
 
     def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [shingles(t, k) for t in batch["text"]]
-            nodes = [int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) for s in own]
+            nodes = [node_of(s) for s in own]
             keep = [i for i, (node, want) in enumerate(zip(nodes, batch["want"], strict=True)) if node == want]
-            yield pd.DataFrame({"node": [nodes[i] for i in keep], "n": [len(own[i]) for i in keep], "set": [order.value.rarest_first(own[i])[::-1].view(np.int64) for i in keep]})
-
-    return materialize(texts.select("text", "want").mapInPandas(ordered, "node long, n int, set array<long>").dropDuplicates(["node"]))
+            yield pd.DataFrame({
+                "node": pd.Series([nodes[i] for i in keep], dtype="int64"),
+                "set": [order.value.rarest_first(own[i])[::-1].view(np.int64) for i in keep],
+                "tasks": batch["tasks"].iloc[keep].tolist(),
+            })
+
+    schema = "node long, set array<long>, tasks array<struct<a: long, part: int>>"
+    with bloom_filters(documents.sparkSession):
+        return materialize(texts.select("text", "want", "tasks").mapInPandas(ordered, schema))
