@@ -32,7 +32,6 @@ component; a class without any id links with nothing, and its ``component_id`` i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
@@ -48,6 +47,8 @@ from answerloom.llm.components import connected_components
 LEVEL = 4
 #: Shingles that one part of a comparison holds at most (but for a single larger set).
 PART = 1_000_000
+#: Hash buckets of the filter before the second read of texts: at most so many numbers are broadcast.
+BUCKETS = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,24 +228,13 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-@contextmanager
-def bloom_filters(spark: SparkSession) -> Iterator[None]:
-    """Lets Spark filter the large side of a join by a Bloom filter of the small one, however small the large one is."""
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def sets_of(documents: DataFrame, order, wanted: DataFrame, k: int) -> DataFrame:
     """(node, set, tasks) of the wanted (doc_id, want, tasks), the set most frequent shingle first; one document of
     each is read again."""
-    # the comparison is always true; it marks this side as one worth a filter
-    ids = wanted.where(F.col("doc_id") > F.lit(-(2**63)))
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(ids.hint("shuffle_hash"), "doc_id")
+    # most other texts are kept out of the join by a filter on hashed ids; BUCKETS bounds what is broadcast
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("_bucket")
+    near = documents.select(F.col("doc_id").cast("long"), "text").select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "_bucket", "left_semi")
+    texts = near.drop("_bucket").join(wanted.hint("shuffle_hash"), "doc_id")
 
     def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -258,5 +248,4 @@ def sets_of(documents: DataFrame, order, wanted: DataFrame, k: int) -> DataFrame
             })
 
     schema = "node long, set array<long>, tasks array<struct<a: long, part: int>>"
-    with bloom_filters(documents.sparkSession):
-        return materialize(texts.select("text", "want", "tasks").mapInPandas(ordered, schema))
+    return materialize(texts.select("text", "want", "tasks").mapInPandas(ordered, schema))
