@@ -166,17 +166,17 @@ def data_uri(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", media.data_uri(content).alias("uri"))
 
 
-@query("SELECT vec_id, list_transform(range(0, len(embedding)), lambda i: CAST(round(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS BIGINT)) AS logprobs FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(range(0, len(embedding)), lambda i: CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS BIGINT)), ',') AS logprobs FROM embeddings")
 def token_logprob_lookup(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     ids = F.sequence(F.lit(0), F.size("embedding") - 1)
-    maps = F.transform("embedding", lambda e, i: F.create_map(i, F.round(e.cast("double") * 1000).cast("long"), i + 1, F.lit(0).cast("long")))
-    return rows.select("vec_id", ingest.token_logprobs(ids, maps).alias("logprobs"))
+    maps = F.transform("embedding", lambda e, i: F.create_map(i, F.floor(e.cast("double") * 1000), i + 1, F.lit(0).cast("long")))
+    return rows.select("vec_id", F.array_join(ingest.token_logprobs(ids, maps).cast("array<string>"), ",").alias("logprobs"))
 
 
 @query(
     f"""SELECT 'vqav2' AS dataset, 'cauldron-' || CAST(position AS VARCHAR) || '-' || CAST(j AS VARCHAR) AS qid, {duck.strip("split_part(text, chr(10), 1)")} AS question,
-  [lower(regexp_replace({duck.strip('reply')}, '\\.$', ''))] AS answers, '' AS answer_type
+  lower(regexp_replace({duck.strip('reply')}, '\\.$', '')) AS answers, '' AS answer_type
 FROM (SELECT conv_id AS position, turn AS j, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text, regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^\\x00-\\x7F]', '', 'g') AS reply, role FROM conversations) WHERE reply IS NOT NULL"""
 )
 def ingest_multi_qa(spark, sf_dir):
@@ -184,33 +184,33 @@ def ingest_multi_qa(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("turn", "t")))
     pairs = F.transform(F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda x, i: F.struct(x["t"].alias("user"), F.get(ordered, i + 1)["t"].alias("assistant")))
     rows = turns.groupBy(F.col("conv_id").alias("position")).agg(pairs.alias("texts")).withColumn("images", F.lit(None).cast("array<struct<bytes: binary, path: string>>"))
-    return ingest.from_multi_qa(rows).drop("image")
+    return ingest.from_multi_qa(rows).drop("image").withColumn("answers", F.array_join("answers", "|"))
 
 
-@query(f"WITH {PANELS} SELECT 'vqav2' AS dataset, CAST(key AS VARCHAR) AS qid, prediction AS question, golds AS answers, dataset AS answer_type FROM panels")
+@query(f"WITH {PANELS} SELECT 'vqav2' AS dataset, CAST(key AS VARCHAR) AS qid, prediction AS question, array_to_string(golds, '|') AS answers, dataset AS answer_type FROM panels")
 def ingest_annotators(spark, sf_dir):
     rows = panels(spark, sf_dir).select(F.col("key").alias("question_id"), F.lit(None).alias("image"), F.col("prediction").alias("question"), F.transform("golds", lambda g: F.struct(g.alias("answer"))).alias("answers"), F.col("dataset").alias("answer_type"))
-    return ingest.from_annotators(rows).drop("image")
+    return ingest.from_annotators(rows).drop("image").withColumn("answers", F.array_join("answers", "|"))
 
 
-@query("SELECT 'gqa' AS dataset, CAST(o_orderkey AS VARCHAR) AS qid, c_name AS image, o_orderstatus AS question, [o_orderpriority] AS answers, c_mktsegment AS answer_type FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("SELECT 'gqa' AS dataset, CAST(o_orderkey AS VARCHAR) AS qid, c_name AS image, o_orderstatus AS question, o_orderpriority AS answers, c_mktsegment AS answer_type FROM orders JOIN customer ON o_custkey = c_custkey")
 def ingest_instructions(spark, sf_dir):
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     types = customers.select(F.col("c_custkey").alias("imageId"), F.struct(F.col("c_mktsegment").alias("structural")).alias("types"))
     instructions = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("imageId"), F.col("o_orderstatus").alias("question"), F.col("o_orderpriority").alias("answer")).join(types, "imageId")
-    return ingest.from_instructions(instructions, customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("image")))
+    return ingest.from_instructions(instructions, customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("image"))).withColumn("answers", F.array_join("answers", "|"))
 
 
-@query(f"WITH {COMPLETIONS} SELECT 'clevr' AS dataset, 'test-' || CAST(conv_id * 100 + turn AS VARCHAR) AS qid, question, [{duck.lenient('raw')}] AS answers, 'number' AS answer_type FROM completions")
+@query(f"WITH {COMPLETIONS} SELECT 'clevr' AS dataset, 'test-' || CAST(conv_id * 100 + turn AS VARCHAR) AS qid, question, {duck.lenient('raw')} AS answers, 'number' AS answer_type FROM completions")
 def ingest_counting(spark, sf_dir):
     rows = completions(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("turn")).alias("position"), F.lit(None).alias("image"), F.col("question").alias("problem"), F.col("raw").alias("solution"))
-    return ingest.from_counting(rows, "test").drop("image")
+    return ingest.from_counting(rows, "test").drop("image").withColumn("answers", F.array_join("answers", "|"))
 
 
-@query(f"WITH {COMPLETIONS} SELECT 'textvqa' AS dataset, CAST(conv_id AS VARCHAR) AS qid, question, golds AS answers, '' AS answer_type FROM completions")
+@query(f"WITH {COMPLETIONS} SELECT 'textvqa' AS dataset, CAST(conv_id AS VARCHAR) AS qid, question, array_to_string(golds, '|') AS answers, '' AS answer_type FROM completions")
 def ingest_ocr(spark, sf_dir):
     rows = completions(spark, sf_dir).select(F.col("conv_id").alias("question_id"), F.lit(None).alias("image"), "question", F.col("golds").alias("answers"))
-    return ingest.from_ocr(rows).drop("image")
+    return ingest.from_ocr(rows).drop("image").withColumn("answers", F.array_join("answers", "|"))
 
 
 @query(f"WITH {COMPLETIONS} SELECT conv_id, turn, question || {duck.quoted(PROMPT_SHORT.removeprefix('{question}'))} AS prompt, golds[1] AS completion, question || {duck.quoted(PROMPT_REASONING.removeprefix('{question}'))} AS reasoning_prompt FROM completions")

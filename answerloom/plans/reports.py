@@ -95,8 +95,8 @@ def suffix_removal(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", remove_suffix(key, end).alias("run"))
 
 
-@query("SELECT event_id, list_filter(['{\"m\":\"' || event_type || '\"}', ''], lambda x: x <> '') AS frames FROM events")
+@query("SELECT event_id, '{\"m\":\"' || event_type || '\"}' AS frames FROM events")
 def sse_parse(spark, sf_dir):
     event = F.concat(F.lit('{"m":"'), F.col("event_type"), F.lit('"}'))
     body = F.concat(files.sse_encode(event), files.sse_encode(F.lit("[DONE]")))
-    return table(spark, sf_dir, "events").select("event_id", files.sse_frames(body).alias("frames"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(files.sse_frames(body), "|").alias("frames"))
