@@ -9,11 +9,13 @@ hash collisions; no partner, candidate or group is capped.
 2. *Global order.* Shingles are ordered by how often they occur in a sample of documents (those that occur less than
    three times there count zero), then by hash. Any order gives the same result; this one puts what many documents
    share last.
-3. *Shared prefixes.* If two sets link, their prefixes of ``n - ceil(t*n) + LEVEL`` shingles have LEVEL in common.
-   Prefix shingles are grouped; those of one class only, and classes with less than LEVEL of the rest, go.
+3. *Shared prefixes.* If two sets link, their prefixes of ``n - ceil(t*n) + s`` shingles have s in common, for any s
+   up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Prefix shingles are grouped; those of one class
+   only go, and so do classes that have less than s of the rest. So a passage that many documents share makes none of
+   them a candidate unless it is a third of the text or more.
 4. *First links.* Every class is compared to one other: that which leads (has the least number in) most of its
    shingles' groups. In a family of near copies this links nearly all of them, without forming its pairs.
-5. *The rest.* Only pairs of classes that share LEVEL prefix shingles, whose sizes permit a link, and that step 4 has
+5. *The rest.* Only pairs of classes that share s prefix shingles, whose sizes permit a link, and that step 4 has
    not connected already, are compared as well.
 6. *Components* of all links.
 
@@ -43,8 +45,9 @@ from pyspark.sql import functions as F
 from answerloom.llm.common import materialize
 from answerloom.llm.components import connected_components
 
-#: Shared prefix shingles that a pair of sets needs (fewer where the smallest sets that can link share fewer).
-LEVEL = 4
+#: Prefix shingles that linked sets are made to share: one in SHARE of the smaller set's, LEVEL at least (fewer where
+#: the smallest sets that can link share fewer).
+LEVEL, SHARE = 4, 16
 #: Shingles that one part of a comparison holds at most (but for a single larger set).
 PART = 1_000_000
 #: Hash buckets of the filter before the second read of texts: at most so many numbers are broadcast.
@@ -178,7 +181,7 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
                 # a set so small that nothing but an equal one can link needs no prefix; a class needs one in each task
                 if n and (num * n <= den * (n - 1) or num * (n + 1) <= den * n) and node not in seen:
                     seen.add(node)
-                    head = order.value.rarest_first(own)[: n - -(-num * n // den) + level].view(np.int64)
+                    head = order.value.rarest_first(own)[: n - -(-num * n // den) + max(level, n // SHARE)].view(np.int64)
                 nodes.append(node)
                 sizes.append(n)
                 heads.append(head)
@@ -187,16 +190,20 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     rows = materialize(documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(prefixes, "doc_id long, n int, node long, head array<long>"))
     classes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n")))
     sizes = classes.select("node", "n")
+    # what a pair must share, by its smaller set's size; of a set whose partner is unknown, by the smallest partner's
+    shared = lambda n: F.greatest(F.lit(level), F.floor(n / SHARE))
+    smallest = F.ceil(F.col("n") * num / den)
 
     # prefix shingles that several classes have, and classes with enough of them
     posted = rows.where("head is not null").select("node", "head").dropDuplicates(["node"]).select("node", F.explode("head").alias("token"))
     of_token = Window.partitionBy("token")
     led = posted.withColumn("lead", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token))
     common = materialize(led.where("lead != last").drop("last"))
-    enough = materialize(common.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= level).select("node"))
+    enough = common.groupBy("node").agg(F.count("*").alias("c")).join(sizes, "node").where(F.col("c") >= shared(smallest))
+    enough = materialize(enough.select("node"))
 
     # each class with the one that leads most of its shingles' groups, if their sizes permit a link
-    led_by = common.where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c")).join(enough, "node", "left_semi")
+    led_by = common.join(enough, "node", "left_semi").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
     sized = led_by.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("n_lead")), "lead")
     stars = sized.where(can_link(F.col("n"), F.col("n_lead"), num, den)).groupBy("node").agg(F.max_by(F.struct("lead", "n"), F.struct("c", "lead")).alias("s"))
     stars = materialize(in_parts(stars.select(F.col("s.lead").alias("a"), F.col("node").alias("b"), F.col("s.n").alias("n_b"))))
@@ -215,7 +222,8 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     mixed = materialize(mixed.join(several, "token", "left_semi").join(sizes, "node"))
     x, y = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "xy")
     met = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & can_link(F.col("n_x"), F.col("n_y"), num, den))
-    rest = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_y").alias("n_b")).agg(F.count("*").alias("c")).where(F.col("c") >= level)
+    counted = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_x").alias("n_a"), F.col("n_y").alias("n_b")).agg(F.count("*").alias("c"))
+    rest = counted.where(F.col("c") >= shared(F.least("n_a", "n_b")))
     rest = materialize(in_parts(rest.select("a", "b", "n_b")))
     by_b = sets.select(F.col("node").alias("b"), "set")
     second_rows = rest.unionByName(rest.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")).join(by_b, "b")

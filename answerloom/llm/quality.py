@@ -182,7 +182,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, vocabular
                 raw = TOKEN.findall(text)
                 counts.update(map(normal_form, raw))
                 counts[SAME] += sum(map(eq, raw[1:], raw))
-        yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
 
     often = (
         texts.select("text").mapInPandas(counted, "token string, n long")
@@ -198,8 +199,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, vocabular
         for batch in batches:
             for text in batch["text"]:
                 context_sums(token_ids(text, of), index, sums)
-        at = np.flatnonzero(sums.any(1))
-        yield pd.DataFrame({"id": at, "v": list(sums[at])})
+        if len(at := np.flatnonzero(sums.any(1))):
+            yield pd.DataFrame({"id": at, "v": list(sums[at])})
 
     summed = (
         texts.select("text").mapInPandas(contexts, "id int, v array<float>")

@@ -105,8 +105,8 @@ def frequent_lengths(documents: DataFrame, path: str, sample: int = 2_000, frequ
             for text in batch["text"]:
                 if text is not None:
                     counts.update(counter(path).pre_tokens(text) or ())
-        known = list(counts)
-        yield pd.DataFrame({"pre": known, "n": [counts[p] for p in known], "tokens": counter(path).library(known)})
+        if known := list(counts):
+            yield pd.DataFrame({"pre": known, "n": [counts[p] for p in known], "tokens": counter(path).library(known)})
 
     top = (
         texts.mapInPandas(counted, "pre string, n long, tokens int")
