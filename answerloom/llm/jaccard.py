@@ -204,6 +204,7 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
 
     # each class with the one that leads most of its shingles' groups, if their sizes permit a link
     led_by = common.join(enough, "node", "left_semi").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
+    led_by = led_by.join(enough.withColumnRenamed("node", "lead"), "lead", "left_semi")
     sized = led_by.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("n_lead")), "lead")
     stars = sized.where(can_link(F.col("n"), F.col("n_lead"), num, den)).groupBy("node").agg(F.max_by(F.struct("lead", "n"), F.struct("c", "lead")).alias("s"))
     stars = materialize(in_parts(stars.select(F.col("s.lead").alias("a"), F.col("node").alias("b"), F.col("s.n").alias("n_b"))))
