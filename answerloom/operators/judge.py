@@ -48,6 +48,21 @@ def verdict(content: Column) -> Column:
     return F.lower(strip(F.coalesce(text, F.lit("")))).startswith("yes")
 
 
+def needs_judge(base: Column, answer: Column) -> Column:
+    """Whether a completion goes to the judge: it has a non-empty strict answer, and the rules give it nothing."""
+    return F.coalesce((base == 0) & answer.isNotNull() & (answer != ""), F.lit(False))
+
+
+def batch_results(requests: DataFrame, results: DataFrame, prefix: int = 60) -> DataFrame:
+    """(key, verdict, cost_usd) of a batch's results (custom_id, result struct with type and message), matched to the
+    requests' keys by the prefix that a batch's ids keep; results that did not succeed are dropped."""
+    done = results.where(F.col("result.type") == "succeeded").withColumn("_id", F.col("custom_id"))
+    usage = F.col("result.message.usage")
+    return requests.withColumn("_id", F.substring("key", 1, prefix)).join(done, "_id").select(
+        "key", verdict(F.col("result.message.content")).alias("verdict"), cost(usage["input_tokens"], usage["output_tokens"], batch=True).alias("cost_usd")
+    )
+
+
 def spend(cache: DataFrame) -> DataFrame:
     return cache.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spend"))
 

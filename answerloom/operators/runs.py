@@ -117,3 +117,32 @@ def advantages(rewards: DataFrame, group: str) -> DataFrame:
     w = Window.partitionBy(group)
     spread = F.stddev_samp("reward").over(w)
     return rewards.withColumn("advantage", F.when(spread > 0, (F.col("reward") - F.avg("reward").over(w)) / spread).otherwise(0.0))
+
+
+def discover(runs: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The runs (run_id) that have a predictions file (file), named by the file's stem."""
+    stems = predictions.select(F.regexp_extract("file", r"([^/]+)\.jsonl$", 1).alias("run_id")).distinct()
+    return runs.join(stems, "run_id", "left_semi")
+
+
+def results_payload(results: DataFrame) -> DataFrame:
+    """(run, dataset, overall) as one JSON object for each run, in percent with one decimal, by data set in order."""
+    percent = F.struct("dataset", F.bround(F.col("overall") * 100, 1).alias("value"))
+    return results.groupBy("run").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(percent)))).alias("payload"))
+
+
+def blended(delta: Column, most: Column, low: tuple[int, int, int], mid: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
+    """A diverging colour: from ``mid`` towards ``high`` or ``low`` by the delta's share of the largest."""
+    share = F.least(F.abs(delta) / F.greatest(most, F.lit(1e-9)), F.lit(1.0))
+    channel = lambda k: F.round(F.lit(mid[k]) + F.when(delta >= 0, F.lit(high[k] - mid[k])).otherwise(F.lit(low[k] - mid[k])) * share).cast("int")
+    return F.format_string("rgb(%d, %d, %d)", *[channel(k) for k in range(3)])
+
+
+def elapsed(started_ms: Column, finished_ms: Column) -> Column:
+    """Seconds with one decimal."""
+    return fixed((finished_ms - started_ms) / F.lit(1000.0), 1)
+
+
+def stamp(at: Column) -> Column:
+    """A UTC time as ISO-8601 text, to seconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssxxx")

@@ -40,3 +40,24 @@ def union_subsets(*subsets: DataFrame) -> DataFrame:
 def must_match(joined: DataFrame, column: str, what: str) -> DataFrame:
     """Fails the job when a left join left the column without a partner."""
     return joined.withColumn(column, F.when(F.col(column).isNull(), F.raise_error(F.lit(f"no {what}"))).otherwise(F.col(column)))
+
+
+def zip_strict(left: DataFrame, right: DataFrame, position: str = "position") -> DataFrame:
+    """Two tables side by side by position; fails the job where one lacks a position that the other has."""
+    a, b = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))
+    both = a.join(b, position, "full")
+    checked = F.when(F.col("_l").isNull() | F.col("_r").isNull(), F.raise_error(F.lit("the tables differ in length"))).otherwise(F.col(position))
+    return both.withColumn(position, checked).drop("_l", "_r")
+
+
+def with_override(presets: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """Presets with the non-null values of overrides in place of their own; ``overrides`` has columns of ``presets``."""
+    others = [c for c in overrides.columns if c != key]
+    renamed = overrides.select(key, *[F.col(c).alias(f"_{c}") for c in others])
+    joined = presets.join(renamed, key, "left")
+    return joined.select(*[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in others else F.col(c) for c in presets.columns])
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with a flag: whether their key is among ``keys``."""
+    return rows.join(keys.select(key).distinct().withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

@@ -100,3 +100,43 @@ def sse_parse(spark, sf_dir):
     event = F.concat(F.lit('{"m":"'), F.col("event_type"), F.lit('"}'))
     body = F.concat(files.sse_encode(event), files.sse_encode(F.lit("[DONE]")))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(files.sse_frames(body), "|").alias("frames"))
+
+
+@query("SELECT o_orderkey AS position, o_orderstatus AS left_value, o_orderpriority AS right_value FROM orders")
+def positional_zip(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "position")
+    return tables.zip_strict(orders.select("position", F.col("o_orderstatus").alias("left_value")), orders.select("position", F.col("o_orderpriority").alias("right_value")))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'override' ELSE s_name END AS s_name, s_nationkey FROM supplier")
+def preset_override(spark, sf_dir):
+    presets = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    overrides = presets.where("s_suppkey % 3 < 2").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "override").alias("s_name"))
+    return tables.with_override(presets, overrides, "s_suppkey")
+
+
+@query("SELECT n_nationkey, n_name, n_nationkey IN (SELECT s_nationkey FROM supplier) AS loaded FROM nation")
+def listing_with_flag(spark, sf_dir):
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
+    return tables.marked(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), keys, "n_nationkey", "loaded")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS run_id FROM documents WHERE doc_id % 3 = 0")
+def run_discovery(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("run_id"))
+    files_of = docs.where("CAST(run_id AS BIGINT) % 3 = 0").select(F.concat(F.lit("/preds/"), "run_id", F.lit(".jsonl")).alias("file"))
+    return runs.discover(docs, files_of)
+
+
+@query(f"""{DELTAS}, x AS (SELECT run, dataset, round_even(round_even(overall * 100, 1) - round_even(base * 100, 1), 1) AS d FROM d), y AS (SELECT *, least(abs(d) / greatest(max(abs(d)) OVER (), 1e-9), 1.0) AS s FROM x)
+SELECT run, dataset, 'rgb(' || CAST(CAST(round(255 + (CASE WHEN d >= 0 THEN -235 ELSE -55 END) * s) AS INT) AS VARCHAR) || ', ' || CAST(CAST(round(255 + (CASE WHEN d >= 0 THEN -105 ELSE -225 END) * s) AS INT) AS VARCHAR) || ', ' || CAST(CAST(round(255 + (CASE WHEN d >= 0 THEN -175 ELSE -215 END) * s) AS INT) AS VARCHAR) || ')' AS colour FROM y""")
+def delta_colour(spark, sf_dir):
+    rows = runs.deltas(run_results(spark, sf_dir), "run0")
+    # a report's few cells: the largest of all is one aggregate, joined to every row
+    most = rows.agg(F.max(F.abs("rounded_delta")).alias("most"))
+    return rows.join(F.broadcast(most)).select("run", "dataset", runs.blended(F.col("rounded_delta"), F.col("most"), (200, 30, 40), (255, 255, 255), (20, 150, 80)).alias("colour"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stamp FROM events")
+def iso_timestamps(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", runs.stamp(F.col("ts")).alias("stamp"))

@@ -44,10 +44,10 @@ def judge_request(spark, sf_dir):
     return rows.select("conv_id", "turn", F.substring_index(content, "\nCandidate answer: ", 1).alias("head"), F.length("raw").cast("long").alias("n"))
 
 
-@query(f"{BASE} SELECT pos, i.key, c.verdict FROM items i LEFT JOIN cache c ON i.key = c.key")
+@query(f"{BASE} SELECT pos, i.key, coalesce(c.verdict, -1) AS verdict FROM items i LEFT JOIN cache c ON i.key = c.key")
 def judge_cache_lookup(spark, sf_dir):
     rows = items(spark, sf_dir)
-    return rows.join(cache(rows).select("key", "verdict"), "key", "left").select("pos", "key", "verdict")
+    return rows.join(cache(rows).select("key", "verdict"), "key", "left").select("pos", "key", F.coalesce("verdict", F.lit(-1)).alias("verdict"))
 
 
 @query(f"{BASE} SELECT min(pos) AS pos, key FROM items WHERE key NOT IN (SELECT key FROM cache) GROUP BY key")
@@ -121,3 +121,16 @@ def upsert_latest(spark, sf_dir):
     old = table(spark, sf_dir, "labels").select("doc_id", "quality")
     touched = old.where("doc_id % 4 = 0").select("doc_id", F.lit(9).alias("quality"))
     return tables.upsert(old, touched.unionByName(touched.withColumn("doc_id", -1 - F.col("doc_id"))), ["doc_id"])
+
+
+@query(
+    f"""{BASE}, r AS (SELECT DISTINCT key FROM items WHERE pos % 2 = 0)
+SELECT key, ascii(substr(key, 1, 1)) % 2 = 0 AS verdict, round((100 * 1.0 + 2 * 5.0) / 1e6 * 0.5, 9)::DOUBLE AS cost_usd FROM r WHERE ascii(substr(key, 2, 1)) % 5 > 0"""
+)
+def judge_batch_results(spark, sf_dir):
+    requests = items(spark, sf_dir).where("pos % 2 = 0").select("key").distinct()
+    reply = F.when(F.ascii("key") % 2 == 0, " YES.").otherwise("no")
+    message = F.struct(F.array(F.struct(F.lit("text").alias("type"), reply.alias("text"))).alias("content"), F.struct(F.lit(100).alias("input_tokens"), F.lit(2).alias("output_tokens")).alias("usage"))
+    kind = F.when(F.ascii(F.substring("key", 2, 1)) % 5 > 0, "succeeded").otherwise("errored")
+    results = requests.select(F.substring("key", 1, 60).alias("custom_id"), F.struct(kind.alias("type"), message.alias("message")).alias("result"))
+    return judge.batch_results(requests, results).withColumn("cost_usd", F.round("cost_usd", 9))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom import schemas
 from answerloom.functions.text import fixed
+from answerloom.operators.tables import upsert
 
 
 def read_table(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -70,3 +72,26 @@ def sse_frames(x: Column) -> Column:
 
 def sse_encode(event: Column) -> Column:
     return F.concat(F.lit("data: "), event, F.lit("\n\n"))
+
+
+def markdown_head(label: str, names: list[str]) -> str:
+    return "| " + " | ".join([label, *names]) + " |\n" + "|---" * (len(names) + 1) + "|"
+
+
+def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A manifest (subset, n, sha) with rebuilt subsets in place of their old entries."""
+    return upsert(old, new, ["subset"])
+
+
+def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """The judge's cache: a Parquet table keyed by ``key``; an absent one is empty."""
+    try:
+        return spark.read.schema(schemas.JUDGMENTS).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schemas.JUDGMENTS)
+
+
+def add_verdicts(new: DataFrame, path: str) -> None:
+    """Append verdicts of keys that the table doesn't hold; so it never rewrites what it has."""
+    spark = new.sparkSession
+    new.join(read_verdicts(spark, path).select("key"), "key", "left_anti").select("key", "verdict", "cost_usd", "created").write.mode("append").parquet(path)

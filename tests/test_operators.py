@@ -170,3 +170,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert seen == {r.model: (r.text, r.done) for r in tokens.texts(spark.createDataFrame(events, schema)).collect()}
     done = spark.createDataFrame([(m, d) for m, (_, d) in seen.items()], "model string, done boolean")
     assert tokens.all_done(done, 3).first().all_done and not tokens.all_done(done, 4).first().all_done
+
+
+def test_strict_zip_and_verdict_table(spark, tmp_path):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "position int, l string")
+    b = spark.createDataFrame([(0, "p")], "position int, r string")
+    with pytest.raises(Exception, match="differ in length"):
+        tables.zip_strict(a, b).collect()
+    path = str(tmp_path / "verdicts")
+    assert files.read_verdicts(spark, path).count() == 0
+    new = spark.createDataFrame([("k", 1, 0.5, 0.0)], "key string, verdict int, cost_usd double, created double")
+    files.add_verdicts(new, path)
+    files.add_verdicts(new.unionByName(spark.createDataFrame([("j", 0, 0.25, 0.0)], new.schema)), path)
+    assert judge.spend(files.read_verdicts(spark, path)).first()[0] == 0.75
+    assert files.markdown_head("Model", ["A"]) == "| Model | A |\n|---|---|"
+
+
+def test_colours_and_times(spark):
+    row = spark.range(1).select(runs.blended(F.lit(-1.0), F.lit(2.0), (200, 30, 40), (255, 255, 255), (0, 0, 0)).alias("c"), runs.elapsed(F.lit(1000), F.lit(2540)).alias("t")).first()
+    assert row.c == "rgb(228, 143, 148)" and row.t == "1.5"
