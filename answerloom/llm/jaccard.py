@@ -13,17 +13,17 @@ hash collisions; no partner, candidate or group is capped.
    up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Prefix shingles are grouped; those of one class
    only go, and so do classes that have less than s of the rest. So a passage that many documents share makes none of
    them a candidate unless it is a third of the text or more.
-4. *First links.* Every class is compared to one other: that which leads (has the least number in) most of its
-   shingles' groups. In a family of near copies this links nearly all of them, without forming its pairs.
-5. *The rest.* Only pairs of classes that share s prefix shingles, whose sizes permit a link, and that step 4 has
-   not connected already, are compared as well.
+4. *Blocks.* A shingle's block is named by the least class in its group. A class enters the blocks of its shingles, but
+   for the smallest of them as long as those hold less than half of s: two linked classes still meet in one block.
+5. *Walks.* A block's sets are stored in a trie and walked with one set after the other until all that is not in the
+   block's largest component has been walked. A family of near copies thus takes a few walks, and only links that join
+   components are put out, never a family's pairs. A block of more than PART shingles is dealt into parts that share one
+   reference set; what a part leaves outside of the reference's component is then walked through the other parts.
 6. *Components* of all links.
 
-Comparing (4, 5) is the tree join. The sets to compare with one set are laid out as a trie: as sequences in global
-order, most frequent shingle first, sorted, each with the length of the path that it shares with the one before. A
-walk along them takes over the overlap counted on the shared path, and leaves a subtree as soon as the overlap so far
-plus the most that the remaining lengths could add is too small. A set with very many partners is split into parts of
-bounded size.
+The trie is laid out as sequences in global order, most frequent shingle first, sorted, each with the length of the path
+that it shares with the one before. A walk takes over the overlap counted on the shared path, and leaves a subtree as soon
+as the overlap so far plus the most that the remaining lengths could add is too small.
 
 Edge cases: documents without words (null, empty, blank) have an empty set and link with nothing, so are their own
 component; fewer words than ``k`` make one shingle. Repeated rows and ties are members of the same class. A row with a
@@ -33,13 +33,13 @@ component; a class without any id links with nothing, and its ``component_id`` i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.llm.common import materialize
@@ -48,8 +48,8 @@ from answerloom.llm.components import connected_components
 #: Prefix shingles that linked sets are made to share: one in SHARE of the smaller set's, LEVEL at least (fewer where
 #: the smallest sets that can link share fewer).
 LEVEL, SHARE = 4, 16
-#: Shingles that one part of a comparison holds at most (but for a single larger set).
-PART = 1_000_000
+#: Shingles that a part of a block has, about: its trie is held in memory.
+PART = 2_000_000
 #: Hash buckets of the filter before the second read of texts: at most so many numbers are broadcast.
 BUCKETS = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -108,59 +108,151 @@ def fit_order(documents: DataFrame, k: int, sample: int = 6_000, most: int = 200
     return Order(top["h"].to_numpy().view(np.uint64), top["n"].to_numpy())
 
 
-def can_link(n: Column, m: Column, num: int, den: int) -> Column:
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n, m) > 0)
+class Trie:
+    """A block's sets (in global order, most frequent first) as a trie that can be walked with any set."""
+
+    def __init__(self, sets: dict[int, np.ndarray]):
+        self.keys = sorted(sets, key=lambda k: sets[k].astype(">i8").tobytes())
+        self.known, flat = np.unique(np.concatenate([sets[k] for k in self.keys]), return_inverse=True)
+        self.paths = dict(zip(self.keys, np.split(flat, np.cumsum([len(sets[k]) for k in self.keys])[:-1]), strict=True))
+        self.common = np.bincount(flat) > 1
+        self.depths = []  # of the node where a sequence leaves the one before it
+        before = flat[:0]
+        for k in self.keys:
+            own, m = self.paths[k], min(len(before), len(self.paths[k]))
+            differ = np.flatnonzero(before[:m] != own[:m])
+            self.depths.append(int(differ[0]) if len(differ) else m)
+            before = own
+        self.overlap = np.zeros(max(map(len, self.paths.values())) + 1, np.int64)
+        self.mark = np.zeros(len(self.known), bool)
+
+    def central_first(self) -> list[int]:
+        """The keys by the share of their shingles that others in the block have, too."""
+        return sorted(self.keys, key=lambda k: (-self.common[self.paths[k]].mean(), k))
+
+    def local(self, probe: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, probe), len(self.known) - 1)
+        return at[self.known[at] == probe]
+
+    def walk(self, probe: np.ndarray, size: int, num: int, den: int, step: int = 512) -> list[int]:
+        """The keys of the sets that link to a probe of ``size`` shingles, of which ``probe`` are the trie's."""
+        mark, overlap, counted, out = self.mark, self.overlap, 0, []
+        mark[probe] = True
+        for key, depth in zip(self.keys, self.depths, strict=True):
+            own = self.paths[key]
+            n, at = len(own), min(depth, counted)
+            need = -(-num * (size + n) // (num + den))
+            # the bound by the remaining lengths, at the node where this branch begins and then every `step` nodes
+            while at < n and overlap[at] + min(n - at, size - overlap[at]) >= need:
+                more = mark[own[at : at + step]]
+                overlap[at + 1 : at + 1 + len(more)] = overlap[at] + np.cumsum(more)
+                at += len(more)
+            if at == n and overlap[at] >= need:
+                out.append(key)
+            counted = at
+        mark[probe] = False
+        return out
+
+
+class Union:
+    """Disjoint sets with the largest of them."""
+
+    def __init__(self, keys: Iterable[int]):
+        self.root = {k: k for k in keys}
+        self.size = dict.fromkeys(self.root, 1)
+        self.largest = next(iter(self.root))
+
+    def find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = k = self.root[self.root[k]]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        if self.size[a] < self.size[b]:
+            a, b = b, a
+        self.root[b] = a
+        self.size[a] += self.size[b]
+        if self.size[a] > self.size[self.find(self.largest)]:
+            self.largest = a
+        return True
+
+
+def spanning_links(sets: dict[int, np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], Union]:
+    """Links between ``sets`` that connect whatever all their links connect."""
+    trie, union, links = Trie(sets), Union(sets), []
+    left = trie.central_first()
+    while left:
+        skipped = []
+        for k in left:
+            if union.find(k) == union.find(union.largest) and union.size[union.find(k)] > 1:
+                skipped.append(k)  # walked later if another component outgrows its own
+                continue
+            links += [(k, x) for x in trie.walk(trie.paths[k], len(trie.paths[k]), num, den) if union.join(k, x)]
+        left = [k for k in skipped if union.find(k) != union.find(union.largest)]
+    return links, union
+
+
+def block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, lead, part): links within each part of a block; where a block has several parts, also a row with b null for
+    each class outside of the reference's component. ``rows``: (lead, part, parts, reference, node, set)."""
+    dealt = rows.repartition("lead", "part").sortWithinPartitions("lead", "part")
 
-
-def in_parts(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, n_b) with ``part``: so many for each a that one part's sets have about PART shingles."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / PART).cast("int").alias("parts"))
-    return pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-
-
-def compared(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of those sets that link to their part's probe; ``rows``: (a, part, b, set), the probe as its own b."""
-    dealt = rows.select("a", "part", "b", "set").repartition("a", "part").sortWithinPartitions("a", "part")
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (r for batch in batches for r in zip(*[batch[c] for c in ("lead", "part", "parts", "reference", "node", "set")], strict=True))
+        out: list[tuple] = []
+        for (lead, part, parts, reference), group in groupby(each, key=lambda r: r[:4]):
+            sets = {node: np.asarray(s, np.int64) for *_, node, s in group}
+            links, union = spanning_links(sets, num, den)
+            out += [(a, b, lead, part) for a, b in links]
+            if parts > 1:
+                out += [(k, None, lead, part) for k in sets if union.find(k) != union.find(reference)]
+            if len(out) > 10_000:
+                yield links_frame(out)
+                out = []
+        yield links_frame(out)
+
+    return dealt.select("lead", "part", "parts", "reference", "node", "set").mapInPandas(walked, "a long, b long, lead long, part int")
+
+
+def links_frame(rows: list[tuple]) -> pd.DataFrame:
+    a, b, lead, part = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "lead": pd.array(lead, "Int64"), "part": pd.array(part, "Int32")})
+
+
+def links_across(outside: DataFrame, places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links of the classes ``outside`` (a, lead, part) with the other parts of their block; ``places``: (node,
+    lead, part, parts). A part's trie is held, the outsiders pass by one at a time."""
+    held = places.join(outside.select("lead").distinct(), "lead", "left_semi").select("lead", "part", "node", F.lit(0).alias("role"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
+    passing = (
+        outside.select("lead", "part", F.col("a").alias("node")).distinct().join(places.select("lead", "parts").distinct(), "lead")
+        .select("lead", F.explode(others).alias("part"), "node", F.lit(1).alias("role"))
+    )
+    rows = held.unionByName(passing).join(sets.select("node", "set"), "node")
+    dealt = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "role")
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = (r for batch in batches for r in zip(batch["a"], batch["part"], batch["b"], batch["set"], strict=True))
-        found: list[tuple[int, int]] = []
-        for (a, _), group in groupby(each, key=lambda r: r[:2]):
-            own = {b: np.asarray(s, np.int64) for _, _, b, s in group}
-            probe = own.pop(a)
-            found += [(a, b) for b in linked(probe, own, num, den)]
-            if len(found) > 10_000:
-                yield pd.DataFrame(found, columns=["a", "b"])
-                found = []
-        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return dealt.mapInPandas(walked, "a long, b long")
-
-
-def linked(probe: np.ndarray, sets: dict[int, np.ndarray], num: int, den: int, step: int = 256) -> list[int]:
-    """Which of ``sets`` link to ``probe``: one walk along their trie (all in global order, most frequent first)."""
-    known, out = np.sort(probe), []
-    before: np.ndarray = probe[:0]
-    #: overlap[d]: how many of the first d shingles on the path the probe has; valid up to `counted`.
-    overlap, counted = np.zeros(1, np.int64), 0
-    for key, own in sorted(sets.items(), key=lambda x: x[1].astype(">i8").tobytes()):
-        m = min(len(before), len(own))
-        differ = np.flatnonzero(before[:m] != own[:m])
-        depth = min(int(differ[0]) if len(differ) else m, counted)
-        need = -(-num * (len(probe) + len(own)) // (num + den))
-        path = np.zeros(len(own) + 1, np.int64)
-        path[: depth + 1] = overlap[: depth + 1]
-        at = depth
-        # the bound by the remaining lengths, at the node where this branch begins and then every `step` nodes
-        while path[at] + min(len(own) - at, len(probe) - path[at]) >= need and at < len(own):
-            more = own[at : at + step]
-            where = np.minimum(np.searchsorted(known, more), len(known) - 1)
-            path[at + 1 : at + 1 + len(more)] = path[at] + np.cumsum(known[where] == more)
-            at += len(more)
-        if at == len(own) and path[at] >= need:
-            out.append(key)
-        before, overlap, counted = own, path, at
-    return out
+        each = (r for batch in batches for r in zip(*[batch[c] for c in ("lead", "part", "role", "node", "set")], strict=True))
+        for _, group in groupby(each, key=lambda r: r[:2]):
+            found: list[tuple[int, int]] = []
+            by_role = groupby(group, key=lambda r: r[2])
+            trie = None
+            for role, members in by_role:
+                if role == 0:
+                    trie = Trie({node: np.asarray(s, np.int64) for *_, node, s in members})
+                    union = Union(trie.keys)
+                elif trie is not None:
+                    for *_, node, s in members:
+                        union.root.setdefault(node, node)
+                        union.size.setdefault(node, 1)
+                        own = np.asarray(s, np.int64)
+                        found += [(node, x) for x in trie.walk(trie.local(own), len(own), num, den) if union.join(node, x)]
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.select("lead", "part", "role", "node", "set").mapInPandas(walked, "a long, b long")
 
 
 def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -202,34 +294,29 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     enough = common.groupBy("node").agg(F.count("*").alias("c")).join(sizes, "node").where(F.col("c") >= shared(smallest))
     enough = materialize(enough.select("node"))
 
-    # each class with the one that leads most of its shingles' groups, if their sizes permit a link
-    led_by = common.join(enough, "node", "left_semi").where("node != lead").groupBy("node", "lead").agg(F.count("*").alias("c"))
-    led_by = led_by.join(enough.withColumnRenamed("node", "lead"), "lead", "left_semi")
-    sized = led_by.join(sizes, "node").join(sizes.select(F.col("node").alias("lead"), F.col("n").alias("n_lead")), "lead")
-    stars = sized.where(can_link(F.col("n"), F.col("n_lead"), num, den)).groupBy("node").agg(F.max_by(F.struct("lead", "n"), F.struct("c", "lead")).alias("s"))
-    stars = materialize(in_parts(stars.select(F.col("s.lead").alias("a"), F.col("node").alias("b"), F.col("s.n").alias("n_b"))))
-    probes = stars.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")
-    tasks = stars.unionByName(probes).groupBy(F.col("b").alias("node")).agg(F.collect_list(F.struct("a", "part")).alias("tasks"))
-    wanted = enough.join(tasks, "node", "full").join(classes, "node").select(F.col("least_id").alias("doc_id"), F.col("node").alias("want"), "tasks")
+    # the blocks that a class enters: all of its shingles' but the smallest, while those hold less than half of `shared`
+    smaller = Window.partitionBy("node").orderBy("c", "lead").rowsBetween(Window.unboundedPreceding, 0)
+    entered = (
+        common.join(enough, "node", "left_semi").groupBy("node", "lead").agg(F.count("*").alias("c"))
+        .withColumn("dropped", F.sum("c").over(smaller)).join(sizes, "node").where(F.col("dropped") > F.floor((shared(smallest) - 1) / 2))
+    )
+    entered = materialize(entered.select("node", "lead", "n"))
+    blocks = entered.groupBy("lead").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / PART).cast("int").alias("parts"), F.min("node").alias("reference"))
+    blocks = materialize(blocks.where("c > 1").drop("c"))
+    of_block = entered.join(blocks, "lead")
+    places = of_block.where("node != reference or parts = 1").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts", "reference")
+    everywhere = blocks.where("parts > 1").select(F.col("reference").alias("node"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "reference")
+    places = materialize(places.unionByName(everywhere))
+    tasks = places.groupBy("node").agg(F.collect_list(F.struct("lead", "part", "parts", "reference")).alias("tasks"))
+    wanted = tasks.join(classes, "node").select(F.col("least_id").alias("doc_id"), F.col("node").alias("want"), "tasks")
     sets = sets_of(documents, order, materialize(wanted), k)
-    first_rows = sets.select(F.col("node").alias("b"), "set", F.explode("tasks").alias("t")).select("t.a", "t.part", "b", "set")
-    first = materialize(compared(first_rows, num, den))
-    roots = connected_components(first)
-
-    # pairs that share enough and are not connected yet
-    mixed = common.select("token", "node").join(enough, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = materialize(mixed)
-    several = mixed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    mixed = materialize(mixed.join(several, "token", "left_semi").join(sizes, "node"))
-    x, y = (mixed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "xy")
-    met = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & can_link(F.col("n_x"), F.col("n_y"), num, den))
-    counted = met.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_x").alias("n_a"), F.col("n_y").alias("n_b")).agg(F.count("*").alias("c"))
-    rest = counted.where(F.col("c") >= shared(F.least("n_a", "n_b")))
-    rest = materialize(in_parts(rest.select("a", "b", "n_b")))
-    by_b = sets.select(F.col("node").alias("b"), "set")
-    second_rows = rest.unionByName(rest.select("a", "part").distinct().select("a", F.col("a").alias("b"), "part")).join(by_b, "b")
-    second = materialize(compared(second_rows, num, den))
-    groups = connected_components(first.unionByName(second)) if not second.isEmpty() else roots
+    met = sets.select("node", "set", F.explode("tasks").alias("t")).select("t.*", "node", "set")
+    found = materialize(block_links(met, num, den))
+    links = found.where("b is not null").select("a", "b")
+    outside = found.where("b is null")
+    if not outside.isEmpty():
+        links = links.unionByName(links_across(outside, places, sets, num, den))
+    groups = connected_components(links)
     named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = materialize(named.select("node", "root").join(least, "root").select("node", "component_id"))
@@ -256,5 +343,5 @@ def sets_of(documents: DataFrame, order, wanted: DataFrame, k: int) -> DataFrame
                 "tasks": batch["tasks"].iloc[keep].tolist(),
             })
 
-    schema = "node long, set array<long>, tasks array<struct<a: long, part: int>>"
+    schema = "node long, set array<long>, tasks array<struct<lead: long, part: int, parts: int, reference: long>>"
     return materialize(texts.select("text", "want", "tasks").mapInPandas(ordered, schema))

@@ -8,6 +8,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,15 +168,36 @@ def test_jaccard_edges(spark, frame):
     assert jaccard.similarity_groups(spark, frame([], "doc_id long, text string")).count() == 0
 
 
-def test_tree_walk_finds_what_pairs_find(monkeypatch):
-    import numpy as np
-
+def test_walks_find_what_pairs_find():
     rng = random.Random(9)
-    sets = {i: np.array(sorted(rng.sample(range(60), rng.randint(30, 50)), key=lambda v: (-v % 7, v)), np.int64) for i in range(60)}
-    probe = sets[0]
-    for step in (1, 7, 256):
-        got = jaccard.linked(probe, sets, 1, 2, step)
-        assert sorted(got) == [i for i, s in sets.items() if 2 * len(set(s) & set(probe)) >= len(set(s) | set(probe))]
+    sets = {i: np.array(sorted(rng.sample(range(60), rng.randint(20, 50)), key=lambda v: (-v % 7, v)), np.int64) for i in range(80)}
+    trie = jaccard.Trie(sets)
+    for num, den in ((1, 2), (6, 10), (9, 10)):
+        similar = lambda a, b: den * len({*sets[a]} & {*sets[b]}) >= num * len({*sets[a]} | {*sets[b]})  # noqa: B023, E731
+        for step in (1, 7, 512):
+            for probe in (0, 5):
+                got = trie.walk(trie.local(sets[probe]), len(sets[probe]), num, den, step)
+                assert sorted(got) == [i for i in sets if similar(probe, i)]
+        links, union = jaccard.spanning_links(sets, num, den)
+        assert len(links) < len(sets) and all(similar(a, b) for a, b in links)
+        assert all(union.find(a) == union.find(b) for a in sets for b in sets if similar(a, b))
+
+
+@pytest.mark.parametrize("part", [200, 1_000])
+def test_blocks_in_parts(spark, frame, monkeypatch, part):
+    """Families much larger than a part, with outsiders, are still connected across the parts."""
+    monkeypatch.setattr(jaccard, "PART", part)
+    rng = random.Random(part)
+    texts = []
+    for _ in range(3):
+        base = [f"{rng.choice('abcdefgh')}{rng.randint(0, 99)}" for _ in range(60)]
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                copy[rng.randrange(60)] = f"n{rng.randint(0, 9)}"
+            texts.append(" ".join(copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_groups(spark, frame(list(enumerate(texts)), "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == groups(texts, 3, 9, 10)
 
 
 def test_components(spark, frame):
