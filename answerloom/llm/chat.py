@@ -100,19 +100,30 @@ def message(role: str | None, text: str | None, tools: dict[str, dict]) -> tuple
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, level) of those ``calls`` (conv_id, id, refs), unique by conversation and id, that settle."""
+    """(conv_id, id, level) of those ``calls`` (conv_id, id, refs), unique by conversation and id, that settle.
+
+    Every call has a base (the longest way known to a call without references) and edges to calls that it still waits
+    for, with the length of the way there. A round replaces each edge by the base and the edges of the call at its end,
+    so ways double in length: a chain of n calls takes log2(n) rounds.
+    """
     calls = materialize(calls)
-    refs = materialize(calls.select("conv_id", "id", F.explode("refs").alias("ref")))
-    settled = materialize(calls.where("size(refs) = 0").select("conv_id", "id", F.lit(0).alias("level")))
-    new = settled
-    waiting = refs
-    while not new.isEmpty() and not waiting.isEmpty():
-        of = settled.select("conv_id", F.col("id").alias("ref"), F.col("level").alias("of_level"))
-        met = waiting.join(of, ["conv_id", "ref"], "left").groupBy("conv_id", "id").agg(F.max("of_level").alias("most"), F.count("*").alias("n"), F.count("of_level").alias("known"))
-        new = materialize(met.where("n = known").select("conv_id", "id", (F.col("most") + 2).alias("level")))
-        settled = materialize(settled.unionByName(new))
-        waiting = materialize(waiting.join(new.select("conv_id", "id"), ["conv_id", "id"], "left_anti"))
-    return settled
+    nodes = calls.select("conv_id", "id", F.when(F.size("refs") == 0, F.lit(0)).cast("long").alias("base"))
+    edges = materialize(calls.select("conv_id", "id", F.explode(F.array_distinct("refs")).alias("ref"), F.lit(2).cast("long").alias("way")))
+    waiting = edges.select("conv_id", "id").distinct().count()
+    while waiting:
+        ends = nodes.select("conv_id", F.col("id").alias("ref"), F.col("base").alias("end_base"), F.lit(True).alias("known"))
+        on = edges.select("conv_id", F.col("id").alias("ref"), F.col("ref").alias("next"), F.col("way").alias("more"))
+        met = edges.join(ends, ["conv_id", "ref"], "left")
+        gained = met.groupBy("conv_id", "id").agg(F.max(F.col("way") + F.col("end_base")).alias("gain"))
+        nodes = materialize(nodes.join(gained, ["conv_id", "id"], "left").select("conv_id", "id", F.greatest("base", "gain").alias("base")))
+        kept = met.join(on, ["conv_id", "ref"], "left").where(F.col("next").isNotNull() | F.col("known").isNull())
+        edges = kept.select("conv_id", "id", F.coalesce("next", "ref").alias("ref"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"))
+        edges = materialize(edges.groupBy("conv_id", "id", "ref").agg(F.max("way").alias("way")))
+        before, waiting = waiting, edges.select("conv_id", "id").distinct().count()
+        if waiting == before:  # what is left is a cycle, or waits for one, or for a call that isn't there
+            break
+    unsettled = edges.select("conv_id", "id").distinct()
+    return nodes.join(unsettled, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.col("base").cast("int").alias("level"))
 
 
 def format_chat(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:

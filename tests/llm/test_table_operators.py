@@ -111,6 +111,17 @@ def test_chat(spark, frame):
     assert chat.format_chat(frame([], "conv_id long, turn long, role string, text string"), TOOLS).count() == 0
 
 
+def test_levels_are_longest_ways(spark, frame):
+    rng = random.Random(11)
+    refs = {f"c{i}": sorted({f"c{rng.randrange(max(0, i - 9), i)}" for _ in range(rng.randint(0, 3))}) if i else [] for i in range(60)}
+    refs |= {f"d{i}": [f"d{i - 1}"] if i else [] for i in range(300)} | {"x": ["y", "c3"], "y": ["x"], "z": ["x"], "u": ["nowhere", "c1"]}
+    level: dict[str, int] = {}
+    while new := {k: max([level[r] + 2 for r in v], default=0) for k, v in refs.items() if k not in level and all(r in level for r in v)}:
+        level |= new
+    got = {r.id: r.level for r in chat.levels(frame([(1, k, v) for k, v in refs.items()], "conv_id long, id string, refs array<string>")).collect()}
+    assert got == level
+
+
 def test_chat_query_links_every_exchange(spark):
     rows = q.op4_chat_formatting(spark, SF)
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
