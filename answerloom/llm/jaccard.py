@@ -12,7 +12,7 @@ hash collisions; no partner, candidate or group is capped.
 3. *Shared prefixes.* If two sets link, their prefixes of ``n - ceil(t*n) + s`` shingles have s in common, for any s
    up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Prefix shingles are grouped; those of one class
    only go, and so do classes that have less than s of the rest. So a passage that many documents share makes none of
-   them a candidate unless it is a third of the text or more.
+   them a candidate unless it is half of the text or so.
 4. *Blocks.* A shingle's block is named by the least class in its group. A class enters the blocks of its shingles, but
    for the smallest of them as long as those hold less than half of s: two linked classes still meet in one block.
 5. *Walks.* A block's sets are stored in a trie and walked with one set after the other until all that is not in the
@@ -47,7 +47,7 @@ from answerloom.llm.components import connected_components
 
 #: Prefix shingles that linked sets are made to share: one in SHARE of the smaller set's, LEVEL at least (fewer where
 #: the smallest sets that can link share fewer).
-LEVEL, SHARE = 4, 16
+LEVEL, SHARE = 4, 10
 #: Shingles that a part of a block has, about: its trie is held in memory.
 PART = 2_000_000
 #: Hash buckets of the filter before the second read of texts: at most so many numbers are broadcast.
