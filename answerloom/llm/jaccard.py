@@ -183,15 +183,17 @@ class Union:
 def spanning_links(sets: dict[int, np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], Union]:
     """Links between ``sets`` that connect whatever all their links connect."""
     trie, union, links = Trie(sets), Union(sets), []
-    left = trie.central_first()
+    left = unwalked = trie.central_first()
     while left:
-        skipped = []
+        walked = set()
         for k in left:
             if union.find(k) == union.find(union.largest) and union.size[union.find(k)] > 1:
-                skipped.append(k)  # walked later if another component outgrows its own
-                continue
+                continue  # walked later if another component outgrows its own
             links += [(k, x) for x in trie.walk(trie.paths[k], len(trie.paths[k]), num, den) if union.join(k, x)]
-        left = [k for k in skipped if union.find(k) != union.find(union.largest)]
+            walked.add(k)
+        # of all passes' unwalked: which component is the largest may change in any pass
+        unwalked = [k for k in unwalked if k not in walked]
+        left = [k for k in unwalked if union.find(k) != union.find(union.largest)]
     return links, union
 
 

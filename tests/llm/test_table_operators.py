@@ -194,6 +194,40 @@ def test_walks_find_what_pairs_find():
         assert all(union.find(a) == union.find(b) for a in sets for b in sets if similar(a, b))
 
 
+def spanned(monkeypatch, edges, order):
+    """The components that ``spanning_links`` finds in a graph whose nodes are walked in this order."""
+    near = {k: [b for e in edges for a, b in (e, e[::-1]) if a == k] for k in order}
+
+    class Graph:
+        def __init__(self, sets):
+            self.paths = {k: [k] for k in sets}
+
+        def central_first(self):
+            return list(order)
+
+        def walk(self, probe, size, num, den):
+            return [probe[0], *near[probe[0]]]
+
+    monkeypatch.setattr(jaccard, "Trie", Graph)
+    links, union = jaccard.spanning_links(dict.fromkeys(order), 9, 10)
+    assert len(links) < len(order) and all(b in near[a] for a, b in links)
+    return len({union.find(k) for k in order})
+
+
+def test_no_link_is_lost_when_the_largest_component_changes(monkeypatch):
+    edges = [("c1", "c2"), ("l", "z"), ("l", "y"), ("m1", "m2"), ("m1", "m3"), ("m1", "x"), ("c2", "z"), ("y", "x")]
+    assert spanned(monkeypatch, edges, ["c1", "c2", "l", "z", "y", "m1", "m2", "m3", "x"]) == 1
+
+
+def test_drift_chains_are_one_component_in_any_order_of_walks(monkeypatch):
+    rng = random.Random(3)
+    for n in [*range(2, 40)] * 20 + [500] * 5:
+        order = rng.sample(range(n), n)
+        assert spanned(monkeypatch, [(i, i + 1) for i in range(n - 1)], order) == 1
+        split = rng.randrange(n - 1)
+        assert spanned(monkeypatch, [(i, i + 1) for i in range(n - 1) if i != split], order) == 2
+
+
 @pytest.mark.parametrize("part", [200, 1_000])
 def test_blocks_in_parts(spark, frame, monkeypatch, part):
     """Families much larger than a part, with outsiders, are still connected across the parts."""
