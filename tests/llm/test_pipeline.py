@@ -70,3 +70,33 @@ def test_repeats_and_nulls_pass_through_deduplication(spark):
     rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", None, "s", None), (3, None, None, None, None), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3, 4]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(name, n=30):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_deduplication_is_by_row(spark):
+    """Null ids, and ids that stand on two texts, which are each the only ones, the least ones or copies."""
+    pairs = [
+        (None, words("a")), (None, words("a")), (None, words("b")), (9, words("b")),  # only null ids; a null id beside another
+        (1, words("c")), (1, words("d")), (2, words("c")), (2, words("d")),  # one id is the least of two groups
+        (5, words("c")), (5, words("e")),  # one text is a copy of a lesser id's, the other clean
+        (None, words("f") + " x"), (None, words("f") + " y"), (None, None), (7, ""), (7, " "),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in pairs], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len([t for _, t in kept if t and t.startswith("f0 ")]) == 1
+    clean = [(None, words("a")), (9, words("b")), (1, words("c")), (1, words("d")), (5, words("e")), (None, None), (7, ""), (7, " ")]
+    assert sorted(map(str, kept)) == sorted(map(str, clean + [x for x in kept if x[1] and x[1].startswith("f0 ")]))
+
+
+def test_decontamination_is_by_row(spark):
+    item = next(r.text for r in table(spark, SF, "benchmark").orderBy("item_id").collect() if len(r.text.split()) >= 12)
+    pairs = [(None, item), (None, words("a")), (1, item), (1, words("b")), (1, words("b")), (2, words("c")), (None, None), (3, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in pairs], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, docs, SF).collect()]
+    assert sorted(map(str, kept)) == sorted(str(p) for p in pairs if p[1] != item)
