@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.llm.common import held_out, materialize
@@ -30,6 +30,8 @@ UNKNOWN = "und"
 SPACE, BITS = 32, 21
 #: N-grams in a profile.
 SIZE = 300
+#: Of the bounds below which a text is in no learnt language: see ``bounds``.
+QUANTILE, SLACK, ENOUGH, LONGEST = 0.01, 0.6, 20, 12
 
 
 @functools.cache
@@ -98,15 +100,20 @@ class Profiles:
         return self.languages[best], 1 - float(distance[best]) / (self.size * len(own))
 
 
+def taught(documents: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text) of the labelled documents that profiles are learnt from."""
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    # one number for each language: its share of rows to take, so that about `per_language` of each are chosen by hash
+    shares = materialize(usable.groupBy("lang").agg((F.lit(per_language * 1e6) / F.count("*")).alias("_share")))
+    return usable.select("lang", "doc_id", "text").join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share")).select("lang", "text")
+
+
 def fit(documents: DataFrame, per_language: int = 500, size: int = SIZE) -> Profiles:
     """Profiles from labelled documents outside the held-out fold.
 
     The driver receives ``size`` n-grams for each language.
     """
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # one number for each language: its share of rows to take, so that about `per_language` of each are chosen by hash
-    shares = materialize(usable.groupBy("lang").agg((F.lit(per_language * 1e6) / F.count("*")).alias("_share")))
-    texts = usable.select("lang", "doc_id", "text").join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share")).select("lang", "text")
+    texts = taught(documents, per_language)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,3 +147,23 @@ def identify(spark: SparkSession, documents: DataFrame, profiles: Profiles) -> D
     kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
     out = documents.select(*[F.col(f"`{c}`") for c in kept], judged.asNondeterministic()("text").alias("_judged"))
     return out.select(*[F.col(f"`{c}`") for c in kept], "_judged.lang_pred", "_judged.score")
+
+
+def length_class(text: Column) -> Column:
+    """The binary logarithm of a text's length, LONGEST at most; 0 for texts without characters."""
+    return F.coalesce(F.least(F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))), F.lit(LONGEST)), F.lit(0)).cast("int")
+
+
+def bounds(spark: SparkSession, documents: DataFrame, profiles: Profiles, per_language: int = 500) -> DataFrame:
+    """(lang_pred, length_class, bound): the score below which a text is not taken for one of that language.
+
+    It is SLACK times the QUANTILE of the scores that the documents which taught the profiles have in their own
+    language: the lesser of that over all lengths and, where ENOUGH of them
+    are of the length class, over the class (long texts with much junk score far below other long ones).
+    """
+    judged = identify(spark, taught(documents, per_language), profiles).where("lang = lang_pred")
+    found = judged.rollup("lang_pred", length_class(F.col("text")).alias("k")).agg(F.percentile("score", QUANTILE).alias("q"), F.count("*").alias("n"))
+    # at most LONGEST + 2 numbers for each language
+    low = {(r["lang_pred"], r["k"]): r["q"] for r in found.where("lang_pred is not null").collect() if r["k"] is None or r["n"] >= ENOUGH}
+    rows = [(name, k, SLACK * min(q, low.get((name, k), q))) for (name, every), q in low.items() if every is None for k in range(LONGEST + 1)]
+    return spark.createDataFrame(rows, "lang_pred string, length_class int, bound double")

@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,19 @@ def test_decontamination_is_by_row(spark):
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in pairs], SCHEMA)
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, docs, SF).collect()]
     assert sorted(map(str, kept)) == sorted(str(p) for p in pairs if p[1] != item)
+
+
+def test_unlearnt_languages_and_letter_noise_go(spark):
+    """Planted texts go; what has letters stays, held-out documents included."""
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (12, 40, 300)]
+    unlearnt = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+        "watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri hivyo yapasa watendeane kindugu",
+    ]
+    planted = spark.createDataFrame([(-i, t, None, "s", 0) for i, t in enumerate(noise + unlearnt, 1)], SCHEMA)
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    docs = docs.unionByName(planted.select([F.col(c).cast(t) for c, t in docs.dtypes]))
+    kept = ids(corpus_pipeline.language_id(spark, docs, SF))
+    assert kept == {r.doc_id for r in docs.collect() if r.doc_id >= 0 and any(c.isalpha() for c in r.text or "")}
