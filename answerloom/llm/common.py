@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.sources.scratch import materialize, new_path, scope, shared_dir  # noqa: F401  used by the operators
+
 #: Labels are learnt only from rows whose crc32 of the id, modulo FOLDS, is not HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 
@@ -17,27 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+class Rows:
+    """The columns of a DataFrame that an operator passes through: all but those its outputs replace and those it drops.
 
-    Only where the cluster names none (tests, a local shell) is one made, once per session.
+    They travel as one struct ``row``, so no name that an operator uses for its own columns can clash with one of the
+    input, whatever its case; ``.unpacked`` puts them first again.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+    def __init__(self, df: DataFrame, outputs: Iterable[str] = (), drop: Iterable[str] = ()):
+        gone = {c.lower() for c in (*outputs, *drop)}
+        self.names = [c for c in df.columns if c.lower() not in gone]
+        self.row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in self.names] or [F.lit(None).cast("string").alias("none")]).alias("row")
 
-    It cuts the lineage, survives the loss of executors, and gives the optimizer true sizes,
-    by which it decides on broadcasts.
-    """
-    path = f"{shared_dir(df.sparkSession)}/answerloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def unpacked(self, df: DataFrame, *outputs: Column | str) -> DataFrame:
+        return df.select(*(["row.*"] if self.names else []), *outputs)
 
 
 def held_out(doc_id: Column) -> Column:

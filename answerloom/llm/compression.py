@@ -2,49 +2,70 @@
 
 A text's zstandard ratio is its UTF-8 size over its compressed size. Text that repeats itself compresses far better
 than prose, random or encoded text hardly at all; how well prose compresses depends on its length, so the limits do
-too. Each text is measured as a whole and in fixed chunks. It is rejected if the whole is outside its band, or if at
-least ``chunk_share`` of its bytes are in chunks outside theirs, which finds junk inside otherwise normal text.
+too. Each text is measured as a whole and in fixed chunks. It is rejected if the whole is outside the limits for its
+size, or if at least ``chunk_share`` of its bytes are in chunks outside the limits for theirs, which finds junk inside
+otherwise normal text. Every size has limits, a single byte too.
+
+*Limits* are learnt (``fit``) from all documents outside the held-out fold that a label calls good: for each size class
+(half a binary order of magnitude) and for wholes and chunks apart, the QUANTILE from either end of their ratios, and a
+MARGIN beyond. A class with less than ENOUGH of them takes the limits of the nearest class that has enough, both moved
+outwards by WIDEN for each class between. Where no class has enough, and without ``fit``, DEFAULT holds.
 
 Counts (contract): words are ``[^\\x20\\x09-\\x0D]+``; ``word_chars`` code points in words; ``n_symbols`` characters
 of ``#*$%&|<>``; ``n_dup_lines`` lines with a word that equal an earlier line; ``n_repeat_words`` words inside
 three-word windows that occur twice or more, the first occurrence included. ``base_failed``: fewer than 50 words, or
 more than half of the words repeated. ``kept``: neither failed nor rejected.
 
-One pass over whole texts, no shuffle. Edge cases: null and empty texts have zero counts, fail the base, and have no
-ratio (null); text below ``Bands.least`` bytes, too short for a ratio to mean anything, is not judged by bands.
-Repeated rows get equal results. Columns of the input named like the outputs are replaced.
+Texts are read once, whole, in one pass without a shuffle (``measure``), which leaves some numbers for each document;
+learning and deciding use only those. Edge cases: null and empty texts have zero counts, fail the base, and have no
+ratio (null). Repeated rows get equal results; ties at a limit are inside. Columns of the input named like the outputs
+are replaced, all others kept. Without documents or labels DEFAULT holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerloom.llm.common import Rows, held_out, materialize
+
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
-SCHEMA = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "ratio double, bad_chunk_share double, kept boolean"
-)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+OUTPUTS = (*COUNTS, "base_failed", "ratio", "bad_chunk_share", "kept")
+MEASURES = ", ".join(f"{c} long" for c in COUNTS) + ", n_bytes long, size_class int, tail_class int, ratio double, chunks array<double>"
+CHUNK, LEVEL = 4_096, 3
+#: Size classes: twice the binary logarithm of the bytes, rounded down.
+CLASSES = 64
+#: Of the learnt limits. Ratios are counted in steps of 1/STEPS, those over MOST as MOST.
+QUANTILE, MARGIN, ENOUGH, WIDEN, STEPS, MOST = 0.002, (0.03, 0.02), 20, 0.1, 200, 100
+#: Limits where nothing was learnt: from how many bytes they hold, least and largest ratio.
+DEFAULT = ((1, 0.0, 4.0), (256, 1.05, 4.0), (1_024, 1.15, 4.5), (4_096, 1.25, 5.5), (16_384, 1.35, 7.0), (65_536, 1.35, 9.0))
+
+
+def size_class(n: int) -> int:
+    octave = n.bit_length() - 1
+    return 2 * octave + (n * n >= 1 << (2 * octave + 1))
+
+
+def default_limits() -> list[tuple[float, float]]:
+    starts = [size_class(start) for start, _, _ in DEFAULT]
+    return [next((low, high) for start, (_, low, high) in zip(starts[::-1], DEFAULT[::-1], strict=True) if k >= start) for k in range(CLASSES)]
 
 
 @dataclass(frozen=True)
 class Bands:
-    """Permitted ratios by size in bytes: each entry holds for sizes from its first number up to the next entry's."""
+    """(least, largest) ratio by size class, of wholes and of chunks."""
 
-    bands: tuple[tuple[int, float, float], ...] = ((0, 1.05, 4.0), (1_024, 1.15, 4.5), (4_096, 1.25, 5.5), (16_384, 1.35, 7.0), (65_536, 1.35, 9.0))
-    least: int = 256
-    chunk: int = 4_096
+    whole: Sequence[tuple[float, float]]
+    chunk: Sequence[tuple[float, float]]
     chunk_share: float = 0.5
-    level: int = 3
-
-    def limits(self, size: int) -> tuple[float, float]:
-        return next((low, high) for start, low, high in reversed(self.bands) if size >= start)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -71,40 +92,91 @@ def repeated_lines(text: str) -> int:
     return n
 
 
-def measure(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) -> tuple:
+def measured(text: str | None, press: zstandard.ZstdCompressor) -> tuple:
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()  # of bytes: splits at exactly these six ASCII characters
-    n, repeats = len(words), repeated_words(words)
-    failed = n < 50 or 100 * repeats > 50 * n
-    ratio = share = None
-    rejected = False
-    if len(data) >= bands.least:
-        ratio = len(data) / len(press.compress(data))
-        low, high = bands.limits(len(data))
-        bad = 0
-        for at in range(0, len(data), bands.chunk):
-            part = data[at : at + bands.chunk]
-            if len(part) >= bands.least:
-                floor, ceiling = bands.limits(len(part))
-                bad += len(part) * (not floor <= len(part) / len(press.compress(part)) <= ceiling)
-        share = bad / len(data)
-        rejected = not low <= ratio <= high or share >= bands.chunk_share
     chars = len(text) - sum(map(text.count, SPACES))
-    return n, chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, failed, ratio, share, not (failed or rejected)
-
-
-def judge(documents: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """``documents`` with the columns of SCHEMA."""
-
-    @F.pandas_udf(SCHEMA)
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=bands.level)
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+    counts = len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeated_words(words)
+    if not data:
+        return *counts, 0, None, None, None, []
+    ratio = len(data) / len(press.compress(data))
+    parts = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)]
+    chunks = [len(p) / len(press.compress(p)) for p in parts] if len(parts) > 1 else [ratio]
+    return *counts, len(data), size_class(len(data)), size_class(len(parts[-1])), ratio, chunks
+
+
+def measure(documents: DataFrame) -> tuple[DataFrame, Rows]:
+    """The documents' counts and ratios, written to the shared folder: ``row`` (their columns but the text), ``doc_id``
+    and MEASURES."""
+    names = [c.split()[0] for c in MEASURES.split(", ")]
+
+    @F.pandas_udf(MEASURES)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=LEVEL)
         for texts in batches:
-            out = pd.DataFrame([measure(t, bands, press) for t in texts], columns=names)
-            yield out.astype({"ratio": float, "bad_chunk_share": float})
-
-    new = {c.split()[0] for c in SCHEMA.split(", ")}
-    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in new]
-    return documents.select(*kept, measured.asNondeterministic()("text").alias("_measured")).select(*kept, "_measured.*")
+            out = pd.DataFrame([measured(t, press) for t in texts], columns=names)
+            yield out.astype({"ratio": float, "size_class": "Int32", "tail_class": "Int32"})
+
+    rows = Rows(documents, OUTPUTS, drop=["text"])
+    found = documents.select(rows.row, F.col("doc_id").alias("id"), of.asNondeterministic()("text").alias("m"))
+    return materialize(found.select("row", "id", "m.*")), rows
+
+
+def chunk_class(at: Column) -> Column:
+    """The size class of the chunk at a place: all but the last have the size CHUNK."""
+    return F.when(at < F.size("chunks") - 1, F.lit(size_class(CHUNK))).otherwise(F.col("tail_class"))
+
+
+def fit(measures: DataFrame, labels: DataFrame) -> Bands:
+    """Limits from all labelled good documents outside the held-out fold. The driver receives a count for each kind,
+    size class and step of the ratio: at most 2 x CLASSES x STEPS x MOST numbers."""
+    good = labels.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id")).distinct()
+    known = measures.join(good, "id", "left_semi").where("n_bytes > 0")
+    wholes = known.select(F.lit("whole").alias("kind"), "size_class", "ratio")
+    chunks = known.select(F.lit("chunk").alias("kind"), F.posexplode("chunks").alias("at", "ratio"), "chunks", "tail_class").select("kind", chunk_class(F.col("at")).alias("size_class"), "ratio")
+    step = F.round(F.least("ratio", F.lit(MOST)) * STEPS).cast("int").alias("step")
+    counted = wholes.unionByName(chunks).groupBy("kind", "size_class", step).agg(F.count("*").alias("n")).collect()
+    by_kind: dict[str, dict[int, list[tuple[int, int]]]] = {"whole": defaultdict(list), "chunk": defaultdict(list)}
+    for r in counted:
+        by_kind[r["kind"]][r["size_class"]].append((r["step"], r["n"]))
+    return Bands(*[limits(by_kind[kind]) for kind in ("whole", "chunk")])
+
+
+def limits(counted: dict[int, list[tuple[int, int]]]) -> list[tuple[float, float]]:
+    """Limits of all size classes from the counted ratios, (step, number), of some."""
+    known = {}
+    for k, steps in counted.items():
+        ratios, n = np.array(sorted(steps)).T
+        upto = np.cumsum(n)
+        if upto[-1] >= ENOUGH:
+            low, high = (ratios[np.searchsorted(upto, max(1, q * upto[-1]))] / STEPS for q in (QUANTILE, 1 - QUANTILE))
+            known[k] = float(low * (1 - MARGIN[0])), float(high * (1 + MARGIN[1]))
+    if not known:
+        return default_limits()
+    near = [min(known, key=lambda c, k=k: (abs(c - k), c)) for k in range(CLASSES)]
+    return [(known[c][0] - WIDEN * abs(c - k), known[c][1] + WIDEN * abs(c - k)) for k, c in enumerate(near)]
+
+
+def decide(measures: DataFrame, rows: Rows, bands: Bands) -> DataFrame:
+    """The documents without text, with OUTPUTS."""
+
+    def outside(ratio: Column, of: Sequence[tuple[float, float]], size: Column) -> Column:
+        low, high = (F.get(F.array(*[F.lit(x) for x in side]), size) for side in zip(*of, strict=True))
+        return ~ratio.between(low, high)
+
+    tail = F.col("n_bytes") - CHUNK * (F.size("chunks") - 1)
+    length = lambda at: F.when(at < F.size("chunks") - 1, F.lit(CHUNK).cast("long")).otherwise(tail)
+    bad = F.transform("chunks", lambda r, at: F.when(outside(r, bands.chunk, chunk_class(at)), length(at)).otherwise(F.lit(0).cast("long")))
+    share = F.when(F.col("n_bytes") > 0, F.aggregate(bad, F.lit(0).cast("long"), lambda a, b: a + b) / F.col("n_bytes"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rejected = outside(F.col("ratio"), bands.whole, F.col("size_class")) | (F.col("bad_chunk_share") >= bands.chunk_share)
+    judged = measures.withColumn("bad_chunk_share", share).withColumn("base_failed", failed).withColumn("kept", ~(failed | F.coalesce(rejected, F.lit(False))))
+    return rows.unpacked(judged, *OUTPUTS)
+
+
+def judge(documents: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``documents`` (doc_id, text, ...) without text, with OUTPUTS; limits are learnt from ``labels`` (doc_id, quality)."""
+    measures, rows = measure(documents)
+    bands = Bands(default_limits(), default_limits()) if labels is None else fit(measures, labels)
+    return decide(measures, rows, bands)

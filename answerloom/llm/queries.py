@@ -43,8 +43,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base rules and compression bands over every document; see ``compression``."""
-    return compression.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    """Base rules and compression bands, learnt from the labels, over every document; see ``compression``."""
+    return compression.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,30 +73,90 @@ def test_rules_by_definition(spark, frame):
     texts = ["".join(rng.choice(["a", "b", "ç", " ", "\n", "\x0b", "#", "|", "a b c "]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
     rows = compression.judge(frame(list(enumerate(texts)), "doc_id long, text string")).collect()
     for r in rows:
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts_by_definition(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts_by_definition(texts[r.doc_id])
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
 
 
-def test_bands(spark, frame):
-    rng = random.Random(1)
+def prose(rng, n):
     word = lambda: "".join(rng.choice("aeiourstlnmd") for _ in range(rng.randint(2, 8)))
-    prose = " ".join(word() for _ in range(2000))
-    noise = " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60)) for _ in range(100))
-    looped = " ".join(f"w{i}x {word()} " + "lorem ipsum dolor sit amet consetetur sadipscing elitr " * 3 for i in range(300))
-    rows = {r.doc_id: r for r in compression.judge(frame([(1, prose), (2, noise), (3, looped), (4, prose + looped * 2)], "doc_id int, text string")).collect()}
-    assert rows[1].kept and not rows[3].kept and not rows[4].kept
-    assert rows[2].ratio < rows[1].ratio < rows[3].ratio
-    bands = compression.Bands()
-    assert rows[1].ratio == pytest.approx(len(prose) / len(zstandard.ZstdCompressor(level=3).compress(prose.encode())))
-    assert bands.limits(0)[0] < bands.limits(10**6)[0]
+    return " ".join(word() for _ in range(n))
+
+
+def kept_by_definition(texts, good):
+    """Limits from the ratios of the ``good`` ids outside the held-out fold, and who is kept, step by step."""
+    press = zstandard.ZstdCompressor(level=compression.LEVEL)
+    ratio = lambda b: len(b) / len(press.compress(b))
+    size = lambda n: sum(n * n >= 1 << k for k in range(1, 64))  # noqa: E731  twice log2, rounded down
+    chunks = lambda b: [b[i : i + 4096] for i in range(0, len(b), 4096)]
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    learnt = [data[i] for i in good if zlib.crc32(str(i).encode()) % 3 != 1 and data[i]]
+    bands = []
+    for parts in (learnt, [c for b in learnt for c in chunks(b)]):
+        seen = {}
+        for b in parts:
+            seen.setdefault(size(len(b)), []).append(round(ratio(b) * compression.STEPS))
+        known = {}
+        for k, v in seen.items():
+            if len(v) >= compression.ENOUGH:
+                v.sort()
+                at = lambda q, v=v: v[max(1, -int(-q * len(v) // 1)) - 1] / compression.STEPS
+                known[k] = at(compression.QUANTILE) * (1 - compression.MARGIN[0]), at(1 - compression.QUANTILE) * (1 + compression.MARGIN[1])
+        assert known
+        bands.append(known)
+
+    def inside(b, known):
+        k = min(known, key=lambda c: (abs(c - size(len(b))), c))
+        far = compression.WIDEN * abs(k - size(len(b)))
+        return known[k][0] - far <= ratio(b) <= known[k][1] + far
+
+    out = {}
+    for i, b in data.items():
+        n, *_, repeats = counts_by_definition(texts[i])
+        bad = sum(len(c) for c in chunks(b) if not inside(c, bands[1]))
+        out[i] = n >= 50 and 100 * repeats <= 50 * n and inside(b, bands[0]) and bad / len(b) < 0.5
+    return out
+
+
+def test_bands_decide_as_defined(spark, frame):
+    rng = random.Random(1)
+    noise = lambda n: " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20)) for _ in range(n))
+    looped = lambda n: " ".join(f"w{i}x {prose(rng, 1)} lorem ipsum dolor sit amet" for i in range(n))
+    texts = [prose(rng, rng.randint(1, 1500)) for _ in range(400)] + [noise(rng.randint(50, 200)) for _ in range(20)] + [looped(rng.randint(20, 300)) for _ in range(30)]
+    texts += [prose(rng, 900) + looped(900), prose(rng, 2000) + noise(20), "a", None, ""]
+    good = range(400)
+    labels = frame([(i, 1) for i in good] + [(i, 0) for i in range(400, 450)] + [(None, 1), (9999, 1), (3, None)], "doc_id long, quality int")
+    rows = compression.judge(frame(list(enumerate(texts)), "doc_id long, text string"), labels).collect()
+    got, want = {r.doc_id: r.kept for r in rows}, kept_by_definition(dict(enumerate(texts)), good)
+    assert got == want
+    base = {r.doc_id for r in rows if not r.base_failed}
+    assert sum(got[i] for i in good if i in base) >= 0.97 * sum(i in base for i in good) and not any(got[i] for i in range(400, 450))
+
+
+def test_rules_hold_out_precision_and_recall(spark):
+    """The bands reject bad documents that pass the base rules, hardly a good one, on rows they never saw."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = q.op6_quality_rules(spark, sf).join(labels, "doc_id").where(held_out(F.col("doc_id")) & ~F.col("base_failed")).select("quality", "kept").collect()
+    rejected = [r.quality for r in rows if not r.kept]
+    assert rejected.count(0) >= 0.8 * len(rejected) and rejected.count(0) >= 0.6 * sum(r.quality == 0 for r in rows) > 0
+    assert rejected.count(1) <= 0.02 * sum(r.quality == 1 for r in rows)
+
+
+def test_size_classes():
+    sizes = [*range(1, 5000), 2**40 - 1, 2**40, 2**40 + 1]
+    assert [compression.size_class(n) for n in sizes] == [sum(n * n >= 1 << k for k in range(1, 128)) for n in sizes]
+    assert len(compression.default_limits()) == compression.CLASSES
 
 
 def test_rules_edges(spark, frame):
-    out = compression.judge(frame([(*r, 1) for r in EDGE], "doc_id long, text string, kept int"))
-    rows = out.collect()
-    assert out.columns.count("kept") == 1 and len(rows) == len(EDGE)
-    assert all(r.base_failed and not r.kept and r.ratio is None for r in rows if r.doc_id in (1, 2, 3))
-    assert compression.judge(frame([], "doc_id long, text string")).count() == 0
+    docs = frame([(*r, 1, 2, 3) for r in EDGE], "doc_id long, text string, KEPT int, row int, m int")
+    for labels in (None, frame([], "doc_id long, quality int")):
+        out = compression.judge(docs, labels)
+        rows = out.collect()
+        assert [c.lower() for c in out.columns].count("kept") == 1 and len(rows) == len(EDGE) and {(r.row, r.m) for r in rows} == {(2, 3)}
+        assert all(r.base_failed and not r.kept for r in rows if r.doc_id in (1, 2, 3))
+        assert all((r.ratio is None) == (r.doc_id in (1, 2)) for r in rows)
+    assert compression.judge(frame([], "doc_id long, text string"), frame([(1, 1)], "doc_id long, quality int")).count() == 0
 
 
 def test_language_held_out_accuracy(spark):
