@@ -9,15 +9,18 @@ no escapes but needed ones).
 * *Linking* is an equi-join of calls and results by (conversation, identifier). Of calls with one identifier in a
   conversation the first (by turn, then by place) owns it.
 * *Order.* A call without references is at level 0, its result one level later, and a call that refers to others one
-  level after the last of their results. Levels settle one after the other, each in one join over all
-  conversations, so there are as many rounds as the longest chain of references is long. Calls in a cycle, or that
-  refer to no call, never settle: their level is null. (level, turn) orders a conversation topologically.
+  level after the last of their results. Calls in a cycle, or that refer to no call, never settle: their level is null.
+  (level, turn) orders a conversation topologically. See ``levels``.
 * *Validation.* Arguments must be an object with the schema's required members, of the schema's types, and no others
   unless the schema permits them.
 
-Nothing is gathered by conversation, so its length doesn't matter. Edge cases: a null or unparsable text, or a block
-that is no JSON object, is plain text; a tool message without a call is ``linked`` false; repeated messages are kept and
-linked each; an unknown tool or a missing id makes a call invalid. A null ``conv_id`` never links.
+Nothing is gathered by conversation, so its length doesn't matter. Edge cases: a null or unparsable text, a very long
+one without blocks too, or a block that is no JSON object, is plain text. JSON that can't be written back as it was
+meant is not parsed, either: objects that name a member twice, ``NaN``, infinite numbers and those that no double
+holds, escaped lone surrogates, nesting deeper than DEPTH. A tool message can't change its role: a member ``role`` of
+it is replaced. A tool message without a call is ``linked`` false; repeated messages are kept and linked each; an
+unknown tool or a missing id makes a call invalid. A null ``conv_id`` never links. Other columns are left out. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from math import isfinite
 from typing import Any
 
 import pandas as pd
@@ -36,20 +40,52 @@ from answerloom.llm.common import materialize
 BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
 TYPES: dict[str, Any] = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 PARSED = "calls array<struct<id string, name string, valid boolean, error string, refs array<string>>>, result_of string, message string"
+#: Levels of objects and lists in a call or a result.
+DEPTH = 64
+#: No way through a conversation's calls is longer; only lengths in a cycle would be.
+LONGEST = 1 << 40
 #: The schemas of the query's tools.
 TOOLS = {"reply": {"required": ["prompt", "turn"], "properties": {"prompt": "string", "turn": "integer", "context": "object"}}}
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def once(pairs: list[tuple[str, Any]]) -> dict:
+    """An object of members with names of their own."""
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a member is named twice")
+    return out
+
+
+def finite(number: str) -> float:
+    if not isfinite(value := float(number)):
+        raise ValueError(f"no double holds {number}")
+    return value
+
+
+def deeper(value: Any, most: int) -> bool:
+    """Whether objects and lists are nested more than ``most`` deep."""
+    level = [value]
+    for _ in range(most + 1):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
 
 
 def parsed(text: str | None) -> dict | None:
+    """The JSON object of a text, or None where it holds none that canonical JSON can express."""
     try:
-        found = json.loads(text or "")
-    except ValueError:
+        found = json.loads(text or "", object_pairs_hook=once, parse_float=finite, parse_constant=finite)
+        if not isinstance(found, dict) or deeper(found, DEPTH):
+            return None
+        canonical(found).encode()
+    except (ValueError, RecursionError):  # UnicodeEncodeError, of lone surrogates, is a ValueError
         return None
-    return found if isinstance(found, dict) else None
+    return found
 
 
 def fault(call: dict, tools: dict[str, dict]) -> str | None:
@@ -86,7 +122,7 @@ def references(value: Any) -> list[str]:
 def message(role: str | None, text: str | None, tools: dict[str, dict]) -> tuple[list[dict], str | None, str]:
     """A message's calls, the id whose result it is, and its canonical JSON."""
     if role == "tool" and (found := parsed(text)) and isinstance(found.get("tool_call_id"), str):
-        return [], found["tool_call_id"], canonical({"role": role, **found})
+        return [], found["tool_call_id"], canonical({**found, "role": role})
     if role == "assistant" and text and "<tool_call>" in text:
         blocks = [parsed(b) for b in BLOCK.findall(text)]
         if blocks and all(b is not None for b in blocks):
@@ -103,22 +139,28 @@ def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level) of those ``calls`` (conv_id, id, refs), unique by conversation and id, that settle.
 
     Every call has a base (the longest way known to a call without references) and edges to calls that it still waits
-    for, with the length of the way there. A round replaces each edge by the base and the edges of the call at its end,
-    so ways double in length: a chain of n calls takes log2(n) rounds.
+    for, with the length of the way there. In a round, an edge to a settled call goes into the base, one to a call that
+    waits for a single other is replaced by one to that other, and the rest stay. So there are never more edges than
+    references; a chain of n calls takes log2(n) rounds, since ways double in length, and calls that wait for several
+    settle in as many rounds as such calls follow one another. A round in which no call settles is the last.
     """
     calls = materialize(calls)
-    nodes = calls.select("conv_id", "id", F.when(F.size("refs") == 0, F.lit(0)).cast("long").alias("base"))
+    nodes = calls.select("conv_id", "id", F.lit(0).cast("long").alias("base"))
     edges = materialize(calls.select("conv_id", "id", F.explode(F.array_distinct("refs")).alias("ref"), F.lit(2).cast("long").alias("way")))
     waiting = edges.select("conv_id", "id").distinct().count()
     while waiting:
-        ends = nodes.select("conv_id", F.col("id").alias("ref"), F.col("base").alias("end_base"), F.lit(True).alias("known"))
-        on = edges.select("conv_id", F.col("id").alias("ref"), F.col("ref").alias("next"), F.col("way").alias("more"))
-        met = edges.join(ends, ["conv_id", "ref"], "left")
-        gained = met.groupBy("conv_id", "id").agg(F.max(F.col("way") + F.col("end_base")).alias("gain"))
+        # of each call: its base, how many it waits for, and, where it is one, which
+        waits = edges.groupBy("conv_id", "id").agg(F.count("*").alias("edges"), F.min("ref").alias("next"), F.min("way").alias("more"))
+        ends = nodes.join(waits, ["conv_id", "id"], "left").select("conv_id", F.col("id").alias("ref"), F.col("base").alias("end_base"), F.coalesce("edges", F.lit(0)).alias("edges"), "next", "more")
+        met = materialize(edges.join(ends, ["conv_id", "ref"], "left"))
+        gained = met.where("edges < 2").groupBy("conv_id", "id").agg(F.max(F.col("way") + F.col("end_base")).alias("gain"))
         nodes = materialize(nodes.join(gained, ["conv_id", "id"], "left").select("conv_id", "id", F.greatest("base", "gain").alias("base")))
-        kept = met.join(on, ["conv_id", "ref"], "left").where(F.col("next").isNotNull() | F.col("known").isNull())
-        edges = kept.select("conv_id", "id", F.coalesce("next", "ref").alias("ref"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"))
-        edges = materialize(edges.groupBy("conv_id", "id", "ref").agg(F.max("way").alias("way")))
+        single = F.col("edges") == 1
+        on = met.where("edges > 0 or edges is null").select(
+            "conv_id", "id", F.when(single, F.col("next")).otherwise(F.col("ref")).alias("ref"),
+            F.least(F.col("way") + F.when(single, F.col("more")).otherwise(0), F.lit(LONGEST)).alias("way"),
+        )
+        edges = materialize(on.groupBy("conv_id", "id", "ref").agg(F.max("way").alias("way")))
         before, waiting = waiting, edges.select("conv_id", "id").distinct().count()
         if waiting == before:  # what is left is a cycle, or waits for one, or for a call that isn't there
             break
@@ -159,15 +201,77 @@ def format_chat(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
 
 def as_tool_use(conversations: DataFrame) -> DataFrame:
-    """Plain conversations in the shape of tool use: a user turn is the call of a tool ``reply`` with the turn's text,
-    which refers to the call two turns before; the assistant's turn after it is the result."""
+    """Plain conversations in the shape of tool use, with all that can be wrong with it.
+
+    A user turn is the call of a tool ``reply`` with the turn's text, which refers to the call two turns before; the
+    assistant's turn after it is the result. By ``conv_id * 3 + turn`` some calls lack an argument (3 modulo 13), refer
+    to two calls (5) or to themselves (7), name an unknown tool (9) or give an argument too many (11), and some results
+    name no call (4 modulo 11).
+    """
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
-    ref = F.when(F.col("turn") >= 2, F.struct(name(F.col("turn") - 2).alias("$ref")))
-    call = F.to_json(F.struct(name(F.col("turn")).alias("id"), F.lit("reply").alias("name"), F.struct(F.coalesce("text", F.lit("")).alias("prompt"), F.col("turn"), ref.alias("context")).alias("arguments")))
-    result = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    ref = lambda back: F.when(F.col("turn") >= back, F.struct(name(F.col("turn") - back).alias("$ref")))
+    place = F.col("conv_id") * 3 + F.col("turn")
+    kind = F.pmod(place, F.lit(13))
+    context = (
+        F.when(kind == 5, F.to_json(F.struct(ref(2).alias("before"), ref(4).alias("earlier"))))
+        .when(kind == 7, F.to_json(ref(0))).otherwise(F.to_json(ref(2)))
+    )
+    member = lambda key, value: F.concat(F.lit(f',"{key}":'), value)
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]\z", "")
+    arguments = F.concat(
+        F.lit('{"turn":'), F.col("turn").cast("string"), F.when(kind != 3, member("prompt", quoted(F.coalesce("text", F.lit(""))))).otherwise(""),
+        F.when(kind == 11, member("tone", F.lit('"plain"'))).otherwise(""), F.coalesce(member("context", context), F.lit("")), F.lit("}"),
+    )
+    call = F.concat(F.lit('{"id":'), quoted(name(F.col("turn"))), member("name", F.when(kind == 9, '"answer"').otherwise('"reply"')), member("arguments", arguments), F.lit("}"))
+    answers = F.when(F.pmod(place, F.lit(11)) == 4, F.lit("gone")).otherwise(name(F.col("turn") - 1))
+    result = F.to_json(F.struct(answers.alias("tool_call_id"), F.col("text").alias("content")))
     asked, told = F.col("role") == "user", F.col("role") == "assistant"
     return conversations.select(
         "conv_id", "turn",
         F.when(asked, "assistant").when(told, "tool").otherwise(F.col("role")).alias("role"),
         F.when(asked, F.concat(F.lit("<tool_call>"), call, F.lit("</tool_call>"))).when(told, result).otherwise(F.col("text")).alias("text"),
     )
+
+
+#: DuckDB SQL for the query. Of the calls of a conversation, ``lost`` are those that never settle: the ones that refer
+#: to themselves or to no call, and whatever refers to those; ``ways`` are the lengths of all ways to the others.
+ORACLE = """
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, role, text, (conv_id * 3 + turn) % 13 AS kind, (conv_id * 3 + turn) % 11 = 4 AS astray,
+         'c' || CAST(conv_id AS VARCHAR) || '-' AS c FROM conversations),
+calls AS (
+  SELECT conv_id, turn, CASE WHEN kind = 7 THEN [turn] WHEN turn < 2 THEN [] WHEN kind = 5 AND turn >= 4 THEN [turn - 2, turn - 4] ELSE [turn - 2] END AS refs
+  FROM t WHERE role = 'user'),
+edges AS (SELECT conv_id, turn, unnest(refs) AS ref FROM calls),
+lost AS (
+  SELECT e.conv_id, e.turn FROM edges e LEFT JOIN calls c ON c.conv_id = e.conv_id AND c.turn = e.ref WHERE c.turn IS NULL OR e.ref = e.turn
+  UNION SELECT e.conv_id, e.turn FROM edges e JOIN lost ON lost.conv_id = e.conv_id AND lost.turn = e.ref),
+ways AS (
+  SELECT conv_id, turn, 0 AS level FROM calls WHERE len(refs) = 0
+  UNION SELECT e.conv_id, e.turn, level + 2 FROM edges e JOIN ways ON ways.conv_id = e.conv_id AND ways.turn = e.ref WHERE e.ref <> e.turn),
+levels AS (
+  SELECT c.conv_id, c.turn, max(CASE WHEN lost.turn IS NULL THEN level END) AS level
+  FROM calls c LEFT JOIN ways w ON w.conv_id = c.conv_id AND w.turn = c.turn LEFT JOIN lost ON lost.conv_id = c.conv_id AND lost.turn = c.turn GROUP BY ALL),
+parts AS (
+  SELECT t.*, own.level AS own_level, asked.level AS asked_level, asked.turn IS NOT NULL AND NOT astray AS has_call,
+    EXISTS (FROM t AS r WHERE r.conv_id = t.conv_id AND r.turn = t.turn + 1 AND r.role = 'assistant' AND NOT r.astray) AS answered,
+    CASE WHEN kind = 7 THEN '"context":{"$ref":"' || c || CAST(t.turn AS VARCHAR) || '"},' WHEN kind = 5 AND t.turn >= 2
+         THEN '"context":{"before":{"$ref":"' || c || CAST(t.turn - 2 AS VARCHAR) || '"}' || CASE WHEN t.turn >= 4 THEN ',"earlier":{"$ref":"' || c || CAST(t.turn - 4 AS VARCHAR) || '"}' ELSE '' END || '},'
+         WHEN kind = 5 THEN '"context":{},' WHEN t.turn >= 2 THEN '"context":{"$ref":"' || c || CAST(t.turn - 2 AS VARCHAR) || '"},' ELSE '' END AS context
+  FROM t LEFT JOIN levels own ON own.conv_id = t.conv_id AND own.turn = t.turn
+  LEFT JOIN levels asked ON asked.conv_id = t.conv_id AND asked.turn = t.turn - 1)
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'tool' ELSE role END AS role,
+  CASE role WHEN 'user' THEN 'calls' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+  CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n_calls,
+  CASE WHEN role = 'user' AND kind NOT IN (3, 9, 11) THEN 1 ELSE 0 END AS n_valid,
+  CAST(CASE WHEN role = 'user' AND answered THEN 1 ELSE 0 END AS BIGINT) AS n_answered,
+  CASE WHEN role = 'assistant' THEN has_call END AS linked,
+  CASE WHEN role = 'user' THEN own_level WHEN role = 'assistant' AND has_call THEN asked_level + 1 END AS level,
+  CASE WHEN role = 'user' THEN CASE kind WHEN 3 THEN 'missing: prompt' WHEN 9 THEN 'unknown tool' WHEN 11 THEN 'not in the schema: tone' END END AS error,
+  CASE role
+    WHEN 'user' THEN '{"content":"","role":"assistant","tool_calls":[{"arguments":{' || context || CASE WHEN kind <> 3 THEN '"prompt":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',' ELSE '' END
+      || CASE WHEN kind = 11 THEN '"tone":"plain",' ELSE '' END || '"turn":' || CAST(turn AS VARCHAR) || '},"id":"' || c || CAST(turn AS VARCHAR) || '","name":"' || CASE WHEN kind = 9 THEN 'answer' ELSE 'reply' END || '"}]}'
+    WHEN 'assistant' THEN '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"role":"tool","tool_call_id":"' || CASE WHEN astray THEN 'gone' ELSE c || CAST(turn - 1 AS VARCHAR) END || '"}'
+    ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' END AS message
+FROM parts
+"""

@@ -76,4 +76,7 @@ QUERIES = {
         op6_quality_rules, op7_language_id, op8_ngram_jaccard_join, op9_token_counts, op10_best_fit_packing,
     )
 }
-ORACLES: dict[str, str] = {"op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_chat_formatting": chat.ORACLE,
+    "op5_warc": warc.ORACLE,
+}
