@@ -1,17 +1,20 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hash prefixes, confirmed by full digests.
 
-Each distinct URL is expanded into the pairs of every suffix of its host (whole labels) and every prefix of its path
-whose length some rule has. An expression's SHA-256 is taken; pages and rules meet in an equi-join on its first four
-bytes, as clients of a hash-prefix list do, and the full digest then confirms the match. Of a URL's matching rules
-the longest host-plus-path wins; of equally long ones the longer host, then ``block`` before ``allow``.
+Each distinct URL is expanded into the pairs of those suffixes of its host (whole labels) that have as many labels as
+some rule's host, and those prefixes of its path that are as long as some rule's path. An expression's SHA-256 is taken;
+pages and rules meet in an equi-join on its first four bytes, as clients of a hash-prefix list do, and the full digest
+then confirms the match. Of a URL's matching rules the longest host-plus-path wins; of equally long ones the longer
+host, then ``block`` before ``allow``.
 
-All of it is DataFrame functions. The number of expressions is (labels of the host) x (distinct lengths of rule
-paths); only expressions are shuffled, if at all: the optimizer broadcasts the rules when they are small, and joins by
-sorting else. Verdicts are found once per distinct URL, so a page or a host that repeats costs no more.
+All of it is DataFrame functions. The number of expressions is at most (distinct label counts of rule hosts) x (distinct
+lengths of rule paths), whatever the URL, each no longer than the URL; only expressions are shuffled, if at all: the
+optimizer broadcasts the rules when they are small, and joins by sorting else. Verdicts are found once per distinct URL,
+so a page or a host that repeats costs no more.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, and matches nothing; an empty host matches
-nothing. A URL without a rule gets ``default``. Rules with a null host or path are ignored; repeated rules count once.
-Columns of the input named like the outputs are replaced. Repeated pages stay repeated.
+nothing. A URL without a rule gets ``default``. Very long URLs, of many thousand labels too, are judged whole. Rules with
+a null host or path are ignored; repeated rules count once; without rules, or pages, nothing is matched. Columns of the
+input named like the outputs are replaced, all others kept. Repeated pages stay repeated.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import ascii_lower
+from answerloom.llm.common import Rows, ascii_lower
 
 #: The query's rules: host, path, verdict.
 RULES = [
@@ -57,12 +60,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         .select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
         .withColumn("r_digest", digest_of(F.col("r_host"), F.col("r_path")))
     )
-    # the distinct lengths of rule paths: a few numbers, at most as many as the longest path has characters
-    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
+    # a few numbers: at most as many as the longest path has characters and the longest host has labels
+    n_labels = F.length("r_host") - F.length(F.replace("r_host", F.lit("."), F.lit(""))) + 1
+    shapes = rules.agg(F.collect_set(F.length("r_path")).alias("lengths"), F.collect_set(n_labels).alias("labels")).first()
     urls = pages.select("url").where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host != ''")
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
+    has = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    given = lambda each: F.filter(F.array(*each or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+    suffixes = given([F.when(has >= k, F.substring_index("host", ".", -k)) for k in sorted(shapes["labels"])])
+    prefixes = given([F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(shapes["lengths"])])
     expressions = (
         urls.withColumn("e_path", F.explode(prefixes)).withColumn("e_host", F.explode(suffixes))
         .select("url", digest_of(F.col("e_host"), F.col("e_path")).alias("digest"))
@@ -70,14 +75,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     )
     matched = expressions.join(rules.withColumn("short", F.substring("r_digest", 1, 4)), "short").where(F.col("digest") == F.col("r_digest"))
     order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), (F.col("r_verdict") == "block").cast("int"), "r_host", "r_path")
-    best = matched.groupBy("url").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("_best"))
-    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    return pages.select(*kept).join(best, "url", "left").select(
-        *kept,
+    best = matched.groupBy("url").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("best"))
+    rows = Rows(pages, ("host", "path", "rule", "verdict"))
+    judged = pages.select(rows.row, "url").join(best, "url", "left")
+    return rows.unpacked(
+        judged,
         host_of(F.col("url")).alias("host"),
         path_of(F.col("url")).alias("path"),
-        F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
+        F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 
 
