@@ -10,8 +10,9 @@ Language profiles are counted in Spark over about ``per_language`` labelled docu
 of their ids (all of a language that has fewer); prediction is one pass over whole texts without a shuffle.
 
 Edge cases: a null text, an empty one, and one without any letter get ``und`` and score 0; so does every text when
-nothing was learnt. Rows are judged independently, so ties and repeats get equal results. Rows without a language
-teach nothing. Columns of the input named like the outputs are replaced.
+nothing was learnt. Texts are read whole, however long; rows are judged independently, so ties and repeats get equal
+results. Rows without a language teach nothing. An empty table gives an empty one. Columns of the input named like the
+outputs are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import held_out, materialize
+from answerloom.llm.common import Rows, held_out, materialize
 
 UNKNOWN = "und"
 SPACE, BITS = 32, 21
@@ -144,9 +145,8 @@ def identify(spark: SparkSession, documents: DataFrame, profiles: Profiles) -> D
         for texts in batches:
             yield pd.DataFrame([shared.value.judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    kept = [c for c in documents.columns if c.lower() not in ("lang_pred", "score")]
-    out = documents.select(*[F.col(f"`{c}`") for c in kept], judged.asNondeterministic()("text").alias("_judged"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "_judged.lang_pred", "_judged.score")
+    rows = Rows(documents, ("lang_pred", "score"))
+    return rows.unpacked(documents.select(rows.row, judged.asNondeterministic()("text").alias("judged")), "judged.lang_pred", "judged.score")
 
 
 def length_class(text: Column) -> Column:
