@@ -14,7 +14,8 @@ or more, and a number become markers, so that shape and repetition have vectors
 Edge cases: null and empty texts have no tokens, so the zero vector, and a defined score (the network's at zero).
 Without labelled rows every score is 0.5; with labels of one class only, it is that class's smoothed share. Rows are
 scored independently, so ties and repeats get equal scores. A label row whose quality is null or not 0/1 is ignored;
-of several labels for one id the largest counts. Columns of the input named like the outputs are replaced.
+of several labels for one id the largest counts. Texts are read whole, and tokens are taken whole, however long. An
+empty table gives an empty one. Columns of the input named like the outputs are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import held_out, materialize
+from answerloom.llm.common import Rows, held_out, materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 SAME, UPPER, NUMBER = "<same>", "<upper>", "<number>"
@@ -45,11 +46,11 @@ def normal_form(token: str) -> str:
         return NUMBER
     if token.isupper() and len(token) > 1:
         return UPPER
-    return token.lower()[:24] if token[0].isalnum() or token[0] == "_" else token[:2]
+    return token.lower()
 
 
 class Ids(dict):
-    """Vocabulary ids of raw tokens; 0 is for tokens outside it. A bounded number of them is remembered."""
+    """Vocabulary ids of raw tokens; 0 is for tokens outside it. A bounded number of them, none very long, is remembered."""
 
     def __init__(self, vocabulary: dict[str, int], most: int = 1 << 18):
         super().__init__()
@@ -57,7 +58,7 @@ class Ids(dict):
 
     def __missing__(self, token: str) -> int:
         found = self.vocabulary.get(normal_form(token), 0)
-        if len(self) < self.most:
+        if len(self) < self.most and len(token) <= 64:
             self[token] = found
         return found
 
@@ -147,10 +148,6 @@ class Model:
     vectors: np.ndarray
     network: Network
 
-    def pool(self, texts: pd.Series) -> np.ndarray:
-        ids = Ids(self.vocabulary)
-        return pooled(texts, ids, self.vectors)
-
 
 def pooled(texts: pd.Series, ids: Ids, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), DIM))
@@ -237,6 +234,7 @@ def score(spark: SparkSession, documents: DataFrame, model: Model, threshold: fl
         for texts in batches:
             yield pd.Series(m.network.score(pooled(texts, ids, m.vectors)))
 
+    rows = Rows(documents, ("score", "predicted"))
     # marked as not deterministic so that a filter on the score doesn't compute it a second time
-    out = documents.withColumn("score", scored.asNondeterministic()("text"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = documents.select(rows.row, scored.asNondeterministic()("text").alias("score"))
+    return rows.unpacked(out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
