@@ -10,27 +10,33 @@ The plan takes lengths from long to short. A piece goes into the open bin with t
 none does, a bin is opened: for each permitted capacity the filling from the pieces still to come is simulated, and
 the capacity with the least cost for each token it would hold is taken, so all capacities are weighed jointly.
 Finally each bin is downsized to the least permitted capacity that holds its contents. A bin's cost is
-``capacity + overhead``.
+``capacity + overhead``. A simulated filling goes from one length to the next that still fits, so it takes about the
+square root of twice the capacity in steps at most, and an opening is followed by bins for all equal pieces at once.
 
 Documents longer than the largest capacity are cut into pieces of that capacity and a rest; no token is dropped.
 
-Edge cases: documents of length zero or null (null text) get one row without a bin (null ``bin_id``, ``n_tokens`` 0).
-Ties in length are ordered by ``doc_id`` and a hash of the text; repeated rows are packed each. Columns of the input
-named like the outputs are replaced.
+The plan is broadcast if it has BROADCAST rows at most, and joined by sorting else.
+
+Edge cases: documents of length zero or null (null text) get one row without a bin (null ``bin_id``, ``n_tokens`` 0), a
+negative length counts as zero. Ties in length are ordered by ``doc_id`` and a hash of the text; repeated rows are
+packed each. Very long texts are cut like any others. An empty table gives an empty one. Columns of the input named
+like the outputs are replaced, all others but ``text`` kept.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import materialize
+from answerloom.llm.common import Rows, materialize
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OUTPUTS = ("piece", "n_tokens", "bin_id", "bin_offset", "capacity")
+#: Rows of a plan that may be broadcast, some 50 bytes each.
+BROADCAST = 1_000_000
 
 
 class Plan:
@@ -42,6 +48,7 @@ class Plan:
     def __init__(self, histogram: dict[int, int], capacities: Sequence[int] = CAPACITIES, overhead: int = 16):
         self.capacities, self.overhead = sorted(set(capacities)), overhead
         self.left = {n: c for n, c in histogram.items() if c}
+        self.lengths = sorted(self.left)
         self.places: list[tuple[int, int, int, int, int]] = []
         #: Room left -> ranges of bins (first bin, number, opened capacity); the rooms in order beside it.
         self.open: dict[int, list[tuple[int, int, int]]] = {}
@@ -62,11 +69,14 @@ class Plan:
 
     def opening(self, length: int) -> int:
         """The capacity that costs least for each token it would hold, filled from what is still to come."""
-        lengths = sorted((n for n in self.left if n <= length), reverse=True)
+        lengths = self.lengths
 
         def cost(capacity: int) -> float:
-            used = 0
-            for n in lengths:
+            used, at = 0, bisect_right(lengths, length)
+            # the longest that fits, all of it that fits, then the longest shorter one that fits what is left
+            while at := bisect_right(lengths, capacity - used, 0, at):
+                at -= 1
+                n = lengths[at]
                 used += n * min(self.left[n], (capacity - used) // n)
             return (self.least(used) + self.overhead) / used
 
@@ -94,7 +104,6 @@ class Plan:
             self.put(room - length, (first, take, size))
             rank += take
             self.left[length] = count - rank
-        del self.left[length]
 
 
 def n_words(text: Column) -> Column:
@@ -111,36 +120,38 @@ def pack(documents: DataFrame, length: Column, capacities: Sequence[int] = CAPAC
     in that many tasks.
     """
     spark, most = documents.sparkSession, max(capacities)
-    kept = [F.col(f"`{c}`") for c in documents.columns if c != "text" and c.lower() not in OUTPUTS]
-    rows = documents.select(*kept, F.coalesce(length, F.lit(0)).cast("long").alias("_n"), F.xxhash64("text").alias("_tie"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("_n") / most)).cast("int")
+    kept = Rows(documents, OUTPUTS, drop=["text"])
+    whole = documents.select(kept.row, F.col("doc_id").alias("id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"), F.xxhash64("text").alias("tie"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
     cut = (
-        rows.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .withColumn("n_tokens", F.least(F.lit(most), F.col("_n") - F.col("piece").cast("long") * most))
-        .withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "_tie"), F.lit(salts)).cast("int")).drop("_n")
+        whole.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        .withColumn("n_tokens", F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece").cast("long") * most))
+        .withColumn("salt", F.pmod(F.xxhash64("id", "piece", "tie"), F.lit(salts)).cast("int")).drop("n")
     )
     cut = materialize(cut)
-    counts = cut.where("n_tokens > 0").groupBy("n_tokens", "_salt").agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("n_tokens").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.where("n_tokens > 0").groupBy("n_tokens", "salt").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     # at most (largest capacity) x salts numbers
-    starts = materialize(counts.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))))
+    starts = materialize(counts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))))
     # the histogram: at most as many rows as the largest capacity
-    histogram = {r["n_tokens"]: r["c"] for r in starts.groupBy("n_tokens").agg(F.sum("_c").alias("c")).collect()}
-    plan = Plan(histogram, capacities, overhead)
-    within = Window.partitionBy("n_tokens", "_salt").orderBy("doc_id", "piece", "_tie")
+    histogram = {r["n_tokens"]: r["c"] for r in starts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}
+    places = plan_rows(Plan(histogram, capacities, overhead))
+    schema = "length long, first long, last long, bin long, bin_offset long, capacity int"
+    planned = spark.createDataFrame(places, schema)
+    if len(places) <= BROADCAST:
+        planned = F.broadcast(planned)
+    within = Window.partitionBy("n_tokens", "salt").orderBy("id", "piece", "tie")
     ranked = (
-        cut.withColumn("_in", F.row_number().over(within) - 1)
-        .join(starts.drop("_c"), ["n_tokens", "_salt"], "left").withColumn("_rank", F.col("_start") + F.col("_in"))
+        cut.withColumn("within", F.row_number().over(within) - 1)
+        .join(starts.drop("c"), ["n_tokens", "salt"], "left").withColumn("rank", F.col("start") + F.col("within"))
     )
-    places, bins = plan_tables(spark, plan)
-    # the plan's size follows from the capacities, not from the rows: broadcast
-    placed = ranked.join(F.broadcast(places), (F.col("n_tokens") == F.col("_length")) & F.col("_rank").between(F.col("_lo"), F.col("_hi")), "left")
-    at = F.col("_bin") + F.col("_rank") - F.col("_lo")
-    return placed.select(*kept, "piece", "n_tokens", at.alias("bin_id"), F.col("_offset").alias("bin_offset"), F.col("_capacity").alias("capacity"))
+    placed = ranked.join(planned, (F.col("n_tokens") == F.col("length")) & F.col("rank").between(F.col("first"), F.col("last")), "left")
+    at = F.col("bin") + F.col("rank") - F.col("first")
+    return kept.unpacked(placed, "piece", "n_tokens", at.alias("bin_id"), "bin_offset", "capacity")
 
 
-def plan_tables(spark: SparkSession, plan: Plan) -> tuple[DataFrame, list]:
-    """The plan as rows (length, ranks, first bin, offset, capacity), split where the final capacity changes."""
+def plan_rows(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
+    """The plan as (length, first and last rank, first bin, offset, capacity), split where the final capacity changes."""
     starts = [b[0] for b in plan.bins]
     rows = []
     for length, rank, n, first, offset in plan.places:
@@ -150,5 +161,4 @@ def plan_tables(spark: SparkSession, plan: Plan) -> tuple[DataFrame, list]:
             take = min(n, lo + size - first)
             rows.append((length, rank, rank + take - 1, first, offset, capacity))
             rank, n, first, k = rank + take, n - take, first + take, k + 1
-    schema = "_length long, _lo long, _hi long, _bin long, _offset long, _capacity int"
-    return spark.createDataFrame(rows, schema), plan.bins
+    return rows

@@ -6,6 +6,7 @@ import io
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -43,12 +44,14 @@ def verdict_of(url, rules):
 
 
 def test_url_filters(spark, frame):
-    urls = [None, "", "no scheme/en/", "http://", "http://COM/en/x", "https://a.Example.com/en/7/x?y#z", "x://example.com/en/", "http://notexample.com/en/7", "http://a.net/de/8", "http://example.net/de/8", "http://b.example.net/de/", "http://é.org/es/?q", "http://example.com", "http://example.com#/en/", "a://b://c.com/en/", "http://u@example.com:80/en/7", "http://a..com/en/", "http://org/es/\n", "http://x.com/" + "e" * 100_000] * 2
-    pages = frame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
-    out = urlfilter.judge(pages, urlfilter.rules_table(spark))
-    assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
-    assert got == {i: verdict_of(u, urlfilter.RULES) for i, u in enumerate(urls)}
+    urls = [None, "", "no scheme/en/", "http://", "http://COM/en/x", "https://a.Example.com/en/7/x?y#z", "x://example.com/en/", "http://notexample.com/en/7", "http://a.net/de/8", "http://example.net/de/8", "http://b.example.net/de/", "http://é.org/es/?q", "http://example.com", "http://example.com#/en/", "a://b://c.com/en/", "http://u@example.com:80/en/7", "http://a..com/en/", "http://org/es/\n", "http://x.com/" + "e" * 100_000, "http://" + "a." * 20_000 + "com/en/", "http://" + "." * 20_000 + "/en/", "http://a.b.xn--c.co.uk/x"] * 2
+    pages = frame([(i, u, "x", 1, 2, 3) for i, u in enumerate(urls)], "page_id long, url string, RULE string, _best int, best int, row int")
+    rules = [*urlfilter.RULES, ("co.uk", "/x", "block"), ("b.xn--c.co.uk", "/", "allow"), ("uk", "", "block"), (None, "/", "block"), ("com", None, "block"), urlfilter.RULES[0]]
+    for some in (urlfilter.RULES, rules):
+        out = urlfilter.judge(pages, urlfilter.rules_table(spark, some))
+        assert out.columns == ["page_id", "url", "_best", "best", "row", "host", "path", "rule", "verdict"]
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()}
+        assert got == {i: verdict_of(u, [r for r in some if r[0] is not None and r[1] is not None]) for i, u in enumerate(urls)}
     assert urlfilter.judge(pages, urlfilter.rules_table(spark).limit(0)).where("verdict <> 'allow'").count() == 0
     assert urlfilter.judge(pages.limit(0), urlfilter.rules_table(spark)).count() == 0
 
@@ -268,8 +271,11 @@ def test_components(spark, frame):
 def test_packing_is_whole(spark, frame, seed):
     rng = random.Random(seed)
     lengths = [None, 0, 1, 512, 4096, 4097, 20_000] + [int(rng.lognormvariate(5, 1.5)) for _ in range(600)]
-    docs = frame([(i // 2, n, "x") for i, n in enumerate(lengths)], "doc_id long, n long, piece string").withColumn("text", F.concat(F.lit("t"), F.col("n").cast("string")))
-    out = packing.pack(docs, F.col("n"), salts=4).collect()
+    docs = frame([(i // 2, n, "x", 1, 2, 3) for i, n in enumerate(lengths)], "doc_id long, n long, PIECE string, _n int, tie int, Rank int").withColumn("text", F.concat(F.lit("t"), F.col("n").cast("string")))
+    out = packing.pack(docs, F.col("n"), salts=4)
+    assert out.columns == ["doc_id", "n", "_n", "tie", "Rank", "piece", "n_tokens", "bin_id", "bin_offset", "capacity"]
+    out = out.collect()
+    assert {(r["_n"], r["tie"], r["Rank"]) for r in out} == {(1, 2, 3)}
     assert sum(r.n_tokens for r in out) == sum(n or 0 for n in lengths)
     bins = {}
     for r in out:
@@ -300,7 +306,58 @@ def test_plan_against_plain_best_fit():
     assert sum(n * c for _, n, c in several.bins) <= sum(n * c for _, n, c in plan.bins)
 
 
+def fillings(left, length, capacity):
+    """What a bin would hold, piece by piece: always the longest one, no longer than ``length``, that fits."""
+    left, used = dict(left), 0
+    while fit := [n for n, c in left.items() if c and n <= min(length, capacity - used)]:
+        left[max(fit)] -= 1
+        used += max(fit)
+    return used
+
+
+def test_openings_are_the_cheapest_of_simulated_fillings():
+    rng = random.Random(12)
+    for _ in range(60):
+        histogram = {rng.randint(1, 64): rng.randint(1, 5) for _ in range(rng.randint(1, 12))}
+        plan, overhead = packing.Plan({}, (16, 40, 64), 3), 3
+        plan.left, plan.lengths, length = dict(histogram), sorted(histogram), max(histogram)
+        per_token = {}
+        for c in (16, 40, 64):
+            if c >= length:
+                used = fillings(histogram, length, c)
+                per_token[c] = (min(x for x in (16, 40, 64) if x >= used) + overhead) / used
+        assert plan.opening(length) == min(per_token, key=lambda c: (per_token[c], -c))
+
+
+def test_plans_depend_on_capacity_not_on_pieces():
+    """A plan for a thousand times the pieces has about as many rows; one for 32,768 tokens is made in seconds."""
+    rng = random.Random(13)
+    shape = [int(rng.lognormvariate(5.5, 1.2)) % 4096 + 1 for _ in range(3000)]
+    rows = [len(packing.plan_rows(packing.Plan({n: shape.count(n) * times for n in set(shape)}))) for times in (1_000, 1_000_000)]
+    assert rows[1] <= 1.3 * rows[0] < packing.BROADCAST
+    began = time.perf_counter()
+    plan = packing.Plan({n: rng.randint(1, 1000) for n in range(1, 32_769)}, (4096, 8192, 16_384, 32_768))
+    assert time.perf_counter() - began < 30 and sum(n for _, _, n, _, _ in plan.places) == sum(plan_counts(plan).values())
+
+
+def plan_counts(plan):
+    out = {}
+    for length, rank, n, _, _ in plan.places:
+        assert rank == out.get(length, 0)  # ranks of a length follow one another without gaps
+        out[length] = rank + n
+    return out
+
+
+def test_large_plans_are_joined_without_broadcast(spark, frame, monkeypatch):
+    docs = frame([(i, i % 50 * 90) for i in range(400)], "doc_id long, n long").withColumn("text", F.col("n").cast("string"))
+    whole = sorted(map(tuple, packing.pack(docs, F.col("n")).collect()), key=str)
+    monkeypatch.setattr(packing, "BROADCAST", 3)
+    assert sorted(map(tuple, packing.pack(docs, F.col("n")).collect()), key=str) == whole
+
+
 def test_packing_edges(spark, frame):
+    long = frame([(1, "w " * 300_000)], "doc_id long, text string")
+    assert packing.pack(long, packing.n_words(F.col("text"))).agg(F.sum("n_tokens"), F.max("piece")).first() == (300_000, 73)
     assert packing.pack(frame([], "doc_id long, text string"), packing.n_words(F.col("text"))).count() == 0
     words = frame([(1, None), (2, ""), (3, " a\x0bb\n"), (4, "é ö")], "doc_id long, text string").select("doc_id", packing.n_words(F.col("text")).alias("n"))
     assert dict(words.collect()) == {1: 0, 2: 0, 3: 2, 4: 2}

@@ -18,7 +18,7 @@ EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "a" * 300_000), (5, "word " * 50_
 
 
 def edge(frame, extra=""):
-    return frame([(*r, "kept") for r in EDGE], "doc_id long, text string, score string")
+    return frame([(*r, "gone", 8, 9) for r in EDGE], "doc_id long, text string, SCORE string, _judged int, row int")
 
 
 def test_quality_held_out_accuracy(spark):
@@ -33,7 +33,7 @@ def test_quality_edges(spark, frame):
     docs = edge(frame)
     labels = frame([(4, 0, 0), (5, 0, 0), (6, 1, 0), (6, 0, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
     out = quality.score(spark, docs, quality.fit(docs, labels))
-    assert out.columns == ["doc_id", "text", "score", "predicted"]
+    assert out.columns == ["doc_id", "text", "_judged", "row", "score", "predicted"]
     rows = out.collect()
     assert len(rows) == len(EDGE) and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id == 6}) == 1
@@ -42,6 +42,14 @@ def test_quality_edges(spark, frame):
     assert quality.score(spark, docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_tokens_are_told_apart_whole():
+    long = "a" * 30
+    forms = {quality.normal_form(t) for t in (long + "b", long + "c", "!!!", "!!?", "!!")}
+    assert len(forms) == 5
+    ids = quality.Ids({quality.normal_form(long + "b"): 1, quality.normal_form(long + "c"): 2})
+    assert list(quality.token_ids(f"{long}b {long}c {long}d", ids)) == [1, 2, 0]
+
+
 def test_temperature_is_fitted_on_rows_kept_apart():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, quality.DIM))
@@ -201,8 +209,10 @@ def test_distance_by_definition():
 
 
 def test_language_edges(spark, frame):
-    docs = frame([(*r, "en" if r[0] != 7 else None) for r in EDGE], "doc_id long, text string, lang string")
-    rows = langid.identify(spark, docs, langid.fit(docs)).collect()
+    docs = frame([(*r, "en" if r[0] != 7 else None, 1, 2, 3) for r in EDGE], "doc_id long, text string, lang string, _judged int, judged int, Lang_Pred int")
+    out = langid.identify(spark, docs, langid.fit(docs))
+    assert out.columns == ["doc_id", "text", "lang", "_judged", "judged", "lang_pred", "score"]
+    rows = out.collect()
     assert len(rows) == len(EDGE) and {r.lang_pred for r in rows if r.doc_id in (1, 2, 3)} == {"und"}
     empty = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(spark, docs, empty).collect()} == {"und"}
