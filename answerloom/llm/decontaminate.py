@@ -10,47 +10,81 @@ words of an item; an item of fewer words is one window. A document's word inside
 2. *Join.* The documents' distinct fingerprints meet those of the items in a semi-join. Spark broadcasts the items' if
    they are small and sorts both sides if not. What is left are the *candidates*, told apart by a hash of the text, so
    that copies are looked at once.
-3. *Extension.* In the candidates every k-gram is looked up among the items' fingerprints, now with its place; from
-   each meeting the run of equal words is extended to both sides, as far as a window can reach, and kept if it is a
-   whole window long. Words in kept runs are hit.
+3. *Extension.* Items are reduced to their distinct windows, each with its fingerprint. Around every place in a candidate
+   whose fingerprint an item has, the hit is extended to the window that the fingerprint is the least hash of: places
+   and windows meet by fingerprint and a hash of the whole window, and their words are then compared. A place meets one
+   window at most, so a fingerprint that many places and many items have makes no pairs of them.
+4. *Counts.* Overlapping windows are merged with a running maximum of their ends. Windows that the same items have are
+   one *set*, documents with the same sets one *family*; items are listed once for each family, not for each document.
 
 Edge cases: null texts, and texts without words, have no words and no hits; items without words have no windows, and
 an item id that repeats counts once, with the windows of all its rows. A null item id has no name and is left out.
-Repeated documents get equal results. An empty benchmark leaves all documents clean.
+Repeated documents, and several texts under one id, are judged by their own text each. An empty benchmark leaves all
+documents clean; an empty table gives an empty one. Very long texts are read whole: a text's places are rows. Columns of
+the input named like the outputs are replaced, all others but ``text`` kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import ascii_lower, materialize
+from answerloom.llm.common import Rows, ascii_lower, materialize
 
 SPAN, GRAM = 10, 5
-NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words; the first is for texts before A-Z are lower-cased.
+NOT_WORDS_RAW, NOT_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once; named columns may be put into a lambda and evaluated each time."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(ascii_lower(text), F.lit("")), NOT_WORDS), "")
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORDS), lambda w: w != "")
+def count_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), NOT_WORDS_RAW), "")).cast("long")
+
+
+class Hashes:
+    """Hashes of all runs of so many words, and least ones of neighbouring runs, as array columns of ``df``, in order.
+
+    Each array is made from two shorter ones that are columns already, so that each step is evaluated once: runs of m
+    words from runs of two lengths that add up to m, least hashes of m neighbours from those of fewer that overlap.
+    """
 
+    def __init__(self, df: DataFrame, words: str = "words"):
+        self.df = df.withColumn("run1", F.transform(words, lambda w: F.xxhash64(w)))
+        self.names = set(self.df.columns)
 
-def grams_of(words: Column, k: int) -> Column:
-    """The hashes of all k-grams, in order; none if there are fewer than k words."""
-    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(F.lit(k), *[w[i + j] for j in range(k)]))
-    return let(words, lambda w: F.when(F.size(w) >= k, hashes(w)).otherwise(F.array().cast("array<bigint>")))
+    def paired(self, name: str, a: str, b: str, step: int, width: int, what: Callable[[Column, Column], Column]) -> str:
+        """The column ``name``: entry i is made of entry i of ``a`` and entry i + step of ``b``; it spans ``width`` words."""
+        if name not in self.names:
+            n = F.greatest(F.size("run1") - (width - 1), F.lit(0))
+            self.df = self.df.withColumn(name, F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(step + 1), n), what))
+            self.names.add(name)
+        return name
 
+    def runs(self, m: int) -> str:
+        """The hashes of m consecutive words."""
+        if m == 1:
+            return "run1"
+        half = 1 << (m - 1).bit_length() - 1  # the largest power of two below m
+        return self.paired(f"run{m}", self.runs(half), self.runs(m - half), half, m, lambda a, b: F.xxhash64(a, b))
 
-def winnowed(words: Column, k: int, gap: int) -> Column:
-    """The distinct least hashes of every ``gap`` neighbouring k-grams; of all of them if there are fewer."""
-    least = lambda g: F.transform(F.sequence(F.lit(0), F.size(g) - gap), lambda i: F.least(*[g[i + j] for j in range(gap)]) if gap > 1 else g[i])
-    return F.array_distinct(let(grams_of(words, k), lambda g: F.when(F.size(g) >= gap, least(g)).otherwise(F.array().cast("array<bigint>"))))
+    def prints(self, length: int) -> str:
+        """The fingerprint of each window of so many words."""
+        k, gap = scheme(length)
+        grams = self.runs(k)
+
+        def least(m: int) -> str:
+            if m == 1:
+                return grams
+            half = 1 << (m - 1).bit_length() - 1
+            return self.paired(f"least{m}of{k}", least(half), least(half), m - half, k + m - 1, lambda a, b: F.least(a, b))
+
+        return least(gap)
 
 
 def scheme(length: int) -> tuple[int, int]:
@@ -63,70 +97,83 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n"))
 
 
+def windows(texts: DataFrame, length: int) -> DataFrame:
+    """The columns of ``texts`` with a row for each window of ``length`` of its ``words``: ``at``, ``print``, ``mark`` (a
+    hash of the whole window)."""
+    of = Hashes(texts)
+    prints, marks = of.prints(length), of.runs(length)
+    zipped = F.arrays_zip(F.col(prints).alias("print"), F.col(marks).alias("mark"))
+    return of.df.where(F.size("words") >= length).select(*texts.columns, F.posexplode(zipped).alias("at", "pair")).select(*texts.columns, "at", F.col("pair.print"), F.col("pair.mark"))
+
+
+def window_at(length: Column | int) -> Column:
+    return F.array_join(F.slice("words", F.col("at") + 1, length), " ")
+
+
+def set_mark(member: Column) -> list[Column]:
+    """Aggregates that tell sets of distinct members apart, whatever their order, without gathering them."""
+    return [F.count("*").alias("size"), F.bit_xor(F.xxhash64(F.lit(1), member)).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), member)).alias("y")]
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
-    """``documents`` without text, with ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``."""
+    """``documents`` without text, with OUTPUTS."""
+    rows = Rows(documents, OUTPUTS, drop=["text"])
+    nothing = F.sha2(F.lit(""), 256)
+    counted = documents.select(rows.row, count_words(F.col("text")).alias("n_words"), text_key(F.col("text")).alias("key"))
     items = (
-        benchmark.where("item_id is not null and text is not null").select("item_id", words_of(F.col("text")).alias("words"))
+        benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
         .where("size(words) > 0").withColumn("length", F.least(F.size("words"), F.lit(span)))
     )
     items = materialize(items)
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # `span` numbers at most
-    of_item = F.lit(None).cast("array<bigint>")
+    if not lengths:
+        none = F.lit(0).cast("long")
+        return rows.unpacked(counted, "n_words", none.alias("n_hit"), none.alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
+
+    # windows of items, and the distinct ones with the mark of the set of items that have them
+    owned = None
     for length in lengths:
-        of_item = F.when(F.col("length") == length, winnowed(F.col("words"), *scheme(length))).otherwise(of_item)
-    prints = materialize(items.select("item_id", "length", "words", F.explode(of_item).alias("print")))
+        each = windows(items.where(F.col("length") == length), length).select("item", "length", "print", "mark", window_at(length).alias("window"))
+        owned = each if owned is None else owned.unionByName(each)
+    owned = materialize(owned.distinct())
+    distinct = materialize(owned.groupBy("length", "print", "mark", "window").agg(*set_mark(F.col("item"))).select("*", F.struct("size", "x", "y").alias("set")).drop("size", "x", "y"))
 
-    # 2: candidates, by the fingerprints of all schemes
+    # 2: candidates, by the fingerprints of all lengths
     texts = documents.select("text").where("text is not null").withColumn("key", text_key(F.col("text")))
-    of_document = F.array_distinct(F.flatten(F.array(*[winnowed(F.col("words"), *scheme(n)) for n in lengths])))
-    if not lengths:
-        of_document = F.array().cast("array<bigint>")
-    exploded = texts.select("key", words_of(F.col("text")).alias("words")).select("key", F.explode(of_document).alias("print"))
-    candidates = materialize(exploded.join(prints.select("print").distinct(), "print", "left_semi").select("key").distinct())
+    of = Hashes(texts.select("key", words_of(F.col("text")).alias("words")))
+    prints = [of.prints(length) for length in lengths]
+    exploded = of.df.select("key", F.explode(F.array_distinct(F.flatten(F.array(*prints)))).alias("print"))
+    candidates = materialize(exploded.join(distinct.select("print").distinct(), "print", "left_semi").select("key").distinct())
 
-    # 3: every k-gram of the candidates against the items' fingerprints, with the places of both
+    # 3: the windows of the candidates that items have
     found = materialize(
         texts.join(candidates, "key", "left_semi").select("key", words_of(F.col("text")).alias("words")).dropDuplicates(["key"])
     )
-    runs = None
+    met = None
     for length in lengths:
-        k, _ = scheme(length)
-        own = found.select("key", F.posexplode(grams_of(F.col("words"), k)).alias("p", "print"))
-        theirs = (
-            prints.where(F.col("length") == length)
-            .select("item_id", "words", "print", F.posexplode(grams_of(F.col("words"), k)).alias("q", "gram")).where("gram = print")
-            .select("item_id", F.col("words").alias("item_words"), "print", "q")
-        )
-        met = own.join(theirs, "print").select("key", "p", "item_id", "item_words", "q")
-        both = materialize(met).join(found, "key")
-        reach = length - k
-        same = lambda step: F.get("words", F.col("p") + step).eqNullSafe(F.get("item_words", F.col("q") + step)) & F.get("words", F.col("p") + step).isNotNull()  # noqa: E731, B023
-        left, right = F.lit(0), F.lit(0)
-        for step in range(reach, 0, -1):
-            left = F.when(same(-step), 1 + left).otherwise(0)
-            right = F.when(same(k - 1 + step), 1 + right).otherwise(0)
-        grams_equal = F.slice("words", F.col("p") + 1, k) == F.slice("item_words", F.col("q") + 1, k)
-        run = (
-            both.where(grams_equal).select("key", "item_id", "p", left.alias("left"), right.alias("right"))
-            .where(F.col("left") + k + F.col("right") >= length)
-            .select("key", "item_id", (F.col("p") - F.col("left")).alias("lo"), (F.col("p") + k - 1 + F.col("right")).alias("hi")).distinct()
-        )
-        runs = run if runs is None else runs.unionByName(run)
-    kept = [F.col(f"`{c}`") for c in documents.columns if c != "text" and c not in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")]
-    counted = documents.select(*kept, F.size(words_of(F.col("text"))).cast("long").alias("n_words"), text_key(F.col("text")).alias("key"))
-    nothing = F.sha2(F.lit(""), 256)
-    if runs is None:
-        none = F.lit(0).cast("long")
-        return counted.select(*kept, "n_words", none.alias("n_hit"), none.alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
-    runs = materialize(runs)
-    hits = runs.select("key", "lo", "hi").distinct().select("key", F.explode(F.sequence("lo", "hi")).alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
-    named = (
-        runs.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key")
+        theirs = distinct.where(F.col("length") == length).drop("length")
+        each = windows(found, length).select("key", "at", "print", "mark").join(theirs, ["print", "mark"]).select("key", "at", F.lit(length).alias("length"), "window", "set")
+        met = each if met is None else met.unionByName(each)
+    same = window_at(F.col("length")) == F.col("window")
+    hits = materialize(materialize(met).join(found, "key").where(same).select("key", "at", (F.col("at") + F.col("length")).alias("end"), "set"))
+
+    # 4: words in the union of the hit windows, and items by families
+    earlier = Window.partitionBy("key").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.col("end") - F.greatest("at", F.coalesce(F.max("end").over(earlier), F.lit(0))), F.lit(0))
+    n_hit = hits.select("key", "at", "end").distinct().withColumn("fresh", fresh).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
+    sets = materialize(hits.select("key", "set").distinct())
+    families = sets.groupBy("key").agg(*set_mark(F.struct("set"))).select("key", F.struct("size", "x", "y").alias("family"))
+    results = materialize(n_hit.join(families, "key"))
+    one = results.groupBy("family").agg(F.min("key").alias("key"))  # a document of each family, and its sets
+    first = distinct.groupBy("set").agg(F.min("window").alias("window"))  # a window of each set, and its items
+    members = first.join(owned.select("window", "item").distinct(), "window").select("set", "item")
+    listed = (
+        one.join(sets, "key").join(members, "set").select("family", "item").distinct().groupBy("family")
         .agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
     )
-    results = materialize(hits.join(named, "key"))
-    return counted.join(results, "key", "left").select(
-        *kept, "n_words",
+    results = materialize(results.join(listed, "family").select("key", "n_hit", "n_items", "items_sha256"))
+    return rows.unpacked(
+        counted.join(results, "key", "left"), "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", nothing).alias("items_sha256"),

@@ -71,14 +71,57 @@ def test_decontamination(spark, frame):
     assert none.where("contaminated").count() == 0 and none.count() == len(texts)
 
 
+def test_decontamination_keeps_columns_and_counts_hot_windows_once(spark, frame):
+    """Columns with any name stay; a passage that many items and many documents have; several texts under one id."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"own{i} {passage} {'tail ' * (i % 3)}") for i in range(60)] + [(99, "q1 q2 q3")]
+    texts = [f"doc{i} {passage} {'more ' * (i % 4)} q1 q2 q3" for i in range(40)] + [passage * 2, "p1 p2 p3", None]
+    docs = frame([(i % 7, t, 1, 2, 3, 4, i) for i, t in enumerate(texts)], "doc_id long, text string, key int, N_HIT int, row int, at int, place int")
+    out = decontaminate.contamination(docs, frame(items, "item_id long, text string"))
+    assert out.columns == ["doc_id", "key", "row", "at", "place", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    got = {r.place: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in out.collect()}
+    assert got == {i: contaminated(t, items) for i, t in enumerate(texts)}
+    assert decontaminate.contamination(docs.limit(0), frame(items, "item_id long, text string")).count() == 0
+
+
+def test_decontamination_of_a_long_text(spark, frame):
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(200_000))
+    words = long.split()
+    items = [(i, " ".join(words[at : at + 12])) for i, at in enumerate([0, 5, 100_000, 199_988])]
+    got = decontaminate.contamination(frame([(1, long)], "doc_id long, text string"), frame(items, "item_id long, text string")).first()
+    assert (got.n_words, got.n_hit, got.n_items) == (200_000, 17 + 12 + 12, 4)
+
+
+@pytest.mark.parametrize("length", range(1, 14))
+def test_runs_and_winnowed_hashes_by_definition(spark, frame, length):
+    """A window's fingerprint is the least hash of its k-grams, and follows from its own words alone."""
+    rng = random.Random(length)
+    words = [[rng.choice("abc") for _ in range(n)] for n in (0, 1, length - 1, length, length + 1, 40)]
+    rows = decontaminate.windows(frame([(i, w) for i, w in enumerate(words)], "i int, words array<string>"), length).collect()
+    k, gap = decontaminate.scheme(length)
+    assert k + gap - 1 == length
+    assert sorted((r.i, r.at) for r in rows) == [(i, at) for i, w in enumerate(words) for at in range(len(w) - length + 1)]
+    seen = {}
+    for r in rows:
+        assert seen.setdefault(tuple(words[r.i][r.at : r.at + length]), (r.print, r.mark)) == (r.print, r.mark)
+    of = decontaminate.Hashes(frame([(i, w) for i, w in enumerate(words)], "i int, words array<string>"))
+    prints, grams = of.prints(length), of.runs(k)
+    for r in of.df.select(F.col(prints).alias("p"), F.col(grams).alias("g")).collect():
+        assert r.p == [min(r.g[i : i + gap]) for i in range(len(r.g) - gap + 1)]
+
+
 def test_winnowing_keeps_a_hash_of_every_shared_run(spark, frame):
     rng = random.Random(6)
     runs = [" ".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(40)]
-    rows = [(i, f"{' '.join(rng.choice('xyz') for _ in range(rng.randint(0, 9)))} {r} {' '.join(rng.choice('xyz') for _ in range(rng.randint(0, 9)))}", r) for i, r in enumerate(runs)]
-    k, gap = decontaminate.scheme(10)
-    assert k + gap - 1 == 10
-    of = lambda c: decontaminate.winnowed(decontaminate.words_of(F.col(c)), k, gap)
-    assert frame(rows, "i int, a string, b string").where(F.arrays_overlap(of("a"), of("b"))).count() == len(rows)
+    around = lambda: " ".join(rng.choice("xyz") for _ in range(rng.randint(0, 9)))
+    rows = [(i, f"{around()} {r} {around()}".split(), r.split()) for i, r in enumerate(runs)]
+    of = {c: decontaminate.Hashes(frame(rows, "i int, a array<string>, b array<string>"), c) for c in "ab"}
+    prints = {}
+    for c in "ab":
+        name = of[c].prints(10)
+        prints[c] = of[c].df.select("i", F.col(name).alias(f"of_{c}"))
+    assert prints["a"].join(prints["b"], "i").where(F.arrays_overlap("of_a", "of_b")).count() == len(rows)
 
 
 TOOLS = {"f": {"required": ["x"], "properties": {"x": "integer", "y": "string"}}}
