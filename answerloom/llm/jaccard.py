@@ -10,25 +10,32 @@ hash collisions; no partner, candidate or group is capped.
    three times there count zero), then by hash. Any order gives the same result; this one puts what many documents
    share last.
 3. *Shared prefixes.* If two sets link, their prefixes of ``n - ceil(t*n) + s`` shingles have s in common, for any s
-   up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Prefix shingles are grouped; those of one class
-   only go, and so do classes that have less than s of the rest. So a passage that many documents share makes none of
-   them a candidate unless it is half of the text or so.
-4. *Blocks.* A shingle's block is named by the least class in its group. A class enters the blocks of its shingles, but
+   up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Each prefix shingle's least and greatest class are
+   aggregated; shingles of one class only go, and so do classes that have less than s of the rest. So a passage that many
+   documents share makes none of them a candidate unless it is half of the text or so.
+4. *Blocks.* A shingle's block is named by its least class. A class enters the blocks of its shingles, but
    for the smallest of them as long as those hold less than half of s: two linked classes still meet in one block.
-5. *Walks.* A block's sets are stored in a trie and walked with one set after the other until all that is not in the
-   block's largest component has been walked. A family of near copies thus takes a few walks, and only links that join
-   components are put out, never a family's pairs. A block of more than PART shingles is dealt into parts that share one
-   reference set; what a part leaves outside of the reference's component is then walked through the other parts.
+5. *Walks.* Blocks are dealt, by a hash, into parts of SETS sets (fewer where they would hold more than PART shingles). A
+   part's sets are stored in a trie and walked with one set after the other until all that is not in the part's largest
+   component has been walked. A family of near copies thus takes a few walks, and only links that join components are put
+   out, never a family's pairs. Up to four sets of a block, its *references*, are in all of its parts, so that the parts
+   of a family meet. What is then outside of the largest component of a block in parts is walked through the other parts:
+   each link inside the block has an end there, or is inside that component.
 6. *Components* of all links.
 
 The trie is laid out as sequences in global order, most frequent shingle first, sorted, each with the length of the path
-that it shares with the one before. A walk takes over the overlap counted on the shared path, and leaves a subtree as soon
-as the overlap so far plus the most that the remaining lengths could add is too small.
+that it shares with the one before. A walk takes over the overlap counted on the shared path, and leaves a path as soon
+as the overlap so far plus the most that the remaining lengths could add is too small; where it is too small for sets of
+any length in the part, the whole subtree below that node is skipped.
+
+Documents that share most of their text, but not enough to link, are candidates of one another and are compared, by walks
+through all parts of their block: that is the one case whose cost grows faster than the number of classes.
 
 Edge cases: documents without words (null, empty, blank) have an empty set and link with nothing, so are their own
 component; fewer words than ``k`` make one shingle. Repeated rows and ties are members of the same class. A row with a
 null ``doc_id`` is in a class like any other, but can't name it: ``component_id`` is the least non-null id of its
-component; a class without any id links with nothing, and its ``component_id`` is null.
+component; a class without any id links with nothing, and its ``component_id`` is null. Very long texts are read whole.
+An empty table gives an empty one. Other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -48,8 +55,8 @@ from answerloom.llm.components import connected_components
 #: Prefix shingles that linked sets are made to share: one in SHARE of the smaller set's, LEVEL at least (fewer where
 #: the smallest sets that can link share fewer).
 LEVEL, SHARE = 4, 10
-#: Shingles that a part of a block has, about: its trie is held in memory.
-PART = 2_000_000
+#: Sets, and shingles, that a part of a block has, about: its trie is held in memory.
+SETS, PART = 128, 2_000_000
 #: Hash buckets of the filter before the second read of texts: at most so many numbers are broadcast.
 BUCKETS = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -123,6 +130,13 @@ class Trie:
             differ = np.flatnonzero(before[:m] != own[:m])
             self.depths.append(int(differ[0]) if len(differ) else m)
             before = own
+        # for each sequence the next one that leaves its predecessor's path nearer to the root
+        self.after, open_ = [len(self.keys)] * len(self.keys), []
+        for i, depth in enumerate(self.depths):
+            while open_ and self.depths[open_[-1]] > depth:
+                self.after[open_.pop()] = i
+            open_.append(i)
+        self.shortest, self.longest = min(map(len, self.paths.values())), max(map(len, self.paths.values()))
         self.overlap = np.zeros(max(map(len, self.paths.values())) + 1, np.int64)
         self.mark = np.zeros(len(self.known), bool)
 
@@ -136,23 +150,36 @@ class Trie:
 
     def walk(self, probe: np.ndarray, size: int, num: int, den: int, step: int = 512) -> list[int]:
         """The keys of the sets that link to a probe of ``size`` shingles, of which ``probe`` are the trie's."""
-        mark, overlap, counted, out = self.mark, self.overlap, 0, []
+        mark, overlap, counted, out, i = self.mark, self.overlap, 0, [], 0
         mark[probe] = True
-        for key, depth in zip(self.keys, self.depths, strict=True):
-            own = self.paths[key]
-            n, at = len(own), min(depth, counted)
+        while i < len(self.keys):
+            own = self.paths[self.keys[i]]
+            n, at = len(own), min(self.depths[i], counted)
             need = -(-num * (size + n) // (num + den))
+            first = at
             # the bound by the remaining lengths, at the node where this branch begins and then every `step` nodes
             while at < n and overlap[at] + min(n - at, size - overlap[at]) >= need:
                 more = mark[own[at : at + step]]
                 overlap[at + 1 : at + 1 + len(more)] = overlap[at] + np.cumsum(more)
                 at += len(more)
-            if at == n and overlap[at] >= need:
-                out.append(key)
             counted = at
+            i += 1
+            if at == n and overlap[at] >= need:
+                out.append(self.keys[i - 1])
+            elif i < len(self.keys) and self.depths[i] > first and (node := self.hopeless(first, at, size, num, den)) is not None:
+                while i < len(self.keys) and self.depths[i] >= node:  # all that goes on below the node
+                    i = self.after[i]
         mark[probe] = False
         return out
 
+    def hopeless(self, first: int, last: int, size: int, num: int, den: int) -> int | None:
+        """The depth, from ``first`` to ``last`` on the path walked, below which no set of any length could link."""
+        at = np.arange(first, last + 1)
+        o = self.overlap[first : last + 1]
+        n = np.clip(at + size - o, max(self.shortest, 1), self.longest)  # the length for which the bound is weakest
+        none = np.flatnonzero(o + np.minimum(np.maximum(n - at, 0), size - o) < -(-num * (size + n) // (num + den)))
+        return int(at[none[0]]) if len(none) else None
+
 
 class Union:
     """Disjoint sets with the largest of them."""
@@ -198,41 +225,28 @@ def spanning_links(sets: dict[int, np.ndarray], num: int, den: int) -> tuple[lis
 
 
 def block_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, lead, part): links within each part of a block; where a block has several parts, also a row with b null for
-    each class outside of the reference's component. ``rows``: (lead, part, parts, reference, node, set)."""
+    """(a, b): links within each part of each block. ``rows``: (lead, part, node, set)."""
     dealt = rows.repartition("lead", "part").sortWithinPartitions("lead", "part")
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = (r for batch in batches for r in zip(*[batch[c] for c in ("lead", "part", "parts", "reference", "node", "set")], strict=True))
-        out: list[tuple] = []
-        for (lead, part, parts, reference), group in groupby(each, key=lambda r: r[:4]):
-            sets = {node: np.asarray(s, np.int64) for *_, node, s in group}
-            links, union = spanning_links(sets, num, den)
-            out += [(a, b, lead, part) for a, b in links]
-            if parts > 1:
-                out += [(k, None, lead, part) for k in sets if union.find(k) != union.find(reference)]
+        each = (r for batch in batches for r in zip(*[batch[c] for c in ("lead", "part", "node", "set")], strict=True))
+        out: list[tuple[int, int]] = []
+        for _, group in groupby(each, key=lambda r: r[:2]):
+            out += spanning_links({node: np.asarray(s, np.int64) for *_, node, s in group}, num, den)[0]
             if len(out) > 10_000:
-                yield links_frame(out)
+                yield pd.DataFrame(out, columns=["a", "b"])
                 out = []
-        yield links_frame(out)
-
-    return dealt.select("lead", "part", "parts", "reference", "node", "set").mapInPandas(walked, "a long, b long, lead long, part int")
-
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-def links_frame(rows: list[tuple]) -> pd.DataFrame:
-    a, b, lead, part = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "lead": pd.array(lead, "Int64"), "part": pd.array(part, "Int32")})
+    return dealt.select("lead", "part", "node", "set").mapInPandas(walked, "a long, b long")
 
 
 def links_across(outside: DataFrame, places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links of the classes ``outside`` (a, lead, part) with the other parts of their block; ``places``: (node,
-    lead, part, parts). A part's trie is held, the outsiders pass by one at a time."""
+    """(a, b): links of the classes ``outside`` (node, lead, part, parts) with the other parts of their block; ``places``:
+    (node, lead, part). A part's trie is held, the outsiders pass by one at a time."""
     held = places.join(outside.select("lead").distinct(), "lead", "left_semi").select("lead", "part", "node", F.lit(0).alias("role"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
-    passing = (
-        outside.select("lead", "part", F.col("a").alias("node")).distinct().join(places.select("lead", "parts").distinct(), "lead")
-        .select("lead", F.explode(others).alias("part"), "node", F.lit(1).alias("role"))
-    )
+    passing = outside.select("lead", F.explode(others).alias("part"), "node", F.lit(1).alias("role"))
     rows = held.unionByName(passing).join(sets.select("node", "set"), "node")
     dealt = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "role")
 
@@ -290,9 +304,8 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
 
     # prefix shingles that several classes have, and classes with enough of them
     posted = rows.where("head is not null").select("node", "head").dropDuplicates(["node"]).select("node", F.explode("head").alias("token"))
-    of_token = Window.partitionBy("token")
-    led = posted.withColumn("lead", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token))
-    common = materialize(led.where("lead != last").drop("last"))
+    led = posted.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last")
+    common = materialize(posted.join(led.drop("last"), "token"))
     enough = common.groupBy("node").agg(F.count("*").alias("c")).join(sizes, "node").where(F.col("c") >= shared(smallest))
     enough = materialize(enough.select("node"))
 
@@ -303,22 +316,27 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
         .withColumn("dropped", F.sum("c").over(smaller)).join(sizes, "node").where(F.col("dropped") > F.floor((shared(smallest) - 1) / 2))
     )
     entered = materialize(entered.select("node", "lead", "n"))
-    blocks = entered.groupBy("lead").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / PART).cast("int").alias("parts"), F.min("node").alias("reference"))
-    blocks = materialize(blocks.where("c > 1").drop("c"))
-    of_block = entered.join(blocks, "lead")
-    places = of_block.where("node != reference or parts = 1").select("node", "lead", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts", "reference")
-    everywhere = blocks.where("parts > 1").select(F.col("reference").alias("node"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "reference")
-    places = materialize(places.unionByName(everywhere))
-    tasks = places.groupBy("node").agg(F.collect_list(F.struct("lead", "part", "parts", "reference")).alias("tasks"))
+    by_hash = F.xxhash64("node")
+    four = F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", by_hash), F.max_by("node", by_hash)))
+    parts = F.ceil(F.greatest(F.count("*") / SETS, F.sum("n") / PART)).cast("int")
+    blocks = materialize(entered.groupBy("lead").agg(F.count("*").alias("c"), parts.alias("parts"), four.alias("references")).where("c > 1").drop("c"))
+    part_of = F.pmod(F.xxhash64("node", "lead"), F.col("parts")).cast("int")
+    places = materialize(entered.join(blocks.drop("references"), "lead").select("node", "lead", part_of.alias("part"), "parts"))
+    tasks = places.groupBy("node").agg(F.collect_list(F.struct("lead", "part")).alias("tasks"))
     wanted = tasks.join(classes, "node").select(F.col("least_id").alias("doc_id"), F.col("node").alias("want"), "tasks")
     sets = sets_of(documents, order, materialize(wanted), k)
-    met = sets.select("node", "set", F.explode("tasks").alias("t")).select("t.*", "node", "set")
-    found = materialize(block_links(met, num, den))
-    links = found.where("b is not null").select("a", "b")
-    outside = found.where("b is null")
-    if not outside.isEmpty():
-        links = links.unionByName(links_across(outside, places, sets, num, den))
-    groups = connected_components(links)
+    met = sets.select("node", "set", F.explode("tasks").alias("t")).select("t.lead", "t.part", "node", "set")
+    split = blocks.where("parts > 1")
+    if not split.isEmpty():
+        referred = split.select("lead", "parts", F.explode("references").alias("node")).select("lead", "node", part_of.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        met = met.unionByName(referred.where("part != own").join(sets, "node").select("lead", "part", "node", "set"))
+    groups = connected_components(block_links(met, num, den))
+    if not split.isEmpty():
+        of_split = places.where("parts > 1").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        largest = of_split.groupBy("lead", "root").agg(F.count("*").alias("c")).groupBy("lead").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+        outside = materialize(of_split.join(largest, "lead").where("root != largest").select("node", "lead", "part", "parts", "root"))
+        if not outside.isEmpty():
+            groups = joined(groups, links_across(outside, places, sets, num, den))
     named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = materialize(named.select("node", "root").join(least, "root").select("node", "component_id"))
@@ -326,6 +344,17 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     return whole.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of ``groups``, whose components further ``links`` (a, b) join."""
+    links = materialize(links)
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    later = materialize(connected_components(ends))
+    known = groups.join(later.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    # roots that were alone till now
+    return materialize(known.unionByName(later.join(groups.select("node"), "node", "left_anti")))
+
+
 def sets_of(documents: DataFrame, order, wanted: DataFrame, k: int) -> DataFrame:
     """(node, set, tasks) of the wanted (doc_id, want, tasks), the set most frequent shingle first; one document of
     each is read again."""
@@ -345,5 +374,23 @@ def sets_of(documents: DataFrame, order, wanted: DataFrame, k: int) -> DataFrame
                 "tasks": batch["tasks"].iloc[keep].tolist(),
             })
 
-    schema = "node long, set array<long>, tasks array<struct<lead: long, part: int, parts: int, reference: long>>"
+    schema = "node long, set array<long>, tasks array<struct<lead: long, part: int>>"
     return materialize(texts.select("text", "want", "tasks").mapInPandas(ordered, schema))
+
+
+#: DuckDB SQL for the query: all pairs that share a shingle, and what is reachable by their links.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS own FROM d),
+n AS (SELECT doc_id, CAST(len(own) AS BIGINT) AS n FROM s),
+x AS (SELECT doc_id, unnest(own) AS shingle FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inside FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * inside >= 90 * (na.n + nb.n - inside)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.doc_id)
+SELECT r.doc_id, any_value(n) AS n_shingles, min(root) AS component_id FROM reach r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

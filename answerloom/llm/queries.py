@@ -78,5 +78,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_chat_formatting": chat.ORACLE,
-    "op5_warc": warc.ORACLE,
+    "op5_warc": warc.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE,
 }

@@ -237,7 +237,7 @@ def test_walks_find_what_pairs_find():
     for num, den in ((1, 2), (6, 10), (9, 10)):
         similar = lambda a, b: den * len({*sets[a]} & {*sets[b]}) >= num * len({*sets[a]} | {*sets[b]})  # noqa: B023, E731
         for step in (1, 7, 512):
-            for probe in (0, 5):
+            for probe in range(0, 80, 5):
                 got = trie.walk(trie.local(sets[probe]), len(sets[probe]), num, den, step)
                 assert sorted(got) == [i for i in sets if similar(probe, i)]
         links, union = jaccard.spanning_links(sets, num, den)
@@ -245,6 +245,17 @@ def test_walks_find_what_pairs_find():
         assert all(union.find(a) == union.find(b) for a in sets for b in sets if similar(a, b))
 
 
+def test_walks_skip_subtrees(monkeypatch):
+    """Sets that share a passage but no more: a walk from elsewhere visits their common path once, not each of them."""
+    passage = list(range(100, 180))
+    sets = {i: np.array(passage + sorted(random.Random(i).sample(range(1000, 9000), 20)), np.int64) for i in range(200)}
+    sets[200] = np.array(range(300, 400), np.int64)
+    trie, visited = jaccard.Trie(sets), []
+    paths = trie.paths
+    trie.paths = type("Paths", (), {"__getitem__": lambda _, k: visited.append(k) or paths[k]})()
+    assert trie.walk(trie.local(sets[200]), len(sets[200]), 9, 10) == [200] and len(visited) <= 5
+
+
 def spanned(monkeypatch, edges, order):
     """The components that ``spanning_links`` finds in a graph whose nodes are walked in this order."""
     near = {k: [b for e in edges for a, b in (e, e[::-1]) if a == k] for k in order}
@@ -279,11 +290,11 @@ def test_drift_chains_are_one_component_in_any_order_of_walks(monkeypatch):
         assert spanned(monkeypatch, [(i, i + 1) for i in range(n - 1) if i != split], order) == 2
 
 
-@pytest.mark.parametrize("part", [200, 1_000])
-def test_blocks_in_parts(spark, frame, monkeypatch, part):
+@pytest.mark.parametrize(("name", "most"), [("PART", 200), ("PART", 1_000), ("SETS", 2), ("SETS", 7)])
+def test_blocks_in_parts(spark, frame, monkeypatch, name, most):
     """Families much larger than a part, with outsiders, are still connected across the parts."""
-    monkeypatch.setattr(jaccard, "PART", part)
-    rng = random.Random(part)
+    monkeypatch.setattr(jaccard, name, most)
+    rng = random.Random(most)
     texts = []
     for _ in range(3):
         base = [f"{rng.choice('abcdefgh')}{rng.randint(0, 99)}" for _ in range(60)]
