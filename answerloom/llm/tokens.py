@@ -9,8 +9,9 @@ ever shuffled, and only the speed depends on the sample.
 A text that holds a special token's string goes to the library as it is, since the library cuts those out before it
 normalises. The table's pattern is checked against the file's on loading; another file gets the library for all texts.
 
-Edge cases: null and empty texts have no bytes and no tokens. Rows are counted independently. Columns of the input
-named like the outputs are replaced.
+Edge cases: null and empty texts have no bytes and no tokens. Texts are read whole, however long. Rows are counted
+independently, so repeats get equal counts. An empty table gives an empty one. Columns of the input named like the outputs
+are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from answerloom.llm.common import Rows
 from tokenizers import Tokenizer
 
 #: The file's own pre-token pattern, for which the lookup is written.
@@ -128,6 +131,6 @@ def count(spark: SparkSession, documents: DataFrame, path: str | None = None, li
             filled = ["" if t is None else t for t in texts]
             yield pd.Series([n for at in range(0, len(filled), rows) for n in own.count(filled[at : at + rows])], dtype="int64")
 
-    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
-    out = documents.select(*kept, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counted.asNondeterministic()("text").alias("n_tokens"))
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    kept = Rows(documents, ("n_bytes", "n_tokens", "over_limit"))
+    out = documents.select(kept.row, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), counted.asNondeterministic()("text").alias("n_tokens"))
+    return kept.unpacked(out, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

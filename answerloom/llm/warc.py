@@ -6,8 +6,8 @@ with equal payloads of ``least`` bytes or more, the one with the largest id is t
 which refer to it and hold no payload. Spark's text sink writes the records, with the two line breaks that end a
 record as its separator, gzipped, into the given folder: any store that Spark writes to will do.
 
-*Reading.* Spark reads whole archive files, some MB each; a task unpacks one as a stream and steps from record to
-record by their ``Content-Length``, so payloads may hold anything.
+*Reading.* Spark reads whole archive files, of RECORDS records at most; a task unpacks one as a stream and steps from
+record to record by their ``Content-Length``, so payloads may hold anything.
 
 *Assembly.* Records meet by the identifiers that they name: request and metadata join the capture that they are
 concurrent to, a revisit the response that it refers to, from which its payload's size and digest come. The result
@@ -16,6 +16,8 @@ has one nested row per capture. Payloads don't take part in these joins.
 Edge cases: a null payload is an empty one; small payloads are all responses, equal or not. A null URL is an empty one,
 line breaks in a URL become spaces. Pages that repeat in full have the same record ids: they count as that many copies
 of one capture and come back as often. A null page id comes back as null, and never becomes the response to others.
+Very long payloads are written and read whole. An empty table gives an empty one. Columns of the input other than
+``page_id``, ``url`` and ``html``, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from answerloom.llm.common import materialize, shared_dir
 EOL = "\r\n"
 #: Payloads shorter than this are never revisits.
 LEAST = 1_000
+#: Records of an archive file: a reader holds one packed file at a time.
+RECORDS = 3 * 4_000
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, page_id long, "
     "payload_bytes long, payload_digest string"
@@ -62,17 +66,13 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """``pages`` (page_id, url, html) with ``payload``, ``digest``, ``n_bytes`` and the id of its response or null."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
-        F.col("page_id").cast("long"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"),
+        F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"),
         payload.alias("payload"), F.octet_length(payload).cast("long").alias("n_bytes"), F.sha1(payload).alias("digest"),
     )
-    large = rows.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes")
-    chosen = large.agg(F.max("page_id").alias("of"), F.count("*").alias("c")).where("c > 1")
-    first = rows.where(F.col("n_bytes") >= least).select("page_id", "url", "digest", "n_bytes")
-    # (digest, id of the response, its record id) of the payloads that repeat: small without their text
-    chosen = materialize(
-        first.join(chosen.drop("c"), ["digest", "n_bytes"]).where("page_id = of").groupBy("digest", "n_bytes", "of")
-        .agg(F.min("url").alias("of_url"))
-    )
+    large = rows.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("c"))
+    # (digest, id and URL of the response) of the payloads that repeat: small without their text
+    repeated = large.where("c > 1 and top.page_id is not null")
+    chosen = materialize(repeated.select("digest", "n_bytes", F.col("top.page_id").alias("of"), F.col("top.url").alias("of_url")))
     return rows.join(chosen, ["digest", "n_bytes"], "left").withColumn("revisit", F.col("of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("of")))
 
 
@@ -95,7 +95,7 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
         ).otherwise(record("response", own, http(F.col("payload")), dated, uri, digest, ("Content-Type", "application/http; msgtype=response"))),
         record("metadata", urn("metadata", own), lines(("page-id", F.col("page_id").cast("string"))), dated, uri, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")),
     ]
-    rows.select(F.explode(F.array(*kinds)).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").text(path)
+    rows.select(F.explode(F.array(*kinds)).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def records(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:

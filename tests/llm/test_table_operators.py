@@ -184,7 +184,8 @@ def test_chat_query_has_every_fault(spark):
 def test_warc_round_trip(spark, frame, tmp_path):
     long = "WARC/1.1\r\n\r\n é " * 100
     rows = [(1, "http://a/", long), (5, "http://b/\r\nx: y", long), (3, None, long), (4, "http://c/", None), (6, "http://c/", ""), (7, "u", "short"), (8, "u", "short"), (9, "u", "z" * 1000), (9, "u", "z" * 1000), (None, "n", long), (10, "v", "\r\n\r\n\r\n")]
-    pages = frame(rows, "page_id long, url string, html string")
+    rows.append((11, "big", "é" * 2_000_000))
+    pages = frame([(*r, 1, "2") for r in rows], "page_id long, url string, html string, payload int, of string")
     out = warc.round_trip(spark, pages).collect()
     assert len(out) == len(rows)
     got = sorted((str(r.metadata.page_id), r.response.type, r.response.payload_bytes, r.response.payload_digest, str(r.refers_to.page_id) if r.refers_to else None) for r in out)
@@ -194,6 +195,13 @@ def test_warc_round_trip(spark, frame, tmp_path):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_archives_have_a_bounded_number_of_records(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    warc.write(frame([(i, "u", f"<p>{i}") for i in range(20)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    sizes = [len(list(warc.records(io.BytesIO(gzip.decompress(f.read_bytes()))))) for f in (tmp_path / "w").glob("*.gz")]
+    assert sum(sizes) == 60 and max(sizes) <= 7
+
+
 def test_warc_files_are_warc(spark, frame, tmp_path):
     warc.write(frame([(1, "http://a/", "<p>é")], "page_id long, url string, html string"), str(tmp_path / "w"))
     data = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz"))
