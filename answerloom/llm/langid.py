@@ -154,10 +154,10 @@ def length_class(text: Column) -> Column:
     return F.coalesce(F.least(F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))), F.lit(LONGEST)), F.lit(0)).cast("int")
 
 
-def bounds(spark: SparkSession, documents: DataFrame, profiles: Profiles, per_language: int = 500) -> DataFrame:
+def bounds(spark: SparkSession, documents: DataFrame, profiles: Profiles, per_language: int = 500, slack: float = SLACK) -> DataFrame:
     """(lang_pred, length_class, bound): the score below which a text is not taken for one of that language.
 
-    It is SLACK times the QUANTILE of the scores that the documents which taught the profiles have in their own
+    It is ``slack`` times the QUANTILE of the scores that the documents which taught the profiles have in their own
     language: the lesser of that over all lengths and, where ENOUGH of them
     are of the length class, over the class (long texts with much junk score far below other long ones).
     """
@@ -165,5 +165,5 @@ def bounds(spark: SparkSession, documents: DataFrame, profiles: Profiles, per_la
     found = judged.rollup("lang_pred", length_class(F.col("text")).alias("k")).agg(F.percentile("score", QUANTILE).alias("q"), F.count("*").alias("n"))
     # at most LONGEST + 2 numbers for each language
     low = {(r["lang_pred"], r["k"]): r["q"] for r in found.where("lang_pred is not null").collect() if r["k"] is None or r["n"] >= ENOUGH}
-    rows = [(name, k, SLACK * min(q, low.get((name, k), q))) for (name, every), q in low.items() if every is None for k in range(LONGEST + 1)]
+    rows = [(name, k, slack * min(q, low.get((name, k), q))) for (name, every), q in low.items() if every is None for k in range(LONGEST + 1)]
     return spark.createDataFrame(rows, "lang_pred string, length_class int, bound double")

@@ -8,7 +8,7 @@ vectors, and its probabilities are calibrated by a temperature fitted on trainin
 What is fitted, vectors included, is fitted on at most ``sample`` labelled rows (those of the smallest id hashes),
 so the model costs the same for any corpus; scoring is one pass over whole texts without a shuffle.
 
-Tokens are runs of word characters or of symbols. A token like the one before it, an upper-case word of two letters
+Tokens are runs of word characters, and single symbols. A token like the one before it, an upper-case word of two letters
 or more, and a number become markers, so that shape and repetition have vectors too.
 
 Edge cases: null and empty texts have no tokens, so the zero vector, and a defined score (the network's at zero).
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.common import Rows, held_out, materialize
 
-TOKEN = re.compile(r"\w+|[^\w\s]+")
+TOKEN = re.compile(r"\w+|[^\w\s]")
 SAME, UPPER, NUMBER = "<same>", "<upper>", "<number>"
 #: Of the random indexing: dimensions, non-zeros of an index vector, tokens to either side.
 DIM, NONZERO, WINDOW = 48, 6, 2
