@@ -1,5 +1,6 @@
 """The pipeline against plain versions of its stages."""
 
+import os
 import random
 
 import corpus_pipeline
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerloom.llm import packing, quality
-from answerloom.llm.common import materialize, table
+from answerloom.llm.common import materialize, scope, shared_dir, table
 from tests_llm_plain import contaminated, groups
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +119,62 @@ def test_unlearnt_languages_and_letter_noise_go(spark):
     docs = docs.unionByName(planted.select([F.col(c).cast(t) for c, t in docs.dtypes]))
     kept = ids(corpus_pipeline.language_id(spark, docs, SF))
     assert kept == {r.doc_id for r in docs.collect() if r.doc_id >= 0 and any(c.isalpha() for c in r.text or "")}
+
+
+CLASHES = ["score", "Predicted", "_row", "row", "doc", "number", "key", "lang_pred", "length_class", "bound", "contaminated", "n_words", "n_tokens", "component_id"]
+
+
+def clashing(docs):
+    """The same rows with columns that have names which stages use, and one of a type that can't be compared."""
+    return docs.select("*", *[F.col("doc_id").alias(c) for c in CLASHES], F.create_map(F.lit("k"), F.col("doc_id")).alias("place"))
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_of_any_name(spark, steps, k):
+    out = corpus_pipeline.STAGES[k][1](spark, clashing(steps[k]), SF)
+    assert out.columns == [*steps[k].columns, *CLASHES, "place"]
+    rows = out.collect()
+    assert all(r[c] == r.doc_id for r in rows for c in CLASHES) and all(r.place == {"k": r.doc_id} for r in rows)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in steps[k + 1].select("doc_id").collect())
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_empty_tables(spark, steps, k):
+    out = corpus_pipeline.STAGES[k][1](spark, steps[k].limit(0), SF)
+    assert out.count() == 0 and sorted(out.columns) == sorted(steps[k + 1].columns)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_rows(spark, steps, k):
+    """Null ids and texts, repeats, and very long texts beside ordinary rows."""
+    rng = random.Random(k)
+    long = " ".join(f"w{rng.randrange(900)}" for _ in range(120_000))
+    pairs = [(None, None), (None, ""), (-1, None), (-2, long), (-2, long), (None, "a" * 300_000), (-3, "x"), (-3, "y")]
+    odd = spark.createDataFrame([(d, t, None, None, None) for d, t in pairs], SCHEMA)
+    docs = steps[k].unionByName(odd.select([F.col(c).cast(t) for c, t in steps[k].dtypes]))
+    out = corpus_pipeline.STAGES[k][1](spark, docs, SF).select("doc_id").collect()
+    assert {r.doc_id for r in out} >= ({r.doc_id for r in steps[k + 1].select("doc_id").collect()} if k > 1 else set())
+    got = sorted((r.doc_id for r in out if r.doc_id is None or r.doc_id < 0), key=str)
+    expected = {
+        2: [-1, -2, -3, -3, None, None, None],  # of the two long copies one stays
+        3: sorted((d for d, _ in pairs), key=str),
+        4: sorted([*(d for d, _ in pairs), *[-2] * 2 * (120_000 // 4096)], key=str),
+    }
+    assert got == expected.get(k, got)
+
+
+def test_language_stage_keeps_chosen_languages(spark, steps):
+    docs = steps[1]
+    kept = corpus_pipeline.language_id(spark, docs, SF, languages=["de"])
+    everything = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert 0 < kept.count() < len(everything)
+    assert all(r.lang in ("de", None) and r.doc_id in everything for r in kept.collect())
+
+
+def test_what_stages_write_for_themselves_goes(spark):
+    shared = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    with scope():
+        assert corpus_pipeline.run(spark, SF).count() > 0
+        assert 5 <= len(set(os.listdir(shared)) - before) <= 8  # four stages' results, and what the last one reads
+    assert set(os.listdir(shared)) == before
