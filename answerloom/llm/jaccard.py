@@ -10,9 +10,10 @@ hash collisions; no partner, candidate or group is capped.
    three times there count zero), then by hash. Any order gives the same result; this one puts what many documents
    share last.
 3. *Shared prefixes.* If two sets link, their prefixes of ``n - ceil(t*n) + s`` shingles have s in common, for any s
-   up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Each prefix shingle's least and greatest class are
-   aggregated; shingles of one class only go, and so do classes that have less than s of the rest. So a passage that many
-   documents share makes none of them a candidate unless it is half of the text or so.
+   up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Prefix shingles of one class only go, and so do
+   classes that have less than s of the rest. So a passage that many documents share makes none of them a candidate unless
+   it is half of the text or so. Shingles that the sample holds as frequent, FREQUENT at most, never meet in a task: their
+   least and greatest classes are aggregated and broadcast. The others are shuffled and meet by shingle.
 4. *Blocks.* A shingle's block is named by its least class. A class enters the blocks of its shingles, but
    for the smallest of them as long as those hold less than half of s: two linked classes still meet in one block.
 5. *Walks.* Blocks are dealt, by a hash, into parts of SETS sets (fewer where they would hold more than PART shingles). A
@@ -56,7 +57,9 @@ from answerloom.llm.components import connected_components
 #: the smallest sets that can link share fewer).
 LEVEL, SHARE = 4, 10
 #: Sets, and shingles, that a part of a block has, about: its trie is held in memory.
-SETS, PART = 128, 2_000_000
+SETS, PART = 64, 2_000_000
+#: Shingles that the sample holds as frequent, at most: so many numbers are broadcast.
+FREQUENT = 200_000
 #: Hash buckets of the filter before the second read of texts: at most so many numbers are broadcast.
 BUCKETS = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -89,16 +92,18 @@ class Order:
         at = np.argsort(hashes)
         self.hashes, self.counts = hashes[at], np.minimum(counts[at], 65_535).astype(np.uint16)
 
-    def rarest_first(self, own: np.ndarray) -> np.ndarray:
-        """An ascending set in global order."""
+    def counts_of(self, own: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
-            return own
+            return np.zeros(len(own), np.uint16)
         at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
-        counts = np.where(self.hashes[at] == own, self.counts[at], 0)
-        return own[np.argsort(counts, kind="stable")]
+        return np.where(self.hashes[at] == own, self.counts[at], 0)
+
+    def rarest_first(self, own: np.ndarray) -> np.ndarray:
+        """An ascending set in global order."""
+        return own[np.argsort(self.counts_of(own), kind="stable")]
 
 
-def fit_order(documents: DataFrame, k: int, sample: int = 6_000, most: int = 200_000) -> Order:
+def fit_order(documents: DataFrame, k: int, sample: int = 6_000, most: int = FREQUENT) -> Order:
     """Frequencies in ``sample`` documents at most; it bears on the speed only, never on the links."""
     chosen = documents.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     # at most `sample` ids, by the limit
@@ -280,22 +285,26 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, heads = [], [], []
+            nodes, sizes, heads, often = [], [], [], []
             for text in batch["text"]:
                 own = shingles(text, k)
                 n = len(own)
                 node = node_of(own)
-                head = None
+                head = frequent = None
                 # a set so small that nothing but an equal one can link needs no prefix; a class needs one in each task
                 if n and (num * n <= den * (n - 1) or num * (n + 1) <= den * n) and node not in seen:
                     seen.add(node)
-                    head = order.value.rarest_first(own)[: n - -(-num * n // den) + max(level, n // SHARE)].view(np.int64)
+                    prefix = order.value.rarest_first(own)[: n - -(-num * n // den) + max(level, n // SHARE)]
+                    known = order.value.counts_of(prefix) > 0
+                    head, frequent = prefix[~known].view(np.int64), prefix[known].view(np.int64)
                 nodes.append(node)
                 sizes.append(n)
                 heads.append(head)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": sizes, "node": pd.array(nodes, "Int64"), "head": heads})
+                often.append(frequent)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": sizes, "node": pd.array(nodes, "Int64"), "head": heads, "often": often})
 
-    rows = materialize(documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(prefixes, "doc_id long, n int, node long, head array<long>"))
+    schema = "doc_id long, n int, node long, head array<long>, often array<long>"
+    rows = materialize(documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(prefixes, schema))
     classes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n")))
     sizes = classes.select("node", "n")
     # what a pair must share, by its smaller set's size; of a set whose partner is unknown, by the smallest partner's
@@ -303,9 +312,13 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     smallest = F.ceil(F.col("n") * num / den)
 
     # prefix shingles that several classes have, and classes with enough of them
-    posted = rows.where("head is not null").select("node", "head").dropDuplicates(["node"]).select("node", F.explode("head").alias("token"))
-    led = posted.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead != last")
-    common = materialize(posted.join(led.drop("last"), "token"))
+    heads = rows.where("head is not null").dropDuplicates(["node"])
+    of_token = Window.partitionBy("token")
+    rare = heads.select("node", F.explode("head").alias("token")).withColumn("lead", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token))
+    often = heads.select("node", F.explode("often").alias("token"))
+    led = often.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))  # FREQUENT rows at most
+    common = rare.select("node", "token", "lead", "last").unionByName(often.join(F.broadcast(led), "token"))
+    common = materialize(common.where("lead != last").drop("last"))
     enough = common.groupBy("node").agg(F.count("*").alias("c")).join(sizes, "node").where(F.col("c") >= shared(smallest))
     enough = materialize(enough.select("node"))
 
