@@ -60,3 +60,6 @@ PROMPT_JUDGE = (
 #: Dollars for a million tokens read and written, pixels of a training image, side of a square canvas.
 PRICE_IN, PRICE_OUT = 1.0, 5.0
 MAX_PIXELS, CANVAS, THUMBNAIL = 786_432, 608, 1_024
+
+#: The colours between which deltas are shown, at the baseline, below and above it.
+DELTA_NONE, DELTA_BELOW, DELTA_ABOVE = (0x3A, 0x42, 0x50), (0x5B, 0x8D, 0xD6), (0xB8, 0x7D, 0x26)

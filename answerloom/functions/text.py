@@ -43,11 +43,12 @@ def drop_punctuation(x: Column) -> Column:
 
 def plain_words(x: Column) -> Column:
     """Lower-cased words: number words as digits, articles dropped, contractions with their apostrophes."""
-    mapping = lambda pairs: F.create_map(*[F.lit(s) for pair in pairs.items() for s in pair])
+    # most words are no keys: a hash set tells, so that few of them search the map
+    mapped = lambda pairs, w: F.when(w.isin(*pairs), F.element_at(F.create_map(*[F.lit(s) for pair in pairs.items() for s in pair]), w)).otherwise(w)
     words = F.filter(F.split(F.lower(x), rf"(?U){SPACE}+"), lambda w: w != "")
-    words = F.transform(words, lambda w: F.coalesce(F.try_element_at(mapping(NUMBERS), w), w))
+    words = F.transform(words, lambda w: mapped(NUMBERS, w))
     words = F.filter(words, lambda w: ~w.isin(*ARTICLES))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(mapping(CONTRACTIONS), w), w)), " ")
+    return F.array_join(F.transform(words, lambda w: mapped(CONTRACTIONS, w)), " ")
 
 
 def normalize_answer(x: Column) -> Column:

@@ -28,10 +28,12 @@ def from_annotators(rows: DataFrame, dataset: str = "vqav2") -> DataFrame:
     return rows.select(F.lit(dataset).alias("dataset"), F.col("question_id").cast("string").alias("qid"), "image", "question", F.col("answers.answer").alias("answers"), "answer_type")
 
 
-def from_instructions(instructions: DataFrame, images: DataFrame, dataset: str = "gqa") -> DataFrame:
-    """(id, imageId, question, answer, types.structural) with their images (id, image)."""
-    rows = payloads(instructions, "imageId", images.select(F.col("id").alias("image_id"), "image"), "image_id")
-    return rows.select(F.lit(dataset).alias("dataset"), F.col("id").cast("string").alias("qid"), "image", "question", F.array("answer").alias("answers"), F.col("types.structural").alias("answer_type"))
+def from_instructions(instructions: DataFrame, images: DataFrame, dataset: str = "gqa", order: Column | None = None) -> DataFrame:
+    """(id, imageId, question, answer, types.structural) with their images (id, image); every image must be there, and
+    of one that repeats the last by ``order``, a column of ``images``, counts."""
+    named = images.withColumnRenamed("id", "image_id").withColumnRenamed("image", "payload")
+    rows = payloads(instructions, "imageId", named, "image_id", order)
+    return rows.select(F.lit(dataset).alias("dataset"), F.col("id").cast("string").alias("qid"), F.col("payload").alias("image"), "question", F.array("answer").alias("answers"), F.col("types.structural").alias("answer_type"))
 
 
 def from_counting(rows: DataFrame, tag: str, dataset: str = "clevr") -> DataFrame:
@@ -49,10 +51,11 @@ def message(role: str, content: Column) -> Column:
 
 
 def chat_messages(question: Column, uri: Column, template: str) -> Column:
-    """One user message of an image part and a text part."""
-    none = F.lit(None).cast("string")
-    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("image_url"))
-    return F.array(F.struct(F.lit("user").alias("role"), F.array(part("image_url", none, uri), part("text", fill(template, question=question), none)).alias("content")))
+    """One user message of an image part and a text part; ``to_json`` leaves out what a part doesn't have."""
+    none = F.lit(None).cast("struct<url: string>")
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), url.alias("image_url"), text.alias("text"))
+    parts = F.array(part("image_url", F.lit(None).cast("string"), F.struct(uri.alias("url"))), part("text", fill(template, question=question), none))
+    return F.array(F.struct(F.lit("user").alias("role"), parts.alias("content")))
 
 
 def to_supervised(examples: DataFrame) -> DataFrame:

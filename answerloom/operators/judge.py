@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.tables import PRICE_IN, PRICE_OUT, PROMPT_JUDGE
 from answerloom.functions.text import fill, normalize_answer, strip
+from answerloom.operators.splits import with_running
 from answerloom.operators.tables import upsert
+from answerloom.schemas import JUDGMENTS
+from answerloom.sources.scratch import materialize
 
 #: Requests (key, request struct) to (key, verdict boolean, cost_usd double); requests that fail may be missing.
 Provider = Callable[[DataFrame], DataFrame]
@@ -68,41 +71,87 @@ def spend(cache: DataFrame) -> DataFrame:
 
 
 def unanswered(items: DataFrame, cache: DataFrame) -> DataFrame:
-    """Items whose key the cache lacks, the first (by ``pos``) of each key."""
-    first = Window.partitionBy("key").orderBy("pos")
-    return items.join(cache.select("key"), "key", "left_anti").withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    """Items whose key the cache lacks, the first (by ``pos``) of each key; a key with many items costs nothing special."""
+    missing = items.join(cache.select("key"), "key", "left_anti")
+    values = [c for c in items.columns if c != "key"]
+    return missing.groupBy("key").agg(F.min_by(F.struct(*values), "pos").alias("_first")).select("key", "_first.*").select(items.columns)
 
 
-def judge_many(items: DataFrame, cache: DataFrame, provider: Provider, budget: float, created: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def asked(requests: DataFrame, provider: Provider, created: float, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The provider's answers (JUDGMENTS), which ``keep`` has written before anything reads them: it is asked once."""
+    answers = provider(requests).select("key", F.col("verdict").cast("int").alias("verdict"), "cost_usd", F.lit(created).alias("created"))
+    return keep(answers)
+
+
+def judge_many(
+    items: DataFrame, cache: DataFrame, provider: Provider, budget: float, created: float = 0.0, keep: Callable[[DataFrame], DataFrame] = materialize
+) -> tuple[DataFrame, DataFrame]:
     """(items with ``verdict``, the new cache). The cap is tested once, before anything is asked; a request without an
-    answer counts as no. Every key is asked once, and the rows keep their ``pos``."""
-    todo = unanswered(items, cache)
+    answer counts as no. Every key is asked once, however often the results are read: ``keep`` writes the answers and
+    reads them back (``files.kept`` into a verdict table; else into the shared folder). The rows keep their ``pos``."""
+    items = materialize(items)
+    todo = materialize(unanswered(items, cache))
     if not todo.isEmpty() and spend(cache).first()[0] >= budget:
         raise BudgetExceeded(f"the cap of {budget} dollars is reached")
-    new = provider(todo).select("key", F.col("verdict").cast("int").alias("verdict"), "cost_usd", F.lit(created).alias("created"))
-    merged = upsert(cache, new, ["key"])
+    merged = upsert(cache, asked(todo, provider, created, keep), ["key"])
     answered = items.join(merged.select("key", "verdict"), "key", "left").withColumn("verdict", F.coalesce(F.col("verdict") == 1, F.lit(False)))
     return answered, merged
 
 
-def budget_rewards(rows: DataFrame, cache: DataFrame, budget: float, group: str | None = None) -> DataFrame:
+def first_asks(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """(key, pos) of the calls that judging ``rows`` in order would make: each key's first eligible row, if not cached."""
+    return rows.where("eligible").groupBy("key").agg(F.min("pos").alias("pos")).join(cache.select("key"), "key", "left_anti")
+
+
+def blocked_from(calls: DataFrame, spent: float, budget: float) -> int | None:
+    """The ``pos`` of the first of ``calls`` (pos, cost_usd) for which the spend before it has reached the cap."""
+    running = with_running(calls, [F.col("pos")], F.col("cost_usd"), "_before")
+    return running.where(F.col("_before") + spent >= budget).agg(F.min("pos")).first()[0]
+
+
+def fallen_back(rows: DataFrame, stop: int | None) -> DataFrame:
+    judged = F.col("eligible") & (F.lit(stop is None) | (F.col("pos") < F.lit(stop)))
+    return rows.withColumn("reward", F.when(judged, F.coalesce(F.col("verdict"), F.lit(False)).cast("double")).otherwise(F.col("base")))
+
+
+def budget_rewards(rows: DataFrame, cache: DataFrame, budget: float) -> DataFrame:
     """Sequential judging under a cap, in ``pos`` order: ``rows`` (pos, key, base, eligible, verdict, cost_usd) get
     ``reward``.
 
     An eligible row is asked unless its key was cached or asked before. The first such call for which the spend before
-    it has reached the cap is blocked, and from there on every eligible row falls back to its base score.
-    ``group`` parts independent sequences, each with the whole cap; without it the sequence is one, and its windows
-    run in one task, as sequences do.
+    it has reached the cap is blocked, and from there on every eligible row falls back to its base score. Only the calls
+    are put in order, in ranges; the rows learn one number, the place of the blocked call.
+    """
+    cost = rows.groupBy("key").agg(F.min_by("cost_usd", "pos").alias("cost_usd"))
+    calls = first_asks(rows, cache).join(cost, "key")
+    return fallen_back(rows, blocked_from(calls, spend(cache).first()[0], budget))
+
+
+def judge_rewards(
+    rows: DataFrame, cache: DataFrame, provider: Provider, budget: float, price: float, created: float = 0.0, keep: Callable[[DataFrame], DataFrame] = materialize
+) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``reward``, the new cache): the judge's reward whole, from gate to cache, provider and cap.
+
+    ``rows``: (pos, key, base, answer) and what the provider reads. Rows that pass the gate are judged in ``pos`` order
+    under the cap, as ``budget_rewards`` says. ``price`` is the most that a call can cost: calls are asked in rounds, in
+    each all that the cap allows even at that price, after which their true costs may allow more. So none is asked that
+    judging one after the other would not ask, and every round asks one at least. A request without an answer costs
+    nothing and counts as no.
     """
-    by = [group] if group else []
+    rows = materialize(rows.withColumn("eligible", needs_judge(F.col("base"), F.col("answer"))))
+    calls = materialize(first_asks(rows, cache))
     spent = spend(cache).first()[0]
-    known = cache.select("key", F.lit(True).alias("_cached"))
-    rows = rows.join(known, "key", "left").withColumn("_cached", F.coalesce("_cached", F.lit(False)))
-    first = Window.partitionBy(*by, "key", "eligible").orderBy("pos")
-    rows = rows.withColumn("_asks", F.col("eligible") & ~F.col("_cached") & (F.row_number().over(first) == 1))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_spent", F.lit(spent) + F.coalesce(F.sum(F.when(F.col("_asks"), F.col("cost_usd")).otherwise(0.0)).over(before), F.lit(0.0)))
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    rows = rows.withColumn("_stop", F.min(F.when(F.col("_asks") & (F.col("_spent") >= budget), F.col("pos"))).over(whole))
-    judged = F.col("eligible") & (F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
-    return rows.withColumn("reward", F.when(judged, F.coalesce(F.col("verdict"), F.lit(False)).cast("double")).otherwise(F.col("base"))).drop("_cached", "_asks", "_spent", "_stop")
+    answers = rows.sparkSession.createDataFrame([], JUDGMENTS)
+    while True:
+        priced = calls.join(answers.select("key", F.col("cost_usd").alias("_cost")), "key", "left").withColumn("cost_usd", F.coalesce("_cost", F.lit(price)))
+        running = with_running(priced, [F.col("pos")], F.col("cost_usd"), "_before")
+        todo = materialize(running.where(F.col("_cost").isNull() & (F.col("_before") + spent < budget)).select("key", "pos"))
+        if todo.isEmpty():
+            break
+        got = asked(rows.join(todo, ["key", "pos"], "left_semi"), provider, created, keep)
+        none = [F.coalesce("verdict", F.lit(0)).alias("verdict"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.lit(created).alias("created")]
+        answers = materialize(answers.unionByName(todo.select("key").join(got.drop("created"), "key", "left").select("key", *none)))
+    stop = blocked_from(calls.join(answers, "key", "left").withColumn("cost_usd", F.coalesce("cost_usd", F.lit(price))).select("pos", "cost_usd"), spent, budget)
+    merged = upsert(cache, answers, ["key"])
+    judged = rows.join(merged.select("key", (F.col("verdict") == 1).alias("verdict")), "key", "left")
+    return fallen_back(judged, stop).drop("verdict"), merged

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions.metrics import fraction, value
+from answerloom.functions.tables import DELTA_ABOVE, DELTA_BELOW, DELTA_NONE
 from answerloom.functions.text import extract_answer, fixed, remove_suffix, signed, strip
 from answerloom.operators.splits import sample_rows
+from answerloom.schemas import RUN
 
 
 def kind(answer_type: Column) -> Column:
@@ -46,6 +48,23 @@ def run_records(scored: DataFrame, run: list[str]) -> DataFrame:
     return overall.join(per_type, run).select(*run, "n", F.struct("overall", "by_answer_type").alias("metrics"))
 
 
+def run_documents(records: DataFrame, run_id: str, dataset: str, **fixed: Column) -> DataFrame:
+    """Run records in the declared schema, RUN, from ``run_records``: ``run_id`` names the run, to which the data set
+    (a column of the records) is added. ``fixed``: all fields of the schema but the counts and metrics, by name with
+    ``__`` for a dot (``model__base``, ``gen__max_tokens``, ...); those not given are null."""
+    given = {"run_id": F.concat_ws("-", F.lit(run_id), F.col(dataset)), "eval__dataset": F.col(dataset), "eval__n": F.col("n"), "metrics": F.col("metrics")} | fixed
+
+    def value(field, path: str) -> Column:
+        if path in given:
+            return given[path].cast(field.dataType).alias(field.name)
+        if hasattr(field.dataType, "fields"):
+            return F.struct(*[value(f, f"{path}__{f.name}") for f in field.dataType.fields]).alias(field.name)
+        return F.lit(None).cast(field.dataType).alias(field.name)
+
+    schema = records.sparkSession.createDataFrame([], RUN).schema
+    return records.select(*[value(f, f.name) for f in schema.fields])
+
+
 def results_by_dataset(runs: DataFrame, datasets: list[str]) -> DataFrame:
     """(run, one column for each data set) from run records (run_id, dataset, overall, file); the last file wins, and a
     run id loses its ``-dataset`` end."""
@@ -113,10 +132,12 @@ def study(predictions: DataFrame, judged: DataFrame, overall: DataFrame, by: lis
 
 
 def advantages(rewards: DataFrame, group: str) -> DataFrame:
-    """Rewards relative to their group: less its mean, over its standard deviation (0 where that is 0)."""
-    w = Window.partitionBy(group)
-    spread = F.stddev_samp("reward").over(w)
-    return rewards.withColumn("advantage", F.when(spread > 0, (F.col("reward") - F.avg("reward").over(w)) / spread).otherwise(0.0))
+    """Rewards relative to their group: less its mean, over its standard deviation (0 where that is 0 or undefined).
+
+    Mean and spread are aggregated and joined back, so a large group is never in one task."""
+    spread = rewards.groupBy(group).agg(F.avg("reward").alias("_mean"), F.stddev_samp("reward").alias("_spread"))
+    joined = rewards.join(spread.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left")
+    return joined.withColumn("advantage", F.when(F.col("_spread") > 0, (F.col("reward") - F.col("_mean")) / F.col("_spread")).otherwise(0.0)).drop("_mean", "_spread", "_group")
 
 
 def discover(runs: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -131,11 +152,13 @@ def results_payload(results: DataFrame) -> DataFrame:
     return results.groupBy("run").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(percent)))).alias("payload"))
 
 
-def blended(delta: Column, most: Column, low: tuple[int, int, int], mid: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
-    """A diverging colour: from ``mid`` towards ``high`` or ``low`` by the delta's share of the largest."""
-    share = F.least(F.abs(delta) / F.greatest(most, F.lit(1e-9)), F.lit(1.0))
-    channel = lambda k: F.round(F.lit(mid[k]) + F.when(delta >= 0, F.lit(high[k] - mid[k])).otherwise(F.lit(low[k] - mid[k])) * share).cast("int")
-    return F.format_string("rgb(%d, %d, %d)", *[channel(k) for k in range(3)])
+def delta_colour(delta: Column, most: Column) -> Column:
+    """A diverging colour: from that of no delta towards that of one above or below, by its share of the largest."""
+    share = F.least(F.abs(delta) / most, F.lit(1.0))
+    towards = lambda a, b: F.when(delta >= 0, F.lit(b)).otherwise(F.lit(a))
+    # halves are rounded up, below zero too
+    each = [F.floor(F.lit(mid) + (towards(low, high) - mid) * share + 0.5).cast("int") for mid, low, high in zip(DELTA_NONE, DELTA_BELOW, DELTA_ABOVE, strict=True)]
+    return F.format_string("rgb(%d,%d,%d)", *each)
 
 
 def elapsed(started_ms: Column, finished_ms: Column) -> Column:

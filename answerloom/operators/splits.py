@@ -1,7 +1,7 @@
 """Deterministic assignment of rows to training and evaluation splits.
 
 Order is a column: a seeded hash of the row's key. A *global* position would need one sorted partition, so rows are
-ranged over many, counted, and offset by the sum of the partitions before theirs (``with_position``).
+dealt into sorted ranges, written once, counted, and offset by the sum of the ranges before theirs (``with_running``).
 """
 
 from __future__ import annotations
@@ -9,32 +9,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from answerloom.sources.scratch import materialize
+
 
 def shuffle_key(seed: int, key: Column) -> Column:
     """The seeded shuffle: sort by this, then by the key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def with_running(df: DataFrame, order: list[Column], amount: Column, name: str, buckets: int = 256) -> DataFrame:
-    """``df`` with the sum of ``amount`` over all rows before each in ``order``.
+def with_running(df: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over all rows before each in ``order``, of columns of any type.
 
-    Rows are dealt into ``buckets`` ranges of the first order column's sort value by a partial sum per range, whose
-    totals (one number for each range) are summed in order and joined back; within a range a window adds up.
+    The input is computed once: rows are dealt into ranges of the whole order, so ties in its first column part, and
+    written with the number of their range. One total for each range, summed in order, is joined back; within a range a
+    window adds up.
     """
-    first = order[0]
-    bounds = [r for r in df.select(F.percentile_approx(first, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)).first()[0] or []]
-    ranged = df.withColumn("_bucket", F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < first)), F.lit(0)) if bounds else F.lit(0))
-    totals = ranged.groupBy("_bucket").agg(F.sum(amount).alias("_total"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_total"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = ranged.withColumn("_in", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    return summed.join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_in")).drop("_bucket", "_start", "_in")
+    # as many rows as there are ranges
+    return summed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_start", "_in")
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "position", buckets: int = 256) -> DataFrame:
-    """``df`` with each row's place, from 0, in ``order`` (which must be numeric in its first column)."""
-    return with_running(df, order, F.lit(1), name, buckets)
+def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's place, from 0, in ``order``."""
+    return with_running(df, order, F.lit(1), name)
 
 
 def quota_split(rows: DataFrame, count: str, order: list[Column], n_first: int, n_second: int) -> DataFrame:
@@ -46,23 +48,25 @@ def quota_split(rows: DataFrame, count: str, order: list[Column], n_first: int,
     """
     if n_second < 1:
         raise ValueError("the second bucket must hold one item at least")
-    running = with_running(rows, order, F.col(count), "_before")
-    second = with_running(running.where(F.col("_before") >= n_first), order, F.col(count), "_second")
-    filled = second.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    if filled < n_second:
-        raise ValueError(f"only {filled} of {n_second} items for the second bucket")
-    a = running.where(F.col("_before") < n_first).withColumn("_room", F.lit(n_first) - F.col("_before")).withColumn("bucket", F.lit("first"))
-    b = second.where(F.col("_second") < n_second).withColumn("_room", F.lit(n_second) - F.col("_second")).withColumn("bucket", F.lit("second")).drop("_second")
-    both = a.unionByName(b).withColumn("_n", F.least(F.col(count).cast("long"), F.col("_room").cast("long"))).where("_n > 0")
-    return both.withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_before", "_room", "_n")
+    running = materialize(with_running(rows, order, F.col(count), "_before"))
+    # the second bucket's sum runs from the first row that the first bucket doesn't need
+    later = running.where(F.col("_before") >= n_first).agg(F.min("_before").alias("start"), F.coalesce(F.sum(count), F.lit(0)).alias("filled")).first()
+    if later["filled"] < n_second:
+        raise ValueError(f"only {later['filled']} of {n_second} items for the second bucket")
+    start = later["start"]
+    first = F.col("_before") < n_first
+    room = F.when(first, F.lit(n_first) - F.col("_before")).otherwise(F.lit(n_second + start) - F.col("_before")).cast("long")
+    both = running.where(first | (F.col("_before") < n_second + start)).withColumn("bucket", F.when(first, "first").otherwise("second"))
+    both = both.withColumn("_n", F.least(F.col(count).cast("long"), room)).where("_n > 0")
+    return both.withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_before", "_n")
 
 
 def disjoint_split(rows: DataFrame, key: str, order: list[Column], n_first: int, n_second: int) -> DataFrame:
     """The first ``n_first`` rows, then up to ``n_second`` later rows whose key none of those has; ``bucket`` tells."""
-    placed = with_position(rows, order, "_at")
+    placed = materialize(with_position(rows, order, "_at"))
     first = placed.where(F.col("_at") < n_first)
     rest = placed.where(F.col("_at") >= n_first).join(first.select(key).distinct(), key, "left_anti")
-    second = with_position(rest, order, "_next").where(F.col("_next") < n_second).drop("_next")
+    second = with_position(rest, [F.col("_at")], "_next").where(F.col("_next") < n_second).drop("_next")
     return first.withColumn("bucket", F.lit("first")).unionByName(second.withColumn("bucket", F.lit("second"))).drop("_at")
 
 

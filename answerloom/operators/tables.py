@@ -6,9 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those of the same key. Keys of ``new`` must be unique."""
-    return old.join(new.select(*keys), keys, "left_anti").select(old.columns).unionByName(new.select(old.columns))
+def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``; fails the job where a key repeats."""
+    values = [c for c in rows.columns if c not in keys]
+    once = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.to_json(F.struct(*keys))))).otherwise(F.col(keys[0]))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in values])
+    return counted.withColumn(keys[0], once).select(rows.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of the same key. Of rows of ``new`` with one key the last by
+    ``order`` counts; without an order a repeated key fails the job."""
+    values = [c for c in old.columns if c not in keys]
+    new = unique(new.select(old.columns), keys) if order is None else last_wins(new, keys, order, values).select(old.columns)
+    return old.join(new.select(*keys), keys, "left_anti").select(old.columns).unionByName(new)
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: Column, values: list[str]) -> DataFrame:
@@ -16,10 +27,22 @@ def last_wins(rows: DataFrame, keys: list[str], order: Column, values: list[str]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, "_v.*")
 
 
-def payloads(instructions: DataFrame, key: str, images: DataFrame, image_key: str) -> DataFrame:
-    """Instructions with their image's columns. Images nobody asks for are dropped before anything wide moves."""
-    needed = instructions.select(F.col(key).alias(image_key)).distinct()
-    return instructions.join(images.join(needed, image_key, "left_semi").withColumnRenamed(image_key, key), key)
+def looked_up(rows: DataFrame, key: str, table: DataFrame, table_key: str, order: Column | None = None) -> DataFrame:
+    """``rows`` with the columns of their key's row of ``table``; fails the job where there is none.
+
+    Of rows of ``table`` with one key the last by ``order`` counts; without an order a repeated key fails the job. Rows
+    that nobody asks for are dropped before anything wide moves.
+    """
+    values = [c for c in table.columns if c != table_key]
+    held = table.join(rows.select(F.col(key).alias(table_key)).distinct(), table_key, "left_semi")
+    held = unique(held, [table_key]) if order is None else last_wins(held, [table_key], order, values)
+    found = held.select(F.col(table_key).alias(key), F.struct(*values).alias("_row"))
+    return must_match(rows.join(found, key, "left"), "_row", f"row for a {key}").select(*rows.columns, "_row.*")
+
+
+def payloads(instructions: DataFrame, key: str, images: DataFrame, image_key: str, order: Column | None = None) -> DataFrame:
+    """Instructions with their image's columns; every image must be there, and of one that repeats the last counts."""
+    return looked_up(instructions, key, images, image_key, order)
 
 
 def fingerprint(rows: DataFrame, by: list[str], key: Column, order: Column, parts: Column | None = None) -> DataFrame:

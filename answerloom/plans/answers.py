@@ -6,25 +6,25 @@ from pyspark.sql import functions as F
 
 from answerloom.functions import media, metrics, text
 from answerloom.functions.tables import PROMPT_REASONING, PROMPT_SHORT
-from answerloom.operators import ingest, runs, tables
+from answerloom.operators import ingest, runs, splits, tables
 from answerloom.plans import duck
-from answerloom.plans.inputs import COMPLETIONS, EXAMPLES, PANELS, ascii_only, completions, examples, panels, table
+from answerloom.plans.inputs import COMPLETIONS, EXAMPLES, PANELS, PREDICTIONS, completions, examples, panels, predictions, table
 from answerloom.plans.registry import query
 from answerloom.sources import files
 
-ASCII_DOCS = r"docs AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS t FROM documents)"
+DOCS = "docs AS (SELECT doc_id, text AS t FROM documents)"
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", ascii_only(F.col("text")).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
 
 
-@query(f"WITH {ASCII_DOCS} SELECT doc_id, {duck.normalize('t')} AS normalized FROM docs")
+@query(f"WITH {DOCS} SELECT doc_id, {duck.normalize('t')} AS normalized FROM docs")
 def normalize_answer(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.normalize_answer(F.col("t")).alias("normalized"))
 
 
-@query(rf"WITH {ASCII_DOCS} SELECT doc_id, {duck.strip('t')} AS stripped, lower(regexp_replace({duck.strip('t')}, '\.$', '')) AS cleaned, split_part(t, chr(10), 1) AS line FROM docs")
+@query(rf"WITH {DOCS} SELECT doc_id, {duck.strip('t')} AS stripped, lower(regexp_replace({duck.strip('t')}, '\.$', '')) AS cleaned, split_part(t, chr(10), 1) AS line FROM docs")
 def strip_clean_first_line(spark, sf_dir):
     t = F.col("t")
     return docs(spark, sf_dir).select("doc_id", text.strip(t).alias("stripped"), text.clean_answer(t).alias("cleaned"), text.first_line(t).alias("line"))
@@ -128,14 +128,14 @@ def run_record(spark, sf_dir):
 
 
 @query(
-    f"""WITH {COMPLETIONS}, {EXAMPLES}, p AS (SELECT CAST(conv_id AS VARCHAR) AS qid, *, {duck.lenient('raw')} AS prediction FROM completions),
+    f"""WITH {COMPLETIONS}, {EXAMPLES}, p AS (SELECT CAST(conv_id * 11 AS VARCHAR) AS qid, *, {duck.lenient('raw')} AS prediction FROM completions),
 f AS (SELECT *, {duck.fraction('dataset', 'prediction', 'golds')} AS f FROM p),
-t AS (SELECT coalesce(nullif(e.answer_type, ''), 'all') AS answer_type, f FROM f LEFT JOIN (SELECT qid, max(answer_type) AS answer_type FROM examples WHERE position % 3 > 0 GROUP BY qid) e USING (qid))
+t AS (SELECT coalesce(nullif(e.answer_type, ''), 'all') AS answer_type, f FROM f LEFT JOIN (SELECT qid, max(answer_type) AS answer_type FROM examples GROUP BY qid) e USING (qid))
 SELECT answer_type, count(*) AS n, {MEAN} AS score FROM t GROUP BY answer_type"""
 )
 def rescore_left_join(spark, sf_dir):
-    rows = scored(spark, sf_dir).drop("answer_type").withColumn("qid", F.col("conv_id").cast("string"))
-    return runs.by_answer_type(runs.with_answer_type(rows, examples(spark, sf_dir).where("position % 3 > 0")))
+    rows = scored(spark, sf_dir).drop("answer_type").withColumn("qid", (F.col("conv_id") * 11).cast("string"))  # some beyond the last example
+    return runs.by_answer_type(runs.with_answer_type(rows, examples(spark, sf_dir)))
 
 
 @query("WITH d AS (SELECT p_partkey AS key, p_size * 97 AS w, CAST(p_partkey % 50 + 1 AS INT) * 61 AS h FROM part) SELECT key, CASE WHEN w * h <= 786432 THEN w ELSE greatest(1, CAST(trunc(w * sqrt(786432.0::DOUBLE / (w * h))) AS BIGINT)) END AS w, CASE WHEN w * h <= 786432 THEN h ELSE greatest(1, CAST(trunc(h * sqrt(786432.0::DOUBLE / (w * h))) AS BIGINT)) END AS h FROM d")
@@ -175,16 +175,18 @@ def token_logprob_lookup(spark, sf_dir):
 
 
 @query(
-    f"""SELECT 'vqav2' AS dataset, 'cauldron-' || CAST(position AS VARCHAR) || '-' || CAST(j AS VARCHAR) AS qid, {duck.strip("split_part(text, chr(10), 1)")} AS question,
-  lower(regexp_replace({duck.strip('reply')}, '\\.$', '')) AS answers, '' AS answer_type
-FROM (SELECT conv_id AS position, turn AS j, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text, regexp_replace(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '[^\\x00-\\x7F]', '', 'g') AS reply, role FROM conversations) WHERE reply IS NOT NULL"""
+    f"""SELECT 'vqav2' AS dataset, 'cauldron-' || CAST(position AS VARCHAR) || '-' || CAST(j AS VARCHAR) AS qid, 'first' || CAST(position AS VARCHAR) AS path, hex(encode('of ' || CAST(position AS VARCHAR))) AS bytes,
+  {duck.strip("split_part(text, chr(10), 1)")} AS question, lower(regexp_replace({duck.strip('reply')}, '\\.$', '')) AS answers, '' AS answer_type
+FROM (SELECT conv_id AS position, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS j, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations) WHERE reply IS NOT NULL"""
 )
 def ingest_multi_qa(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("t", ascii_only(F.col("text")))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "t")))
-    pairs = F.transform(F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda x, i: F.struct(x["t"].alias("user"), F.get(ordered, i + 1)["t"].alias("assistant")))
-    rows = turns.groupBy(F.col("conv_id").alias("position")).agg(pairs.alias("texts")).withColumn("images", F.lit(None).cast("array<struct<bytes: binary, path: string>>"))
-    return ingest.from_multi_qa(rows).drop("image").withColumn("answers", F.array_join("answers", "|"))
+    turns = table(spark, sf_dir, "conversations")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    pairs = F.transform(F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda x, i: F.struct(x["text"].alias("user"), F.get(ordered, i + 1)["text"].alias("assistant")))
+    number = F.col("position").cast("string")
+    image = lambda name: F.struct(F.encode(F.concat(F.lit("of "), number), "UTF-8").alias("bytes"), F.concat(F.lit(name), number).alias("path"))
+    rows = turns.groupBy(F.col("conv_id").alias("position")).agg(pairs.alias("texts")).withColumn("images", F.array(image("first"), image("second")))
+    return ingest.from_multi_qa(rows).select("dataset", "qid", "image.path", F.hex("image.bytes").alias("bytes"), "question", F.array_join("answers", "|").alias("answers"), "answer_type")
 
 
 @query(f"WITH {PANELS} SELECT 'vqav2' AS dataset, CAST(key AS VARCHAR) AS qid, prediction AS question, array_to_string(golds, '|') AS answers, dataset AS answer_type FROM panels")
@@ -201,10 +203,11 @@ def ingest_instructions(spark, sf_dir):
     return ingest.from_instructions(instructions, customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("image"))).withColumn("answers", F.array_join("answers", "|"))
 
 
-@query(f"WITH {COMPLETIONS} SELECT 'clevr' AS dataset, 'test-' || CAST(conv_id * 100 + turn AS VARCHAR) AS qid, question, {duck.lenient('raw')} AS answers, 'number' AS answer_type FROM completions")
+@query(f"WITH {COMPLETIONS} SELECT 'clevr' AS dataset, 'test-' || CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS VARCHAR) AS qid, question, {duck.lenient('raw')} AS answers, 'number' AS answer_type FROM completions")
 def ingest_counting(spark, sf_dir):
-    rows = completions(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("turn")).alias("position"), F.lit(None).alias("image"), F.col("question").alias("problem"), F.col("raw").alias("solution"))
-    return ingest.from_counting(rows, "test").drop("image").withColumn("answers", F.array_join("answers", "|"))
+    rows = completions(spark, sf_dir).select("conv_id", "turn", F.lit(None).alias("image"), F.col("question").alias("problem"), F.col("raw").alias("solution"))
+    placed = splits.with_position(rows, [F.col("conv_id"), F.col("turn")])
+    return ingest.from_counting(placed, "test").drop("image").withColumn("answers", F.array_join("answers", "|"))
 
 
 @query(f"WITH {COMPLETIONS} SELECT 'textvqa' AS dataset, CAST(conv_id AS VARCHAR) AS qid, question, array_to_string(golds, '|') AS answers, '' AS answer_type FROM completions")
@@ -213,11 +216,71 @@ def ingest_ocr(spark, sf_dir):
     return ingest.from_ocr(rows).drop("image").withColumn("answers", F.array_join("answers", "|"))
 
 
-@query(f"WITH {COMPLETIONS} SELECT conv_id, turn, question || {duck.quoted(PROMPT_SHORT.removeprefix('{question}'))} AS prompt, golds[1] AS completion, question || {duck.quoted(PROMPT_REASONING.removeprefix('{question}'))} AS reasoning_prompt FROM completions")
-def trainer_columns(spark, sf_dir):
-    rows = completions(spark, sf_dir).withColumn("answers", F.col("golds")).withColumn("image", F.lit(None).cast("string"))
-    both = rows.select("conv_id", "turn", F.struct(text.fill(PROMPT_SHORT, question=F.col("question")).alias("p"), F.get("answers", F.lit(0)).alias("c"), text.fill(PROMPT_REASONING, question=F.col("question")).alias("r")).alias("m"))
-    return both.select("conv_id", "turn", F.col("m.p").alias("prompt"), F.col("m.c").alias("completion"), F.col("m.r").alias("reasoning_prompt"))
+def trainable(spark, sf_dir):
+    """Completions as examples, with an undecoded image whose path tells them apart."""
+    path = F.concat_ws("-", "conv_id", "turn")
+    return completions(spark, sf_dir).select("dataset", "question", F.col("golds").alias("answers"), F.struct(F.encode("raw", "UTF-8").alias("bytes"), path.alias("path")).alias("image"))
+
+
+TRAINABLE = f"{COMPLETIONS}, t AS (SELECT *, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS path, hex(encode(raw)) AS bytes FROM completions)"
+
+
+@query(f"WITH {TRAINABLE} SELECT path, bytes, 'user' AS role, {duck.filled(PROMPT_SHORT, question='question')} AS prompt, 'assistant' AS reply_role, golds[1] AS reply FROM t")
+def supervised_columns(spark, sf_dir):
+    rows = ingest.to_supervised(trainable(spark, sf_dir))
+    prompt, reply = F.get("prompt", F.lit(0)), F.get("completion", F.lit(0))
+    return rows.select("image.path", F.hex("image.bytes").alias("bytes"), prompt["role"].alias("role"), prompt["content"].alias("prompt"), reply["role"].alias("reply_role"), reply["content"].alias("reply"))
+
+
+@query(f"WITH {TRAINABLE} SELECT path, bytes, 'user' AS role, {duck.filled(PROMPT_REASONING, question='question')} AS prompt, array_to_string(golds, '|') AS answers, dataset, question FROM t")
+def reinforcement_columns(spark, sf_dir):
+    rows = ingest.to_reinforcement(trainable(spark, sf_dir))
+    prompt = F.get("prompt", F.lit(0))
+    return rows.select("image.path", F.hex("image.bytes").alias("bytes"), prompt["role"].alias("role"), prompt["content"].alias("prompt"), F.array_join("answers", "|").alias("answers"), "dataset", "question")
+
+
+@query(
+    f"""SELECT doc_id, '[{{"role":"user","content":[{{"type":"image_url","image_url":{{"url":' || {duck.json("'data:image/jpeg;base64,' || to_base64(encode(text))")} || '}}}},{{"type":"text","text":' || {duck.json(duck.filled(PROMPT_SHORT, question="text"))} || '}}]}}]' AS messages FROM documents"""
+)
+def chat_messages(spark, sf_dir):
+    uri = media.data_uri(F.encode("text", "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(ingest.chat_messages(F.col("text"), uri, PROMPT_SHORT)).alias("messages"))
+
+
+@query("SELECT conv_id, turn, text AS completion FROM conversations")
+def completion_text(spark, sf_dir):
+    """Completions of user turns as strings, of others as messages, the first of which counts."""
+    plain = F.when(F.col("role") == "user", F.col("text"))
+    messages = F.when(F.col("role") != "user", F.array(F.struct("role", F.col("text").alias("content")), F.struct("role", F.lit("later").alias("content"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", metrics.completion_text(plain, messages).alias("completion"))
+
+
+@query(f"WITH {PREDICTIONS}, s AS (SELECT CAST(doc_id AS VARCHAR) AS qid, text AS question, 0 AS later FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'again ' || source, 1 FROM documents WHERE lang = 'en') SELECT run_id, qid, arg_max(question, later) AS question FROM predictions JOIN s USING (qid) GROUP BY run_id, qid")
+def question_join(spark, sf_dir):
+    """Predictions with their subset's questions; of a qid that the subset repeats the last row counts."""
+    d = table(spark, sf_dir, "documents").withColumn("qid", F.col("doc_id").cast("string"))
+    again = d.where("lang = 'en'").select("qid", F.concat(F.lit("again "), "source").alias("question"), F.lit(1).alias("later"))
+    subset = d.select("qid", F.col("text").alias("question"), F.lit(0).alias("later")).unionByName(again)
+    return tables.looked_up(predictions(spark, sf_dir).select("run_id", "qid"), "qid", subset, "qid", F.col("later")).select("run_id", "qid", "question")
+
+
+@query("SELECT o_orderkey, arg_max(image, later) AS image FROM orders JOIN (SELECT c_custkey AS k, c_name AS image, 0 AS later FROM customer UNION ALL SELECT c_custkey, c_mktsegment, 1 FROM customer WHERE c_acctbal < 0) ON o_custkey = k GROUP BY o_orderkey")
+def payload_join_last_wins(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    later = customers.where("c_acctbal < 0").select("c_custkey", F.col("c_mktsegment").alias("image"), F.lit(1).alias("later"))
+    images = customers.select("c_custkey", F.col("c_name").alias("image"), F.lit(0).alias("later")).unionByName(later)
+    return tables.payloads(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", images, "c_custkey", F.col("later")).select("o_orderkey", "image")
+
+
+@query(f"WITH {COMPLETIONS} SELECT conv_id, turn, 'model: ' || question AS raw FROM completions")
+def generate_from_provider(spark, sf_dir):
+    """A stand-in model that answers batches of rows."""
+
+    def answer(batches):
+        for batch in batches:
+            yield batch[["conv_id", "turn"]].assign(raw="model: " + batch["question"])
+
+    return ingest.generate(completions(spark, sf_dir).select("conv_id", "turn", "question"), "conv_id long, turn long, raw string", answer)
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority LIKE '1%'")

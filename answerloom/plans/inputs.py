@@ -13,16 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_only(x):
-    return F.regexp_replace(x, r"[^\x00-\x7F]", "")
-
-
 def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, dataset, prediction, golds): the first 1 to 10 lines of each part as annotators."""
+    """(key, dataset, prediction, golds): the lines of each part as annotators."""
     w = Window.partitionBy("l_partkey").orderBy(*LINE_ORDER)
     q = F.col("l_quantity").cast("int") % 5
     text = F.when(q == 0, "two").when(q == 1, " 2. ").when(q == 2, "a dog").when(q == 3, "The Dog!").otherwise("It isnt, 3")
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", text.alias("a"), F.row_number().over(w).alias("rn")).where("rn <= 1 + l_partkey % 10")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", text.alias("a"), F.row_number().over(w).alias("rn"))
     golds = lines.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "a"))), lambda s: s["a"]).alias("golds"))
     k = F.col("p_partkey")
     dataset = F.element_at(F.array(*map(F.lit, DATASETS)), (k % 4 + 1).cast("int"))
@@ -38,14 +34,14 @@ lines AS (
 panels AS (
   SELECT p_partkey AS key, ['vqav2', 'gqa', 'clevr', 'textvqa'][p_partkey % 4 + 1] AS dataset,
          ['2', 'dog', 'it isn''t 3'][p_size % 3 + 1] AS prediction, golds
-  FROM part JOIN (SELECT l_partkey, list(a ORDER BY rn) AS golds FROM lines WHERE rn <= 1 + l_partkey % 10 GROUP BY l_partkey) ON l_partkey = p_partkey)"""
+  FROM part JOIN (SELECT l_partkey, list(a ORDER BY rn) AS golds FROM lines GROUP BY l_partkey) ON l_partkey = p_partkey)"""
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, question, raw, golds, dataset): assistant turns, tagged in five ways; the turn before asks."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").withColumn("question", F.lag(ascii_only(F.col("text"))).over(w)).where("role = 'assistant'")
-    text = ascii_only(F.col("text"))
+    rows = table(spark, sf_dir, "conversations").withColumn("question", F.lag("text").over(w)).where("role = 'assistant'")
+    text = F.col("text")
     word = F.regexp_extract(text, "[A-Za-z]+", 0)
     k, tag = F.col("conv_id") % 5, lambda x: F.concat(F.lit("<answer>"), x, F.lit("</answer>"))
     raw = (
@@ -59,8 +55,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMPLETIONS = r"""
 turns AS (
-  SELECT conv_id, turn, role, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text,
-         lag(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
+  SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
 worded AS (SELECT *, regexp_extract(text, '[A-Za-z]+') AS word FROM turns WHERE role = 'assistant'),
 completions AS (
   SELECT conv_id, turn, coalesce(question, '') AS question,
@@ -76,14 +71,14 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, position, question, answer_type, dataset): documents as examples; half of the sources without a type."""
     d = table(spark, sf_dir, "documents")
     return d.select(
-        F.col("doc_id").cast("string").alias("qid"), F.col("doc_id").alias("position"), ascii_only(F.substring("text", 1, 80)).alias("question"),
+        F.col("doc_id").cast("string").alias("qid"), F.col("doc_id").alias("position"), F.col("text").alias("question"),
         F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("answer_type"), F.element_at(F.array(*map(F.lit, DATASETS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("dataset"),
     )
 
 
 EXAMPLES = r"""
 examples AS (
-  SELECT CAST(doc_id AS VARCHAR) AS qid, doc_id AS position, regexp_replace(substr(text, 1, 80), '[^\x00-\x7F]', '', 'g') AS question,
+  SELECT CAST(doc_id AS VARCHAR) AS qid, doc_id AS position, text AS question,
     CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS answer_type, ['vqav2', 'gqa', 'clevr', 'textvqa'][doc_id % 4 + 1] AS dataset
   FROM documents)"""
 
@@ -91,10 +86,10 @@ examples AS (
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, qid, prediction, raw, score): labelled documents as predictions of six runs."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    raw = ascii_only(F.col("text"))
+    raw = F.col("text")
     return rows.select(
         (F.col("doc_id") % 6).cast("string").alias("run_id"), F.col("doc_id").cast("string").alias("qid"),
-        F.when(F.col("doc_id") % 7 == 0, " ").otherwise(F.substring(raw, 1, 40)).alias("prediction"), raw.alias("raw"),
+        F.when(F.col("doc_id") % 7 == 0, " ").otherwise(raw).alias("prediction"), raw.alias("raw"),
         (F.col("quality") * (F.col("doc_id") % 3 == 0).cast("int")).cast("double").alias("score"), (F.col("toxic") == 0).alias("verdict"),
     )
 
@@ -102,8 +97,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTIONS = r"""
 predictions AS (
   SELECT CAST(l.doc_id % 6 AS VARCHAR) AS run_id, CAST(l.doc_id AS VARCHAR) AS qid,
-    CASE WHEN l.doc_id % 7 = 0 THEN ' ' ELSE substr(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), 1, 40) END AS prediction,
-    regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS raw, CAST(quality * (CASE WHEN l.doc_id % 3 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS score, toxic = 0 AS verdict
+    CASE WHEN l.doc_id % 7 = 0 THEN ' ' ELSE text END AS prediction, text AS raw, CAST(quality * (CASE WHEN l.doc_id % 3 = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS score, toxic = 0 AS verdict
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 

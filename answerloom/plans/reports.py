@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from answerloom.functions.text import fixed, remove_suffix
-from answerloom.operators import runs, tables
+from answerloom.functions.tables import DELTA_ABOVE, DELTA_BELOW, DELTA_NONE
+from answerloom.functions.text import remove_suffix
+from answerloom.operators import runs, splits, tables
 from answerloom.plans.inputs import EVENT_TYPES, PREDICTIONS, RUN_RESULTS, predictions, run_results, table
 from answerloom.plans.registry import query
 from answerloom.sources import files
@@ -42,15 +43,28 @@ def max_abs_delta(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RUN_RESULTS}, e(ordinal, label, run) AS (VALUES (1, 'first', 'run0'), (2, 'absent', 'run9'), (3, 'last', 'run5')),
-p AS (SELECT run, {', '.join(f"max(CASE WHEN dataset = '{e}' THEN overall END) AS \"{e}\"" for e in EVENT_TYPES)} FROM results GROUP BY run)
-SELECT ordinal, '| ' || label || ' | ' || {" || ' | ' || ".join(f"CASE WHEN \"{e}\" IS NULL THEN '—' ELSE CAST(CAST(round(\"{e}\" * 10000) AS BIGINT) AS VARCHAR) END" for e in EVENT_TYPES)} || ' |' AS line FROM e LEFT JOIN p USING (run)"""
+    f"""{DELTAS}, e(ordinal, label, run) AS (VALUES (1, 'first', 'run0'), (2, 'absent', 'run9'), (3, 'last', 'run5')),
+c AS (SELECT run, dataset, printf('%.1f', overall * 100) || coalesce(' (' || printf('%+.1f', (overall - base) * 100) || ')', '') AS cell FROM d),
+p AS (SELECT run, {', '.join(f"max(CASE WHEN dataset = '{e}' THEN cell END) AS \"{e}\"" for e in EVENT_TYPES)} FROM c GROUP BY run)
+SELECT ordinal, '| ' || label || ' | ' || {" || ' | ' || ".join(f"coalesce(\"{e}\", '—')" for e in EVENT_TYPES)} || ' |' AS line FROM e LEFT JOIN p USING (run)"""
 )
 def markdown_report(spark, sf_dir):
     entries = spark.createDataFrame([(1, "first", "run0"), (2, "absent", "run9"), (3, "last", "run5")], "ordinal int, label string, run string")
-    results = run_results(spark, sf_dir).groupBy("run").pivot("dataset", EVENT_TYPES).agg(F.first("overall"))
-    ordered = runs.report_order(F.broadcast(entries), results)
-    return ordered.select("ordinal", files.markdown_rows(F.col("label"), [fixed(F.col(e) * 10000, 0) for e in EVENT_TYPES]).alias("line"))
+    cells = runs.deltas(run_results(spark, sf_dir), "run0").withColumn("cell", runs.cell(F.col("overall"), F.col("delta")))
+    results = cells.groupBy("run").pivot("dataset", EVENT_TYPES).agg(F.first("cell"))
+    ordered = runs.report_order(F.broadcast(entries), results)  # the report's own few rows
+    return ordered.select("ordinal", files.markdown_rows(F.col("label"), [F.col(e) for e in EVENT_TYPES]).alias("line"))
+
+
+@query(f"""WITH {RUN_RESULTS} SELECT run, '{{' || string_agg('"' || dataset || '":' || CAST(round_even(overall * 100, 1) AS VARCHAR), ',' ORDER BY dataset) || '}}' AS payload FROM results GROUP BY run""")
+def results_api(spark, sf_dir):
+    return runs.results_payload(run_results(spark, sf_dir))
+
+
+@query("SELECT event_id, printf('%.1f', (1000 + floor(value * 37) - 1000) / 1000.0::DOUBLE) AS seconds FROM events")
+def elapsed_seconds(spark, sf_dir):
+    finished = F.lit(1000) + F.floor(F.col("value") * 37)
+    return table(spark, sf_dir, "events").select("event_id", runs.elapsed(F.lit(1000), finished).alias("seconds"))
 
 
 @query(f"WITH {PREDICTIONS} SELECT run_id, avg(CASE WHEN length(raw) > 100 THEN 1.0::DOUBLE ELSE 0 END) AS share, quantile_cont(CAST(length(raw) AS DOUBLE), 0.5) AS median FROM predictions GROUP BY run_id")
@@ -65,10 +79,18 @@ def token_stream_concat(spark, sf_dir):
     return tokens.texts(stream)
 
 
-@query("SELECT count(DISTINCT event_type) >= 5 AS all_done FROM events")
+@query("SELECT k, (SELECT count(DISTINCT event_type) FROM events WHERE length(event_type) > 5) >= k AS all_done FROM range(1, 6) t(k)")
 def stream_completion(spark, sf_dir):
-    done = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.lit(True).alias("done")).distinct()
-    return tokens.all_done(done, 5)
+    """Whether one to five models are done, where only those with long names ever are."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), (F.length("event_type") > 5).alias("done"))
+    return tables.union_subsets(*[tokens.all_done(events, k).select(F.lit(k).cast("long").alias("k"), "all_done") for k in range(1, 6)])
+
+
+@query("SELECT event_type AS model, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")
+def stream_merge(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), "event_id")
+    merged = tokens.interleaved(*[events.where(F.col("model") == m) for m in EVENT_TYPES])
+    return merged.groupBy("model").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
 @query(
@@ -102,17 +124,24 @@ def sse_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(files.sse_frames(body), "|").alias("frames"))
 
 
-@query("SELECT o_orderkey AS position, o_orderstatus AS left_value, o_orderpriority AS right_value FROM orders")
+@query(
+    """WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderstatus AS left_value FROM orders),
+r AS (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position, o_orderpriority AS right_value FROM orders) SELECT * FROM l JOIN r USING (position)"""
+)
 def positional_zip(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "position")
-    return tables.zip_strict(orders.select("position", F.col("o_orderstatus").alias("left_value")), orders.select("position", F.col("o_orderpriority").alias("right_value")))
+    """Orders in one order beside orders in another."""
+    orders = table(spark, sf_dir, "orders")
+    left = splits.with_position(orders.select("o_orderkey", F.col("o_orderstatus").alias("left_value")), [F.col("o_orderkey")]).drop("o_orderkey")
+    by_price = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
+    right = splits.with_position(orders.select("o_orderkey", "o_totalprice", F.col("o_orderpriority").alias("right_value")), by_price).drop("o_orderkey", "o_totalprice")
+    return tables.zip_strict(left, right)
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'override' ELSE s_name END AS s_name, s_nationkey FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 5000 THEN 'override' ELSE s_name END AS s_name, s_nationkey FROM supplier")
 def preset_override(spark, sf_dir):
-    presets = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    overrides = presets.where("s_suppkey % 3 < 2").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "override").alias("s_name"))
-    return tables.with_override(presets, overrides, "s_suppkey")
+    presets = table(spark, sf_dir, "supplier")
+    overrides = presets.where("s_acctbal < 9000").select("s_suppkey", F.when(F.col("s_acctbal") < 5000, "override").alias("s_name"))
+    return tables.with_override(presets.select("s_suppkey", "s_name", "s_nationkey"), overrides, "s_suppkey")
 
 
 @query("SELECT n_nationkey, n_name, n_nationkey IN (SELECT s_nationkey FROM supplier) AS loaded FROM nation")
@@ -121,20 +150,24 @@ def listing_with_flag(spark, sf_dir):
     return tables.marked(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), keys, "n_nationkey", "loaded")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS run_id FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS run_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def run_discovery(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("run_id"))
-    files_of = docs.where("CAST(run_id AS BIGINT) % 3 = 0").select(F.concat(F.lit("/preds/"), "run_id", F.lit(".jsonl")).alias("file"))
+    files_of = table(spark, sf_dir, "labels").select(F.concat(F.lit("/preds/"), F.col("doc_id").cast("string"), F.lit(".jsonl")).alias("file"))
     return runs.discover(docs, files_of)
 
 
-@query(f"""{DELTAS}, x AS (SELECT run, dataset, round_even(round_even(overall * 100, 1) - round_even(base * 100, 1), 1) AS d FROM d), y AS (SELECT *, least(abs(d) / greatest(max(abs(d)) OVER (), 1e-9), 1.0) AS s FROM x)
-SELECT run, dataset, 'rgb(' || CAST(CAST(round(255 + (CASE WHEN d >= 0 THEN -235 ELSE -55 END) * s) AS INT) AS VARCHAR) || ', ' || CAST(CAST(round(255 + (CASE WHEN d >= 0 THEN -105 ELSE -225 END) * s) AS INT) AS VARCHAR) || ', ' || CAST(CAST(round(255 + (CASE WHEN d >= 0 THEN -175 ELSE -215 END) * s) AS INT) AS VARCHAR) || ')' AS colour FROM y""")
+def channel(k: int) -> str:
+    mid, low, high = DELTA_NONE[k], DELTA_BELOW[k], DELTA_ABOVE[k]
+    return f"CAST(CAST(floor({mid} + (CASE WHEN d >= 0 THEN {high - mid} ELSE {low - mid} END) * s + 0.5::DOUBLE) AS INT) AS VARCHAR)"
+
+
+@query(f"""{DELTAS}, x AS (SELECT run, dataset, round_even(round_even(overall * 100, 1) - round_even(base * 100, 1), 1) AS d FROM d), y AS (SELECT *, least(abs(d) / max(abs(d)) OVER (), 1.0::DOUBLE) AS s FROM x)
+SELECT run, dataset, 'rgb(' || {" || ',' || ".join(map(channel, range(3)))} || ')' AS colour FROM y""")
 def delta_colour(spark, sf_dir):
     rows = runs.deltas(run_results(spark, sf_dir), "run0")
-    # a report's few cells: the largest of all is one aggregate, joined to every row
-    most = rows.agg(F.max(F.abs("rounded_delta")).alias("most"))
-    return rows.join(F.broadcast(most)).select("run", "dataset", runs.blended(F.col("rounded_delta"), F.col("most"), (200, 30, 40), (255, 255, 255), (20, 150, 80)).alias("colour"))
+    most = rows.agg(F.max(F.abs("rounded_delta"))).first()[0]  # one number
+    return rows.select("run", "dataset", runs.delta_colour(F.col("rounded_delta"), F.lit(most)).alias("colour"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS stamp FROM events")

@@ -57,15 +57,13 @@ SELECT o_orderkey, CASE WHEN position < 500 THEN 'dev' ELSE 'train' END AS bucke
 )
 def dev_train_split(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("_h", splits.shuffle_key(0, F.col("o_orderkey")))
-    number = F.conv(F.substring("_h", 1, 15), 16, 10).cast("long")  # the hash's head, as the number that ranges are made of
-    placed = splits.positional_split(orders.withColumn("_n", number), [F.col("_n"), F.col("_h"), F.col("o_orderkey")], [("dev", 500), ("train", None)])
-    return placed.select("o_orderkey", "bucket")
+    return splits.positional_split(orders, [F.col("_h"), F.col("o_orderkey")], [("dev", 500), ("train", None)]).select("o_orderkey", "bucket")
 
 
-@query("WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 1) SELECT count(*) AS shared FROM a JOIN b USING (o_custkey)")
+@query("WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') SELECT count(*) AS shared FROM a JOIN b USING (o_custkey)")
 def disjointness_check(spark, sf_dir):
-    keys = lambda r: table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == r).select("o_custkey").distinct()
-    return keys(0).join(keys(1), "o_custkey", "left_semi").agg(F.count("*").alias("shared"))
+    keys = lambda status: table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == status).select("o_custkey").distinct()
+    return keys("F").join(keys("O"), "o_custkey", "left_semi").agg(F.count("*").alias("shared"))
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100")

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answerloom.functions.metrics import score
+from answerloom.functions.tables import PROMPT_JUDGE
 from answerloom.functions.text import strict_answer
 from answerloom.operators import judge, runs, tables
 from answerloom.plans import duck
 from answerloom.plans.answers import SCORED
 from answerloom.plans.inputs import COMPLETIONS, PREDICTIONS, completions, predictions, table
 from answerloom.plans.registry import query
+from answerloom.sources.scratch import materialize
 
 MODEL = "judge-1"
 ITEMS = rf"""items AS (SELECT conv_id * 100 + turn AS pos, *, sha256(array_to_string(list_concat(list_concat(['{MODEL}', question], list_sort(golds)), [{duck.normalize("coalesce(answer, '')")}]), '|')) AS key FROM rewarded)"""
-#: The cache: verdicts of every third item.
-CACHE = "cache AS (SELECT key, max(CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END) AS verdict, 0.001::DOUBLE AS cost_usd FROM items WHERE pos % 3 = 0 GROUP BY key)"
+#: The cache: verdicts of the keys that begin with a letter.
+CACHE = "cache AS (SELECT key, max(CASE WHEN pos % 2 = 0 THEN 1 ELSE 0 END) AS verdict, 0.001::DOUBLE AS cost_usd FROM items WHERE key >= 'a' GROUP BY key)"
 BASE = f"WITH {COMPLETIONS}, {SCORED}, {ITEMS}, {CACHE}"
 
 
@@ -28,7 +30,7 @@ def items(spark, sf_dir):
 
 
 def cache(rows):
-    known = rows.where("pos % 3 = 0").groupBy("key").agg(F.max((F.col("pos") % 2 == 0).cast("int")).alias("verdict"))
+    known = rows.where("key >= 'a'").groupBy("key").agg(F.max((F.col("pos") % 2 == 0).cast("int")).alias("verdict"))
     return known.select("key", "verdict", F.lit(0.001).alias("cost_usd"), F.lit(0.0).alias("created"))
 
 
@@ -37,11 +39,16 @@ def judge_key(spark, sf_dir):
     return items(spark, sf_dir).select("pos", "key")
 
 
-@query(f"WITH {COMPLETIONS} SELECT conv_id, turn, 'Question: ' || question || chr(10) || 'Gold answer(s): ' || array_to_string(golds, '; ') AS head, length(raw) AS n FROM completions")
+@query(f"WITH {COMPLETIONS} SELECT conv_id, turn, '{MODEL}' AS model, 8 AS max_tokens, 0.0::DOUBLE AS temperature, 'user' AS role, {duck.filled(PROMPT_JUDGE, question='question', golds="array_to_string(golds, '; ')", prediction='raw')} AS prompt FROM completions")
 def judge_request(spark, sf_dir):
-    rows = completions(spark, sf_dir)
-    content = judge.request(MODEL, F.col("question"), F.col("golds"), F.col("raw"))["messages"][0]["content"]
-    return rows.select("conv_id", "turn", F.substring_index(content, "\nCandidate answer: ", 1).alias("head"), F.length("raw").cast("long").alias("n"))
+    asked = completions(spark, sf_dir).select("conv_id", "turn", judge.request(MODEL, F.col("question"), F.col("golds"), F.col("raw")).alias("r"))
+    message = F.col("r.messages")[0]
+    return asked.select("conv_id", "turn", "r.model", "r.max_tokens", "r.temperature", message["role"].alias("role"), message["content"].alias("prompt"))
+
+
+@query(f"{BASE} SELECT pos, answer IS NOT NULL AND answer <> '' AND correctness = 0 AS judged FROM items")
+def judge_gate(spark, sf_dir):
+    return items(spark, sf_dir).select("pos", judge.needs_judge(F.col("correctness"), F.col("answer")).alias("judged"))
 
 
 @query(f"{BASE} SELECT pos, i.key, coalesce(c.verdict, -1) AS verdict FROM items i LEFT JOIN cache c ON i.key = c.key")
@@ -76,31 +83,48 @@ def judge_spend(spark, sf_dir):
     return judge.spend(rows.select(F.round("c").cast("long").alias("cost_usd"))).select(F.col("spend").cast("long").alias("spend"))
 
 
-REWARD = f"""{BASE}, elig AS (SELECT pos, key, correctness AS base, answer IS NOT NULL AND answer <> '' AND correctness = 0 AS eligible, pos % 2 = 1 AS verdict, pos % 5 AS sequence FROM items)"""
+#: Eligible rows; the judge says yes to keys whose first character has an odd code, unless the cache knows better.
+REWARD = f"""{BASE}, elig AS (
+  SELECT pos, i.key, correctness AS base, answer IS NOT NULL AND answer <> '' AND correctness = 0 AS eligible, coalesce(c.verdict = 1, ascii(i.key) % 2 = 1) AS verdict, c.key IS NOT NULL AS cached
+  FROM items i LEFT JOIN cache c ON c.key = i.key),
+asks AS (SELECT *, eligible AND NOT cached AND row_number() OVER (PARTITION BY key, eligible ORDER BY pos) = 1 AS asks FROM elig),
+spent AS (SELECT *, coalesce(sum(CASE WHEN asks THEN 0.25::DOUBLE ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (SELECT coalesce(sum(cost_usd), 0) FROM cache) AS before FROM asks)"""
+
+
+def capped(budget: float) -> str:
+    return f"""{REWARD}, stops AS (SELECT *, min(CASE WHEN asks AND before >= {budget} THEN pos END) OVER () AS stop FROM spent)
+SELECT pos, CASE WHEN eligible AND (stop IS NULL OR pos < stop) THEN CAST(verdict AS DOUBLE) ELSE CAST(base AS DOUBLE) END AS reward FROM stops"""
+
+
+def says(key):
+    return F.ascii(key) % 2 == 1
 
 
-@query(f"{REWARD} SELECT pos, CASE WHEN eligible THEN CAST(verdict AS DOUBLE) ELSE CAST(base AS DOUBLE) END AS reward FROM elig")
+def judged_rewards(spark, sf_dir, budget: float):
+    def provider(todo):  # costs a quarter for each call
+        return todo.select("key", says(F.col("key")).alias("verdict"), F.lit(0.25).alias("cost_usd"))
+
+    rows = materialize(items(spark, sf_dir).select("pos", "key", F.col("correctness").alias("base"), "answer"))
+    return judge.judge_rewards(rows, cache(rows), provider, budget=budget, price=0.5)[0].select("pos", "reward")
+
+
+@query(capped(1e9))
 def judge_rescue_reward(spark, sf_dir):
-    rows = eligible(items(spark, sf_dir))
-    return judge.budget_rewards(rows, cache(rows), budget=1e9, group="sequence").select("pos", "reward")
+    return judged_rewards(spark, sf_dir, 1e9)
 
 
-def eligible(rows):
-    return rows.select(
-        "pos", "key", F.col("correctness").alias("base"), (F.col("answer").isNotNull() & (F.col("answer") != "") & (F.col("correctness") == 0)).alias("eligible"),
-        (F.col("pos") % 2 == 1).alias("verdict"), F.lit(0.25).alias("cost_usd"), (F.col("pos") % 5).alias("sequence"),
-    )
+@query(capped(3.0))
+def judge_reward_capped(spark, sf_dir):
+    return judged_rewards(spark, sf_dir, 3.0)
 
 
-@query(
-    f"""{REWARD}, asks AS (SELECT *, eligible AND key NOT IN (SELECT key FROM cache) AND row_number() OVER (PARTITION BY sequence, key, eligible ORDER BY pos) = 1 AS asks FROM elig),
-spent AS (SELECT *, coalesce(sum(CASE WHEN asks THEN 0.25::DOUBLE ELSE 0 END) OVER (PARTITION BY sequence ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM asks),
-stops AS (SELECT *, min(CASE WHEN asks AND before + (SELECT coalesce(sum(cost_usd), 0) FROM cache) >= 3 THEN pos END) OVER (PARTITION BY sequence) AS stop FROM spent)
-SELECT pos, CASE WHEN eligible AND (stop IS NULL OR pos < stop) THEN CAST(verdict AS DOUBLE) ELSE CAST(base AS DOUBLE) END AS reward FROM stops"""
-)
+@query(capped(2.0))
 def judge_budget_cutoff(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    return judge.budget_rewards(eligible(rows), cache(rows), budget=3.0, group="sequence").select("pos", "reward")
+    rows = materialize(items(spark, sf_dir).select("pos", "key", F.col("correctness").alias("base"), judge.needs_judge(F.col("correctness"), F.col("answer")).alias("eligible")))
+    known = cache(rows)
+    verdict = F.coalesce(F.col("known") == 1, says(F.col("key")))
+    judged = rows.join(known.select("key", F.col("verdict").alias("known")), "key", "left").withColumn("verdict", verdict).withColumn("cost_usd", F.lit(0.25))
+    return judge.budget_rewards(judged, known, budget=2.0).select("pos", "reward")
 
 
 @query(
@@ -116,19 +140,20 @@ def judge_study_corrected(spark, sf_dir):
     return runs.study(rows, runs.study_sample(rows, ["run_id"], 40), overall, ["run_id"])
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 9 ELSE quality END AS quality FROM labels UNION ALL SELECT -1 - doc_id, 9 FROM labels WHERE doc_id % 4 = 0")
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 9 ELSE quality END AS quality FROM labels UNION ALL SELECT -1 - doc_id, 9 FROM labels WHERE toxic = 1")
 def upsert_latest(spark, sf_dir):
-    old = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    touched = old.where("doc_id % 4 = 0").select("doc_id", F.lit(9).alias("quality"))
-    return tables.upsert(old, touched.unionByName(touched.withColumn("doc_id", -1 - F.col("doc_id"))), ["doc_id"])
+    labels = table(spark, sf_dir, "labels")
+    touched = labels.where("toxic = 1").select("doc_id", F.explode(F.array(F.lit(8), F.lit(9))).alias("quality"))  # twice each: the later counts
+    new = touched.unionByName(touched.withColumn("doc_id", -1 - F.col("doc_id")))
+    return tables.upsert(labels.select("doc_id", "quality"), new, ["doc_id"], F.col("quality"))
 
 
 @query(
-    f"""{BASE}, r AS (SELECT DISTINCT key FROM items WHERE pos % 2 = 0)
+    f"""{BASE}, r AS (SELECT DISTINCT key FROM items)
 SELECT key, ascii(substr(key, 1, 1)) % 2 = 0 AS verdict, round((100 * 1.0 + 2 * 5.0) / 1e6 * 0.5, 9)::DOUBLE AS cost_usd FROM r WHERE ascii(substr(key, 2, 1)) % 5 > 0"""
 )
 def judge_batch_results(spark, sf_dir):
-    requests = items(spark, sf_dir).where("pos % 2 = 0").select("key").distinct()
+    requests = items(spark, sf_dir).select("key").distinct()
     reply = F.when(F.ascii("key") % 2 == 0, " YES.").otherwise("no")
     message = F.struct(F.array(F.struct(F.lit("text").alias("type"), reply.alias("text"))).alias("content"), F.struct(F.lit(100).alias("input_tokens"), F.lit(2).alias("output_tokens")).alias("usage"))
     kind = F.when(F.ascii(F.substring("key", 2, 1)) % 5 > 0, "succeeded").otherwise("errored")

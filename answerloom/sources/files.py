@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom import schemas
 from answerloom.functions.text import fixed
-from answerloom.operators.tables import upsert
+from answerloom.operators.tables import union_subsets, upsert
 
 
 def read_table(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -83,15 +84,60 @@ def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, ["subset"])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """The judge's cache: a Parquet table keyed by ``key``; an absent one is empty."""
-    try:
-        return spark.read.schema(schemas.JUDGMENTS).parquet(path)
-    except AnalysisException:
+    """The judge's cache: a Parquet table keyed by ``key``; an absent one is empty, any other fault raises."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schemas.JUDGMENTS)
+    return spark.read.schema(schemas.JUDGMENTS).parquet(path)
 
 
 def add_verdicts(new: DataFrame, path: str) -> None:
     """Append verdicts of keys that the table doesn't hold; so it never rewrites what it has."""
     spark = new.sparkSession
     new.join(read_verdicts(spark, path).select("key"), "key", "left_anti").select("key", "verdict", "cost_usd", "created").write.mode("append").parquet(path)
+
+
+def kept(path: str) -> Callable[[DataFrame], DataFrame]:
+    """For ``judge_many``: writes answers into the verdict table at ``path`` and reads them back from it."""
+
+    def keep(answers: DataFrame) -> DataFrame:
+        before = {f for f in read_verdicts(answers.sparkSession, path).inputFiles()}
+        add_verdicts(answers, path)
+        table = read_verdicts(answers.sparkSession, path)
+        new = [f for f in table.inputFiles() if f not in before]
+        return answers.sparkSession.read.schema(schemas.JUDGMENTS).parquet(*new) if new else table.limit(0)
+
+    return keep
+
+
+MANIFEST = "subset string, n long, qids_sha string"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest document at ``path`` as rows (subset, n, qids_sha); an absent one is empty."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], MANIFEST)
+    whole = spark.read.schema("subsets map<string, struct<n: long, qids_sha: string>>").json(path)
+    return whole.select(F.explode("subsets").alias("subset", "_entry")).select("subset", "_entry.n", "_entry.qids_sha")
+
+
+def rebuild_manifest(new: DataFrame, path: str) -> DataFrame:
+    """Reads the manifest at ``path``, puts the rebuilt subsets ``new`` in place of their old entries, keeps all others,
+    and writes it back: one document, its subsets in order. A manifest has one entry for each subset, a few rows."""
+    spark = new.sparkSession
+    merged = spark.createDataFrame(merge_manifest(read_manifest(spark, path), new.select("subset", "n", "qids_sha")).collect(), MANIFEST)
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("subset", F.struct("n", "qids_sha")))))
+    merged.agg(F.to_json(F.struct(entries.alias("subsets"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return merged
+
+
+def select_sources(builders: dict[str, Callable[[], list[DataFrame]]], only: str | None = None) -> DataFrame:
+    """All subsets of all sources, or those of one; a source that isn't chosen is never built."""
+    if only is not None and only not in builders:
+        raise ValueError(f"{only} is none of {', '.join(builders)}")
+    return union_subsets(*[subset for name, build in builders.items() if only in (None, name) for subset in build()])

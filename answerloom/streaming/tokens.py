@@ -18,11 +18,24 @@ OUTPUT = "model string, text string, done boolean"
 
 
 def fan_out(requests: DataFrame, models: DataFrame) -> DataFrame:
-    """A row for each request and model that it asks for (all models if it asks for none). ``models`` is a dimension
-    table of a few rows."""
-    wanted = F.filter("models", lambda m: m != "")
-    asked = requests.withColumn("_wanted", wanted)
-    return asked.join(F.broadcast(models), (F.coalesce(F.size("_wanted"), F.lit(0)) <= 0) | F.array_contains("_wanted", F.col("model"))).drop("_wanted")
+    """A row for each request and model that it asks for (all models if it asks for none).
+
+    The models wanted are exploded and equi-joined with ``models``; a request that asks for none wants the null name,
+    under which every model is listed once more.
+    """
+    wanted = F.array_distinct(F.filter("models", lambda m: m != ""))
+    none = F.array(F.lit(None).cast("string"))
+    asked = requests.withColumn("_wanted", F.explode(F.when(F.coalesce(F.size(wanted), F.lit(0)) > 0, wanted).otherwise(none)))
+    listed = models.select(F.col("model").alias("_wanted"), "*").unionByName(models.select(F.lit(None).cast("string").alias("_wanted"), "*"))
+    return asked.join(listed, asked["_wanted"].eqNullSafe(listed["_wanted"])).drop("_wanted")
+
+
+def interleaved(*streams: DataFrame) -> DataFrame:
+    """Several models' streams as one, in whatever order their events arrive."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out
 
 
 def texts(events: DataFrame) -> DataFrame:
