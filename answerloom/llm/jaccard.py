@@ -312,20 +312,20 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     smallest = F.ceil(F.col("n") * num / den)
 
     # prefix shingles that several classes have, and classes with enough of them
-    heads = rows.where("head is not null").dropDuplicates(["node"])
+    heads = rows.where("head is not null")  # a class has as many as tasks have seen it, so what follows counts distinct shingles
     of_token = Window.partitionBy("token")
     rare = heads.select("node", F.explode("head").alias("token")).withColumn("lead", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token))
     often = heads.select("node", F.explode("often").alias("token"))
     led = often.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))  # FREQUENT rows at most
     common = rare.select("node", "token", "lead", "last").unionByName(often.join(F.broadcast(led), "token"))
     common = materialize(common.where("lead != last").drop("last"))
-    enough = common.groupBy("node").agg(F.count("*").alias("c")).join(sizes, "node").where(F.col("c") >= shared(smallest))
+    enough = common.groupBy("node").agg(F.count_distinct("token").alias("c")).join(sizes, "node").where(F.col("c") >= shared(smallest))
     enough = materialize(enough.select("node"))
 
     # the blocks that a class enters: all of its shingles' but the smallest, while those hold less than half of `shared`
     smaller = Window.partitionBy("node").orderBy("c", "lead").rowsBetween(Window.unboundedPreceding, 0)
     entered = (
-        common.join(enough, "node", "left_semi").groupBy("node", "lead").agg(F.count("*").alias("c"))
+        common.join(enough, "node", "left_semi").groupBy("node", "lead").agg(F.count_distinct("token").alias("c"))
         .withColumn("dropped", F.sum("c").over(smaller)).join(sizes, "node").where(F.col("dropped") > F.floor((shared(smallest) - 1) / 2))
     )
     entered = materialize(entered.select("node", "lead", "n"))
