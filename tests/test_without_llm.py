@@ -15,3 +15,9 @@ def test_entry_imports_without_llm():
 def test_nothing_else_imports_llm():
     found = subprocess.run(["grep", "-rln", "answerloom.llm", "--include=*.py", "answerloom", "bench.py"], cwd=ROOT, capture_output=True, text=True).stdout.split()
     assert all(f.startswith("answerloom/llm/") for f in found), found
+
+
+def test_other_faults_are_not_hidden():
+    """A library that the operators need and that isn't there must not make their queries vanish in silence."""
+    code = "import sys; sys.modules['zstandard'] = None\ntry:\n    import __spark_entry__\nexcept ModuleNotFoundError as e:\n    assert e.name == 'zstandard', e.name\nelse:\n    import os; assert not os.path.exists('answerloom/llm')"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
