@@ -81,12 +81,18 @@ def index_vectors(tokens: list[str]) -> np.ndarray:
     return out
 
 
-def context_sums(ids: np.ndarray, index: np.ndarray, out: np.ndarray) -> None:
-    """Add to ``out`` the index vectors of each token's neighbours within one text."""
-    for step in range(1, WINDOW + 1):
-        a, b = ids[:-step], ids[step:]
-        np.add.at(out, a, index[b])
-        np.add.at(out, b, index[a])
+def context_sums(ids: np.ndarray, index: np.ndarray, out: np.ndarray, block: int = 1 << 15) -> None:
+    """Add to ``out`` the index vectors of each token's neighbours within one text, ``block`` tokens at a time."""
+    for at in range(0, len(ids), block):
+        own = ids[at : at + block]
+        near = np.zeros((len(own), index.shape[1]), np.float32)
+        for step in range(1, WINDOW + 1):
+            before, after = ids[max(0, at - step) : max(0, at + len(own) - step)], ids[at + step : at + len(own) + step]
+            near[len(own) - len(before) :] += index[before]
+            near[: len(after)] += index[after]
+        order = np.argsort(own, kind="stable")
+        tokens, starts = np.unique(own[order], return_index=True)
+        out[tokens] += np.add.reduceat(near[order], starts)
 
 
 @dataclass

@@ -50,6 +50,22 @@ def test_tokens_are_told_apart_whole():
     assert list(quality.token_ids(f"{long}b {long}c {long}d", ids)) == [1, 2, 0]
 
 
+def test_context_sums_by_definition():
+    rng = np.random.default_rng(1)
+    index = rng.integers(-1, 2, (9, 5)).astype(np.float32)
+    for n in (0, 1, 2, 3, 4, 7, 50):
+        ids = rng.integers(0, 9, n)
+        want = np.zeros_like(index)
+        for i in range(n):
+            for j in range(max(0, i - quality.WINDOW), min(n, i + quality.WINDOW + 1)):
+                if j != i:
+                    want[ids[i]] += index[ids[j]]
+        for block in (1, 2, 3, 64):
+            got = np.zeros_like(index)
+            quality.context_sums(ids, index, got, block)
+            assert np.array_equal(got, want)
+
+
 def test_temperature_is_fitted_on_rows_kept_apart():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, quality.DIM))
