@@ -12,7 +12,9 @@ hash collisions; no partner, candidate or group is capped.
 3. *Shared prefixes.* If two sets link, their prefixes of ``n - ceil(t*n) + s`` shingles have s in common, for any s
    up to ``t*n``; here s is one in SHARE of the smaller set's shingles. Prefix shingles of one class only go, and so do
    classes that have less than s of the rest. So a passage that many documents share makes none of them a candidate unless
-   it is half of the text or so. Shingles that the sample holds as frequent, FREQUENT at most, never meet in a task: their
+   it is half of the text or so. The smaller set of a pair has the shared ones in a shorter prefix yet, of
+   ``n - ceil(2t/(1+t)*n) + s``, since its partner is as large at least: shingles that no class has there go, too, and with
+   them texts that share a passage of less than ``2t/(1+t)`` of each. Shingles that the sample holds as frequent, FREQUENT at most, never meet in a task: their
    least and greatest classes are aggregated and broadcast. The others are shuffled and meet by shingle.
 4. *Blocks.* A shingle's block is named by its least class. A class enters the blocks of its shingles, but
    for the smallest of them as long as those hold less than half of s: two linked classes still meet in one block.
@@ -57,7 +59,7 @@ from answerloom.llm.components import connected_components
 #: the smallest sets that can link share fewer).
 LEVEL, SHARE = 4, 10
 #: Sets, and shingles, that a part of a block has, about: its trie is held in memory.
-SETS, PART = 64, 2_000_000
+SETS, PART = 200, 2_000_000
 #: Shingles that the sample holds as frequent, at most: so many numbers are broadcast.
 FREQUENT = 200_000
 #: Hash buckets of the filter before the second read of texts: at most so many numbers are broadcast.
@@ -285,25 +287,29 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, heads, often = [], [], [], []
+            nodes, sizes, heads, often, shorts = [], [], [], [], []
             for text in batch["text"]:
                 own = shingles(text, k)
                 n = len(own)
                 node = node_of(own)
-                head = frequent = None
+                head = frequent = short = None
                 # a set so small that nothing but an equal one can link needs no prefix; a class needs one in each task
                 if n and (num * n <= den * (n - 1) or num * (n + 1) <= den * n) and node not in seen:
                     seen.add(node)
-                    prefix = order.value.rarest_first(own)[: n - -(-num * n // den) + max(level, n // SHARE)]
+                    s = max(level, n // SHARE)
+                    prefix = order.value.rarest_first(own)[: n - -(-num * n // den) + s]
+                    short = n - -(-2 * num * n // (num + den)) + s  # so many of them if its partner is as large at least
                     known = order.value.counts_of(prefix) > 0
                     head, frequent = prefix[~known].view(np.int64), prefix[known].view(np.int64)
                 nodes.append(node)
                 sizes.append(n)
                 heads.append(head)
                 often.append(frequent)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": sizes, "node": pd.array(nodes, "Int64"), "head": heads, "often": often})
+                shorts.append(short)
+            ids, nodes, shorts = batch["doc_id"].astype("Int64"), pd.array(nodes, "Int64"), pd.array(shorts, "Int32")
+            yield pd.DataFrame({"doc_id": ids, "n": sizes, "node": nodes, "head": heads, "often": often, "short": shorts})
 
-    schema = "doc_id long, n int, node long, head array<long>, often array<long>"
+    schema = "doc_id long, n int, node long, head array<long>, often array<long>, short int"
     rows = materialize(documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(prefixes, schema))
     classes = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n")))
     sizes = classes.select("node", "n")
@@ -314,11 +320,13 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     # prefix shingles that several classes have, and classes with enough of them
     heads = rows.where("head is not null")  # a class has as many as tasks have seen it, so what follows counts distinct shingles
     of_token = Window.partitionBy("token")
-    rare = heads.select("node", F.explode("head").alias("token")).withColumn("lead", F.min("node").over(of_token)).withColumn("last", F.max("node").over(of_token))
-    often = heads.select("node", F.explode("often").alias("token"))
-    led = often.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last"))  # FREQUENT rows at most
-    common = rare.select("node", "token", "lead", "last").unionByName(often.join(F.broadcast(led), "token"))
-    common = materialize(common.where("lead != last").drop("last"))
+    ends = {"lead": F.min("node"), "last": F.max("node"), "near": F.max("near")}  # `near`: whether it is in a shorter prefix
+    rare = heads.select("node", "short", F.posexplode("head").alias("at", "token")).select("node", "token", (F.col("at") < F.col("short")).alias("near"))
+    rare = rare.select("node", "token", *[end.over(of_token).alias(name) for name, end in ends.items()])
+    often = heads.select("node", (F.col("short") - F.size("head")).alias("short"), F.posexplode("often").alias("at", "token")).select("node", "token", (F.col("at") < F.col("short")).alias("near"))
+    led = often.groupBy("token").agg(*[end.alias(name) for name, end in ends.items()])  # FREQUENT rows at most
+    common = rare.unionByName(often.drop("near").join(F.broadcast(led), "token"))
+    common = materialize(common.where("lead != last and near").select("node", "token", "lead"))
     enough = common.groupBy("node").agg(F.count_distinct("token").alias("c")).join(sizes, "node").where(F.col("c") >= shared(smallest))
     enough = materialize(enough.select("node"))
 
@@ -346,8 +354,9 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
     groups = connected_components(block_links(met, num, den))
     if not split.isEmpty():
         of_split = places.where("parts > 1").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        largest = of_split.groupBy("lead", "root").agg(F.count("*").alias("c")).groupBy("lead").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
-        outside = materialize(of_split.join(largest, "lead").where("root != largest").select("node", "lead", "part", "parts", "root"))
+        counted = of_split.groupBy("lead", "root", "parts").agg(F.count("*").alias("c")).groupBy("lead", "parts").agg(F.max_by("root", F.struct("c", "root")).alias("largest"))
+        largest = counted.select("lead", "largest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))  # by part, so that a large block is in many tasks
+        outside = materialize(of_split.join(largest, ["lead", "part"]).where("root != largest").select("node", "lead", "part", "parts"))
         if not outside.isEmpty():
             groups = joined(groups, links_across(outside, places, sets, num, den))
     named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
