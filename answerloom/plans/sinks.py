@@ -33,7 +33,7 @@ def prediction_lines(spark, sf_dir):
 
 RUN_FILES = f"""{EVAL}, t AS (SELECT dataset, CASE WHEN turn % 4 = 1 THEN 'single' ELSE 'all' END AS k, {MEAN} AS s FROM f GROUP BY ALL),
 o AS (SELECT dataset, count(*) AS n, {MEAN} AS s FROM f GROUP BY dataset)
-SELECT 'base-' || dataset AS run_id, '2024-05-01T00:00:00+00:00' AS timestamp, 'model-2b' AS base, 'zero' AS preset, dataset, dataset || '_eval' AS subset, CAST(o.n AS INT) AS n, CAST(NULL AS INT) AS "limit", 'local' AS backend,
+SELECT 'base-' || dataset AS run_id, '2024-05-01T00:00:00+00:00' AS timestamp, 'model-2b' AS base, 'zero' AS preset, dataset, dataset || '_eval' AS subset, CAST(o.n AS INT) AS n, -1 AS "limit", 'local' AS backend,
   0.0::DOUBLE AS temperature, 64 AS max_tokens, o.s AS overall, (SELECT string_agg(k || '=' || CAST(CAST(round(s * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FROM t WHERE t.dataset = o.dataset) AS by_answer_type FROM o"""
 
 
@@ -49,7 +49,7 @@ def run_files(spark, sf_dir):
     spark.createDataFrame([("x", "not run")], "run_id string, status string").coalesce(1).write.mode("append").json(f"{path}/name=placeholder")
     back = files.read_runs(spark, path)
     entries = F.transform(F.map_entries("metrics.by_answer_type"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1e6).cast("long").cast("string")))
-    return back.select("run_id", "timestamp", "model.base", "model.preset", "eval.dataset", "eval.subset", "eval.n", "eval.limit", "gen.backend", "gen.temperature", "gen.max_tokens", "metrics.overall", F.array_join(F.array_sort(entries), ",").alias("by_answer_type"))
+    return back.select("run_id", "timestamp", "model.base", "model.preset", "eval.dataset", "eval.subset", "eval.n", F.coalesce("eval.limit", F.lit(-1)).alias("limit"), "gen.backend", "gen.temperature", "gen.max_tokens", "metrics.overall", F.array_join(F.array_sort(entries), ",").alias("by_answer_type"))
 
 
 @query("SELECT 'k' || CAST(doc_id AS VARCHAR) AS key, quality AS verdict, 0.5::DOUBLE AS cost_usd FROM labels")
