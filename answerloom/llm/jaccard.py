@@ -87,6 +87,13 @@ def node_of(own: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)) if len(own) else None
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 1_000) -> Iterator[pd.DataFrame]:
+    """Batches of fewer rows: a task holds the sets of so many texts at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows].reset_index(drop=True)
+
+
 class Order:
     """The global order: shingles with their sampled frequencies, all others zero."""
 
@@ -286,7 +293,7 @@ def similarity_groups(spark: SparkSession, documents: DataFrame, k: int = 3, num
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sizes, heads, often, shorts = [], [], [], [], []
             for text in batch["text"]:
                 own = shingles(text, k)
@@ -386,7 +393,7 @@ def sets_of(documents: DataFrame, order, wanted: DataFrame, k: int) -> DataFrame
     texts = near.drop("_bucket").join(wanted.hint("shuffle_hash"), "doc_id")
 
     def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [shingles(t, k) for t in batch["text"]]
             nodes = [node_of(s) for s in own]
             keep = [i for i, (node, want) in enumerate(zip(nodes, batch["want"], strict=True)) if node == want]
