@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import chat, compression, decontaminate, jaccard, langid, packing, quality, tokens, urlfilter, warc
+from answerloom.llm import chat, compression, decontaminate, jaccard, langid, packing, periodic, quality, tokens, urlfilter, warc
 from answerloom.llm.common import held_out, table
 
 
@@ -69,14 +69,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing.n_words(F.col("text")))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, some of which are made to repeat; see ``periodic``."""
+    return periodic.digests(periodic.find(periodic.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_url_filters, op3_benchmark_decontamination, op4_chat_formatting, op5_warc,
-        op6_quality_rules, op7_language_id, op8_ngram_jaccard_join, op9_token_counts, op10_best_fit_packing,
+        op6_quality_rules, op7_language_id, op8_ngram_jaccard_join, op9_token_counts, op10_best_fit_packing, op11_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_chat_formatting": chat.ORACLE,
-    "op5_warc": warc.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE,
+    "op5_warc": warc.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op11_periodic_runs": periodic.ORACLE,
 }
