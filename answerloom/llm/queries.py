@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import chat, compression, decontaminate, jaccard, langid, packing, periodic, quality, tokens, urlfilter, warc
+from answerloom.llm import chat, compression, decontaminate, jaccard, langid, licences, packing, periodic, quality, tokens, urlfilter, warc
 from answerloom.llm.common import held_out, table
 
 
@@ -74,11 +74,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(periodic.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, tags and expressions of every document; see ``licences``."""
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_url_filters, op3_benchmark_decontamination, op4_chat_formatting, op5_warc,
         op6_quality_rules, op7_language_id, op8_ngram_jaccard_join, op9_token_counts, op10_best_fit_packing, op11_periodic_runs,
+        op12_license_scans,
     )
 }
 ORACLES: dict[str, str] = {
