@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import chat, compression, decontaminate, jaccard, langid, licences, packing, periodic, quality, tokens, urlfilter, warc
+from answerloom.llm import chat, compression, decontaminate, jaccard, langid, licences, packing, periodic, prefixes, quality, tokens, urlfilter, warc
 from answerloom.llm.common import held_out, table
 
 
@@ -79,15 +79,21 @@ def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with its family's beginning; see ``prefixes``."""
+    return prefixes.trie(*prefixes.rebuilt(prefixes.placed(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_url_filters, op3_benchmark_decontamination, op4_chat_formatting, op5_warc,
         op6_quality_rules, op7_language_id, op8_ngram_jaccard_join, op9_token_counts, op10_best_fit_packing, op11_periodic_runs,
-        op12_license_scans,
+        op12_license_scans, op13_prefix_trie,
     )
 }
 ORACLES: dict[str, str] = {
     "op2_url_filters": urlfilter.ORACLE, "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_chat_formatting": chat.ORACLE,
     "op5_warc": warc.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE, "op11_periodic_runs": periodic.ORACLE,
+    "op13_prefix_trie": prefixes.ORACLE,
 }
