@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, megabytes: int = 8) -> Iterator[None]:
+    """What is run inside hands Python batches of so many bytes at most, not of so many rows: long texts come fewer at a
+    time. (A single longer row is a batch of its own.)"""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{megabytes}m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Rows:
     """The columns of a DataFrame that an operator passes through: all but those its outputs replace and those it drops.
 
