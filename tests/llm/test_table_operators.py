@@ -238,30 +238,83 @@ def test_jaccard_edges(spark, frame):
     assert jaccard.similarity_groups(spark, frame([], "doc_id long, text string")).count() == 0
 
 
-def test_walks_find_what_pairs_find():
-    rng = random.Random(9)
-    sets = {i: np.array(sorted(rng.sample(range(60), rng.randint(20, 50)), key=lambda v: (-v % 7, v)), np.int64) for i in range(80)}
-    trie = jaccard.Trie(sets)
-    for num, den in ((1, 2), (6, 10), (9, 10)):
+def random_sets(rng):
+    """Sets in families, with some that have nothing to do with them."""
+    size = rng.choice([5, 12, 30, 60])
+    bases = [rng.sample(range(size), rng.randint(1, size)) for _ in range(rng.randint(1, 4))]
+    sets = []
+    for _ in range(rng.randint(1, 25)):
+        own = set(rng.choice(bases))
+        for _ in range(rng.randint(0, 4)):
+            own ^= {rng.randrange(size + 6)}
+        sets.append(own or {size + 9})
+    return {i: np.array(sorted(own), np.int64) for i, own in enumerate(sets)}
+
+
+def components(keys, links):
+    root = {k: k for k in keys}
+    for a, b in links:
+        x, y = sorted((root[a], root[b]))
+        root = {k: x if r == y else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize(("num", "den"), [(1, 2), (8, 10), (9, 10)])
+def test_walks_find_what_pairs_find(num, den):
+    rng = random.Random(num)
+    for _ in range(150):
+        sets = random_sets(rng)
         similar = lambda a, b: den * len({*sets[a]} & {*sets[b]}) >= num * len({*sets[a]} | {*sets[b]})  # noqa: B023, E731
-        for step in (1, 7, 512):
-            for probe in range(0, 80, 5):
-                got = trie.walk(trie.local(sets[probe]), len(sets[probe]), num, den, step)
-                assert sorted(got) == [i for i in sets if similar(probe, i)]
-        links, union = jaccard.spanning_links(sets, num, den)
+        links, _ = jaccard.spanning_links(sets, num, den)
         assert len(links) < len(sets) and all(similar(a, b) for a, b in links)
-        assert all(union.find(a) == union.find(b) for a in sets for b in sets if similar(a, b))
+        assert components(sets, links) == components(sets, [(a, b) for a in sets for b in sets if similar(a, b)])
+        held = {k: v for k, v in sets.items() if k % 2 == 0}
+        trie = jaccard.Trie(held, num, den, others=True)
+        for step in (1, 7, 512):
+            probes = trie.outside(sets)
+            assert {(k, probes[0][at]) for k, linked in trie.walk(probes, step) for at in linked} == {(a, b) for a in held for b in sets if similar(a, b)}
 
 
-def test_walks_skip_subtrees(monkeypatch):
-    """Sets that share a passage but no more: a walk from elsewhere visits their common path once, not each of them."""
+def test_walks_skip_subtrees():
+    """Sets that share a passage but no more: a walk from elsewhere counts no overlaps on the path of any of them."""
     passage = list(range(100, 180))
     sets = {i: np.array(passage + sorted(random.Random(i).sample(range(1000, 9000), 20)), np.int64) for i in range(200)}
     sets[200] = np.array(range(300, 400), np.int64)
-    trie, visited = jaccard.Trie(sets), []
-    paths = trie.paths
-    trie.paths = type("Paths", (), {"__getitem__": lambda _, k: visited.append(k) or paths[k]})()
-    assert trie.walk(trie.local(sets[200]), len(sets[200]), 9, 10) == [200] and len(visited) <= 5
+    trie = jaccard.Trie(sets, 9, 10, others=True)
+    assert [(k, list(at)) for k, at in trie.walk(trie.probes([200]))] == [(200, [0])] and trie.steps <= 5
+
+
+def near_copies(n, seed=0):
+    """Sets of 200 or so that share 95 % of one base: any two share too little to link."""
+    g = np.random.default_rng(seed)
+    return {i: np.sort(np.concatenate([np.arange(200)[g.random(200) < 0.95], 1_000 + g.integers(0, 10**9, 10)])) for i in range(n)}
+
+
+def test_near_copies_that_do_not_link_are_walked_in_proportion():
+    """A few counts of overlaps for each set, all walkers at once, however many sets there are."""
+    steps = {}
+    for n in (750, 1_500, 3_000):
+        links, trie = jaccard.spanning_links(near_copies(n), 9, 10)
+        steps[n] = trie.steps
+        assert len(links) < n / 100
+    assert steps[3_000] < 4 * 3_000 and steps[3_000] < 2.2 * steps[1_500] < 4.84 * steps[750]
+
+
+def test_families_take_few_walks():
+    g = np.random.default_rng(1)
+    family = {i: np.sort(np.concatenate([np.arange(200)[g.random(200) < 0.995], 1_000 + g.integers(0, 10**9, 1)])) for i in range(1_000)}
+    links, trie = jaccard.spanning_links(family, 9, 10)
+    assert len(links) == 999 and trie.steps < 2 * 1_000
+
+
+def test_near_copies_in_blocks_of_many_parts(spark, frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "SETS", 20)
+    monkeypatch.setattr(jaccard, "WIDE", 50)
+    monkeypatch.setattr(jaccard, "PASSING", 30)
+    texts = [" ".join(f"w{x}" for x in own) for own in near_copies(150).values()]
+    texts += [" ".join(f"w{x}" for x in [*range(180), *range(k, k + 9)]) for k in range(300, 330)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_groups(spark, frame(list(enumerate(texts)), "doc_id long, text string"), 1, 9, 10).collect()}
+    assert got == groups(texts, 1, 9, 10)
 
 
 def test_texts_that_share_a_passage_but_too_little_are_no_candidates(spark, frame, monkeypatch):
@@ -279,23 +332,28 @@ def test_texts_that_share_a_passage_but_too_little_are_no_candidates(spark, fram
 
 
 def spanned(monkeypatch, edges, order):
-    """The components that ``spanning_links`` finds in a graph whose nodes are walked in this order."""
+    """The components that ``spanning_links`` finds in a graph of which these nodes come first."""
     near = {k: [b for e in edges for a, b in (e, e[::-1]) if a == k] for k in order}
 
     class Graph:
-        def __init__(self, sets):
-            self.paths = {k: [k] for k in sets}
+        def __init__(self, sets, num, den):
+            self.keys = list(order)
+
+        def nearest(self, most):
+            return self.keys[:most]
 
-        def central_first(self):
-            return list(order)
+        def probes(self, keys):
+            return keys
 
-        def walk(self, probe, size, num, den):
-            return [probe[0], *near[probe[0]]]
+        def walk(self, keys):
+            for k in self.keys:
+                if linked := [at for at, x in enumerate(keys) if x == k or x in near[k]]:
+                    yield k, np.array(linked)
 
     monkeypatch.setattr(jaccard, "Trie", Graph)
-    links, union = jaccard.spanning_links(dict.fromkeys(order), 9, 10)
+    links, _ = jaccard.spanning_links(dict.fromkeys(order), 9, 10)
     assert len(links) < len(order) and all(b in near[a] for a, b in links)
-    return len({union.find(k) for k in order})
+    return len(set(components(order, links).values()))
 
 
 def test_no_link_is_lost_when_the_largest_component_changes(monkeypatch):
@@ -305,16 +363,17 @@ def test_no_link_is_lost_when_the_largest_component_changes(monkeypatch):
 
 def test_drift_chains_are_one_component_in_any_order_of_walks(monkeypatch):
     rng = random.Random(3)
-    for n in [*range(2, 40)] * 20 + [500] * 5:
+    for n in [*range(2, 40)] * 5 + [300]:
         order = rng.sample(range(n), n)
         assert spanned(monkeypatch, [(i, i + 1) for i in range(n - 1)], order) == 1
         split = rng.randrange(n - 1)
         assert spanned(monkeypatch, [(i, i + 1) for i in range(n - 1) if i != split], order) == 2
 
 
-@pytest.mark.parametrize(("name", "most"), [("PART", 300), ("SETS", 3)])
+@pytest.mark.parametrize(("name", "most"), [("PART", 300), ("SETS", 3), ("WIDE", 20)])
 def test_blocks_in_parts(spark, frame, monkeypatch, name, most):
     """Families much larger than a part, with outsiders, are still connected across the parts."""
+    monkeypatch.setattr(jaccard, "SETS", 10)
     monkeypatch.setattr(jaccard, name, most)
     rng = random.Random(most)
     texts = []
