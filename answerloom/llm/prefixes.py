@@ -102,7 +102,7 @@ def subtree_sums(nodes: DataFrame, sums: list[str], depth: int) -> DataFrame:
         # what points at the root has nowhere to go on to; those and nodes without a pointer don't meet in a join
         jumps = state.select(F.col("key").alias("up"), F.col("up").alias("next")).where("next is not null")
         goes_on = F.coalesce(F.col("up") != F.lit(ROOT), F.lit(False))
-        moved = state.where(goes_on).join(jumps, "up").select("key", F.col("next").alias("up"), *sums)
+        moved = state.where(goes_on).join(jumps, "up", "left").select("key", F.col("next").alias("up"), *sums)
         on = moved.unionByName(state.where(~goes_on).withColumn("up", F.lit(None).cast("binary")))
         state = materialize(on.join(below, "key", "left").select("key", "up", *[(F.col(s) + F.coalesce(f"_{s}", F.lit(0))).alias(s) for s in sums]))
     return state.select("key", *sums)
