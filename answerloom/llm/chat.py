@@ -10,24 +10,29 @@ no escapes but needed ones).
   conversation the first (by turn, then by place) owns it.
 * *Order.* A call without references is at level 0, its result one level later, and a call that refers to others one
   level after the last of their results. Calls in a cycle, or that refer to no call, never settle: their level is null.
-  (level, turn) orders a conversation topologically. See ``levels``.
+  (level, turn) orders a conversation topologically. Conversations are ordered in one pass, as long as their calls and
+  references are HELD at most; longer ones in rounds over all of them at once, with the same result. See ``levels``.
 * *Validation.* Arguments must be an object with the schema's required members, of the schema's types, and no others
   unless the schema permits them.
 
-Nothing is gathered by conversation, so its length doesn't matter. Edge cases: a null or unparsable text, a very long
-one without blocks too, or a block that is no JSON object, is plain text. JSON that can't be written back as it was
-meant is not parsed, either: objects that name a member twice, ``NaN``, infinite numbers and those that no double
-holds, escaped lone surrogates, nesting deeper than DEPTH. A tool message can't change its role: a member ``role`` of
-it is replaced. A tool message without a call is ``linked`` false; repeated messages are kept and linked each; an
-unknown tool or a missing id makes a call invalid. A null ``conv_id`` never links. Other columns are left out. An empty
-table gives an empty one.
+Nothing but ids and references is gathered by conversation, and of those HELD at most, so its length doesn't matter. Edge
+cases: a null or unparsable text, a very long one too, is plain text. A block that is no JSON object is a call without id,
+name or arguments, with an error; its text stays in the content, and the calls beside it are calls. An opening tag without
+a closing one is text. JSON that can't be written back as it was meant is not parsed, either: objects that name a member
+twice, ``NaN``, infinite numbers and those that no double holds, escaped lone surrogates. Values may be nested however
+deep. A tool message can't change its role: a member ``role`` of it is replaced. A tool message without a call is
+``linked`` false; repeated messages are kept and linked each; an unknown tool or a missing id makes a call invalid. A null
+``conv_id`` never links. Other columns are left out. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from json.decoder import scanstring
 from math import isfinite
 from typing import Any
 
@@ -37,11 +42,11 @@ from pyspark.sql import functions as F
 
 from answerloom.llm.common import materialize
 
-BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
+OPEN, CLOSE = "<tool_call>", "</tool_call>"
 TYPES: dict[str, Any] = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 PARSED = "calls array<struct<id string, name string, valid boolean, error string, refs array<string>>>, result_of string, message string"
-#: Levels of objects and lists in a call or a result.
-DEPTH = 64
+#: Calls and references of a conversation that one task orders at once.
+HELD = 500_000
 #: No way through a conversation's calls is longer; only lengths in a cycle would be.
 LONGEST = 1 << 40
 #: The schemas of the query's tools.
@@ -49,7 +54,30 @@ TOOLS = {"reply": {"required": ["prompt", "turn"], "properties": {"prompt": "str
 
 
 def canonical(value: Any) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    try:
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except RecursionError:
+        return deeply_written(value)
+
+
+def deeply_written(value: Any) -> str:
+    """Canonical JSON of a value that is nested deeper than recursion goes."""
+    out: list[str] = []
+    todo: list[tuple[bool, Any]] = [(False, value)]  # what is yet to be written: text as it is, or a value
+    while todo:
+        is_text, v = todo.pop()
+        if is_text:
+            out.append(v)
+        elif isinstance(v, (dict, list)) and v:
+            names = [json.dumps(k, ensure_ascii=False) + ":" for k in sorted(v)] if isinstance(v, dict) else [""] * len(v)
+            values = [v[k] for k in sorted(v)] if isinstance(v, dict) else v
+            first, last = "{}" if isinstance(v, dict) else "[]"
+            todo.append((True, last))
+            for k in range(len(v) - 1, -1, -1):
+                todo += [(False, values[k]), (True, (first if k == 0 else ",") + names[k])]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False, allow_nan=False))
+    return "".join(out)
 
 
 def once(pairs: list[tuple[str, Any]]) -> dict:
@@ -66,24 +94,73 @@ def finite(number: str) -> float:
     return value
 
 
-def deeper(value: Any, most: int) -> bool:
-    """Whether objects and lists are nested more than ``most`` deep."""
-    level = [value]
-    for _ in range(most + 1):
-        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
-        if not level:
-            return False
-    return True
+def deeply_read(text: str) -> Any:
+    """The value of a JSON text that is nested deeper than recursion goes."""
+    after_space = lambda i: SPACE.match(text, i).end()
+    held: list[tuple[str, list]] = []  # open objects and lists: how they close, and what they hold
+    names: list[str] = []
+
+    def named(i: int) -> int:
+        """Reads a member's name; where its value begins."""
+        if text[i : i + 1] != '"':
+            raise ValueError("a member has no name")
+        name, i = scanstring(text, i + 1, True)
+        names.append(name)
+        i = after_space(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("a member has no value")
+        return after_space(i + 1)
+
+    at = after_space(0)
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            close = "}" if c == "{" else "]"
+            at = after_space(at + 1)
+            if text[at : at + 1] != close:
+                held.append((close, []))
+                at = named(at) if close == "}" else at
+                continue
+            value, at = {} if close == "}" else [], at + 1
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif found := ATOM.match(text, at):
+            value, at = json.loads(found[0], parse_float=finite), found.end()
+        else:
+            raise ValueError("no value")
+        while True:  # a value has ended, and whatever ends with it
+            at = after_space(at)
+            if not held:
+                if at < len(text):
+                    raise ValueError("more than a value")
+                return value
+            close, inside = held[-1]
+            inside.append((names.pop(), value) if close == "}" else value)
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                at = after_space(at)
+                at = named(at) if close == "}" else at
+                break
+            if c != close:
+                raise ValueError("not closed")
+            held.pop()
+            value = once(inside) if close == "}" else inside
+
+
+SPACE, ATOM = re.compile(r"[ \t\n\r]*"), re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
 
 
 def parsed(text: str | None) -> dict | None:
     """The JSON object of a text, or None where it holds none that canonical JSON can express."""
     try:
-        found = json.loads(text or "", object_pairs_hook=once, parse_float=finite, parse_constant=finite)
-        if not isinstance(found, dict) or deeper(found, DEPTH):
+        try:
+            found = json.loads(text or "", object_pairs_hook=once, parse_float=finite, parse_constant=finite)
+        except RecursionError:
+            found = deeply_read(text or "")
+        if not isinstance(found, dict):
             return None
         canonical(found).encode()
-    except (ValueError, RecursionError):  # UnicodeEncodeError, of lone surrogates, is a ValueError
+    except ValueError:  # UnicodeEncodeError, of lone surrogates, is a ValueError
         return None
     return found
 
@@ -112,32 +189,97 @@ def fault(call: dict, tools: dict[str, dict]) -> str | None:
 
 def references(value: Any) -> list[str]:
     """The ids that ``{"$ref": id}`` objects anywhere in a value name."""
-    if isinstance(value, dict):
-        if set(value) == {"$ref"} and isinstance(value["$ref"], str):
-            return [value["$ref"]]
-        value = list(value.values())
-    return sorted({r for v in value for r in references(v)}) if isinstance(value, list) else []
+    found, todo = set(), [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict) and set(v) == {"$ref"} and isinstance(v["$ref"], str):
+            found.add(v["$ref"])
+        elif isinstance(v, (dict, list)):
+            todo += v.values() if isinstance(v, dict) else v
+    return sorted(found)
+
+
+def blocks_of(text: str) -> Iterator[tuple[str, str | None]]:
+    """(text before it, what is in it) of each block, and at last (the rest, None)."""
+    at = 0
+    while (start := text.find(OPEN, at)) >= 0 and (end := text.find(CLOSE, start + len(OPEN))) >= 0:
+        yield text[at:start], text[start + len(OPEN) : end]
+        at = end + len(CLOSE)
+    yield text[at:], None
 
 
 def message(role: str | None, text: str | None, tools: dict[str, dict]) -> tuple[list[dict], str | None, str]:
     """A message's calls, the id whose result it is, and its canonical JSON."""
     if role == "tool" and (found := parsed(text)) and isinstance(found.get("tool_call_id"), str):
         return [], found["tool_call_id"], canonical({**found, "role": role})
-    if role == "assistant" and text and "<tool_call>" in text:
-        blocks = [parsed(b) for b in BLOCK.findall(text)]
-        if blocks and all(b is not None for b in blocks):
-            calls = []
-            for call in blocks:
-                why = fault(call, tools)
-                calls.append({"id": call.get("id") if isinstance(call.get("id"), str) else None, "name": str(call.get("name")), "valid": why is None, "error": why, "refs": references(call.get("arguments"))})
-            rest = BLOCK.sub("", text).strip()
-            return calls, None, canonical({"role": role, "content": rest, "tool_calls": [{k: c.get(k) for k in ("id", "name", "arguments")} for c in blocks]})
+    calls, written, content = [], [], []
+    for before, inside in blocks_of(text) if role == "assistant" and text and OPEN in text else ():
+        content.append(before)
+        if inside is None:
+            break
+        if (call := parsed(inside)) is None:
+            calls.append({"id": None, "name": None, "valid": False, "error": "no JSON object", "refs": []})
+            content.append(OPEN + inside + CLOSE)
+            continue
+        why, arguments = fault(call, tools), call.get("arguments")
+        calls.append({"id": call.get("id") if isinstance(call.get("id"), str) else None, "name": call["name"] if isinstance(call.get("name"), str) else None, "valid": why is None, "error": why, "refs": references(arguments)})
+        written.append({k: call.get(k) for k in ("id", "name", "arguments")})
+    if calls:
+        return calls, None, canonical({"role": role, "content": "".join(content).strip(), "tool_calls": written})
     return [], None, canonical({"role": role, "content": text})
 
 
+def settled(refs: dict[str, list[str]]) -> dict[str, int]:
+    """The levels of a conversation's calls that settle, by the distinct calls that each refers to: a call is reached when
+    the last of those is, so each reference is followed once."""
+    users, waits = defaultdict(list), {call: len(of) for call, of in refs.items()}
+    for call, of in refs.items():
+        for r in of:
+            users[r].append(call)
+    level = {call: 0 for call in refs if not waits[call]}
+    way: dict[str, int] = defaultdict(int)
+    reached = list(level)
+    for call in reached:  # which grows meanwhile
+        for user in users[call]:
+            way[user] = max(way[user], level[call] + 2)
+            waits[user] -= 1
+            if not waits[user]:
+                level[user] = way[user]
+                reached.append(user)
+    return level
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, id, level) of those ``calls`` (conv_id, id, refs), unique by conversation and id, that settle.
 
+    A conversation of HELD calls and references at most is settled in one task, in time linear in them, however its
+    references follow one another. Longer ones go through ``levels_in_rounds``, which holds none of them whole.
+    """
+    calls = materialize(calls.select("conv_id", "id", F.array_distinct("refs").alias("refs")))
+    sizes = calls.groupBy("conv_id").agg(F.sum(F.size("refs") + 1).alias("n"))
+    large = materialize(sizes.where(F.col("n") > HELD).select("conv_id"))
+    any_large = not large.isEmpty()
+    held = calls.join(large, "conv_id", "left_anti") if any_large else calls
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for batch in batches for r in zip(batch["conv_id"], batch["id"], batch["refs"], strict=True))
+        out: list[tuple] = []
+        for conv_id, of in groupby(rows, key=lambda r: r[0]):
+            out += [(conv_id, call, level) for call, level in settled({call: list(refs) for _, call, refs in of}).items()]
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["conv_id", "id", "level"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["conv_id", "id", "level"])
+
+    schema = f"conv_id {calls.schema['conv_id'].dataType.simpleString()}, id string, level int"
+    out = held.repartition("conv_id").sortWithinPartitions("conv_id").mapInPandas(each, schema)
+    return out.unionByName(levels_in_rounds(calls.join(large, "conv_id", "left_semi"))) if any_large else out
+
+
+def levels_in_rounds(calls: DataFrame) -> DataFrame:
+    """(conv_id, id, level) of those ``calls`` (conv_id, id, refs), unique by conversation and id, that settle.
+
     Every call has a base (the longest way known to a call without references) and edges to calls that it still waits
     for, with the length of the way there. In a round, an edge to a settled call goes into the base, one to a call that
     waits for a single other is replaced by one to that other, and the rest stay. So there are never more edges than
@@ -205,8 +347,8 @@ def as_tool_use(conversations: DataFrame) -> DataFrame:
 
     A user turn is the call of a tool ``reply`` with the turn's text, which refers to the call two turns before; the
     assistant's turn after it is the result. By ``conv_id * 3 + turn`` some calls lack an argument (3 modulo 13), refer
-    to two calls (5) or to themselves (7), name an unknown tool (9) or give an argument too many (11), and some results
-    name no call (4 modulo 11).
+    to two calls (5) or to themselves (7), name an unknown tool (9), give an argument too many (11) or come after a block
+    that is no JSON (1), and some results name no call (4 modulo 11).
     """
     name = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     ref = lambda back: F.when(F.col("turn") >= back, F.struct(name(F.col("turn") - back).alias("$ref")))
@@ -229,7 +371,7 @@ def as_tool_use(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         "conv_id", "turn",
         F.when(asked, "assistant").when(told, "tool").otherwise(F.col("role")).alias("role"),
-        F.when(asked, F.concat(F.lit("<tool_call>"), call, F.lit("</tool_call>"))).when(told, result).otherwise(F.col("text")).alias("text"),
+        F.when(asked, F.concat(F.when(kind == 1, OPEN + "not JSON" + CLOSE).otherwise(""), F.lit(OPEN), call, F.lit(CLOSE))).when(told, result).otherwise(F.col("text")).alias("text"),
     )
 
 
@@ -262,14 +404,14 @@ parts AS (
   LEFT JOIN levels asked ON asked.conv_id = t.conv_id AND asked.turn = t.turn - 1)
 SELECT conv_id, turn, CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'tool' ELSE role END AS role,
   CASE role WHEN 'user' THEN 'calls' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-  CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n_calls,
+  CASE WHEN role <> 'user' THEN 0 WHEN kind = 1 THEN 2 ELSE 1 END AS n_calls,
   CASE WHEN role = 'user' AND kind NOT IN (3, 9, 11) THEN 1 ELSE 0 END AS n_valid,
   CAST(CASE WHEN role = 'user' AND answered THEN 1 ELSE 0 END AS BIGINT) AS n_answered,
   CASE WHEN role = 'assistant' THEN has_call END AS linked,
   CASE WHEN role = 'user' THEN own_level WHEN role = 'assistant' AND has_call THEN asked_level + 1 END AS level,
-  CASE WHEN role = 'user' THEN CASE kind WHEN 3 THEN 'missing: prompt' WHEN 9 THEN 'unknown tool' WHEN 11 THEN 'not in the schema: tone' END END AS error,
+  CASE WHEN role = 'user' THEN CASE kind WHEN 1 THEN 'no JSON object' WHEN 3 THEN 'missing: prompt' WHEN 9 THEN 'unknown tool' WHEN 11 THEN 'not in the schema: tone' END END AS error,
   CASE role
-    WHEN 'user' THEN '{"content":"","role":"assistant","tool_calls":[{"arguments":{' || context || CASE WHEN kind <> 3 THEN '"prompt":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',' ELSE '' END
+    WHEN 'user' THEN '{"content":"' || CASE WHEN kind = 1 THEN '<tool_call>not JSON</tool_call>' ELSE '' END || '","role":"assistant","tool_calls":[{"arguments":{' || context || CASE WHEN kind <> 3 THEN '"prompt":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',' ELSE '' END
       || CASE WHEN kind = 11 THEN '"tone":"plain",' ELSE '' END || '"turn":' || CAST(turn AS VARCHAR) || '},"id":"' || c || CAST(turn AS VARCHAR) || '","name":"' || CASE WHEN kind = 9 THEN 'answer' ELSE 'reply' END || '"}]}'
     WHEN 'assistant' THEN '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END || '"role":"tool","tool_call_id":"' || CASE WHEN astray THEN 'gone' ELSE c || CAST(turn - 1 AS VARCHAR) END || '"}'
     ELSE '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' END AS message

@@ -146,37 +146,97 @@ def test_chat(spark, frame):
     assert (got[1, 2].level, got[1, 3].level) == (3, 1) and got[1, 2].linked and not got[1, 4].linked and not got[2, 0].linked
     assert got[1, 5].level is None and got[1, 13].level is None
     assert [got[1, t].error for t in (6, 7, 8, 9, 10, 12)] == ["not of type integer: x", "not of type integer: x", "missing: x", "not in the schema: z", "unknown tool", "no id"]
-    assert got[1, 11].kind == "message" and got[1, 0].message == '{"content":"hi é","role":"user"}'
+    assert (got[1, 11].kind, got[1, 11].n_calls, got[1, 11].n_valid, got[1, 11].error) == ("calls", 1, 0, "no JSON object") and got[1, 0].message == '{"content":"hi é","role":"user"}'
     assert got[1, 3].message == '{"content":1,"role":"tool","tool_call_id":"a"}'
     assert json.loads(got[1, 1].message)["tool_calls"][0] == {"arguments": {"x": 1}, "id": "a", "name": "f"}
     assert chat.format_chat(frame([], "conv_id long, turn long, role string, text string"), TOOLS).count() == 0
 
 
 def test_chat_takes_what_json_cannot_say_for_plain_text(spark, frame):
-    deep = lambda n: '{"a":' * n + "1" + "}" * n
-    odd = ['{"tool_call_id":"a","x":"\\ud800"}', '{"tool_call_id":"a","x":1e999}', '{"tool_call_id":"a","x":NaN}', '{"tool_call_id":"a","tool_call_id":"b"}', '{"tool_call_id":"a","x":' + deep(100_000) + "}", '{"tool_call_id":"a","x":' + deep(70) + "}", '{"tool_call_id":"a","x":' + "9" * 5000 + "}", "[" * 100_000, "x" * 1_000_000]
+    odd = ['{"tool_call_id":"a","x":"\\ud800"}', '{"tool_call_id":"a","x":1e999}', '{"tool_call_id":"a","x":NaN}', '{"tool_call_id":"a","tool_call_id":"b"}', '{"tool_call_id":"a","x":' + "9" * 5000 + "}", "[" * 100_000, "x" * 1_000_000]
     rows = [(1, i, "tool", t, "other") for i, t in enumerate(odd)] + [(2, i, "assistant", f"<tool_call>{t}</tool_call>", "other") for i, t in enumerate(odd)]
-    rows += [(3, 0, "tool", '{"role":"system","tool_call_id":"a","content":"\\ud83d\\ude00"}', "o"), (3, 1, "tool", '{"tool_call_id":"a","x":' + deep(60) + "}", "o")]
+    rows += [(3, 0, "tool", '{"role":"system","tool_call_id":"a","content":"\\ud83d\\ude00"}', "o")]
     out = {(r.conv_id, r.turn): r for r in chat.format_chat(frame(rows, "conv_id long, turn long, role string, text string, kind string"), TOOLS).collect()}
-    assert all(out[c, i].kind == "message" and json.loads(out[c, i].message)["content"] == (t if c == 1 else f"<tool_call>{t}</tool_call>") for c in (1, 2) for i, t in enumerate(odd))
-    assert out[3, 0].message == '{"content":"😀","role":"tool","tool_call_id":"a"}' and out[3, 1].kind == "result"
-
-
-def test_levels_are_longest_ways(spark, frame):
+    assert all(out[1, i].kind == "message" and json.loads(out[1, i].message)["content"] == t for i, t in enumerate(odd))
+    assert all((out[2, i].kind, out[2, i].error) == ("calls", "no JSON object") and json.loads(out[2, i].message)["content"] == f"<tool_call>{t}</tool_call>" for i, t in enumerate(odd))
+    assert out[3, 0].message == '{"content":"😀","role":"tool","tool_call_id":"a"}'
+
+
+def test_good_calls_stay_beside_bad_blocks(spark, frame):
+    text = "a <tool_call>{</tool_call> b " + call("x", {"x": 1}) + "<tool_call>[]</tool_call> c <tool_call>" + call("y", {"x": {"$ref": "x"}}) + " d </tool_call> <tool_call>"
+    rows = [(1, 0, "assistant", text), (1, 1, "tool", '{"tool_call_id":"x"}'), (1, 2, "assistant", "<tool_call>" + '{"id":"z"}')]
+    got = {r.turn: r for r in chat.format_chat(frame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()}
+    assert (got[0].n_calls, got[0].n_valid, got[0].n_answered, got[0].error, got[0].level) == (4, 1, 1, "no JSON object", 0) and got[1].linked and got[2].kind == "message"
+    message = json.loads(got[0].message)
+    assert [c["id"] for c in message["tool_calls"]] == ["x"] and message["content"] == text.replace(call("x", {"x": 1}), "").strip()
+
+
+def test_hostile_texts_take_linear_time():
+    for text in ("<tool_call>" * 100_000, "<tool_call></tool_call>" * 50_000, "</tool_call>" * 100_000, "<tool_call>" + "{" * 1_000_000, "<tool_call>" * 50_000 + "</tool_call>" * 50_000):
+        began = time.perf_counter()
+        chat.message("assistant", text, TOOLS)
+        assert time.perf_counter() - began < 2
+
+
+def test_values_nested_however_deep(spark, frame):
+    deep = lambda n: '{"a":[' * n + '{"$ref":"r"}' + "]}" * n
+    rows = [(1, 0, "tool", '{"tool_call_id":"a","x":' + deep(50_000) + "}"), (1, 1, "assistant", '<tool_call>{"name":"f","id":"b","arguments":{"x":' + deep(5_000) + "}}</tool_call>")]
+    got = {r.turn: r for r in chat.format_chat(frame(rows, "conv_id long, turn long, role string, text string"), TOOLS).collect()}
+    assert got[0].kind == "result" and got[0].message == '{"role":"tool",' + rows[0][3][1:] and got[1].error == "not of type integer: x"
+    assert chat.references(chat.deeply_read(deep(5_000))) == ["r"]
+
+
+def test_deep_json_is_read_and_written_as_the_library_does():
+    rng = random.Random(0)
+
+    def made(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.4:
+            return rng.choice([1, -2.5, 1e20, 'é"\\\n', None, True, False, "", 10**30])
+        return [made(depth - 1) for _ in range(rng.randint(0, 4))] if kind < 0.7 else {rng.choice("abcdé") + str(i): made(depth - 1) for i in range(rng.randint(0, 4))}
+
+    def outcome(read, text):
+        try:
+            return repr(read(text))
+        except ValueError:
+            return "fault"
+
+    for _ in range(1_500):
+        value = made(5)
+        text = json.dumps(value, indent=rng.choice([None, 2]), ensure_ascii=rng.random() < 0.5)
+        assert chat.deeply_read(text) == value and chat.deeply_written(value) == chat.canonical(value)
+        broken = list(text)
+        broken[rng.randrange(len(broken))] = rng.choice('{}[],:"1 x')
+        library = lambda t: json.loads(t, object_pairs_hook=chat.once, parse_float=chat.finite, parse_constant=chat.finite)
+        assert outcome(chat.deeply_read, "".join(broken)) == outcome(library, "".join(broken))
+
+
+@pytest.mark.parametrize("held", [chat.HELD, 500, 10])
+def test_levels_are_longest_ways(spark, frame, monkeypatch, held):
+    """In one task, in rounds, and some conversations in each."""
+    monkeypatch.setattr(chat, "HELD", held)
     rng = random.Random(11)
     refs = {f"c{i}": sorted({f"c{rng.randrange(max(0, i - 9), i)}" for _ in range(rng.randint(0, 3))}) if i else [] for i in range(30)}
     refs |= {f"d{i}": [f"d{i - 1}"] if i else [] for i in range(300)} | {"x": ["y", "c3"], "y": ["x"], "z": ["x"], "u": ["nowhere", "c1"]}
     level: dict[str, int] = {}
     while new := {k: max([level[r] + 2 for r in v], default=0) for k, v in refs.items() if k not in level and all(r in level for r in v)}:
         level |= new
-    got = {r.id: r.level for r in chat.levels(frame([(1, k, v) for k, v in refs.items()], "conv_id long, id string, refs array<string>")).collect()}
-    assert got == level
+    rows = [(1, k, v) for k, v in refs.items()] + [(2, k, refs[k] + refs[k]) for k in list(refs)[:12]] + [(3, "c0", [])]
+    got = {(r.conv_id, r.id): r.level for r in chat.levels(frame(rows, "conv_id long, id string, refs array<string>")).collect()}
+    assert got == {(1, k): v for k, v in level.items()} | {(2, k): level[k] for k in list(refs)[:12]} | {(3, "c0"): 0}
+
+
+def test_long_chains_of_several_references_settle_in_a_pass(spark, frame):
+    began = time.perf_counter()
+    rows = [(1, f"c{i}", [f"c{i - 1}", f"c{i - 2}"] if i > 1 else []) for i in range(3_000)]
+    got = {r.id: r.level for r in chat.levels(frame(rows, "conv_id long, id string, refs array<string>")).collect()}
+    assert len(got) == 3_000 and got["c2999"] == 2 * 2_998 and time.perf_counter() - began < 60
 
 
 def test_chat_query_has_every_fault(spark):
     rows = q.op4_chat_formatting(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").count()
-    assert {r.error for r in rows} == {None, "missing: prompt", "unknown tool", "not in the schema: tone"}
+    assert {r.error for r in rows} == {None, "no JSON object", "missing: prompt", "unknown tool", "not in the schema: tone"}
     assert {r.linked for r in rows} == {None, True, False} and {r.n_answered for r in rows} == {0, 1}
     assert any(r.kind == "calls" and r.level is None for r in rows) and max(r.level or 0 for r in rows) >= 4
 
