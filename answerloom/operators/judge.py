@@ -7,15 +7,18 @@ what must be asked, asks each thing once, and joins the answers back.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.functions.tables import PRICE_IN, PRICE_OUT, PROMPT_JUDGE
 from answerloom.functions.text import fill, normalize_answer, strip
-from answerloom.operators.splits import with_running
+from answerloom.operators.splits import with_position, with_running
 from answerloom.operators.tables import upsert
 from answerloom.schemas import JUDGMENTS
+from answerloom.sources.keyed import KeyedTable
 from answerloom.sources.scratch import materialize
 
 #: Requests (key, request struct) to (key, verdict boolean, cost_usd double); requests that fail may be missing.
@@ -127,31 +130,71 @@ def budget_rewards(rows: DataFrame, cache: DataFrame, budget: float) -> DataFram
     return fallen_back(rows, blocked_from(calls, spend(cache).first()[0], budget))
 
 
+class Ledger:
+    """Where judging stopped, for good: of each batch that reached the cap, the place of the call that it blocked.
+
+    Judging in batches, one after the other, is judging all their rows: what was spent is in the verdicts' cost, and once
+    a call was blocked, every eligible row after it falls back, in later batches too. A batch that is judged again, since
+    its driver died, stops where it stopped.
+    """
+
+    SCHEMA = "batch string, stop long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = KeyedTable(spark, path, self.SCHEMA, "batch", buckets=1)
+
+    def stop_of(self, batch: str) -> int | None:
+        """The place at which this batch stopped; None if it didn't yet."""
+        rows = self.table.lookup([batch]).collect()
+        return rows[0]["stop"] if rows else None
+
+    def stopped_before(self, batch: str) -> bool:
+        return not self.table.read().where(F.col("batch") != batch).isEmpty()
+
+    def stop(self, batch: str, at: int) -> None:
+        self.table.write(self.table.spark.createDataFrame([(batch, at)], self.SCHEMA))
+
+
 def judge_rewards(
-    rows: DataFrame, cache: DataFrame, provider: Provider, budget: float, price: float, created: float = 0.0, keep: Callable[[DataFrame], DataFrame] = materialize
-) -> tuple[DataFrame, DataFrame]:
+    rows: DataFrame, cache: DataFrame, provider: Provider, budget: float, price: float, created: float = 0.0,
+    keep: Callable[[DataFrame], DataFrame] = materialize, ledger: Ledger | None = None, batch: str = "",
+) -> tuple[DataFrame, DataFrame]:
     """(rows with ``reward``, the new cache): the judge's reward whole, from gate to cache, provider and cap.
 
     ``rows``: (pos, key, base, answer) and what the provider reads. Rows that pass the gate are judged in ``pos`` order
     under the cap, as ``budget_rewards`` says. ``price`` is the most that a call can cost: calls are asked in rounds, in
     each all that the cap allows even at that price, after which their true costs may allow more. So none is asked that
-    judging one after the other would not ask, and every round asks one at least. A request without an answer costs
-    nothing and counts as no.
+    judging one after the other would not ask, and every round asks one at least.
+
+    What was asked is always a beginning of the calls in order, so a round needs but the calls' numbers: they are numbered
+    and written once, and a round reads those that it asks (their files hold ranges of numbers) and adds up what it
+    spent. A request without an answer costs nothing and counts as no, but isn't cached: the next batch asks it again.
+
+    With a ``ledger``, several calls, each with its ``batch``, give what one call over all their rows would.
     """
+    if price <= 0:
+        raise ValueError("the price of a call must be more than nothing")
     rows = materialize(rows.withColumn("eligible", needs_judge(F.col("base"), F.col("answer"))))
-    calls = materialize(first_asks(rows, cache))
-    spent = spend(cache).first()[0]
-    answers = rows.sparkSession.createDataFrame([], JUDGMENTS)
-    while True:
-        priced = calls.join(answers.select("key", F.col("cost_usd").alias("_cost")), "key", "left").withColumn("cost_usd", F.coalesce("_cost", F.lit(price)))
-        running = with_running(priced, [F.col("pos")], F.col("cost_usd"), "_before")
-        todo = materialize(running.where(F.col("_cost").isNull() & (F.col("_before") + spent < budget)).select("key", "pos"))
-        if todo.isEmpty():
-            break
-        got = asked(rows.join(todo, ["key", "pos"], "left_semi"), provider, created, keep)
-        none = [F.coalesce("verdict", F.lit(0)).alias("verdict"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), F.lit(created).alias("created")]
-        answers = materialize(answers.unionByName(todo.select("key").join(got.drop("created"), "key", "left").select("key", *none)))
-    stop = blocked_from(calls.join(answers, "key", "left").withColumn("cost_usd", F.coalesce("cost_usd", F.lit(price))).select("pos", "cost_usd"), spent, budget)
-    merged = upsert(cache, answers, ["key"])
+    spark = rows.sparkSession
+    if ledger is not None and ledger.stopped_before(batch):
+        return fallen_back(rows.withColumn("verdict", F.lit(None).cast("boolean")), -(1 << 62)).drop("verdict"), cache
+    firsts = unanswered(rows.where("eligible"), cache)
+    calls = materialize(with_position(firsts, [F.col("pos")], "_call"))
+    total, spent, asked_so_far, answers = calls.count(), spend(cache).first()[0], 0, []
+    known_stop = ledger.stop_of(batch) if ledger is not None else None
+    while asked_so_far < total and spent < budget and known_stop is None:
+        more = min(total - asked_so_far, ceil((budget - spent) / price))
+        todo = calls.where(F.col("_call").between(asked_so_far, asked_so_far + more - 1)).drop("_call")
+        got = asked(todo, provider, created, keep)
+        answers.append(got)
+        spent += spend(got).first()[0]
+        asked_so_far += more
+    stop = known_stop
+    if stop is None and asked_so_far < total:
+        stop = calls.where(F.col("_call") == asked_so_far).first()["pos"]
+        if ledger is not None:
+            ledger.stop(batch, stop)
+    new = reduce(DataFrame.unionByName, answers, spark.createDataFrame([], JUDGMENTS))
+    merged = upsert(cache, new, ["key"])
     judged = rows.join(merged.select("key", (F.col("verdict") == 1).alias("verdict")), "key", "left")
     return fallen_back(judged, stop).drop("verdict"), merged

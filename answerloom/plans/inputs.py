@@ -45,7 +45,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.regexp_extract(text, "[A-Za-z]+", 0)
     k, tag = F.col("conv_id") % 5, lambda x: F.concat(F.lit("<answer>"), x, F.lit("</answer>"))
     raw = (
-        F.when(k == 0, F.concat(F.lit(" \n"), text)).when(k == 1, F.concat(text, tag(word))).when(k == 2, F.concat(tag(F.lit("no")), text, tag(F.concat(F.lit("\n the "), word, F.lit(". ")))))
+        F.when(k == 0, F.concat(F.lit(" \n"), text)).when(k == 1, F.concat(text, tag(F.concat(word, F.lit("s"))))).when(k == 2, F.concat(tag(F.lit("no")), text, tag(F.concat(F.lit("\n the "), word, F.lit(". ")))))
         .when(k == 3, F.concat(text, F.lit("<answer>"), word)).otherwise(F.concat(text, tag(F.lit(""))))
     )
     other = [F.lit(x) for x in ("two", "2", "none", "a")]
@@ -59,7 +59,7 @@ turns AS (
 worded AS (SELECT *, regexp_extract(text, '[A-Za-z]+') AS word FROM turns WHERE role = 'assistant'),
 completions AS (
   SELECT conv_id, turn, coalesce(question, '') AS question,
-    CASE conv_id % 5 WHEN 0 THEN ' ' || chr(10) || text WHEN 1 THEN text || '<answer>' || word || '</answer>'
+    CASE conv_id % 5 WHEN 0 THEN ' ' || chr(10) || text WHEN 1 THEN text || '<answer>' || word || 's</answer>'
       WHEN 2 THEN '<answer>no</answer>' || text || '<answer>' || chr(10) || ' the ' || word || '. </answer>'
       WHEN 3 THEN text || '<answer>' || word ELSE text || '<answer></answer>' END AS raw,
     CASE WHEN turn % 4 = 1 THEN [word] ELSE [word, upper(word), 'two', '2', 'none', 'a', word, 'two', '2', 'none'] END AS golds,

@@ -52,17 +52,37 @@ def run_files(spark, sf_dir):
     return back.select("run_id", "timestamp", "model.base", "model.preset", "eval.dataset", "eval.subset", "eval.n", F.coalesce("eval.limit", F.lit(-1)).alias("limit"), "gen.backend", "gen.temperature", "gen.max_tokens", "metrics.overall", F.array_join(F.array_sort(entries), ",").alias("by_answer_type"))
 
 
-@query("SELECT 'k' || CAST(doc_id AS VARCHAR) AS key, quality AS verdict, 0.5::DOUBLE AS cost_usd FROM labels")
+@query(
+    """SELECT 'k' || CAST(doc_id AS VARCHAR) AS key, CASE WHEN toxic = 1 THEN 7 ELSE quality END AS verdict, CASE WHEN quality = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS cost_usd FROM labels"""
+)
 def verdict_table(spark, sf_dir):
-    """Verdicts of toxic documents, then of all, appended: those that are known stay as they were."""
-    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), F.col("quality").alias("verdict"), F.lit(0.5).alias("cost_usd"), F.lit(0.0).alias("created"), "toxic")
+    """Verdicts of all documents, compacted, then those of the toxic ones replaced and the costs of the bad ones, too."""
+    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), F.col("quality").alias("verdict"), F.lit(0.5).alias("cost_usd"), F.lit(0.0).alias("created"), "toxic", "quality")
     path = new_path(spark)
     files.read_verdicts(spark, path)  # absent: empty
-    files.add_verdicts(rows.where("toxic = 1"), path)
-    files.add_verdicts(rows.withColumn("verdict", F.when(F.col("toxic") == 1, 7).otherwise(F.col("verdict"))), path)
+    files.put_verdicts(rows, path)
+    files.verdicts(spark, path).compact()
+    seven = F.when(F.col("toxic") == 1, 7).otherwise(F.col("verdict")).alias("verdict")
+    files.put_verdicts(rows.where("toxic = 1").select("key", seven, "cost_usd", "created"), path)
+    files.put_verdicts(rows.where("quality = 0").select("key", seven, F.lit(0.25).alias("cost_usd"), "created"), path)
     return files.read_verdicts(spark, path).drop("created")
 
 
+@query(
+    """WITH k AS (SELECT min(doc_id) AS a, max(doc_id) AS b FROM labels)
+SELECT 'k' || CAST(doc_id AS VARCHAR) AS key, 10 + quality AS verdict FROM labels, k WHERE doc_id IN (a, b)"""
+)
+def verdict_lookup(spark, sf_dir):
+    """Two keys of a table of all, looked up in their buckets, after every verdict was replaced."""
+    labels = table(spark, sf_dir, "labels")
+    rows = labels.select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), F.col("quality").alias("verdict"), F.lit(0.5).alias("cost_usd"), F.lit(0.0).alias("created"))
+    path = new_path(spark)
+    files.put_verdicts(rows, path)
+    files.put_verdicts(rows.withColumn("verdict", F.col("verdict") + 10), path)
+    ends = labels.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return files.verdicts(spark, path).lookup([f"k{i}" for i in ends]).select("key", "verdict")
+
+
 @query(
     """SELECT lang AS subset, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS qids_sha FROM documents WHERE lang IS NOT NULL GROUP BY lang
 UNION ALL SELECT 'gone', 3, 'kept'"""

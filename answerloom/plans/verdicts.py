@@ -12,7 +12,7 @@ from answerloom.plans import duck
 from answerloom.plans.answers import SCORED
 from answerloom.plans.inputs import COMPLETIONS, PREDICTIONS, completions, predictions, table
 from answerloom.plans.registry import query
-from answerloom.sources.scratch import materialize
+from answerloom.sources.scratch import materialize, new_path
 
 MODEL = "judge-1"
 ITEMS = rf"""items AS (SELECT conv_id * 100 + turn AS pos, *, sha256(array_to_string(list_concat(list_concat(['{MODEL}', question], list_sort(golds)), [{duck.normalize("coalesce(answer, '')")}]), '|')) AS key FROM rewarded)"""
@@ -83,16 +83,20 @@ def judge_spend(spark, sf_dir):
     return judge.spend(rows.select(F.round("c").cast("long").alias("cost_usd"))).select(F.col("spend").cast("long").alias("spend"))
 
 
-#: Eligible rows; the judge says yes to keys whose first character has an odd code, unless the cache knows better.
+#: Eligible rows; the judge says yes to keys whose first character has an odd code, unless the cache knows better, and has
+#: no answer, for nothing, where the fifth character is one of ``fails``.
 REWARD = f"""{BASE}, elig AS (
-  SELECT pos, i.key, correctness AS base, answer IS NOT NULL AND answer <> '' AND correctness = 0 AS eligible, coalesce(c.verdict = 1, ascii(i.key) % 2 = 1) AS verdict, c.key IS NOT NULL AS cached
+  SELECT pos, i.key, correctness AS base, answer IS NOT NULL AND answer <> '' AND correctness = 0 AS eligible, c.key IS NOT NULL AS cached,
+    c.key IS NULL AND contains('FAILS', substr(i.key, 5, 1)) AS failed, coalesce(c.verdict = 1, ascii(i.key) % 2 = 1) AS said
   FROM items i LEFT JOIN cache c ON c.key = i.key),
-asks AS (SELECT *, eligible AND NOT cached AND row_number() OVER (PARTITION BY key, eligible ORDER BY pos) = 1 AS asks FROM elig),
-spent AS (SELECT *, coalesce(sum(CASE WHEN asks THEN 0.25::DOUBLE ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (SELECT coalesce(sum(cost_usd), 0) FROM cache) AS before FROM asks)"""
+verdicts AS (SELECT *, said AND NOT failed AS verdict FROM elig),
+asks AS (SELECT *, eligible AND NOT cached AND row_number() OVER (PARTITION BY key, eligible ORDER BY pos) = 1 AS asks FROM verdicts),
+spent AS (SELECT *, coalesce(sum(CASE WHEN asks AND NOT failed THEN 0.25::DOUBLE ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (SELECT coalesce(sum(cost_usd), 0) FROM cache) AS before FROM asks)"""
+FAILS = "02468"
 
 
-def capped(budget: float) -> str:
-    return f"""{REWARD}, stops AS (SELECT *, min(CASE WHEN asks AND before >= {budget} THEN pos END) OVER () AS stop FROM spent)
+def capped(budget: float, fails: str = "") -> str:
+    return f"""{REWARD.replace("FAILS", fails)}, stops AS (SELECT *, min(CASE WHEN asks AND before >= {budget} THEN pos END) OVER () AS stop FROM spent)
 SELECT pos, CASE WHEN eligible AND (stop IS NULL OR pos < stop) THEN CAST(verdict AS DOUBLE) ELSE CAST(base AS DOUBLE) END AS reward FROM stops"""
 
 
@@ -100,12 +104,20 @@ def says(key):
     return F.ascii(key) % 2 == 1
 
 
-def judged_rewards(spark, sf_dir, budget: float):
-    def provider(todo):  # costs a quarter for each call
-        return todo.select("key", says(F.col("key")).alias("verdict"), F.lit(0.25).alias("cost_usd"))
+def answering(fails: str = ""):
+    def provider(todo):  # costs a quarter for each answer; some keys have none
+        return todo.where(~F.instr(F.lit(fails), F.substring("key", 5, 1)).cast("boolean") if fails else F.lit(True)).select("key", says(F.col("key")).alias("verdict"), F.lit(0.25).alias("cost_usd"))
 
-    rows = materialize(items(spark, sf_dir).select("pos", "key", F.col("correctness").alias("base"), "answer"))
-    return judge.judge_rewards(rows, cache(rows), provider, budget=budget, price=0.5)[0].select("pos", "reward")
+    return provider
+
+
+def reward_rows(spark, sf_dir):
+    return materialize(items(spark, sf_dir).select("pos", "key", F.col("correctness").alias("base"), "answer"))
+
+
+def judged_rewards(spark, sf_dir, budget: float, fails: str = ""):
+    rows = reward_rows(spark, sf_dir)
+    return judge.judge_rewards(rows, cache(rows), answering(fails), budget=budget, price=0.5)[0].select("pos", "reward")
 
 
 @query(capped(1e9))
@@ -118,6 +130,37 @@ def judge_reward_capped(spark, sf_dir):
     return judged_rewards(spark, sf_dir, 3.0)
 
 
+@query(capped(3.0, FAILS))
+def judge_reward_with_failures(spark, sf_dir):
+    """Some requests have no answer: they count as no, and cost nothing."""
+    return judged_rewards(spark, sf_dir, 3.0, FAILS)
+
+
+@query(f"""{BASE}, gone AS (SELECT DISTINCT i.key FROM items i LEFT JOIN cache c ON c.key = i.key WHERE c.key IS NULL AND answer <> '' AND correctness = 0 AND contains('{FAILS}', substr(i.key, 5, 1)))
+SELECT key, CASE WHEN key IN (SELECT key FROM gone) THEN 'asked again' ELSE 'known' END AS state FROM items WHERE answer IS NOT NULL AND answer <> '' AND correctness = 0 GROUP BY key""")
+def judge_failures_asked_again(spark, sf_dir):
+    """What had no answer isn't cached: judging the same rows once more asks exactly those keys."""
+    rows = reward_rows(spark, sf_dir)
+    _, known = judge.judge_rewards(rows, cache(rows), answering(FAILS), budget=1e9, price=0.5)
+    eligible = rows.where(judge.needs_judge(F.col("base"), F.col("answer"))).select("key").distinct()
+    again = judge.unanswered(rows.where(judge.needs_judge(F.col("base"), F.col("answer"))), known).select("key")
+    return tables.marked(eligible, again, "key", "again").select("key", F.when(F.col("again"), "asked again").otherwise("known").alias("state"))
+
+
+@query(capped(3.0))
+def judge_reward_in_batches(spark, sf_dir):
+    """Three batches of rows, with a ledger: what one call over all of them gives."""
+    rows = reward_rows(spark, sf_dir)
+    path, known, out = new_path(spark), cache(rows), []
+    third = rows.agg((F.max("pos") + 3) / 3).first()[0]
+    for k in range(3):
+        some = rows.where((F.floor(F.col("pos") / third)) == k)
+        rewarded, known = judge.judge_rewards(some, known, answering(), 3.0, 0.5, ledger=judge.Ledger(spark, path), batch=str(k))
+        out.append(rewarded.select("pos", "reward"))
+        known = materialize(known)
+    return tables.union_subsets(*out)
+
+
 @query(capped(2.0))
 def judge_budget_cutoff(spark, sf_dir):
     rows = materialize(items(spark, sf_dir).select("pos", "key", F.col("correctness").alias("base"), judge.needs_judge(F.col("correctness"), F.col("answer")).alias("eligible")))

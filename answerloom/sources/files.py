@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answerloom import schemas
 from answerloom.functions.text import fixed
 from answerloom.operators.tables import union_subsets, upsert
+from answerloom.sources.keyed import KeyedTable
 
 
 def read_table(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -89,28 +90,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def verdicts(spark: SparkSession, path: str) -> KeyedTable:
+    """The judge's cache at ``path``: a table that replaces by ``key``."""
+    return KeyedTable(spark, path, schemas.JUDGMENTS)
+
+
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """The judge's cache: a Parquet table keyed by ``key``; an absent one is empty, any other fault raises."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], schemas.JUDGMENTS)
-    return spark.read.schema(schemas.JUDGMENTS).parquet(path)
+    """The judge's cache, each key's newest verdict; an absent one is empty, any other fault raises."""
+    return verdicts(spark, path).read()
 
 
-def add_verdicts(new: DataFrame, path: str) -> None:
-    """Append verdicts of keys that the table doesn't hold; so it never rewrites what it has."""
-    spark = new.sparkSession
-    new.join(read_verdicts(spark, path).select("key"), "key", "left_anti").select("key", "verdict", "cost_usd", "created").write.mode("append").parquet(path)
+def put_verdicts(new: DataFrame, path: str) -> None:
+    """Inserts verdicts, or puts them in place of those of their keys; what is there isn't read or rewritten."""
+    verdicts(new.sparkSession, path).write(new)
 
 
 def kept(path: str) -> Callable[[DataFrame], DataFrame]:
     """For ``judge_many``: writes answers into the verdict table at ``path`` and reads them back from it."""
 
     def keep(answers: DataFrame) -> DataFrame:
-        before = {f for f in read_verdicts(answers.sparkSession, path).inputFiles()}
-        add_verdicts(answers, path)
-        table = read_verdicts(answers.sparkSession, path)
-        new = [f for f in table.inputFiles() if f not in before]
-        return answers.sparkSession.read.schema(schemas.JUDGMENTS).parquet(*new) if new else table.limit(0)
+        table = verdicts(answers.sparkSession, path)
+        version = table.write(answers)
+        return table.spark.read.schema(schemas.JUDGMENTS).option("recursiveFileLookup", "true").parquet(f"{path}/version={version}")
 
     return keep
 
