@@ -17,8 +17,9 @@ TAGGED = r"(?s)<answer>(.*?)</answer>"
 
 
 def strip(x: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(x, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    """Without white space of any kind at either end. A run of it is looked at once, from where it begins, so long runs
+    inside of a text take linear time."""
+    return F.regexp_replace(x, rf"(?U)^{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def clean_answer(x: Column) -> Column:
@@ -56,9 +57,17 @@ def normalize_answer(x: Column) -> Column:
     return plain_words(drop_punctuation(strip(F.translate(x, "\n\t", "  "))))
 
 
+def up_to_last(x: Column, mark: str, with_mark: bool) -> Column:
+    """What stands before the last ``mark``, or that and the mark; empty without one."""
+    after = F.length(F.substring_index(x, mark, -1))
+    return F.when(x.contains(mark), F.substring(x, F.lit(1), F.length(x) - after - (0 if with_mark else len(mark)))).otherwise(F.when(x.isNotNull(), ""))
+
+
 def strict_answer(x: Column) -> Column:
-    """The stripped content of the last answer tag; null if there is none, empty if it is."""
-    return strip(F.try_element_at(F.regexp_extract_all(x, F.lit(TAGGED), F.lit(1)), F.lit(-1)))
+    """The stripped content of the last answer tag; null if there is none, empty if it is.
+
+    Nothing after the last closing tag is searched, so every tag that opens is closed, and the search is linear."""
+    return strip(F.try_element_at(F.regexp_extract_all(up_to_last(x, CLOSE, True), F.lit(TAGGED), F.lit(1)), F.lit(-1)))
 
 
 def extract_answer(x: Column) -> Column:
@@ -68,7 +77,8 @@ def extract_answer(x: Column) -> Column:
 
 def reasoning_part(x: Column) -> Column:
     """What stands before the last complete answer tag, stripped; null without one."""
-    return F.when(x.rlike(TAGGED), strip(F.regexp_extract(x, r"(?s)^(.*)<answer>.*?</answer>", 1)))
+    closed = up_to_last(x, CLOSE, True)
+    return F.when(closed.contains(OPEN), strip(up_to_last(closed, OPEN, False)))
 
 
 def fill(template: str, **values: Column) -> Column:

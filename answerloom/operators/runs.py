@@ -81,6 +81,16 @@ def deltas(results: DataFrame, baseline: str) -> DataFrame:
     return results.withColumn("delta", (F.col("overall") - base) * 100).withColumn("rounded_delta", F.bround(tenth(F.col("overall")) - tenth(base), 1))
 
 
+def largest_delta(results: DataFrame, baseline: str, entries: DataFrame, datasets: list[str]) -> DataFrame:
+    """(most): the largest difference in points, without its sign, of a report's ``entries`` (run) from the baseline on any
+    of ``datasets``; a result that isn't there counts 0, on either side. The grid is the report's own, a few rows."""
+    points = results.select("run", "dataset", F.bround(F.col("overall") * 100, 1).alias("points"))
+    grid = entries.select("run", F.explode(F.array(*map(F.lit, datasets))).alias("dataset")).join(points, ["run", "dataset"], "left")
+    base = points.where(F.col("run") == baseline).select("dataset", F.col("points").alias("base"))
+    apart = F.coalesce("points", F.lit(0.0)) - F.coalesce("base", F.lit(0.0))
+    return grid.join(base, "dataset", "left").agg(F.max(F.abs(F.bround(apart, 1))).alias("most"))
+
+
 def cell(overall: Column, delta: Column) -> Column:
     """A report's cell: points, and the signed delta in brackets where there is one; null without a value."""
     return F.concat(fixed(overall * 100, 1), F.coalesce(F.concat(F.lit(" ("), signed(delta, 1), F.lit(")")), F.lit("")))
@@ -153,8 +163,9 @@ def results_payload(results: DataFrame) -> DataFrame:
 
 
 def delta_colour(delta: Column, most: Column) -> Column:
-    """A diverging colour: from that of no delta towards that of one above or below, by its share of the largest."""
-    share = F.least(F.abs(delta) / most, F.lit(1.0))
+    """A diverging colour: from that of no delta towards that of one above or below, by its share of the largest; where the
+    largest is 0 that of no delta."""
+    share = F.least(F.coalesce(F.try_divide(F.abs(delta), most), F.lit(0.0)), F.lit(1.0))
     towards = lambda a, b: F.when(delta >= 0, F.lit(b)).otherwise(F.lit(a))
     # halves are rounded up, below zero too
     each = [F.floor(F.lit(mid) + (towards(low, high) - mid) * share + 0.5).cast("int") for mid, low, high in zip(DELTA_NONE, DELTA_BELOW, DELTA_ABOVE, strict=True)]

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from answerloom.plans import answers, reports, sinks, splits, verdicts  # noqa: E402, F401  the modules that register queries
+from answerloom.plans import answers, reports, sinks, splits, streams, verdicts  # noqa: E402, F401  the modules that register queries

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answerloom import schemas
-from answerloom.operators import runs, tables
+from answerloom.operators import checks, runs, tables
 from answerloom.plans.answers import EVAL, MEAN, scored
 from answerloom.plans.inputs import DATASETS, EXAMPLES, PREDICTIONS, examples, predictions, table
 from answerloom.plans.registry import query
@@ -105,3 +105,20 @@ def source_selection(spark, sf_dir):
         "absent": lambda: [table(spark, sf_dir, "absent")],
     }
     return files.select_sources(builders, "customers")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderkey, o_orderstatus FROM orders")
+def input_order_positions(spark, sf_dir):
+    """Rows numbered as they lie in several files, which hold ranges of the orders."""
+    path = new_path(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    orders.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return files.in_input_order(spark, path)
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+def checked_write(spark, sf_dir):
+    """A table that is written if its checks hold, which the job that writes it observes."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.array("l_tax").alias("a"), F.array("l_discount").alias("b"))
+    ok = checks.written(lines, new_path(spark), {"rows": checks.rows_at_least(1), "flags": checks.all_or_none("l_returnflag"), "lengths": checks.same_length("a", "b")})
+    return ok.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from answerloom.functions.metrics import score
 from answerloom.functions.tables import PROMPT_JUDGE
 from answerloom.functions.text import strict_answer
-from answerloom.operators import judge, runs, tables
+from answerloom.operators import batches, judge, runs, tables
 from answerloom.plans import duck
 from answerloom.plans.answers import SCORED
 from answerloom.plans.inputs import COMPLETIONS, PREDICTIONS, completions, predictions, table
 from answerloom.plans.registry import query
+from answerloom.plans.service import FolderService
 from answerloom.sources.scratch import materialize, new_path
 
 MODEL = "judge-1"
@@ -202,3 +203,18 @@ def judge_batch_results(spark, sf_dir):
     kind = F.when(F.ascii(F.substring("key", 2, 1)) % 5 > 0, "succeeded").otherwise("errored")
     results = requests.select(F.substring("key", 1, 60).alias("custom_id"), F.struct(kind.alias("type"), message.alias("message")).alias("result"))
     return judge.batch_results(requests, results).withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+@query(
+    f"""{BASE}, r AS (SELECT DISTINCT i.key, question, golds, raw FROM items i LEFT JOIN cache c ON c.key = i.key WHERE c.key IS NULL),
+u AS (SELECT key, {duck.filled(PROMPT_JUDGE, question='question', golds="array_to_string(golds, '; ')", prediction='raw')} AS prompt FROM r)
+SELECT key, ascii(key) % 2 = 1 AS verdict, round((length(prompt) * 1.0 + 2 * 5.0) / 1e6 * 0.5, 9)::DOUBLE AS cost_usd FROM u WHERE NOT contains('{FAILS}', substr(key, 5, 1))"""
+)
+def judge_batch_job(spark, sf_dir):
+    """A batch job of several claims, begun twice: the second run hands in nothing."""
+    rows = items(spark, sf_dir)
+    todo = judge.unanswered(rows.select("key", "pos", judge.request(MODEL, F.col("question"), F.col("golds"), F.col("raw")).alias("request")), cache(rows))
+    folder, service = new_path(spark, "job"), FolderService(new_path(spark, "service"), FAILS)
+    for _ in range(2):
+        got = batches.run(todo, service, folder, "job", size=50, poll_seconds=0.1)
+    return got.withColumn("cost_usd", F.round("cost_usd", 9))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom import schemas
 from answerloom.functions.text import fixed
 from answerloom.operators.tables import union_subsets, upsert
 from answerloom.sources.keyed import KeyedTable
+from answerloom.sources.scratch import remove
 
 
 def read_table(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -119,24 +120,65 @@ def kept(path: str) -> Callable[[DataFrame], DataFrame]:
 MANIFEST = "subset string, n long, qids_sha string"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest document at ``path`` as rows (subset, n, qids_sha); an absent one is empty."""
+def manifest_documents(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the documents that were written to ``path`` whole, ascending."""
     if not exists(spark, path):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    return sorted(int(n.removeprefix("document=")) for n in names if n.startswith("document="))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest manifest document at ``path`` as rows (subset, n, qids_sha); an absent one is empty."""
+    numbers = manifest_documents(spark, path)
+    if not numbers:
         return spark.createDataFrame([], MANIFEST)
-    whole = spark.read.schema("subsets map<string, struct<n: long, qids_sha: string>>").json(path)
+    whole = spark.read.schema("subsets map<string, struct<n: long, qids_sha: string>>").json(f"{path}/document={numbers[-1]}")
     return whole.select(F.explode("subsets").alias("subset", "_entry")).select("subset", "_entry.n", "_entry.qids_sha")
 
 
 def rebuild_manifest(new: DataFrame, path: str) -> DataFrame:
     """Reads the manifest at ``path``, puts the rebuilt subsets ``new`` in place of their old entries, keeps all others,
-    and writes it back: one document, its subsets in order. A manifest has one entry for each subset, a few rows."""
+    and writes it as a new document: its subsets in order. A manifest has one entry for each subset, a few rows.
+
+    The document is written aside and renamed, and only then those before it go but the last, so a writer that dies at
+    any moment leaves a whole one, and one that reads meanwhile still finds what it has listed."""
     spark = new.sparkSession
+    numbers = manifest_documents(spark, path)
     merged = spark.createDataFrame(merge_manifest(read_manifest(spark, path), new.select("subset", "n", "qids_sha")).collect(), MANIFEST)
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("subset", F.struct("n", "qids_sha")))))
-    merged.agg(F.to_json(F.struct(entries.alias("subsets"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    number = max(numbers, default=0) + 1
+    aside = f"{path}/_writing-{number}"
+    merged.agg(F.to_json(F.struct(entries.alias("subsets"))).alias("value")).coalesce(1).write.mode("overwrite").text(aside)
+    renamed(spark, aside, f"{path}/document={number}")
+    for old in numbers[:-1]:
+        remove(spark, f"{path}/document={old}")
     return merged
 
 
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or folder; raises where that can't be done, as when ``new`` is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(old).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(hadoop(new)) or not system.rename(hadoop(old), hadoop(new)):
+        raise OSError(f"{new} can't be put in place")
+
+
+def in_input_order(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """A Parquet table's rows with their place as they lie: files by name, then rows as in their file, from 0.
+
+    Nothing is sorted or shuffled but a number for each file: a row knows its index in its file, and a prefix sum over the
+    files' counts tells where each begins. Names are ordered as strings, as Spark's and others' part files are numbered."""
+    rows = spark.read.parquet(path)
+    file = F.col("_metadata.file_path").alias("_file")
+    counts = rows.select(file).groupBy("_file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = counts.select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    placed = rows.select(*rows.columns, file, F.col("_metadata.row_index").alias("_at")).join(starts, "_file")
+    return placed.select(*rows.columns, (F.col("_start") + F.col("_at")).alias(name))
+
+
 def select_sources(builders: dict[str, Callable[[], list[DataFrame]]], only: str | None = None) -> DataFrame:
     """All subsets of all sources, or those of one; a source that isn't chosen is never built."""
     if only is not None and only not in builders:

@@ -1,7 +1,11 @@
 """Token streams of several models at once: fan-out, ordered concatenation, completion.
 
-Events are (model, token, done, seq). A stream keeps, for each model, the tokens that came ahead of their turn; text
-grows only in the order of ``seq``, so it is the same however the events are dealt out, and equals the batch form.
+Events are (request, model, token, done, seq): a model's tokens are numbered from 0, its last event has ``done``. Two
+stateful stages follow one another. ``deltas`` puts each model's tokens in order: its state holds the number that comes
+next and the tokens that came ahead of their turn, nothing of the text that is out, so it is as small as the stream is
+in order. ``completed`` counts a request's models that are done, and says so once. Both keep their state in RocksDB and
+come out the same however events are dealt over triggers, repeated, or read again after a restart. ``texts`` and
+``completions`` are their batch forms.
 """
 
 from __future__ import annotations
@@ -9,12 +13,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "next_seq long, text string, last_seq long, ahead_seq array<long>, ahead_token array<string>"
-OUTPUT = "model string, text string, done boolean"
+EVENT = "request string, model string, token string, done boolean, seq long"
+DELTA = "request string, model string, first long, text string, lost long, done boolean"
+SENTINEL = "request string, models int, data string"
+DONE = "[DONE]"
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """Sets the state store that both stages need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def fan_out(requests: DataFrame, models: DataFrame) -> DataFrame:
@@ -38,33 +49,127 @@ def interleaved(*streams: DataFrame) -> DataFrame:
     return out
 
 
-def texts(events: DataFrame) -> DataFrame:
-    """Batch form: each model's tokens in order, and whether it is done."""
+def texts(events: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Batch form of ``deltas``: each model's tokens in order, and whether it is done; a repeated event counts once."""
+    once = events.groupBy(*by, "seq").agg(F.max("token").alias("token"), F.max(F.coalesce("done", F.lit(False))).alias("done"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("seq", "token"))))
-    return events.groupBy("model").agg(F.array_join(F.transform(ordered, lambda e: e["token"]), "").alias("text"), F.max(F.coalesce("done", F.lit(False))).alias("done"))
-
-
-def concatenate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    nxt, text, last, seqs, toks = state.get if state.exists else (0, "", None, [], [])
-    ahead = dict(zip(seqs or [], toks or [], strict=True))
-    for frame in frames:
-        for seq, token, done in zip(frame["seq"], frame["token"], frame["done"], strict=True):
-            if seq >= nxt:
-                ahead[int(seq)] = "" if token is None or token != token else token
-            if done is True or done == True:  # noqa: E712
-                last = int(seq)
-    while nxt in ahead:
-        text += ahead.pop(nxt)
-        nxt += 1
-    state.update((nxt, text, last, list(ahead), list(ahead.values())))
-    yield pd.DataFrame({"model": [key[0]], "text": [text], "done": [last is not None and nxt > last]})
-
-
-def concatenated(events: DataFrame) -> DataFrame:
-    """Streaming form of ``texts``; write it in update mode. Each model's ``seq`` runs from 0 without gaps."""
-    return events.groupBy("model").applyInPandasWithState(concatenate, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    return once.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda e: e["token"]), "").alias("text"), F.max("done").alias("done"))
+
+
+class InOrder(StatefulProcessor):
+    """A model's tokens as far as they are in order."""
+
+    def __init__(self, wait: int):
+        self.wait = wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, last long, held int, told boolean")
+        self.ahead = handle.getMapState("ahead", "seq long", "token string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        following, last, held, told = self.place.get() or (0, None, 0, False)
+        new: dict[int, str] = {}
+        for frame in rows:
+            for seq, token, done in zip(frame["seq"], frame["token"], frame["done"], strict=True):
+                if seq >= following:
+                    new.setdefault(int(seq), token if isinstance(token, str) else "")
+                if done is not None and bool(done):
+                    last = int(seq)
+        yield from self.put_out(key, following, last, held, told, new, 0, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        following, last, held, told = self.place.get() or (0, None, 0, False)
+        if held:  # what comes next was waited for long enough
+            first = min(int(k[0]) for k in self.ahead.keys())
+            yield from self.put_out(key, first, last, held, told, {}, first - following, timerValues)
+
+    def put_out(self, key, following, last, held, told, new, lost, timer_values) -> Iterator[pd.DataFrame]:
+        first, out = following, []
+        while following in new or held:
+            if following in new:
+                token = new.pop(following)
+                if held and self.ahead.containsKey((following,)):
+                    self.ahead.removeKey((following,))
+                    held -= 1
+            elif self.ahead.containsKey((following,)):
+                token = self.ahead.getValue((following,))[0]
+                self.ahead.removeKey((following,))
+                held -= 1
+            else:
+                break
+            out.append(token)
+            following += 1
+        for seq, token in new.items():
+            if not self.ahead.containsKey((seq,)):
+                self.ahead.updateValue((seq,), (token,))
+                held += 1
+        timers = list(self.handle.listTimers()) if self.wait else []
+        if timers and (out or lost or not held):  # what was waited for is here, or given up
+            for t in timers:
+                self.handle.deleteTimer(t)
+            timers = []
+        if held and self.wait and not timers:
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.wait)
+        done = last is not None and following > last
+        self.place.update((following, last, held, done))
+        if out or lost or (done and not told):
+            yield pd.DataFrame({"request": [key[0]], "model": [key[1]], "first": [first], "text": ["".join(out)], "lost": [lost], "done": [done]})
+
+    def close(self) -> None:
+        pass
+
+
+def deltas(events: DataFrame, wait_ms: int = 0) -> DataFrame:
+    """(request, model, first, text, lost, done): what each trigger adds to a model's text, from the token numbered
+    ``first`` on. Where a token doesn't come for ``wait_ms`` after later ones (0: wait for ever), the gap is given up:
+    ``lost`` tokens are missing before ``first``, and late ones are ignored. Write it in append mode."""
+    return events.groupBy("request", "model").transformWithStateInPandas(InOrder(wait_ms), DELTA, "append", "processingTime" if wait_ms else "none")
+
+
+class AllDone(StatefulProcessor):
+    """One sentinel for each request, when all of its models are done."""
+
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.models = handle.getMapState("models", "model string", "one int", ttlDurationMs=self.forget_ms)
+        self.told = handle.getValueState("told", "told boolean", ttlDurationMs=self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        done, wanted = set(), 0
+        for frame in rows:
+            wanted = max(wanted, int(frame["models"].max()))
+            done |= set(frame["model"][frame["done"].fillna(False).astype(bool)])
+        if self.told.exists() or not done:
+            return
+        known = {m[0] for m in self.models.keys()} if self.models.exists() else set()
+        for m in done - known:
+            self.models.updateValue((m,), (1,))
+        if len(known | done) >= wanted:
+            self.told.update((True,))
+            self.models.clear()
+            yield pd.DataFrame({"request": [key[0]], "models": [wanted], "data": [DONE]})
+
+    def close(self) -> None:
+        pass
+
+
+def completed(done: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """(request, models, data): a sentinel for each request when as many different models as it asked for are done, once,
+    whatever comes again or late. ``done``: (request, model, done, models), ``models`` the number that it asked for; events
+    or ``deltas``. State is dropped ``forget_ms`` after its last change (None: never). Write it in append mode."""
+    return done.select("request", "model", "done", "models").groupBy("request").transformWithStateInPandas(AllDone(forget_ms), SENTINEL, "append", "processingTime" if forget_ms else "none")
+
+
+def completions(done: DataFrame) -> DataFrame:
+    """Batch form of ``completed``. Pre-aggregated by request and model, so no model's events meet in one task."""
+    models = done.groupBy("request", "model").agg(F.max(F.coalesce("done", F.lit(False))).alias("done"), F.max("models").alias("models"))
+    counted = models.groupBy("request").agg(F.count(F.when(F.col("done"), 1)).alias("n"), F.max("models").cast("int").alias("models"))
+    return counted.where("n >= models").select("request", "models", F.lit(DONE).alias("data"))
 
 
 def all_done(done: DataFrame, k: int) -> DataFrame:
-    """Whether k models are done."""
+    """Whether k models of a batch are done."""
     return done.where("done").agg((F.count_distinct("model") >= k).alias("all_done"))

@@ -156,3 +156,24 @@ def test_normal_forms_have_no_marks_articles_or_loose_space(spark, texts):
         assert n == "" or (all(words) and not set(words) & set(ARTICLES) and n == n.lower())
         assert not set(n) & set(PUNCTUATION) and all(n[i + 1 : i + 2].isdigit() for i, c in enumerate(n) if c == ".")
     assert normal(spark, [t.upper() for t in texts]) == normal(spark, [t.lower() for t in texts])
+
+
+def test_tags_and_space_by_definition_and_in_linear_time(spark):
+    import random
+    import re
+    import time
+
+    rng = random.Random(0)
+    parts = ["<answer>", "</answer>", "a", " ", "\n", "\u2003", "é", "<ans"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(2_000)]
+
+    def plain(x):
+        inside, before = re.findall(r"<answer>(.*?)</answer>", x, re.DOTALL), re.search(r"^(.*)<answer>.*?</answer>", x, re.DOTALL)
+        return x.strip(), inside[-1].strip() if inside else None, before[1].strip() if before else None
+
+    found = lambda df: df.select("x", text.strip(F.col("x")).alias("a"), text.strict_answer(F.col("x")).alias("b"), text.reasoning_part(F.col("x")).alias("c")).collect()
+    assert all((r.a, r.b, r.c) == plain(r.x) for r in found(spark.createDataFrame([(t,) for t in texts], "x string")))
+    for hostile in (" " * 10**6 + "x", "x" + " " * 10**6 + "x", "<answer>" * 120_000, "<answer>x</answer>" + "<answer>" * 120_000, "</answer>" * 120_000):
+        df = spark.createDataFrame([(hostile,)], "x string")
+        began = time.perf_counter()
+        assert len(found(df)) == 1 and time.perf_counter() - began < 5
