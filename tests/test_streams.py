@@ -56,7 +56,9 @@ def test_gaps_are_given_up_after_a_time(spark, tmp_path):
         while time.time() < until and not any(r.done for r in seen):
             time.sleep(0.2)
         arrive(spark, path, [("r", "m", "1 ", False, 1), ("r", "m", "2 ", False, 2)])  # too late
-        query.processAllAvailable()
+        batch = query.lastProgress["batchId"] if query.lastProgress else 0
+        while time.time() < until and (query.lastProgress or {"batchId": 0})["batchId"] < batch + 3:
+            time.sleep(0.2)
     finally:
         query.stop()
     assert [(r.first, r.text, r.lost, r.done) for r in sorted(seen, key=lambda r: r.first)] == [(0, "0 ", 0, False), (3, "3 4 ", 2, True)]
