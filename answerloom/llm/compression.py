@@ -43,7 +43,8 @@ MEASURES = ", ".join(f"{c} long" for c in COUNTS) + ", n_bytes long, size_class
 CHUNK, LEVEL = 4_096, 3
 #: Size classes: twice the binary logarithm of the bytes, rounded down.
 CLASSES = 64
-#: Of the learnt limits. Ratios are counted in steps of 1/STEPS, those over MOST as MOST.
+#: Of the learnt limits. Ratios are counted in steps of 1/STEPS, those over MOST in one step, which keeps
+#: the largest of them.
 QUANTILE, MARGIN, ENOUGH, WIDEN, STEPS, MOST = 0.002, (0.03, 0.02), 20, 0.1, 200, 100
 #: Limits where nothing was learnt: from how many bytes they hold, least and largest ratio.
 DEFAULT = ((1, 0.0, 4.0), (256, 1.05, 4.0), (1_024, 1.15, 4.5), (4_096, 1.25, 5.5), (16_384, 1.35, 7.0), (65_536, 1.35, 9.0))
@@ -136,21 +137,22 @@ def fit(measures: DataFrame, labels: DataFrame) -> Bands:
     wholes = known.select(F.lit("whole").alias("kind"), "size_class", "ratio")
     chunks = known.select(F.lit("chunk").alias("kind"), F.posexplode("chunks").alias("at", "ratio"), "chunks", "tail_class").select("kind", chunk_class(F.col("at")).alias("size_class"), "ratio")
     step = F.round(F.least("ratio", F.lit(MOST)) * STEPS).cast("int").alias("step")
-    counted = wholes.unionByName(chunks).groupBy("kind", "size_class", step).agg(F.count("*").alias("n")).collect()
-    by_kind: dict[str, dict[int, list[tuple[int, int]]]] = {"whole": defaultdict(list), "chunk": defaultdict(list)}
+    counted = wholes.unionByName(chunks).groupBy("kind", "size_class", step).agg(F.count("*").alias("n"), F.max("ratio").alias("top")).collect()
+    by_kind: dict[str, dict[int, list[tuple[float, int]]]] = {"whole": defaultdict(list), "chunk": defaultdict(list)}
     for r in counted:
-        by_kind[r["kind"]][r["size_class"]].append((r["step"], r["n"]))
+        value = r["step"] / STEPS if r["step"] < MOST * STEPS else r["top"]
+        by_kind[r["kind"]][r["size_class"]].append((value, r["n"]))
     return Bands(*[limits(by_kind[kind]) for kind in ("whole", "chunk")])
 
 
-def limits(counted: dict[int, list[tuple[int, int]]]) -> list[tuple[float, float]]:
-    """Limits of all size classes from the counted ratios, (step, number), of some."""
+def limits(counted: dict[int, list[tuple[float, int]]]) -> list[tuple[float, float]]:
+    """Limits of all size classes from the counted ratios, (ratio, number), of some."""
     known = {}
     for k, steps in counted.items():
         ratios, n = np.array(sorted(steps)).T
         upto = np.cumsum(n)
         if upto[-1] >= ENOUGH:
-            low, high = (ratios[np.searchsorted(upto, max(1, q * upto[-1]))] / STEPS for q in (QUANTILE, 1 - QUANTILE))
+            low, high = (ratios[np.searchsorted(upto, max(1, q * upto[-1]))] for q in (QUANTILE, 1 - QUANTILE))
             known[k] = float(low * (1 - MARGIN[0])), float(high * (1 + MARGIN[1]))
     if not known:
         return default_limits()

@@ -175,8 +175,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, vocabular
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    # at most `sample` small rows, by the limit above
-    texts = materialize(documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null"))
+    # at most `sample` small rows, by the limit above; of an id that stands on several rows one is taken, by its text's hash
+    sampled = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null")
+    texts = materialize(sampled.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").alias("quality")))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()

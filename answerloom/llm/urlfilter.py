@@ -12,8 +12,8 @@ optimizer broadcasts the rules when they are small, and joins by sorting else. V
 so a page or a host that repeats costs no more.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, and matches nothing; an empty host matches
-nothing. A URL without a rule gets ``default``. Very long URLs, of many thousand labels too, are judged whole. Rules with
-a null host or path are ignored; repeated rules count once; without rules, or pages, nothing is matched. Columns of the
+nothing. A URL without a rule gets ``default``. Very long URLs, of many thousand labels too, are judged whole. Rules'
+hosts are lower-cased like those of URLs; rules with a null host or path are ignored; repeated rules count once; without rules, or pages, nothing is matched. Columns of the
 input named like the outputs are replaced, all others kept. Repeated pages stay repeated.
 """
 
@@ -56,8 +56,8 @@ def digest_of(host: Column, path: Column) -> Column:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (host and path of the winning rule, or null) and ``verdict``."""
     rules = (
-        rules.where("host is not null and path is not null and verdict is not null").distinct()
-        .select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
+        rules.where("host is not null and path is not null and verdict is not null")
+        .select(ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).distinct()
         .withColumn("r_digest", digest_of(F.col("r_host"), F.col("r_path")))
     )
     # a few numbers: at most as many as the longest path has characters and the longest host has labels

@@ -6,7 +6,7 @@ with equal payloads of ``least`` bytes or more, the one with the largest id is t
 which refer to it and hold no payload. Spark's text sink writes the records, with the two line breaks that end a
 record as its separator, gzipped, into the given folder: any store that Spark writes to will do.
 
-*Reading.* Spark reads whole archive files, of RECORDS records at most; a task unpacks one as a stream and steps from
+*Reading.* Spark reads whole archive files, of a bounded size (RECORDS); a task unpacks one as a stream and steps from
 record to record by their ``Content-Length``, so payloads may hold anything.
 
 *Assembly.* Records meet by the identifiers that they name: request and metadata join the capture that they are
@@ -25,20 +25,20 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import materialize, shared_dir
+from answerloom.llm.common import materialize, new_path
 
 EOL = "\r\n"
 #: Payloads shorter than this are never revisits.
 LEAST = 1_000
-#: Records of an archive file: a reader holds one packed file at a time.
-RECORDS = 3 * 4_000
+#: Records of an archive file by the size of its payloads, in bytes: a reader holds one packed file at a time. So a file
+#: holds 256 MB of payloads at most, or a single larger one.
+RECORDS = ((64 << 10, 3 * 4_000), (1 << 20, 3 * 250), (16 << 20, 3 * 15), (1 << 62, 3))
 RECORD = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, page_id long, "
     "payload_bytes long, payload_digest string"
@@ -69,7 +69,7 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"),
         payload.alias("payload"), F.octet_length(payload).cast("long").alias("n_bytes"), F.sha1(payload).alias("digest"),
     )
-    large = rows.where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("c"))
+    large = rows.select("page_id", "url", "n_bytes", "digest").where(F.col("n_bytes") >= least).groupBy("digest", "n_bytes").agg(F.max(F.struct("page_id", "url")).alias("top"), F.count("*").alias("c"))
     # (digest, id and URL of the response) of the payloads that repeat: small without their text
     repeated = large.where("c > 1 and top.page_id is not null")
     chosen = materialize(repeated.select("digest", "n_bytes", F.col("top.page_id").alias("of"), F.col("top.url").alias("of_url")))
@@ -95,7 +95,14 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
         ).otherwise(record("response", own, http(F.col("payload")), dated, uri, digest, ("Content-Type", "application/http; msgtype=response"))),
         record("metadata", urn("metadata", own), lines(("page-id", F.col("page_id").cast("string"))), dated, uri, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")),
     ]
-    rows.select(F.explode(F.array(*kinds)).alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    values = F.explode(F.array(*kinds)).alias("value")
+    largest, least_size = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0, 0
+    for size, most in RECORDS:  # a pass for each class of sizes that there is
+        some = rows.where((F.col("n_bytes") >= least_size) & (F.col("n_bytes") < size)) if largest >= RECORDS[0][0] else rows
+        some.select(values).write.mode("append").option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+        least_size = size
+        if largest < size:
+            break
 
 
 def records(file: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -165,7 +172,7 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """The captures of ``pages``, after they were written into the shared folder and read back."""
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = new_path(spark, "warc")
     write(pages, path)
     return assemble(read(spark, path))
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import json
+import os
 import random
 import re
 import time
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from answerloom.llm import chat, decontaminate, jaccard, packing, urlfilter, warc
 from answerloom.llm import queries as q
+from answerloom.llm.common import scope, shared_dir
 from answerloom.llm.components import connected_components
 from tests_llm_plain import contaminated, groups
 
@@ -56,6 +58,12 @@ def test_url_filters(spark, frame):
     assert urlfilter.judge(pages.limit(0), urlfilter.rules_table(spark)).count() == 0
 
 
+def test_rules_of_any_case_fit(spark, frame):
+    rules = frame([("ExAmple.COM", "/A", "block"), ("example.com", "/A", "block")], "host string, path string, verdict string")
+    pages = frame([(1, "http://EXAMPLE.com/A/b"), (2, "http://x.example.com/a")], "page_id long, url string")
+    assert {(r.page_id, r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()} == {(1, "example.com/A", "block"), (2, None, "allow")}
+
+
 def test_decontamination(spark, frame):
     rng = random.Random(5)
     word = lambda n: " ".join(rng.choice("abcde") + rng.choice(["", "é", "1"]) for _ in range(n))
@@ -255,11 +263,25 @@ def test_warc_round_trip(spark, frame, tmp_path):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
-def test_archives_have_a_bounded_number_of_records(spark, frame, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "RECORDS", 7)
-    warc.write(frame([(i, "u", f"<p>{i}") for i in range(20)], "page_id long, url string, html string"), str(tmp_path / "w"))
-    sizes = [len(list(warc.records(io.BytesIO(gzip.decompress(f.read_bytes()))))) for f in (tmp_path / "w").glob("*.gz")]
-    assert sum(sizes) == 60 and max(sizes) <= 7
+def test_archives_have_a_bounded_size(spark, frame, tmp_path, monkeypatch):
+    """Few records a file, and of large payloads fewer; nothing is left behind, and every page comes back."""
+    monkeypatch.setattr(warc, "RECORDS", ((50, 9), (500, 6), (1 << 62, 3)))
+    rows = [(i, "u", "x" * (3000 if i % 7 == 0 else 300 if i % 5 == 0 else 3) + str(i)) for i in range(40)] + [(40, "u", None)]
+    pages = frame(rows, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    files = [list(warc.records(io.BytesIO(gzip.decompress(f.read_bytes())))) for f in (tmp_path / "w").glob("*.gz")]
+    payload = lambda block: len(block.partition(b"\r\n\r\n")[2])
+    assert sum(map(len, files)) == 3 * len(rows) and max(map(len, files)) <= 9
+    for file in files:
+        largest = max(payload(block) for head, block in file if head["warc-type"] == "response")
+        assert len(file) <= (9 if largest < 50 else 6 if largest < 500 else 3)
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    with scope():
+        got = warc.round_trip(spark, pages).select("metadata.page_id", "response.payload_bytes").collect()
+        assert any("warc" in n for n in set(os.listdir(root)) - before)
+    assert {r.page_id: r.payload_bytes for r in got} == {i: len(h or "") for i, _, h in rows}
+    assert set(os.listdir(root)) == before
 
 
 def test_warc_files_are_warc(spark, frame, tmp_path):

@@ -42,6 +42,41 @@ def test_quality_edges(spark, frame):
     assert quality.score(spark, docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_scores_by_definition(spark):
+    """Every document's score by plain pooling, one token after the other, and a plain forward pass."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    net, texts = model.network, {r.doc_id: r.text for r in docs.collect()}
+
+    def plain(text):
+        vector, n = [0.0] * quality.DIM, 0
+        last = None
+        for raw in quality.TOKEN.findall(text or ""):
+            k = model.vocabulary.get(quality.SAME if raw == last else quality.normal_form(raw), 0)
+            last = raw
+            vector, n = [a + float(b) for a, b in zip(vector, model.vectors[k], strict=True)], n + 1
+        x = [(v / n if n else 0.0) for v in vector]
+        z = [(a - m) / s for a, m, s in zip(x, net.mean, net.scale, strict=True)]
+        hidden = [np.tanh(sum(a * w for a, w in zip(z, net.w1[:, j], strict=True)) + net.b1[j]) for j in range(len(net.b1))]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+        return 1 / (1 + np.exp(-min(30, max(-30, logit))))
+
+    for r in quality.score(spark, docs.where("length(text) < 4000 or text is null"), model).collect():
+        want = plain(texts[r.doc_id])
+        assert abs(r.score - want) < 1e-4 and (abs(want - 0.5) < 1e-4 or r.predicted == (want >= 0.5))
+
+
+def test_an_id_on_many_rows_brings_one_to_the_driver(spark, frame, monkeypatch):
+    seen = []
+    train = quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y, kept: seen.append(len(x)) or train(x, y, kept))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], f"word {k} of many") for k in range(500)] + [(i, f"some text {i}") for i in ids[1:]]
+    quality.fit(frame(rows, "doc_id long, text string"), frame([(i, i % 2) for i in ids], "doc_id long, quality int"), sample=10)
+    assert seen == [10] or seen[0] <= 10
+
+
 def test_tokens_are_told_apart_whole():
     long = "a" * 30
     forms = {quality.normal_form(t) for t in (long + "b", long + "c", "!!!", "!!?", "!!")}
@@ -166,6 +201,14 @@ def test_rules_hold_out_precision_and_recall(spark):
     assert rejected.count(1) <= 0.02 * sum(r.quality == 1 for r in rows)
 
 
+def test_limits_know_the_largest_ratio(spark, frame):
+    """Good texts that compress more than a hundredfold are kept, not rejected by a limit that counts them as a hundred."""
+    texts = [" ".join(f"w{i}" for i in range(60)) + " " + "a" * (400_000 + 1_000 * k) for k in range(90)]
+    docs = frame(list(enumerate(texts)), "doc_id long, text string")
+    rows = compression.judge(docs, frame([(i, 1) for i in range(90)], "doc_id long, quality int")).collect()
+    assert min(r.ratio for r in rows) > compression.MOST and all(r.kept for r in rows)
+
+
 def test_size_classes():
     sizes = [*range(1, 5000), 2**40 - 1, 2**40, 2**40 + 1]
     assert [compression.size_class(n) for n in sizes] == [sum(n * n >= 1 << k for k in range(1, 128)) for n in sizes]
