@@ -2,9 +2,11 @@
 
 import json
 import os
+import sys
 import threading
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from answerloom.operators import batches, checks, judge
@@ -13,6 +15,7 @@ from answerloom.sources import scratch
 from answerloom.sources.keyed import KeyedTable
 
 SCHEMA = "key string, v int"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import tests
 
 
 def rows(spark, **values):
