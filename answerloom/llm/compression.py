@@ -138,21 +138,21 @@ def fit(measures: DataFrame, labels: DataFrame) -> Bands:
     chunks = known.select(F.lit("chunk").alias("kind"), F.posexplode("chunks").alias("at", "ratio"), "chunks", "tail_class").select("kind", chunk_class(F.col("at")).alias("size_class"), "ratio")
     step = F.round(F.least("ratio", F.lit(MOST)) * STEPS).cast("int").alias("step")
     counted = wholes.unionByName(chunks).groupBy("kind", "size_class", step).agg(F.count("*").alias("n"), F.max("ratio").alias("top")).collect()
-    by_kind: dict[str, dict[int, list[tuple[float, int]]]] = {"whole": defaultdict(list), "chunk": defaultdict(list)}
+    by_kind: dict[str, dict[int, list[tuple[int, float, int]]]] = {"whole": defaultdict(list), "chunk": defaultdict(list)}
     for r in counted:
-        value = r["step"] / STEPS if r["step"] < MOST * STEPS else r["top"]
-        by_kind[r["kind"]][r["size_class"]].append((value, r["n"]))
+        by_kind[r["kind"]][r["size_class"]].append((r["step"], max(r["step"] / STEPS, r["top"]) if r["step"] == MOST * STEPS else r["step"] / STEPS, r["n"]))
     return Bands(*[limits(by_kind[kind]) for kind in ("whole", "chunk")])
 
 
-def limits(counted: dict[int, list[tuple[float, int]]]) -> list[tuple[float, float]]:
-    """Limits of all size classes from the counted ratios, (ratio, number), of some."""
+def limits(counted: dict[int, list[tuple[int, float, int]]]) -> list[tuple[float, float]]:
+    """Limits of all size classes from the counted ratios, (step, largest ratio of it, number), of some."""
     known = {}
     for k, steps in counted.items():
-        ratios, n = np.array(sorted(steps)).T
+        at, tops, n = np.array(sorted(steps)).T
         upto = np.cumsum(n)
         if upto[-1] >= ENOUGH:
-            low, high = (ratios[np.searchsorted(upto, max(1, q * upto[-1]))] for q in (QUANTILE, 1 - QUANTILE))
+            first, last = (np.searchsorted(upto, max(1, q * upto[-1])) for q in (QUANTILE, 1 - QUANTILE))
+            low, high = at[first] / STEPS, tops[last]
             known[k] = float(low * (1 - MARGIN[0])), float(high * (1 + MARGIN[1]))
     if not known:
         return default_limits()
