@@ -20,8 +20,8 @@ def shuffle_key(seed: int, key: Column) -> Column:
 def with_running(df: DataFrame, order: list[Column], amount: Column, name: str) -> DataFrame:
     """``df`` with the sum of ``amount`` over all rows before each in ``order``, of columns of any type.
 
-    The input is computed once: rows are dealt into ranges of the whole order, so ties in its first column part, and
-    written with the number of their range. One total for each range, summed in order, is joined back; within a range a
+    Rows are dealt into ranges of the whole order, so ties in its first column part, and written with the number of their
+    range. That computes the input twice, once to sample where the ranges begin: write it first where it is costly. One total for each range, summed in order, is joined back; within a range a
     window adds up.
     """
     ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))

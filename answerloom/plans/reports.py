@@ -126,10 +126,12 @@ def suffix_removal(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", remove_suffix(key, end).alias("run"))
 
 
-@query("SELECT event_id, '{\"m\":\"' || event_type || '\"}' AS frames FROM events")
+@query("""SELECT event_id, '{"m":"' || event_type || '"}|first line' || chr(10) || 'second ' || CAST(user_id AS VARCHAR) || '|no prefix' AS frames FROM events""")
 def sse_parse(spark, sf_dir):
+    """A body of frames: JSON, several lines with loose space, an empty one, one without a prefix, the end."""
     event = F.concat(F.lit('{"m":"'), F.col("event_type"), F.lit('"}'))
-    body = F.concat(files.sse_encode(event), files.sse_encode(F.lit("[DONE]")))
+    of_lines = F.concat(F.lit("first line\nsecond "), F.col("user_id").cast("string"), F.lit(" "))
+    body = F.concat(files.sse_encode(event), files.sse_encode(of_lines), F.lit("\n\nno prefix\n\n"), files.sse_encode(F.lit("[DONE]")))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(files.sse_frames(body), "|").alias("frames"))
 
 

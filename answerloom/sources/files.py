@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom import schemas
-from answerloom.functions.text import fixed
+from answerloom.functions.text import fixed, strip
 from answerloom.operators.tables import union_subsets, upsert
 from answerloom.sources.keyed import KeyedTable
 from answerloom.sources.scratch import remove
@@ -68,9 +68,9 @@ def percent(x: Column, digits: int = 1) -> Column:
 
 
 def sse_frames(x: Column) -> Column:
-    """The payloads of server-sent frames in a text: parted by blank lines, prefix dropped, empty ones left out."""
+    """The payloads of server-sent frames in a text: parted by blank lines, prefix dropped, stripped, empty ones left out."""
     frames = F.filter(F.split(x, "\n\n"), lambda f: f != "")
-    return F.filter(F.transform(frames, lambda f: F.regexp_replace(f, "^data: ", "")), lambda f: (f != "") & (f != "[DONE]"))
+    return F.filter(F.transform(frames, lambda f: strip(F.regexp_replace(f, "^data: ", ""))), lambda f: (f != "") & (f != "[DONE]"))
 
 
 def sse_encode(event: Column) -> Column:
