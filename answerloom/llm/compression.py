@@ -8,8 +8,11 @@ otherwise normal text. Every size has limits, a single byte too.
 
 *Limits* are learnt (``fit``) from all documents outside the held-out fold that a label calls good: for each size class
 (half a binary order of magnitude) and for wholes and chunks apart, the QUANTILE from either end of their ratios, and a
-MARGIN beyond. A class with less than ENOUGH of them takes the limits of the nearest class that has enough, both moved
-outwards by WIDEN for each class between. Where no class has enough, and without ``fit``, DEFAULT holds.
+MARGIN beyond. What holds for a class is the mean of all classes' limits, each weighted by its number of documents and by
+NEAR for each class between, and of DEFAULT, which weighs as much as PRIOR documents of the class itself; it is moved
+outwards by WIDEN for each class that those documents are away on the mean. So a class with many has about its own limits,
+one with few leans on its neighbours, and there is no number at which one passes into the other. Without ``fit``, and where
+nothing was learnt, DEFAULT holds.
 
 Counts (contract): words are ``[^\\x20\\x09-\\x0D]+``; ``word_chars`` code points in words; ``n_symbols`` characters
 of ``#*$%&|<>``; ``n_dup_lines`` lines with a word that equal an earlier line; ``n_repeat_words`` words inside
@@ -45,7 +48,7 @@ CHUNK, LEVEL = 4_096, 3
 CLASSES = 64
 #: Of the learnt limits. Ratios are counted in steps of 1/STEPS, those over MOST in one step, which keeps
 #: the largest of them.
-QUANTILE, MARGIN, ENOUGH, WIDEN, STEPS, MOST = 0.002, (0.03, 0.02), 20, 0.1, 200, 100
+QUANTILE, MARGIN, NEAR, PRIOR, WIDEN, STEPS, MOST = 0.002, (0.03, 0.02), 1 / 64, 0.5, 0.1, 200, 100
 #: Limits where nothing was learnt: from how many bytes they hold, least and largest ratio.
 DEFAULT = ((1, 0.0, 4.0), (256, 1.05, 4.0), (1_024, 1.15, 4.5), (4_096, 1.25, 5.5), (16_384, 1.35, 7.0), (65_536, 1.35, 9.0))
 
@@ -146,18 +149,19 @@ def fit(measures: DataFrame, labels: DataFrame) -> Bands:
 
 def limits(counted: dict[int, list[tuple[int, float, int]]]) -> list[tuple[float, float]]:
     """Limits of all size classes from the counted ratios, (step, largest ratio of it, number), of some."""
-    known = {}
+    own, n = np.zeros((CLASSES, 2)), np.zeros(CLASSES)
     for k, steps in counted.items():
-        at, tops, n = np.array(sorted(steps)).T
-        upto = np.cumsum(n)
-        if upto[-1] >= ENOUGH:
-            first, last = (np.searchsorted(upto, max(1, q * upto[-1])) for q in (QUANTILE, 1 - QUANTILE))
-            low, high = at[first] / STEPS, tops[last]
-            known[k] = float(low * (1 - MARGIN[0])), float(high * (1 + MARGIN[1]))
-    if not known:
-        return default_limits()
-    near = [min(known, key=lambda c, k=k: (abs(c - k), c)) for k in range(CLASSES)]
-    return [(known[c][0] - WIDEN * abs(c - k), known[c][1] + WIDEN * abs(c - k)) for k, c in enumerate(near)]
+        at, tops, of = np.array(sorted(steps)).T
+        upto = np.cumsum(of)
+        first, last = (np.searchsorted(upto, max(1, q * upto[-1])) for q in (QUANTILE, 1 - QUANTILE))
+        own[k] = at[first] / STEPS * (1 - MARGIN[0]), tops[last] * (1 + MARGIN[1])
+        n[k] = upto[-1]
+    away = np.abs(np.subtract.outer(np.arange(CLASSES), np.arange(CLASSES)))
+    weight = n * NEAR**away
+    total = weight.sum(axis=1) + PRIOR
+    wider = WIDEN * (weight * away).sum(axis=1) / total
+    low, high = ((weight @ own + PRIOR * np.array(default_limits())) / total[:, None]).T
+    return list(zip((low - wider).tolist(), (high + wider).tolist(), strict=True))
 
 
 def decide(measures: DataFrame, rows: Rows, bands: Bands) -> DataFrame:

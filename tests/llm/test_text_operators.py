@@ -156,17 +156,18 @@ def kept_by_definition(texts, good):
             seen.setdefault(size(len(b)), []).append(round(ratio(b) * compression.STEPS))
         known = {}
         for k, v in seen.items():
-            if len(v) >= compression.ENOUGH:
-                v.sort()
-                at = lambda q, v=v: v[max(1, -int(-q * len(v) // 1)) - 1] / compression.STEPS
-                known[k] = at(compression.QUANTILE) * (1 - compression.MARGIN[0]), at(1 - compression.QUANTILE) * (1 + compression.MARGIN[1])
+            v.sort()
+            at = lambda q, v=v: v[max(1, -int(-q * len(v) // 1)) - 1] / compression.STEPS
+            known[k] = len(v), at(compression.QUANTILE) * (1 - compression.MARGIN[0]), at(1 - compression.QUANTILE) * (1 + compression.MARGIN[1])
         assert known
         bands.append(known)
 
     def inside(b, known):
-        k = min(known, key=lambda c: (abs(c - size(len(b))), c))
-        far = compression.WIDEN * abs(k - size(len(b)))
-        return known[k][0] - far <= ratio(b) <= known[k][1] + far
+        k = size(len(b))
+        weights = [(n * compression.NEAR ** abs(c - k), abs(c - k), low, high) for c, (n, low, high) in known.items()]
+        weights.append((compression.PRIOR, 0, *compression.default_limits()[k]))
+        far, low, high = (sum(w[0] * w[at] for w in weights) / sum(w[0] for w in weights) for at in (1, 2, 3))
+        return low - compression.WIDEN * far <= ratio(b) <= high + compression.WIDEN * far
 
     out = {}
     for i, b in data.items():
@@ -209,6 +210,18 @@ def test_limits_know_the_largest_ratio(spark, frame):
     assert min(r.ratio for r in rows) > compression.MOST and all(r.kept for r in rows)
 
 
+def test_limits_pass_from_one_size_to_the_next_without_a_step():
+    plain = compression.default_limits()
+    assert compression.limits({}) == plain
+    # k good documents of one class, of ratio 2: the more, the nearer are its own limits
+    lows = [compression.limits({20: [(400, 2.0, k)]})[20][0] for k in (1, 5, 19, 20, 21, 10_000)]
+    assert all(plain[20][0] < a < b for a, b in zip(lows, lows[1:], strict=False)) and lows[3] - lows[2] < 0.01
+    assert abs(lows[-1] - 2 * (1 - compression.MARGIN[0])) < 1e-3
+    # of few documents beside many the many decide, some classes wider
+    beside = compression.limits({20: [(400, 2.0, 1)], 21: [(480, 2.4, 100_000)]})
+    assert 2.1 < beside[20][0] < beside[21][0] < 2.4 < beside[21][1] < beside[20][1]
+
+
 def test_size_classes():
     sizes = [*range(1, 5000), 2**40 - 1, 2**40, 2**40 + 1]
     assert [compression.size_class(n) for n in sizes] == [sum(n * n >= 1 << k for k in range(1, 128)) for n in sizes]
