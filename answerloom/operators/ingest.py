@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from answerloom.functions.tables import PROMPT_REASONING, PROMPT_SHORT
 from answerloom.functions.text import clean_answer, extract_answer, fill, first_line, strip
 from answerloom.operators.tables import payloads
 
+#: Rows that a provider gets at once.
+CHUNK = 256
 UNIFIED = ("dataset", "qid", "image", "question", "answers", "answer_type")
 
 
@@ -70,12 +73,33 @@ def to_reinforcement(examples: DataFrame) -> DataFrame:
     return examples.select(prompt.alias("prompt"), "image", "answers", "dataset", "question")
 
 
-def generate(examples: DataFrame, schema: str, batches: Callable) -> DataFrame:
-    """Model output from a provider: ``batches`` maps an iterator of pandas frames to one of frames with ``schema``, in
-    batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows."""
-    return examples.mapInPandas(batches, schema)
+def generate(examples: DataFrame, schema: str, answer: Callable[[pd.DataFrame], pd.DataFrame], size: int = CHUNK) -> DataFrame:
+    """Model output from a provider: ``answer`` maps a frame of some rows to one with ``schema``, a row for each of them.
+
+    It gets ``size`` rows at once, whatever the Arrow batches, and fewer only at a partition's end; no more than those and
+    one Arrow batch are held. A call that gives other than one row for each it got fails the job, so outputs never slip.
+    """
+
+    def answered(rows: pd.DataFrame) -> pd.DataFrame:
+        out = answer(rows.reset_index(drop=True))
+        if len(out) != len(rows):
+            raise ValueError(f"{len(out)} answers to {len(rows)} rows")
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch])
+            full = len(rows) // size * size
+            yield from (answered(rows.iloc[at : at + size]) for at in range(0, full, size))
+            rest = rows.iloc[full:] if full < len(rows) else None
+        if rest is not None:
+            yield answered(rest)
+
+    return examples.mapInPandas(run, schema)
 
 
 def token_logprobs(ids: Column, by_position: Column) -> Column:
-    """Each token's own entry of the map at its position."""
-    return F.zip_with(ids, by_position, lambda t, m: F.try_element_at(m, t))
+    """Each token's own entry of the map at its position. Fails where a map lacks its token, or one array is longer."""
+    missing = lambda t: F.raise_error(F.concat(F.lit("no entry of token "), F.coalesce(t.cast("string"), F.lit("null"))))
+    return F.zip_with(ids, by_position, lambda t, m: F.when(F.map_contains_key(m, t), F.element_at(m, t)).otherwise(missing(t)))

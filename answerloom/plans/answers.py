@@ -166,11 +166,15 @@ def data_uri(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", media.data_uri(content).alias("uri"))
 
 
-@query("SELECT vec_id, array_to_string(list_transform(range(0, len(embedding)), lambda i: CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS BIGINT)), ',') AS logprobs FROM embeddings")
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE (x % 3 + 3) % 3 WHEN 0 THEN x - 5 WHEN 1 THEN x ELSE x + 7 END), ',') AS logprobs FROM v"""
+)
 def token_logprob_lookup(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    ids = F.sequence(F.lit(0), F.size("embedding") - 1)
-    maps = F.transform("embedding", lambda e, i: F.create_map(i, F.floor(e.cast("double") * 1000), i + 1, F.lit(0).cast("long")))
+    """Of three candidates at each position, the one that was taken, which the vector's own value names."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda e: F.floor(e.cast("double") * 1000)).alias("v"))
+    ids = F.transform("v", lambda x, i: i + F.pmod(x, F.lit(3)).cast("int") - 1)
+    maps = F.transform("v", lambda x, i: F.map_from_arrays(F.array(i + 1, i - 1, i), F.array(x + 7, x - 5, x)))
     return rows.select("vec_id", F.array_join(ingest.token_logprobs(ids, maps).cast("array<string>"), ",").alias("logprobs"))
 
 
@@ -272,13 +276,13 @@ def payload_join_last_wins(spark, sf_dir):
     return tables.payloads(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", images, "c_custkey", F.col("later")).select("o_orderkey", "image")
 
 
-@query(f"WITH {COMPLETIONS} SELECT conv_id, turn, 'model: ' || question AS raw FROM completions")
+@query(f"WITH {COMPLETIONS} SELECT conv_id, turn, 'It has ' || CAST(len(question) AS VARCHAR) || '. <answer>' || split_part(question, ' ', 1) || '</answer>' AS raw FROM completions")
 def generate_from_provider(spark, sf_dir):
-    """A stand-in model that answers batches of rows."""
+    """A stand-in model, which gets the questions of so many rows at once and answers each with its first word."""
 
-    def answer(batches):
-        for batch in batches:
-            yield batch[["conv_id", "turn"]].assign(raw="model: " + batch["question"])
+    def answer(rows):
+        said = [None if q is None else f"It has {len(q)}. <answer>{q.split(' ', 1)[0]}</answer>" for q in rows["question"]]
+        return rows[["conv_id", "turn"]].assign(raw=said)
 
     return ingest.generate(completions(spark, sf_dir).select("conv_id", "turn", "question"), "conv_id long, turn long, raw string", answer)
 

@@ -358,3 +358,30 @@ def test_a_round_of_judging_reads_what_it_asks(spark, tmp_path, monkeypatch):
     assert sum(r.reward for r in got.collect()) == 16.0
     with pytest.raises(ValueError, match="price"):
         judge.judge_rewards(rows, empty_cache(spark), provider, 2.0, 0.0)
+
+
+@pytest.mark.parametrize("arrow", [3, 7, 1_000])
+def test_providers_get_full_chunks_whatever_the_arrow_batches(spark, arrow):
+    def answer(rows):
+        return rows.assign(asked=len(rows))[["id", "asked"]]
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrow)
+    try:
+        got = ingest.generate(spark.range(0, 23, 1, 1), "id long, asked int", answer, size=5).collect()
+        assert [tuple(r) for r in got] == [(i, 5 if i < 20 else 3) for i in range(23)]
+        assert ingest.generate(spark.range(0, 0, 1, 1), "id long, asked int", answer, size=5).count() == 0
+        with pytest.raises(Exception, match="4 answers to 5 rows"):
+            ingest.generate(spark.range(0, 23, 1, 1), "id long", lambda rows: rows[rows["id"] != 7], size=5).collect()
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_token_logprobs_are_strict(spark):
+    of = lambda ids, maps: spark.createDataFrame([(ids, maps)], "ids array<int>, maps array<map<int,double>>").select(ingest.token_logprobs(F.col("ids"), F.col("maps")).alias("x")).first().x
+    assert of([3, 1, 3], [{1: -0.5, 3: -2.0}, {1: -0.1}, {3: -0.7, 4: -0.9}]) == [-2.0, -0.1, -0.7]
+    assert of([], []) == [] and of(None, []) is None
+    for ids, maps in (([3, 2], [{3: -2.0}, {1: -0.1}]), ([3], [{3: -2.0}, {1: -0.1}]), ([3, 1], [{3: -2.0}]), ([None], [{3: -2.0}])):
+        with pytest.raises(Exception, match="no entry of token"):
+            of(ids, maps)
