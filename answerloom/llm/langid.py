@@ -6,8 +6,8 @@ points. The distance of a document to a language adds up, over the document's pr
 its place in the language's profile; an n-gram missing there counts ``size``. The least distance wins, ties go to the
 language that sorts first. ``score`` is one minus that distance over the largest possible one.
 
-Language profiles are counted in Spark over about ``per_language`` labelled documents of each language, chosen by a hash
-of their ids (all of a language that has fewer); prediction is one pass over whole texts without a shuffle.
+Language profiles are counted in Spark over all labelled documents outside the held-out fold; prediction is one pass over
+whole texts without a shuffle.
 
 Edge cases: a null text, an empty one, and one without any letter get ``und`` and score 0; so does every text when
 nothing was learnt. Texts are read whole, however long; rows are judged independently, so ties and repeats get equal
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import Rows, held_out, materialize
+from answerloom.llm.common import Rows, held_out, small_batches
 
 UNKNOWN = "und"
 SPACE, BITS = 32, 21
@@ -33,6 +33,8 @@ SPACE, BITS = 32, 21
 SIZE = 300
 #: Of the bounds below which a text is in no learnt language: see ``bounds``.
 QUANTILE, SLACK, ENOUGH, LONGEST = 0.01, 0.6, 20, 12
+#: Decimals of the scores that quantiles are taken of, so that their counts are few however many the documents.
+DIGITS = 4
 
 
 @functools.cache
@@ -101,20 +103,17 @@ class Profiles:
         return self.languages[best], 1 - float(distance[best]) / (self.size * len(own))
 
 
-def taught(documents: DataFrame, per_language: int) -> DataFrame:
-    """(lang, text) of the labelled documents that profiles are learnt from."""
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    # one number for each language: its share of rows to take, so that about `per_language` of each are chosen by hash
-    shares = materialize(usable.groupBy("lang").agg((F.lit(per_language * 1e6) / F.count("*")).alias("_share")))
-    return usable.select("lang", "doc_id", "text").join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("_share")).select("lang", "text")
+def teaches(lang: Column, doc_id: Column) -> Column:
+    """Whether a row is one that profiles and bounds are learnt from: all with a language, outside the held-out fold."""
+    return lang.isNotNull() & ~held_out(doc_id)
 
 
-def fit(documents: DataFrame, per_language: int = 500, size: int = SIZE) -> Profiles:
-    """Profiles from labelled documents outside the held-out fold.
+def fit(documents: DataFrame, size: int = SIZE) -> Profiles:
+    """Profiles from all labelled documents outside the held-out fold.
 
     The driver receives ``size`` n-grams for each language.
     """
-    texts = taught(documents, per_language)
+    texts = documents.where(teaches(F.col("lang"), F.col("doc_id")) & F.col("text").isNotNull()).select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,7 +130,9 @@ def fit(documents: DataFrame, per_language: int = 500, size: int = SIZE) -> Prof
         .withColumn("k", F.row_number().over(by_count)).where(F.col("k") <= size)
     )
     out: dict[str, list[int]] = {}
-    for r in sorted(top.collect(), key=lambda r: (r["lang"], r["k"])):
+    with small_batches(documents.sparkSession):
+        rows = top.collect()
+    for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
         out.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(out, size)
 
@@ -154,16 +155,16 @@ def length_class(text: Column) -> Column:
     return F.coalesce(F.least(F.floor(F.log2(F.greatest(F.length(text), F.lit(1)))), F.lit(LONGEST)), F.lit(0)).cast("int")
 
 
-def bounds(spark: SparkSession, documents: DataFrame, profiles: Profiles, per_language: int = 500, slack: float = SLACK) -> DataFrame:
+def bounds(judged: DataFrame, slack: float = SLACK) -> DataFrame:
     """(lang_pred, length_class, bound): the score below which a text is not taken for one of that language.
 
-    It is ``slack`` times the QUANTILE of the scores that the documents which taught the profiles have in their own
-    language: the lesser of that over all lengths and, where ENOUGH of them
-    are of the length class, over the class (long texts with much junk score far below other long ones).
+    ``judged`` has doc_id, lang, lang_pred, score and length_class. The bound is ``slack`` times the QUANTILE of the scores
+    that all documents which taught the profiles have in their own language: the lesser of that over all lengths and, where
+    ENOUGH of them are of the length class, over the class (long texts with much junk score far below other long ones).
     """
-    judged = identify(spark, taught(documents, per_language), profiles).where("lang = lang_pred")
-    found = judged.rollup("lang_pred", length_class(F.col("text")).alias("k")).agg(F.percentile("score", QUANTILE).alias("q"), F.count("*").alias("n"))
+    own = judged.where(teaches(F.col("lang"), F.col("doc_id")) & (F.col("lang") == F.col("lang_pred")) & (F.col("lang_pred") != UNKNOWN))
+    found = own.rollup("lang_pred", "length_class").agg(F.percentile(F.round("score", DIGITS), QUANTILE).alias("q"), F.count("*").alias("n"))
     # at most LONGEST + 2 numbers for each language
-    low = {(r["lang_pred"], r["k"]): r["q"] for r in found.where("lang_pred is not null").collect() if r["k"] is None or r["n"] >= ENOUGH}
+    low = {(r["lang_pred"], r["length_class"]): r["q"] for r in found.where("lang_pred is not null").collect() if r["length_class"] is None or r["n"] >= ENOUGH}
     rows = [(name, k, slack * min(q, low.get((name, k), q))) for (name, every), q in low.items() if every is None for k in range(LONGEST + 1)]
-    return spark.createDataFrame(rows, "lang_pred string, length_class int, bound double")
+    return judged.sparkSession.createDataFrame(rows, "lang_pred string, length_class int, bound double")

@@ -40,10 +40,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Co
     times the training documents of the nearest language and of like length. Where nothing can be learnt, since no row
     has a language, no document has one, and none stays. Ties go to the language that sorts first.
     """
-    profiles = langid.fit(docs)
-    judged = langid.identify(spark, docs.select(whole(docs), "text"), profiles).withColumn("length_class", langid.length_class(F.col("text")))
-    # some numbers for each language: broadcast
-    bound = judged.join(F.broadcast(langid.bounds(spark, docs, profiles, slack=slack)), ["lang_pred", "length_class"], "left")
+    judged = langid.identify(spark, docs.select(whole(docs), "text"), langid.fit(docs)).withColumn("length_class", langid.length_class(F.col("text")))
+    # written, so that each text is judged once, for the bounds and for the filter
+    judged = materialize(judged.drop("text"))
+    bounds = langid.bounds(judged.select("doc.doc_id", "doc.lang", "lang_pred", "score", "length_class"), slack)
+    bound = judged.join(F.broadcast(bounds), ["lang_pred", "length_class"], "left")  # some numbers for each language
     near = (F.col("score") > 0) & (F.col("score") >= F.coalesce("bound", F.lit(0.0)))
     wanted = F.col("lang_pred") != langid.UNKNOWN if languages is None else F.col("lang_pred").isin(*languages)
     return bound.where(wanted & near).select("doc.*")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from answerloom.llm import packing, quality
-from answerloom.llm.common import materialize, scope, shared_dir, table
+from answerloom.llm.common import held_out, materialize, scope, shared_dir, table
 from tests_llm_plain import contaminated, groups
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +121,19 @@ def test_unlearnt_languages_and_letter_noise_go(spark):
     assert kept == {r.doc_id for r in docs.collect() if r.doc_id >= 0 and any(c.isalpha() for c in r.text or "")}
 
 
+def test_language_bounds_know_all_documents(spark):
+    """Of a language's training documents two in a hundred are odd; none of these is among 500 chosen by the hash of their ids."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    hashes = spark.range(9_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("h"), held_out(F.col("id")).alias("out")).orderBy("id").collect()
+    usable = [r for r in hashes if not r.out][:3_000]
+    odd = {r.id for r in [r for r in usable if r.h > 400_000][:60]}
+    texts = {r.id: "".join(rng.choice("zqxjkvbw ") for _ in range(200)) if r.id in odd else " ".join(rng.choices(vocabulary, k=40)) for r in usable}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    kept = ids(corpus_pipeline.language_id(spark, docs, SF))
+    assert len(odd & kept) >= 30 and len(kept - odd) >= 0.99 * len(texts.keys() - odd)
+
+
 CLASHES = ["score", "Predicted", "_row", "row", "doc", "number", "key", "lang_pred", "length_class", "bound", "contaminated", "n_words", "n_tokens", "component_id"]
 
 

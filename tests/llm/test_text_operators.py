@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -290,6 +291,36 @@ def test_language_edges(spark, frame):
     assert {r.lang_pred for r in langid.identify(spark, docs, empty).collect()} == {"und"}
 
 
+def test_profiles_count_all_documents(spark, frame):
+    """More documents of a language than any bounded number of them: every one counts."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdefgh ijklmnop qrstuvwxyz ") for _ in range(20)), rng.choice(["x", "y", None])) for i in range(4_000)]
+    learnt = langid.fit(frame(rows, "doc_id long, text string, lang string"))
+    assert learnt.languages == ["x", "y"]
+    for k, language in enumerate(learnt.languages):
+        counts = Counter()
+        for i, text, lang in rows:
+            if lang == language and zlib.crc32(str(i).encode()) % 3 != 1:
+                counts.update(dict(zip(*langid.ngrams(text), strict=True)))
+        want = sorted(counts, key=lambda g: (-counts[g], g))[: langid.SIZE]
+        got = np.argsort(np.where(learnt.rank[k] < 0, langid.SIZE, learnt.rank[k]), kind="stable")[: langid.SIZE]
+        assert [int(g) for g in learnt.grams[got]] == [int(g) for g in want]
+
+
+def test_bounds_by_definition(spark, frame):
+    rng = np.random.default_rng(3)
+    rows = [(i, "x", ["x", "x", "y", "und"][i % 4], round(float(v), 6), int(c)) for i, (v, c) in enumerate(zip(rng.random(9_000), rng.integers(0, 3, 9_000), strict=True))]
+    rows += [(20_000 + i, "x", "x", 0.001, 9) for i in range(langid.ENOUGH // 2)]  # too few of their length for a bound of its own
+    judged = frame(rows, "doc_id long, lang string, lang_pred string, score double, length_class int")
+    got = {(r.lang_pred, r.length_class): r.bound for r in langid.bounds(judged, 0.5).collect()}
+    own = [(c, v) for i, lang, pred, v, c in rows if lang == pred and zlib.crc32(str(i).encode()) % 3 != 1]
+    every = np.quantile([v for _, v in own], langid.QUANTILE)
+    assert set(got) == {("x", k) for k in range(langid.LONGEST + 1)}
+    for k in range(langid.LONGEST + 1):
+        low = min(every, np.quantile([v for c, v in own if c == k], langid.QUANTILE)) if k < 3 else every
+        assert got["x", k] == pytest.approx(0.5 * low, abs=1e-4)
+
+
 def test_tokens_equal_the_library(spark, frame):
     from tokenizers import Tokenizer
 
