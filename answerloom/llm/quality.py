@@ -5,8 +5,10 @@ vector*, the sum of the index vectors of the tokens around it. A document's vect
 tokens, of context plus index vector. A network of one tanh layer and one logistic output is trained on these
 vectors, and its probabilities are calibrated by a temperature fitted on training rows that the weights never saw.
 
-What is fitted, vectors included, is fitted on at most ``sample`` labelled rows (those of the smallest id hashes),
-so the model costs the same for any corpus; scoring is one pass over whole texts without a shuffle.
+What is fitted is fitted on all labelled rows outside the held-out fold. Tokens and contexts are counted in Spark. The rows'
+vectors lie in blocks of about ``sample`` rows; the driver trains a first network on one block, and where there are more,
+L-BFGS goes on from there with the loss and gradient of all rows, which a Spark job adds up block by block; the scaling of
+the inputs and the temperature are those of all rows, too. Scoring is one pass over whole texts without a shuffle.
 
 Tokens are runs of word characters, and single symbols. A token like the one before it, an upper-case word of two letters
 or more, and a number become markers, so that shape and repetition have vectors too.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -32,12 +34,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm.common import Rows, held_out, materialize
+from answerloom.llm.common import Rows, held_out, materialize, small_batches
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SAME, UPPER, NUMBER = "<same>", "<upper>", "<number>"
 #: Of the random indexing: dimensions, non-zeros of an index vector, tokens to either side.
 DIM, NONZERO, WINDOW = 48, 6, 2
+#: Of the training: units of the hidden layer, weight of the squared weights, temperatures tried, passes over all rows.
+HIDDEN, DECAY, TEMPERATURES, PASSES = 24, 1e-4, np.geomspace(0.25, 8, 61), 30
+#: Tokens that a task counts before it hands them on.
+COUNTED = 50_000
 
 
 def normal_form(token: str) -> str:
@@ -119,23 +125,38 @@ def constant(share: float) -> Network:
     return Network(np.zeros(DIM), np.ones(DIM), np.zeros((DIM, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))))
 
 
-def train(x: np.ndarray, y: np.ndarray, for_temperature: np.ndarray, hidden: int = 24, epochs: int = 300, seed: int = 7) -> Network:
+def first_weights(hidden: int, rng: np.random.Generator) -> list[np.ndarray]:
+    return [rng.normal(0, 1 / np.sqrt(DIM), (DIM, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
+
+
+def log_loss(logits: np.ndarray, t: np.ndarray) -> float:
+    return float((np.logaddexp(0, logits) - t * logits).sum())
+
+
+def gradients(z: np.ndarray, t: np.ndarray, params: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The logits of scaled inputs, and the gradients of the summed log loss."""
+    h = np.tanh(z @ params[0] + params[1])
+    logits = h @ params[2] + params[3]
+    d = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - t
+    back = np.outer(d, params[2]) * (1 - h * h)
+    return logits, [z.T @ back, back.sum(0), h.T @ d, np.array([d.sum()])]
+
+
+def train(x: np.ndarray, y: np.ndarray, for_temperature: np.ndarray, hidden: int = HIDDEN, epochs: int = 300, seed: int = 7) -> Network:
     """Adam on the log loss of the rows not kept for the temperature, then the temperature on those."""
     fit = ~for_temperature
     if not fit.any():
         return constant(0.5)
     if len(set(y[fit])) < 2:
         return constant((y[fit].sum() + 1) / (fit.sum() + 2))
-    rng = np.random.default_rng(seed)
     mean, scale = x[fit].mean(0), x[fit].std(0) + 1e-6
     z, t = (x[fit] - mean) / scale, y[fit]
-    params = [rng.normal(0, 1 / np.sqrt(DIM), (DIM, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
+    params = first_weights(hidden, np.random.default_rng(seed))
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, epochs + 1):
-        h = np.tanh(z @ params[0] + params[1])
-        d = (1 / (1 + np.exp(-np.clip(h @ params[2] + params[3], -30, 30))) - t) / len(t)
-        back = np.outer(d, params[2]) * (1 - h * h)
-        grads = [z.T @ back + 1e-4 * params[0], back.sum(0), h.T @ d + 1e-4 * params[2], np.array([d.sum()])]
+        grads = [g / len(t) for g in gradients(z, t, params)[1]]
+        for k in (0, 2):
+            grads[k] = grads[k] + DECAY * params[k]
         for k, g in enumerate(grads):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -143,11 +164,39 @@ def train(x: np.ndarray, y: np.ndarray, for_temperature: np.ndarray, hidden: int
     net = Network(mean, scale, params[0], params[1], params[2], float(params[3][0]))
     if for_temperature.any() and len(set(y[for_temperature])) == 2:
         logits, t = net.logits(x[for_temperature]), y[for_temperature]
-        loss = lambda temp: np.mean(np.logaddexp(0, logits / temp) - t * logits / temp)
-        net.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
+        net.temperature = float(min(TEMPERATURES, key=lambda temp: log_loss(logits / temp, t)))
     return net
 
 
+def descend(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], at: np.ndarray, passes: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS with steps halved until the loss falls enough; ``loss`` (value and gradient) is asked ``passes`` times at most."""
+    value, slope = loss(at)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    passes -= 1
+    while passes > 0 and np.abs(slope).max() > 1e-6:
+        way, shares = slope.copy(), []
+        for s, g in reversed(pairs):
+            shares.append(s @ way / (s @ g))
+            way -= shares[-1] * g
+        way *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else min(1, 0.1 / np.linalg.norm(slope))
+        for (s, g), share in zip(pairs, reversed(shares), strict=True):
+            way += (share - g @ way / (s @ g)) * s
+        step = 1.0
+        while passes > 0:
+            passes -= 1
+            new_value, new_slope = loss(at - step * way)
+            if new_value <= value - 1e-4 * step * (way @ slope):
+                break
+            step /= 2
+        else:
+            return at
+        s, g = -step * way, new_slope - slope
+        if s @ g > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, g)]
+        at, value, slope = at + s, new_value, new_slope
+    return at
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int]
@@ -165,19 +214,20 @@ def pooled(texts: pd.Series, ids: Ids, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: int = 16_384) -> Model:
-    """A model from the labelled rows outside the held-out fold, ``sample`` of them at most.
+def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, quality) of all labelled rows outside the held-out fold, written.
 
-    The driver receives ``vocabulary`` tokens with their vectors and one vector for each sampled row, never texts.
+    Of an id that stands on several rows one is taken, by its text's hash.
     """
-    rows = (
-        labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    # at most `sample` small rows, by the limit above; of an id that stands on several rows one is taken, by its text's hash
-    sampled = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").where("text is not null")
-    texts = materialize(sampled.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").alias("quality")))
+    taught = F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+    known = materialize(labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality")))
+    # merged, not broadcast: the grouping below needs texts dealt by id anyway
+    texts = documents.select("doc_id", "text").where(taught).join(known.hint("merge"), "doc_id")
+    return materialize(texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("quality").alias("quality")))
+
+
+def word_vectors(texts: DataFrame, vocabulary: int) -> tuple[dict[str, int], np.ndarray]:
+    """Ids and vectors of the ``vocabulary`` most frequent tokens, by all occurrences in ``texts``."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -186,6 +236,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, vocabular
                 raw = TOKEN.findall(text)
                 counts.update(map(normal_form, raw))
                 counts[SAME] += sum(map(eq, raw[1:], raw))
+            if len(counts) > COUNTED:
+                yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
+                counts.clear()
         if counts:
             yield pd.DataFrame({"token": list(counts), "n": list(counts.values())})
 
@@ -199,35 +252,125 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, vocabular
     index = index_vectors(tokens)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, of = np.zeros_like(index), Ids(ids)
+        sums, of = np.zeros(index.shape), Ids(ids)
         for batch in batches:
             for text in batch["text"]:
                 context_sums(token_ids(text, of), index, sums)
         if len(at := np.flatnonzero(sums.any(1))):
             yield pd.DataFrame({"id": at, "v": list(sums[at])})
 
-    summed = (
-        texts.select("text").mapInPandas(contexts, "id int, v array<float>")
+    found = (
+        texts.select("text").mapInPandas(contexts, "id int, v array<double>")
         .groupBy("id").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(DIM)]).alias("v"))
     ).toArrow()
     vectors = np.zeros((len(tokens) + 1, DIM), np.float32)
-    if summed.num_rows:
-        vectors[summed["id"].to_numpy()] = np.array(summed["v"].to_pylist(), np.float32)
+    if found.num_rows:
+        vectors[found["id"].to_numpy()] = np.array(found["v"].to_pylist(), np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     vectors = (vectors + index / np.sqrt(NONZERO)).astype(np.float32)
     vectors[0] = 0
+    return ids, vectors
+
+
+def in_blocks(texts: DataFrame, ids: dict[str, int], vectors: np.ndarray, n_blocks: int) -> DataFrame:
+    """(block, x, y, kept), written: the vectors, labels and temperature flags of the rows of a block, in the order of ids."""
 
     def vectors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Ids(ids)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "v": list(pooled(batch["text"], of, vectors))})
-
-    got = texts.mapInPandas(vectors_of, "doc_id long, quality int, v array<double>").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    x = np.array(got["v"].to_pylist(), float).reshape(-1, DIM)[order]
-    y = got["quality"].to_numpy().astype(float)[order]
-    kept = np.array([zlib.crc32(b"temperature %d" % d) % 5 == 0 for d in got["doc_id"].to_numpy()[order]], bool)
-    return Model(ids, vectors, train(x, y, kept))
+            x = pooled(batch["text"], of, vectors).astype(np.float32)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [v.tobytes() for v in x]})
+
+    def laid(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        kept = np.array([zlib.crc32(b"temperature %d" % d) % 5 == 0 for d in rows["doc_id"]], bool)
+        y = rows["quality"].to_numpy().astype(np.uint8)
+        return pd.DataFrame([(rows["block"].iloc[0], b"".join(rows["x"]), y.tobytes(), kept.tobytes())], columns=["block", "x", "y", "kept"])
+
+    rows = texts.mapInPandas(vectors_of, "doc_id long, quality int, x binary").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
+    return materialize(rows.repartition(n_blocks, "block").groupBy("block").applyInPandas(laid, "block long, x binary, y binary, kept binary"))
+
+
+def unpacked(block: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's x, y and kept as arrays."""
+    x = np.frombuffer(block.x, np.float32).reshape(-1, DIM).astype(float)
+    return x, np.frombuffer(block.y, np.uint8).astype(float), np.frombuffer(block.kept, bool)
+
+
+def summed(blocks: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``of(x, y, kept)`` over all blocks, which are added in the order of their numbers: the same in each run.
+
+    The driver receives that array, of some thousand numbers at most, for each block.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(b.block, of(*unpacked(b)).tobytes()) for b in batch.itertuples()], columns=["block", "v"])
+
+    parts = sorted(blocks.mapInPandas(each, "block long, v binary").collect(), key=lambda r: r["block"])
+    return np.sum([np.frombuffer(r["v"]) for r in parts], axis=0)
+
+
+def refined(blocks: DataFrame, start: Network, passes: int = PASSES) -> Network:
+    """The network that ``passes`` over all rows lead to from ``start``, with the scaling and temperature of all rows."""
+
+    def moments(x: np.ndarray, y: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        own = x[~kept]
+        return np.concatenate(([len(own), y[~kept].sum(), kept.sum(), y[kept].sum()], own.sum(0), (own * own).sum(0)))
+
+    n, good, n_kept, good_kept, *sums = summed(blocks, moments)
+    if not n:
+        return constant(0.5)
+    if good in (0, n):
+        return constant((good + 1) / (n + 2))
+    mean = np.array(sums[:DIM]) / n
+    scale = np.sqrt(np.maximum(np.array(sums[DIM:]) / n - mean**2, 0)) + 1e-6
+    if start.w1.any():  # the same network over the new scaling
+        params = [start.w1 * (scale / start.scale)[:, None], start.b1 + (mean - start.mean) / start.scale @ start.w1, start.w2, np.array([start.b2])]
+    else:
+        params = first_weights(HIDDEN, np.random.default_rng(7))
+    ends = np.cumsum([p.size for p in params])[:-1]
+
+    def layers(flat: np.ndarray) -> list[np.ndarray]:
+        return [part.reshape(p.shape) for part, p in zip(np.split(flat, ends), params, strict=True)]
+
+    def loss(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        def of(x: np.ndarray, y: np.ndarray, kept: np.ndarray) -> np.ndarray:
+            logits, grads = gradients((x[~kept] - mean) / scale, y[~kept], layers(flat))
+            return np.concatenate(([log_loss(logits, y[~kept])], *[g.ravel() for g in grads]))
+
+        found = summed(blocks, of) / n
+        decay = np.concatenate([(p if k in (0, 2) else 0 * p).ravel() for k, p in enumerate(layers(flat))])
+        return found[0] + DECAY / 2 * (decay @ decay), found[1:] + DECAY * decay
+
+    w1, b1, w2, b2 = layers(descend(loss, np.concatenate([p.ravel() for p in params]), passes))
+    net = Network(mean, scale, w1, b1, w2, float(b2[0]))
+
+    def by_temperature(x: np.ndarray, y: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        logits = net.logits(x[kept])
+        return np.array([log_loss(logits / temp, y[kept]) for temp in TEMPERATURES])
+
+    if 0 < good_kept < n_kept:
+        net.temperature = float(TEMPERATURES[summed(blocks, by_temperature).argmin()])
+    return net
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 12_000, vocabulary: int = 16_384) -> Model:
+    """A model from all labelled rows outside the held-out fold.
+
+    The driver receives ``vocabulary`` tokens with their vectors, one vector for each of ``sample`` rows at most, which the
+    first network is trained on, and sums; never texts.
+    """
+    with small_batches(documents.sparkSession):
+        texts = labelled(documents, labels)
+        ids, vectors = word_vectors(texts, vocabulary)
+        n_blocks = max(1, -(-texts.count() // sample))
+        blocks = in_blocks(texts, ids, vectors, n_blocks)
+        x, y, kept = np.zeros((0, DIM)), np.zeros(0), np.zeros(0, bool)
+        for block in blocks.where("block = 0").collect():
+            x, y, kept = (a[:sample] for a in unpacked(block))
+        network = train(x, y, kept)
+        return Model(ids, vectors, refined(blocks, network) if n_blocks > 1 else network)
 
 
 def score(spark: SparkSession, documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -78,6 +78,53 @@ def test_an_id_on_many_rows_brings_one_to_the_driver(spark, frame, monkeypatch):
     assert seen == [10] or seen[0] <= 10
 
 
+def test_quality_is_learnt_from_all_labelled_rows(spark, frame):
+    """The rows of the smallest id hashes, and those of a block, are labelled at random; only all rows tell."""
+    rng = random.Random(8)
+    usable = [i for i in range(1_200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    hashes = {r.id: (r.h, r.b) for r in spark.range(1_200).select("id", F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id"), F.lit(-(-len(usable) // 40))).alias("b")).collect()}
+    noisy = set(sorted(usable, key=lambda i: hashes[i])[:40]) | {i for i in usable if hashes[i][1] == 0}
+    truth = {i: rng.randint(0, 1) for i in usable}
+    texts = [(i, " ".join(rng.choices(["lorem", "ipsum", "dolor", "amet"], k=20) + rng.choices(["fine", "good"] if truth[i] else ["poor", "junk"], k=2) + [f"once{i // 8}"])) for i in usable]
+    labels = [(i, rng.randint(0, 1) if i in noisy else truth[i]) for i in usable]
+    model = quality.fit(frame(texts, "doc_id long, text string"), frame(labels, "doc_id long, quality int"), sample=40)
+    often = Counter(w for _, t in texts for w in t.split())
+    assert set(model.vocabulary) - {quality.SAME} == {w for w, n in often.items() if n > 1}
+    x = quality.pooled([t for _, t in texts], quality.Ids(model.vocabulary), model.vectors)
+    right = [(p >= 0.5) == truth[i] for p, (i, _) in zip(model.network.score(x), texts, strict=True) if i not in noisy]
+    assert sum(right) >= 0.97 * len(right)
+
+
+def test_refined_by_definition(spark, frame):
+    """Scaling, loss and temperature of blocks are those of their rows taken together."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(2, 3, (600, quality.DIM)).astype(np.float32)
+    y = (x[:, 0] + 2 * rng.normal(size=600) > 2).astype(np.uint8)
+    kept = np.arange(600) % 5 == 0
+    parts = [slice(0, 100), slice(100, 350), slice(350, 600)]
+    blocks = frame([(k, x[p].tobytes(), y[p].tobytes(), kept[p].tobytes()) for k, p in enumerate(parts)], "block long, x binary, y binary, kept binary")
+    start = quality.train(x[:100].astype(float), y[:100].astype(float), kept[:100], epochs=20)
+    loss = lambda net: quality.log_loss(net.logits(x[~kept].astype(float)), y[~kept]) / sum(~kept)
+    same = quality.refined(blocks, start, passes=1)
+    assert np.allclose(same.mean, x[~kept].mean(0), atol=1e-4) and np.allclose(same.scale, x[~kept].std(0), atol=1e-4)
+    assert np.allclose(same.logits(x), start.logits(x), atol=1e-4)  # the scaling alone changes no score
+    better = quality.refined(blocks, start, passes=12)
+    assert loss(better) < loss(start) - 0.02
+    want = min(quality.TEMPERATURES, key=lambda t: quality.log_loss(better.logits(x[kept].astype(float)) / t, y[kept]))
+    assert better.temperature == pytest.approx(want)
+    ones = frame([(0, x.tobytes(), np.ones(600, np.uint8).tobytes(), kept.tobytes())], "block long, x binary, y binary, kept binary")
+    assert quality.refined(ones, start).score(x).max() == pytest.approx((480 + 1) / (480 + 2))
+
+
+def test_descent_finds_the_least():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(30, 12))
+    b = rng.normal(size=30)
+    asked = []
+    found = quality.descend(lambda v: (asked.append(1), (((a @ v - b) ** 2).sum(), 2 * a.T @ (a @ v - b)))[1], np.ones(12), 60)
+    assert np.allclose(found, np.linalg.lstsq(a, b, rcond=None)[0], atol=1e-4) and len(asked) <= 60
+
+
 def test_tokens_are_told_apart_whole():
     long = "a" * 30
     forms = {quality.normal_form(t) for t in (long + "b", long + "c", "!!!", "!!?", "!!")}
