@@ -3,17 +3,20 @@
 Events are (request, model, token, done, seq): a model's tokens are numbered from 0, its last event has ``done``. Two
 stateful stages follow one another. ``deltas`` puts each model's tokens in order: its state holds the number that comes
 next and the tokens that came ahead of their turn, nothing of the text that is out, so it is as small as the stream is
-in order. ``completed`` counts a request's models that are done, and says so once. Both keep their state in RocksDB and
+in order. It is kept by request, so a trigger's tokens of one request meet in one task. ``completed`` counts a request's models that are done, and says so once. Both keep their state in RocksDB and
 come out the same however events are dealt over triggers, repeated, or read again after a restart. ``texts`` and
 ``completions`` are their batch forms.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -56,75 +59,126 @@ def texts(events: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
     return once.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda e: e["token"]), "").alias("text"), F.max("done").alias("done"))
 
 
+#: Tokens ahead of their turn that a model's place holds itself; more go into a map, so that no trigger writes them again.
+NEAR = 64
+
+
+@dataclass
+class Place:
+    """How far a model is: the number that comes next, the last one if known, whether its end was told, when a gap is given
+    up, how many tokens ahead the map holds, and those ahead that it doesn't."""
+
+    next: int = 0
+    last: int | None = None
+    told: bool = False
+    due: int | None = None
+    far: int = 0
+    near: dict[int, str] = field(default_factory=dict)
+
+
 class InOrder(StatefulProcessor):
-    """A model's tokens as far as they are in order."""
+    """The tokens of a request's models as far as they are in order.
+
+    Each access to the state is a message to Spark, so the models' places are one value: a JSON list, which is read faster
+    than a row of nested types.
+    """
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next long, last long, held int, told boolean")
-        self.ahead = handle.getMapState("ahead", "seq long", "token string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        following, last, held, told = self.place.get() or (0, None, 0, False)
-        new: dict[int, str] = {}
-        for frame in rows:
-            for seq, token, done in zip(frame["seq"], frame["token"], frame["done"], strict=True):
-                if seq >= following:
-                    new.setdefault(int(seq), token if isinstance(token, str) else "")
-                if done is not None and bool(done):
-                    last = int(seq)
-        yield from self.put_out(key, following, last, held, told, new, 0, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        following, last, held, told = self.place.get() or (0, None, 0, False)
-        if held:  # what comes next was waited for long enough
-            first = min(int(k[0]) for k in self.ahead.keys())
-            yield from self.put_out(key, first, last, held, told, {}, first - following, timerValues)
-
-    def put_out(self, key, following, last, held, told, new, lost, timer_values) -> Iterator[pd.DataFrame]:
-        first, out = following, []
-        while following in new or held:
-            if following in new:
-                token = new.pop(following)
-                if held and self.ahead.containsKey((following,)):
-                    self.ahead.removeKey((following,))
-                    held -= 1
-            elif self.ahead.containsKey((following,)):
-                token = self.ahead.getValue((following,))[0]
-                self.ahead.removeKey((following,))
-                held -= 1
-            else:
-                break
+        self.state = handle.getValueState("places", "places string")
+        self.ahead = handle.getMapState("ahead", "model string, seq long", "token string")
+
+    def places(self) -> dict[str | None, Place]:
+        found = self.state.get()
+        known = {model: Place(*rest, dict(zip(seqs, held, strict=True))) for model, *rest, seqs, held in (json.loads(found[0]) if found else [])}
+        return defaultdict(Place, known)
+
+    def put_back(self, places: dict[str | None, Place], timer: int | None) -> None:
+        """Keeps the places, and one timer, for the gap that is given up first; ``timer`` is the one that is set."""
+        kept = [(m, p.next, p.last, p.told, p.due, p.far, list(p.near), list(p.near.values())) for m, p in places.items()]
+        self.state.update((json.dumps(kept, ensure_ascii=False),))
+        first = earliest(places)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        places = self.places()
+        timer, new = earliest(places), defaultdict(dict)
+        for _, model, token, done, seq in rows:  # as ``deltas`` selects them
+            place, tokens = places[model], new[model]
+            if seq >= place.next:
+                tokens.setdefault(seq, token if token is not None else "")
+            if done:
+                place.last = seq
+        now = timerValues.getCurrentProcessingTimeInMs() if self.wait else 0
+        for model, tokens in new.items():
+            yield from self.put_out(key, model, places[model], tokens, 0, now)
+        self.put_back(places, timer)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        places, now = self.places(), timerValues.getCurrentProcessingTimeInMs()
+        for model, place in places.items():
+            if place.due is not None and place.due <= now:  # what comes next was waited for long enough
+                held = list(place.near) + ([k[1] for k in self.ahead.keys() if k[0] == model] if place.far else [])
+                lost, place.next = min(held) - place.next, min(held)
+                yield from self.put_out(key, model, place, {}, lost, now)
+        self.put_back(places, None)  # the timer that is over is deleted by Spark
+
+    def taken(self, model: str | None, place: Place, new: dict[int, str]) -> str | None:
+        """The token that comes next, which is then held no more; None if it isn't there."""
+        seq = place.next
+        token, held = new.pop(seq, None), place.near.pop(seq, None)
+        if held is None and place.far and self.ahead.containsKey((model, seq)):
+            held = self.ahead.getValue((model, seq))[0]
+            self.ahead.removeKey((model, seq))
+            place.far -= 1
+        return token if token is not None else held
+
+    def hold(self, model: str | None, place: Place, seq: int, token: str) -> None:
+        if seq in place.near or (place.far and self.ahead.containsKey((model, seq))):
+            return
+        if len(place.near) < NEAR:
+            place.near[seq] = token
+        else:
+            self.ahead.updateValue((model, seq), (token,))
+            place.far += 1
+
+    def put_out(self, key, model: str | None, place: Place, new: dict[int, str], lost: int, now: int) -> Iterator[Row]:
+        first, out = place.next, []
+        while (new or place.near or place.far) and (token := self.taken(model, place, new)) is not None:
             out.append(token)
-            following += 1
+            place.next += 1
         for seq, token in new.items():
-            if not self.ahead.containsKey((seq,)):
-                self.ahead.updateValue((seq,), (token,))
-                held += 1
-        timers = list(self.handle.listTimers()) if self.wait else []
-        if timers and (out or lost or not held):  # what was waited for is here, or given up
-            for t in timers:
-                self.handle.deleteTimer(t)
-            timers = []
-        if held and self.wait and not timers:
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.wait)
-        done = last is not None and following > last
-        self.place.update((following, last, held, done))
+            self.hold(model, place, seq, token)
+        if out or lost or not (place.near or place.far):  # what was waited for is here, or given up
+            place.due = None
+        if self.wait and (place.near or place.far) and place.due is None:
+            place.due = now + self.wait
+        done, told = place.last is not None and place.next > place.last, place.told
+        place.told = done
         if out or lost or (done and not told):
-            yield pd.DataFrame({"request": [key[0]], "model": [key[1]], "first": [first], "text": ["".join(out)], "lost": [lost], "done": [done]})
+            yield Row(request=key[0], model=model, first=first, text="".join(out), lost=lost, done=done)
 
     def close(self) -> None:
         pass
 
 
+def earliest(places: dict[str | None, Place]) -> int | None:
+    return min((p.due for p in places.values() if p.due is not None), default=None)
+
+
 def deltas(events: DataFrame, wait_ms: int = 0) -> DataFrame:
     """(request, model, first, text, lost, done): what each trigger adds to a model's text, from the token numbered
     ``first`` on. Where a token doesn't come for ``wait_ms`` after later ones (0: wait for ever), the gap is given up:
     ``lost`` tokens are missing before ``first``, and late ones are ignored. Write it in append mode."""
-    return events.groupBy("request", "model").transformWithStateInPandas(InOrder(wait_ms), DELTA, "append", "processingTime" if wait_ms else "none")
+    numbered = events.select("request", "model", "token", "done", "seq").where("seq IS NOT NULL")
+    return numbered.groupBy("request").transformWithState(InOrder(wait_ms), DELTA, "append", "processingTime" if wait_ms else "none")
 
 
 class AllDone(StatefulProcessor):

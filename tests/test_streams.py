@@ -64,6 +64,62 @@ def test_gaps_are_given_up_after_a_time(spark, tmp_path):
     assert [(r.first, r.text, r.lost, r.done) for r in sorted(seen, key=lambda r: r.first)] == [(0, "0 ", 0, False), (3, "3 4 ", 2, True)]
 
 
+def test_state_is_asked_for_by_request_not_by_token(spark, tmp_path):
+    """Each access to the state is a message between Python and Spark; one for each token held took hours over many requests."""
+    rng = random.Random(5)
+    requests, path = 20, str(tmp_path / "in")
+    events = token_events("abcde", requests, 12)
+    rng.shuffle(events)
+    for k in range(2):
+        arrive(spark, path, events[k::2])
+    stream = tokens.deltas(spark.readStream.schema(tokens.EVENT).option("maxFilesPerTrigger", 1).parquet(path))
+    seen = []
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
+    query.awaitTermination()
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    asked = [sum(op["customMetrics"][k] for op in p["stateOperators"] for k in ("rocksdbGetCount", "rocksdbPutCount")) for p in batches]
+    assert len(asked) == 2 and all(0 < n <= 5 * requests for n in asked)
+    got = {}
+    for r in sorted(seen, key=lambda r: r.first):
+        got[r.request, r.model] = got.get((r.request, r.model), "") + r.text
+    assert got == {(f"r{r}", m): "".join(f"{m}{i} " for i in range(12)) for r in range(requests) for m in "abcde"}
+
+
+def test_more_ahead_than_a_place_holds(spark, tmp_path):
+    """Of one model and not of the other, repeated while they wait, over restarts; one model and a token have no name or text."""
+    n, path, seen = 3 * tokens.NEAR, str(tmp_path / "in"), []
+    long = [("r", None, None if i == 7 else f"{i} ", i == n - 1, i) for i in range(n)]
+    short = [("r", "b", f"b{i} ", i == 2, i) for i in range(3)]
+    parts = [long[1::2] + short[1:], long[2:] + short[2:] + [("r", "b", "unnumbered", False, None)], long[:1], short[:1] + long[:5]]
+    for part in parts:
+        arrive(spark, path, part)
+        run(tokens.deltas(spark.readStream.schema(tokens.EVENT).parquet(path)), str(tmp_path / "state"), seen)
+    want = {(None, 0, "".join(e[2] or "" for e in long), 0, True), ("b", 0, "b0 b1 b2 ", 0, True)}
+    assert {(r.model, r.first, r.text, r.lost, r.done) for r in seen} == want and len(seen) == 2
+
+
+def test_gaps_of_a_request_are_given_up_each_in_its_time(spark, tmp_path):
+    """Also one whose later tokens are more than a place holds; a model whose gap is filled in time loses nothing."""
+    import time
+
+    n, path, seen = 2 * tokens.NEAR, str(tmp_path / "in"), []
+    arrive(spark, path, [("r", "a", f"{i} ", i == n - 1, i) for i in range(n) if i != 1] + [("r", "b", "b1 ", True, 1)])
+    stream = tokens.deltas(spark.readStream.schema(tokens.EVENT).parquet(path), wait_ms=6000)
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(processingTime="200 milliseconds").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and not seen:  # a's first token
+            time.sleep(0.1)
+        arrive(spark, path, [("r", "b", "b0 ", False, 0), ("r", "c", "c2 ", True, 2)])
+        while time.time() < until and sum(r.done for r in seen) < 3:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    got = sorted((r.model, r.first, r.text, r.lost, r.done) for r in seen)
+    rest = "".join(f"{i} " for i in range(2, n))
+    assert got == [("a", 0, "0 ", 0, False), ("a", 2, rest, 1, True), ("b", 0, "b0 b1 ", 0, True), ("c", 2, "c2 ", 2, True)]
+
+
 def test_one_sentinel_a_request(spark, tmp_path):
     """Of a stream with repeated and late ends, stopped and restarted; the batch form says the same."""
     rng = random.Random(2)
